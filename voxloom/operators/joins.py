@@ -1,0 +1,38 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+
+_FIXED = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
+          T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8}
+
+
+def estimated_row_bytes(schema: T.StructType, array_len: int = 256, string_len: int = 64) -> int:
+    """Upper-ish estimate of one row's in-memory size from its schema."""
+    def width(dt) -> int:
+        for k, v in _FIXED.items():
+            if isinstance(dt, k):
+                return v
+        if isinstance(dt, T.ArrayType):
+            return 16 + array_len * width(dt.elementType)
+        if isinstance(dt, T.StructType):
+            return sum(width(f.dataType) for f in dt.fields)
+        if isinstance(dt, (T.StringType, T.BinaryType)):
+            return 16 + string_len
+        return 32
+    return 16 + sum(width(f.dataType) for f in schema.fields)
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_BROADCAST_BYTES,
+               array_len: int = 256) -> DataFrame:
+    """Join, broadcasting ``small`` only when ``rows * estimated width <= max_bytes``;
+    beyond that the planner's shuffle join (with AQE skew handling) is used."""
+    n = small.count()
+    if n * estimated_row_bytes(small.schema, array_len) <= max_bytes:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)
