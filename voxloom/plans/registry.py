@@ -183,3 +183,235 @@ def frame_dedupe_long(spark, sf_dir):
     return sizes.join(agg, "doc_id", "left").select(
         "doc_id", "n_before", F.coalesce("n_after", F.lit(0).cast("long")).alias("n_after"),
         F.coalesce("dedup_ck", F.lit(0).cast("long")).alias("dedup_ck"))
+
+
+# --------------------------------------------------------------------------
+# Prompts, masks, labels, truncation
+# --------------------------------------------------------------------------
+@register("prompt_plain", f"""
+WITH {DOC_CTE},
+p AS (SELECT doc_id, {PLAIN_SQL} AS full_ids FROM dd),
+t AS (SELECT doc_id, len(full_ids) AS n_full, full_ids[1:2048] AS ids FROM p)
+SELECT doc_id, n_full::BIGINT AS n_full, len(ids)::BIGINT AS n_ids, {ck('ids')} AS ids_ck,
+       len(ids)::BIGINT AS mask_sum, {ck('ids')} AS labels_ck FROM t
+""")
+def prompt_plain(spark, sf_dir):
+    """Plain training rows: Q4 -> Q7 (2048) -> Q8 mask -> Q9 labels."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    full = b.select("doc_id", A.assemble_plain("text_ids", "codes_list").alias("full"))
+    rows = full.select("doc_id", F.size("full").alias("n_full"), A.truncate("full", V.MAX_LEN_PLAIN).alias("input_ids"))
+    rows = rows.select("doc_id", "n_full", "input_ids", A.attention_mask("input_ids").alias("attention_mask"),
+                       F.col("input_ids").alias("labels"))
+    return rows.select("doc_id", _long("n_full").alias("n_full"), _long(F.size("input_ids")).alias("n_ids"),
+                       A.checksum("input_ids").alias("ids_ck"),
+                       _long(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("mask_sum"),
+                       A.checksum("labels").alias("labels_ck"))
+
+
+@register("prompt_speaker", f"""
+WITH {DOC_CTE},
+p AS (SELECT doc_id, {SPEAKER_SQL.format(ph=128263)} AS ids FROM dd)
+SELECT doc_id, len(ids)::BIGINT AS n_ids, {ck('ids')} AS ids_ck,
+       len(list_filter(ids, lambda x: x = 128263))::BIGINT AS n_placeholders,
+       (list_position(ids, 128263) - 1)::BIGINT AS placeholder_pos,
+       {ck("list_transform(ids, lambda x: CASE WHEN x IN (128263, -100) THEN -100 ELSE x END)")} AS labels_ck FROM p
+""")
+def prompt_speaker(spark, sf_dir):
+    """Speaker rows: Q3 -> Q5 -> P11 check -> Q10 masked labels."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    rows = b.select("doc_id", A.assemble_speaker("text_ids", A.dedupe_frames("codes_list")).alias("ids"))
+    return rows.select("doc_id", _long(F.size("ids")).alias("n_ids"), A.checksum("ids").alias("ids_ck"),
+                       _long(A.count_value("ids", V.PLACEHOLDER)).alias("n_placeholders"),
+                       (F.array_position("ids", V.PLACEHOLDER) - 1).cast("long").alias("placeholder_pos"),
+                       A.checksum(A.mask_labels("ids")).alias("labels_ck"))
+
+
+@register("truncate_stats", f"""
+WITH {DOC_CTE},
+p AS (SELECT lang, len({PLAIN_SQL}) AS n FROM dd)
+SELECT lang, count(*)::BIGINT AS n_rows, sum(CASE WHEN n > 2048 THEN 1 ELSE 0 END)::BIGINT AS n_truncated,
+       sum(greatest(n - 2048, 0))::BIGINT AS tokens_removed, max(n)::BIGINT AS max_len FROM p GROUP BY lang
+""")
+def truncate_stats(spark, sf_dir):
+    """A4: rows truncated and tokens removed at the 2048 limit, per language."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    n = b.select("lang", F.size(A.assemble_plain("text_ids", "codes_list")).alias("n"))
+    lim = V.MAX_LEN_PLAIN
+    return n.groupBy("lang").agg(
+        _long(F.count("*")).alias("n_rows"), _long(F.count_if(F.col("n") > lim)).alias("n_truncated"),
+        _long(F.sum(F.greatest(F.col("n") - lim, F.lit(0)))).alias("tokens_removed"),
+        _long(F.max("n")).alias("max_len"))
+
+
+@register("collate_rows", f"""
+WITH {DOC_CTE},
+p AS (SELECT doc_id, ({PLAIN_SQL})[1:2048] AS ids FROM dd),
+c AS (SELECT doc_id, ids[1:4096] AS ids FROM p)
+SELECT doc_id, len(ids)::BIGINT AS n_ids, {ck('ids')} AS ids_ck, len(ids)::BIGINT AS mask_len, {ck('ids')} AS labels_ck FROM c
+""")
+def collate_rows(spark, sf_dir):
+    """Q12: the collator's projection (truncate ids and mask to 4096, labels = ids)
+    over the plain training rows; ragged rows stay ragged (D12)."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    ids = A.truncate(A.assemble_plain("text_ids", "codes_list"), V.MAX_LEN_PLAIN)
+    rows = b.select("doc_id", ids.alias("ids")).select("doc_id", "ids", A.attention_mask("ids").alias("mask"))
+    c = rows.select("doc_id", A.truncate("ids", V.MAX_LEN_COLLATE).alias("input_ids"),
+                    A.truncate("mask", V.MAX_LEN_COLLATE).alias("attention_mask"))
+    return c.select("doc_id", _long(F.size("input_ids")).alias("n_ids"), A.checksum("input_ids").alias("ids_ck"),
+                    _long(F.size("attention_mask")).alias("mask_len"), A.checksum("input_ids").alias("labels_ck"))
+
+
+@register("generation_prompt", f"""
+WITH {DOC_CTE},
+g AS (SELECT doc_id, [128259] || text_ids || [128009, 128260, 128261, 128257] AS plain,
+             [128259] || text_ids || [128009, 128260, 128264] AS head, [128265, 128261, 128257] AS tail FROM dc)
+SELECT doc_id, len(plain)::BIGINT AS plain_len, {ck('plain')} AS plain_ck, len(head)::BIGINT AS head_len,
+       {ck('head')} AS head_ck, {ck('tail')} AS tail_ck FROM g
+""")
+def generation_prompt(spark, sf_dir):
+    """Q6: generation prompts, plain and split around the speaker embedding."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    g = b.select("doc_id", A.generation_prompt("text_ids").alias("plain"),
+                 A.generation_prompt("text_ids", speaker=True).alias("sp"))
+    return g.select("doc_id", _long(F.size("plain")).alias("plain_len"), A.checksum("plain").alias("plain_ck"),
+                    _long(F.size("sp.head")).alias("head_len"), A.checksum("sp.head").alias("head_ck"),
+                    A.checksum("sp.tail").alias("tail_ck"))
+
+
+def generated_tokens(spark, sf_dir) -> DataFrame:
+    """Stand-in model output per document: the prompt plus the full frames of its
+    codes, with the marker cases varied by language (en: marker + end,
+    de: no start marker, fr: no end marker, es: empty span)."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    frames = F.slice("codes_list", 1, F.greatest(F.floor(F.size("codes_list") / 7).cast("int") * 7, F.lit(0)))
+    prompt = A.generation_prompt("text_ids")
+    eoa = A.lit_array([V.END_OF_AUDIO])
+    lang = F.col("lang")
+    gen = (F.when(lang == "de", F.concat(frames, eoa))
+           .when(lang == "fr", F.concat(prompt, frames))
+           .when(lang == "es", F.concat(prompt, eoa))
+           .otherwise(F.concat(prompt, frames, eoa)))
+    return b.select("doc_id", gen.alias("output_tokens"))
+
+
+GEN_SQL = """
+g AS (SELECT doc_id, CASE
+   WHEN lang = 'de' THEN fr || [128258]
+   WHEN lang = 'fr' THEN pr || fr
+   WHEN lang = 'es' THEN pr || [128258]
+   ELSE pr || fr || [128258] END AS v
+ FROM (SELECT doc_id, lang, [128259] || text_ids || [128009, 128260, 128261, 128257] AS pr,
+              codes[1:(len(codes) // 7) * 7] AS fr FROM dc))
+"""
+
+
+@register("audio_span", f"""
+WITH {DOC_CTE}, {GEN_SQL},
+r AS (SELECT doc_id, CASE WHEN coalesce(list_position(v, 128257), 0) = 0 THEN v
+                          ELSE v[list_position(v, 128257) + 1:] END AS rest FROM g),
+s AS (SELECT doc_id, CASE WHEN rest[-1] = 128258 THEN rest[1:len(rest) - 1] ELSE rest END AS span FROM r)
+SELECT doc_id, len(span)::BIGINT AS span_len, (len(span) % 7 = 0) AS shape_ok, (len(span) = 0) AS is_empty,
+  (list_bool_and(list_transform(span, lambda x, i: x - 128266 - 4096 * ((i - 1) % 7) >= 0
+                                              AND x - 128266 - 4096 * ((i - 1) % 7) < 4096)) IS NOT false) AS range_ok,
+  {ck('span')} AS span_ck FROM s
+""")
+def audio_span(spark, sf_dir):
+    """Q11 -> P9 -> Q2 -> P10 over generated token rows."""
+    g = generated_tokens(spark, sf_dir)
+    s = g.select("doc_id", A.audio_span("output_tokens").alias("span"))
+    s = s.select("doc_id", "span", A.unflatten_frames("span").alias("u"))
+    return s.select("doc_id", _long(F.size("span")).alias("span_len"), A.frame_shape_ok("span").alias("shape_ok"),
+                    (F.size("span") == 0).alias("is_empty"), A.codes_in_range("u.c0", "u.c1", "u.c2").alias("range_ok"),
+                    A.checksum("span").alias("span_ck"))
+
+
+# --------------------------------------------------------------------------
+# Ordering, sampling, sharding
+# --------------------------------------------------------------------------
+@register("shuffle_seeded", """
+SELECT doc_id, (row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1)::BIGINT AS idx FROM documents
+""")
+def shuffle_seeded(spark, sf_dir):
+    d = FX.table(spark, sf_dir, "documents").select("doc_id")
+    return sampling.seeded_shuffle(d, "doc_id").select("doc_id", _long("idx").alias("idx"))
+
+
+@register("head_fraction", """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents)
+SELECT doc_id, (row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1)::BIGINT AS idx
+FROM r WHERE rn < n // 5
+""")
+def head_fraction(spark, sf_dir):
+    """O2 then O1: the first fifth in table order, then the seeded shuffle."""
+    d = FX.table(spark, sf_dir, "documents").select("doc_id")
+    head = sampling.head_fraction(d, "doc_id", 5, idx_col="rn").select("doc_id")
+    return sampling.seeded_shuffle(head, "doc_id").select("doc_id", _long("idx").alias("idx"))
+
+
+@register("row_batches", """
+WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events)
+SELECT (idx // 1000)::BIGINT AS batch, count(*)::BIGINT AS n_rows, min(event_id)::BIGINT AS first_id,
+       max(event_id)::BIGINT AS last_id, round(sum(value), 4) AS value_sum FROM r GROUP BY 1
+""")
+def row_batches(spark, sf_dir):
+    """O4 + A5: contiguous batches of 1000 rows in table order."""
+    e = FX.table(spark, sf_dir, "events").select("event_id", "value")
+    b = sampling.row_batches(sampling.with_global_index(e, ["event_id"]), "idx", V.BATCH_ROWS)
+    return b.groupBy("batch").agg(_long(F.count("*")).alias("n_rows"), _long(F.min("event_id")).alias("first_id"),
+                                  _long(F.max("event_id")).alias("last_id"), F.round(F.sum("value"), 4).alias("value_sum"))
+
+
+@register("mean_length_head", f"""
+WITH {DOC_CTE},
+p AS (SELECT doc_id, len({SPEAKER_SQL.format(ph=128263)}) AS n FROM dd),
+h AS (SELECT n FROM p ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 10000)
+SELECT count(*)::BIGINT AS sample_rows, round(avg(n), 6) AS avg_length FROM h
+""")
+def mean_length_head(spark, sf_dir):
+    """A3: mean speaker-row length over the first 10,000 rows of the shuffled table."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    rows = b.select("doc_id", A.assemble_speaker("text_ids", A.dedupe_frames("codes_list")).alias("input_ids"))
+    rows = rows.withColumn("_o1", sampling.seeded_key(["doc_id"]))
+    r = sampling.mean_length_head(rows, "input_ids", ["_o1", "doc_id"], V.HEAD_SAMPLE)
+    return r.select(_long("sample_rows").alias("sample_rows"), F.round("avg_length", 6).alias("avg_length"))
+
+
+SHARD_CONTIG_SQL = """
+WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS idx,
+                  count(*) OVER () AS n FROM documents),
+o AS (SELECT doc_id, idx, CASE WHEN idx < (n % {outer}) * (n // {outer} + 1) THEN idx // (n // {outer} + 1)
+        ELSE (n % {outer}) + (idx - (n % {outer}) * (n // {outer} + 1)) // (n // {outer}) END AS outer_shard FROM s),
+p AS (SELECT doc_id, idx, outer_shard, row_number() OVER (PARTITION BY outer_shard ORDER BY idx) - 1 AS pos,
+             count(*) OVER (PARTITION BY outer_shard) AS m FROM o),
+i AS (SELECT doc_id, idx, outer_shard, pos, CASE WHEN pos < (m % {inner}) * (m // {inner} + 1) THEN pos // (m // {inner} + 1)
+        ELSE (m % {inner}) + (pos - (m % {inner}) * (m // {inner} + 1)) // (m // {inner}) END AS inner_shard FROM p)
+"""
+
+
+@register("shard_assign", SHARD_CONTIG_SQL.format(outer=10, inner=50) + """
+SELECT doc_id, outer_shard::BIGINT AS outer_shard, inner_shard::BIGINT AS inner_shard,
+       (row_number() OVER (PARTITION BY outer_shard, inner_shard ORDER BY idx) - 1)::BIGINT AS inner_idx FROM i
+""")
+def shard_assign(spark, sf_dir):
+    """K4: two-level contiguous shards (10 x 50) of the shuffled table."""
+    d = FX.table(spark, sf_dir, "documents").select("doc_id")
+    n = d.count()
+    s = sampling.two_level_shards(sampling.seeded_shuffle(d, "doc_id", n_rows=n), "idx", n, 10, 50, "contiguous")
+    return s.select("doc_id", _long("outer_shard").alias("outer_shard"), _long("inner_shard").alias("inner_shard"),
+                    _long("inner_idx").alias("inner_idx"))
+
+
+@register("shard_assign_strided", """
+WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS idx FROM documents),
+o AS (SELECT doc_id, idx, idx % 10 AS outer_shard,
+             row_number() OVER (PARTITION BY idx % 10 ORDER BY idx) - 1 AS pos FROM s)
+SELECT doc_id, outer_shard::BIGINT AS outer_shard, (pos % 50)::BIGINT AS inner_shard,
+       (row_number() OVER (PARTITION BY outer_shard, pos % 50 ORDER BY idx) - 1)::BIGINT AS inner_idx FROM o
+""")
+def shard_assign_strided(spark, sf_dir):
+    """K4, strided mode: ``idx % shards`` at both levels."""
+    d = FX.table(spark, sf_dir, "documents").select("doc_id")
+    n = d.count()
+    s = sampling.two_level_shards(sampling.seeded_shuffle(d, "doc_id", n_rows=n), "idx", n, 10, 50, "strided")
+    return s.select("doc_id", _long("outer_shard").alias("outer_shard"), _long("inner_shard").alias("inner_shard"),
+                    _long("inner_idx").alias("inner_idx"))
