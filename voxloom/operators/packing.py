@@ -47,22 +47,25 @@ def _prepare(df: DataFrame, shard_col: str, ord_col: str, partitions: int | None
 
 
 def assign_bins(df: DataFrame, shard_col: str, ord_col: str, len_col: str, limit: int = V.PACK_LIMIT,
-                bin_col: str = "bin", drop_tail: bool = False, partitions: int | None = None) -> DataFrame:
-    """K1 on lengths only: ``(shard, ord, len) -> (shard, ord, bin)``.
+                bin_col: str = "bin", drop_tail: bool = False, partitions: int | None = None,
+                keep: list[str] | None = None) -> DataFrame:
+    """K1 on lengths only: ``(shard, ord, len[, keep...]) -> (..., bin)``.
 
-    Use it to plan bins cheaply; join the result back on ``(shard, ord)``.
+    Plans bins from narrow rows; ``keep`` columns (e.g. a row key) pass through
+    so the result can be joined back to the payload without recomputing it.
     """
-    narrow = _prepare(df.select(F.col(shard_col).cast("long").alias(shard_col), F.col(ord_col).cast("long").alias(ord_col),
-                                F.col(len_col).cast("long").alias(len_col)), shard_col, ord_col, partitions)
-    out_schema = T.StructType([T.StructField(shard_col, T.LongType()), T.StructField(ord_col, T.LongType()),
-                               T.StructField(bin_col, T.IntegerType())])
+    keep = [c for c in (keep or []) if c not in (shard_col, ord_col, len_col)]
+    cols = [F.col(shard_col).cast("long").alias(shard_col), F.col(ord_col).cast("long").alias(ord_col),
+            F.col(len_col).cast("long").alias(len_col)] + [F.col(c) for c in keep]
+    narrow = _prepare(df.select(*cols), shard_col, ord_col, partitions)
+    out_schema = T.StructType(list(narrow.schema.fields) + [T.StructField(bin_col, T.IntegerType())])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = [None, 0, -1]
         for rb in batches:
             bins = _next_fit(rb.column(0).to_pylist(), rb.column(2).to_pylist(), state, limit)
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(bins, pa.int32())],
-                                             names=[shard_col, ord_col, bin_col])
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [pa.array(bins, pa.int32())],
+                                             names=list(rb.schema.names) + [bin_col])
 
     binned = narrow.mapInArrow(fn, out_schema)
     if drop_tail:

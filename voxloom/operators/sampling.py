@@ -34,24 +34,33 @@ def _hash_lead(hex_col: Column) -> Column:
 
 
 def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Column | None = None,
-                      rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
+                      rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
+                      key: str | None = None) -> DataFrame:
     """Add a 0-based position of every row in the total order ``order_cols``.
 
     ``order_cols`` must be unique per row.  ``lead`` is a numeric expression
-    monotone with the first order column (defaults to that column).
+    monotone with the first order column (defaults to that column).  With
+    ``key`` (a unique column) the index is computed on the narrow
+    ``(key, order_cols)`` projection and joined back, so wide rows never pass
+    through the ranking sort.
     """
     order_cols = list(order_cols)
+    if key is not None:
+        narrow_cols = list(dict.fromkeys([key] + [c for c in order_cols if c in df.columns]))
+        narrow = with_global_index(df.select(*narrow_cols), order_cols, idx_col, lead, rows_per_bucket, n_rows)
+        return df.join(narrow.select(key, idx_col), key)
     n = df.count() if n_rows is None else n_rows
     buckets = max(1, math.ceil(n / rows_per_bucket))
+    if buckets == 1:
+        # the whole table fits one bounded ranking task
+        w = Window.orderBy(*order_cols)
+        return df.withColumn(idx_col, (F.row_number().over(w) - 1).cast("long"))
     lead_col = (lead if lead is not None else F.col(order_cols[0])).cast("double")
     work = df.withColumn("_lead", lead_col)
-    if buckets == 1:
-        work = work.withColumn("_b", F.lit(0.0))
-    else:
-        probs = [i / buckets for i in range(1, buckets)]
-        qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets))
-        splits = [-math.inf] + sorted(set(q for q in qs if q is not None)) + [math.inf]
-        work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets))
+    splits = [-math.inf] + sorted(set(q for q in qs if q is not None)) + [math.inf]
+    work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
     spark = df.sparkSession
     counts = sorted(work.groupBy("_b").count().collect())       # at most `buckets` rows
     offsets, acc = [], 0
@@ -68,11 +77,11 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col: str = "idx",
                    n_rows: int | None = None) -> DataFrame:
-    """O1: deterministic permutation; ``idx`` is the row's position after it."""
-    k = seeded_key([key], seed)
-    work = df.withColumn("_o1", k)
-    return with_global_index(work, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")),
-                             n_rows=n_rows).drop("_o1")
+    """O1: deterministic permutation; ``idx`` is the row's position after it.
+    The ranking runs on the key alone; the result is joined back by key."""
+    narrow = df.select(key).withColumn("_o1", seeded_key([key], seed))
+    ranked = with_global_index(narrow, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")), n_rows=n_rows)
+    return df.join(ranked.select(key, idx_col), key)
 
 
 def head_fraction(df: DataFrame, key: str, fraction_div: int = 5, idx_col: str = "idx") -> DataFrame:
@@ -98,47 +107,50 @@ def mean_length_head(df: DataFrame, ids_col: str, order_cols, n: int = V.HEAD_SA
         F.count("*").alias("sample_rows"), F.avg("_len").alias("avg_length"))
 
 
-def shard_of(idx: Column, n: int, shards: int, mode: str = "contiguous") -> Column:
-    """K4: shard of a 0-based row index among ``n`` rows cut in ``shards`` shards.
+def _contiguous_starts(n: int, shards: int) -> list[int]:
+    q, m = divmod(n, shards)
+    return [k * q + min(k, m) for k in range(shards + 1)]
+
+
+def shard_of(idx_col: str, n: int, shards: int, mode: str = "contiguous") -> Column:
+    """K4: shard of the 0-based row index column ``idx_col`` among ``n`` rows cut
+    in ``shards`` shards.
 
     contiguous: the first ``n % shards`` shards get one extra row; strided: ``idx % shards``.
     """
     if mode == "strided":
-        return (idx % shards).cast("int")
+        return F.expr(f"cast({idx_col} % {shards} as int)")
     if mode != "contiguous":
         raise ValueError(f"unknown shard mode {mode!r}")
-    q, m = n // shards, n % shards
+    q, m = divmod(n, shards)
+    if q == 0:
+        return F.expr(f"cast({idx_col} as int)")
     big = m * (q + 1)
-    tail = F.lit(m) + F.floor((idx - big) / F.lit(max(q, 1))).cast("long")
-    return F.when(idx < big, F.floor(idx / (q + 1)).cast("long")).otherwise(tail).cast("int")
+    return F.expr(f"cast(if({idx_col} < {big}, {idx_col} div {q + 1}, {m} + ({idx_col} - {big}) div {q}) as int)")
 
 
 def two_level_shards(df: DataFrame, idx_col: str, n: int, outer: int = V.OUTER_SHARDS,
                      inner: int = V.INNER_SHARDS, mode: str = "contiguous") -> DataFrame:
     """K4 twice: ``outer_shard`` of the table, ``inner_shard`` of each outer shard,
-    plus ``inner_idx`` (position inside the inner shard)."""
-    idx = F.col(idx_col)
-    outer_c = shard_of(idx, n, outer, mode)
-    q, m = n // outer, n % outer
-    if mode == "contiguous":
-        o_start = outer_c * q + F.least(outer_c, F.lit(m))
-        o_size = F.lit(q) + F.when(outer_c < m, 1).otherwise(0)
-        pos_o = idx - o_start
-    else:
-        o_size = F.lit(q) + F.when(outer_c < m, 1).otherwise(0)
-        pos_o = F.floor(idx / outer).cast("long")
-    # inner shard of position pos_o among o_size rows (o_size varies by one across outer shards)
-    qi = F.floor(o_size / inner).cast("long")
-    mi = o_size % inner
-    if mode == "contiguous":
-        bigi = mi * (qi + 1)
-        inner_c = F.when(pos_o < bigi, F.floor(pos_o / (qi + 1))).otherwise(
-            mi + F.floor((pos_o - bigi) / F.greatest(qi, F.lit(1)))).cast("int")
-        i_start = inner_c * qi + F.least(inner_c, mi)
-        inner_pos = pos_o - i_start
-    else:
-        inner_c = (pos_o % inner).cast("int")
-        inner_pos = F.floor(pos_o / inner).cast("long")
-    return (df.withColumn("outer_shard", outer_c)
-            .withColumn("inner_shard", inner_c)
-            .withColumn("inner_idx", inner_pos.cast("long")))
+    plus ``inner_idx`` (position inside the inner shard).
+
+    Shard boundaries depend only on ``n`` and the shard counts, so they are
+    small literal arrays (``outer + 1`` and ``outer * (inner + 1)`` numbers).
+    """
+    if mode == "strided":
+        return (df.withColumn("outer_shard", F.expr(f"cast({idx_col} % {outer} as int)"))
+                .withColumn("inner_shard", F.expr(f"cast(({idx_col} div {outer}) % {inner} as int)"))
+                .withColumn("inner_idx", F.expr(f"({idx_col} div {outer}) div {inner}")))
+    if mode != "contiguous":
+        raise ValueError(f"unknown shard mode {mode!r}")
+    o_arr = ", ".join(f"{x}L" for x in _contiguous_starts(n, outer))
+    out = (df.withColumn("outer_shard", shard_of(idx_col, n, outer, "contiguous"))
+           .withColumn("_ostart", F.expr(f"get(array({o_arr}), outer_shard)"))
+           .withColumn("_osize", F.expr(f"get(array({o_arr}), outer_shard + 1) - _ostart"))
+           .withColumn("_pos", F.expr(f"{idx_col} - _ostart"))
+           .withColumn("_qi", F.expr(f"_osize div {inner}"))
+           .withColumn("_mi", F.expr(f"_osize % {inner}"))
+           .withColumn("inner_shard", F.expr(
+               "cast(if(_pos < _mi * (_qi + 1), _pos div (_qi + 1), _mi + (_pos - _mi * (_qi + 1)) div greatest(_qi, 1)) as int)"))
+           .withColumn("inner_idx", F.expr("_pos - (inner_shard * _qi + least(inner_shard, _mi))")))
+    return out.drop("_ostart", "_osize", "_pos", "_qi", "_mi")

@@ -26,11 +26,37 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _signed_zero_safe(sql: str) -> str:
+    """Rewrite every ``round(...)`` as ``(round(...) + 0.0)`` so a rounded -0.0
+    reads as 0.0, as on the Spark side."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "(round(" + _signed_zero_safe(sql[j + 6:k]) + ") + 0.0)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = _signed_zero_safe(sql.strip())
         return fn
     return deco
 
@@ -39,6 +65,11 @@ def _long(c):
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 
 
+def _round(c, n: int):
+    """Rounded double with -0.0 folded to 0.0."""
+    return F.round(c, n) + F.lit(0.0)
+
+
 # --------------------------------------------------------------------------
 # DuckDB building blocks (oracle side)
 # --------------------------------------------------------------------------
@@ -74,7 +105,7 @@ def speaker_prompt_stats_df(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").cast("long").alias("n_rows"),
         F.sum("n_ids").cast("long").alias("total_tokens"),
         F.max("n_ids").cast("long").alias("max_tokens"),
-        F.round(F.avg("n_ids"), 6).alias("avg_tokens"),
+        _round(F.avg("n_ids"), 6).alias("avg_tokens"),
         F.sum(F.when(F.col("n_ph") != 1, 1).otherwise(0)).cast("long").alias("bad_placeholder_rows"))
 
 
@@ -358,7 +389,7 @@ def row_batches(spark, sf_dir):
     e = FX.table(spark, sf_dir, "events").select("event_id", "value")
     b = sampling.row_batches(sampling.with_global_index(e, ["event_id"]), "idx", V.BATCH_ROWS)
     return b.groupBy("batch").agg(_long(F.count("*")).alias("n_rows"), _long(F.min("event_id")).alias("first_id"),
-                                  _long(F.max("event_id")).alias("last_id"), F.round(F.sum("value"), 4).alias("value_sum"))
+                                  _long(F.max("event_id")).alias("last_id"), _round(F.sum("value"), 4).alias("value_sum"))
 
 
 @register("mean_length_head", f"""
@@ -373,7 +404,7 @@ def mean_length_head(spark, sf_dir):
     rows = b.select("doc_id", A.assemble_speaker("text_ids", A.dedupe_frames("codes_list")).alias("input_ids"))
     rows = rows.withColumn("_o1", sampling.seeded_key(["doc_id"]))
     r = sampling.mean_length_head(rows, "input_ids", ["_o1", "doc_id"], V.HEAD_SAMPLE)
-    return r.select(_long("sample_rows").alias("sample_rows"), F.round("avg_length", 6).alias("avg_length"))
+    return r.select(_long("sample_rows").alias("sample_rows"), _round("avg_length", 6).alias("avg_length"))
 
 
 SHARD_CONTIG_SQL = """
@@ -415,3 +446,173 @@ def shard_assign_strided(spark, sf_dir):
     s = sampling.two_level_shards(sampling.seeded_shuffle(d, "doc_id", n_rows=n), "idx", n, 10, 50, "strided")
     return s.select("doc_id", _long("outer_shard").alias("outer_shard"), _long("inner_shard").alias("inner_shard"),
                     _long("inner_idx").alias("inner_idx"))
+
+
+# --------------------------------------------------------------------------
+# Packing (K1-K5) and alignment
+# --------------------------------------------------------------------------
+PACK_OUTER, PACK_INNER = 2, 4   # shards of the fixture (the library default is 10 x 50)
+EMB_DIM = 64                     # width of the fixture's vectors
+
+
+def packing_input(spark, sf_dir) -> DataFrame:
+    """Shuffled speaker rows cut in 2 x 4 contiguous shards:
+    ``doc_id, shard, ord, input_ids, speaker_embedding`` (``de`` rows carry the -100 placeholder)."""
+    rows = FX.speaker_rows(spark, sf_dir, alt_placeholder_lang="de")
+    n = FX.table(spark, sf_dir, "documents").count()
+    s = sampling.two_level_shards(sampling.seeded_shuffle(rows, "doc_id", n_rows=n), "idx", n, PACK_OUTER, PACK_INNER)
+    return s.select("doc_id", (F.col("outer_shard") * PACK_INNER + F.col("inner_shard")).cast("long").alias("shard"),
+                    F.col("inner_idx").alias("ord"), "input_ids", "speaker_embedding")
+
+
+def packed(spark, sf_dir) -> DataFrame:
+    return packing.pack_rows(packing_input(spark, sf_dir), "shard", "ord", "input_ids", "speaker_embedding")
+
+
+PACK_INPUT_SQL = DOC_CTE + f""",
+ne AS (SELECT count(*) AS nv FROM embeddings),
+sp AS (SELECT dd.doc_id, {SPEAKER_SQL.format(ph="CASE WHEN lang = 'de' THEN -100 ELSE 128263 END")} AS ids, e.embedding AS emb
+       FROM dd, ne JOIN embeddings e ON e.vec_id = dd.doc_id % ne.nv),
+s AS (SELECT doc_id, ids, emb, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS idx,
+             count(*) OVER () AS n FROM sp),
+o AS (SELECT *, CASE WHEN idx < (n % {PACK_OUTER}) * (n // {PACK_OUTER} + 1) THEN idx // (n // {PACK_OUTER} + 1)
+        ELSE (n % {PACK_OUTER}) + (idx - (n % {PACK_OUTER}) * (n // {PACK_OUTER} + 1)) // (n // {PACK_OUTER}) END AS outer_shard FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY outer_shard ORDER BY idx) - 1 AS pos,
+             count(*) OVER (PARTITION BY outer_shard) AS m FROM o),
+i AS (SELECT *, CASE WHEN pos < (m % {PACK_INNER}) * (m // {PACK_INNER} + 1) THEN pos // (m // {PACK_INNER} + 1)
+        ELSE (m % {PACK_INNER}) + (pos - (m % {PACK_INNER}) * (m // {PACK_INNER} + 1)) // (m // {PACK_INNER}) END AS inner_shard FROM p),
+r AS (SELECT doc_id, ids, emb, len(ids) AS n_tok, outer_shard * {PACK_INNER} + inner_shard AS shard,
+             row_number() OVER (PARTITION BY outer_shard, inner_shard ORDER BY idx) - 1 AS ord FROM i),
+bins AS (
+  SELECT shard, ord, 0 AS bin, n_tok AS fill FROM r WHERE ord = 0
+  UNION ALL
+  SELECT r.shard, r.ord,
+         CASE WHEN b.fill + r.n_tok <= 8192 THEN b.bin ELSE b.bin + 1 END,
+         CASE WHEN b.fill + r.n_tok <= 8192 THEN b.fill + r.n_tok ELSE r.n_tok END
+  FROM bins b JOIN r ON r.shard = b.shard AND r.ord = b.ord + 1),
+rb AS (SELECT r.*, bins.bin FROM r JOIN bins USING (shard, ord)),
+pk AS (SELECT shard, bin, count(*) AS n_rows, flatten(list(ids ORDER BY ord)) AS ids,
+              flatten(list(emb ORDER BY ord)) AS emb FROM rb GROUP BY shard, bin)
+"""
+
+
+@register("pack_bins", "WITH RECURSIVE " + PACK_INPUT_SQL + """
+SELECT doc_id, shard::BIGINT AS shard, ord::BIGINT AS ord, bin::BIGINT AS bin FROM rb
+""")
+def pack_bins(spark, sf_dir):
+    """K1 on lengths only: bin of every row (next-fit, 8192 tokens)."""
+    inp = packing_input(spark, sf_dir).select("doc_id", "shard", "ord", F.size("input_ids").alias("n_tok"))
+    bins = packing.assign_bins(inp, "shard", "ord", "n_tok", V.PACK_LIMIT, keep=["doc_id"])
+    return bins.select("doc_id", _long("shard").alias("shard"), _long("ord").alias("ord"),
+                                                   _long("bin").alias("bin"))
+
+
+@register("packed_rows", "WITH RECURSIVE " + PACK_INPUT_SQL + f"""
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, n_rows::BIGINT AS n_rows, len(ids)::BIGINT AS n_tokens,
+       {ck('ids')} AS ids_ck, len(emb)::BIGINT AS n_emb, round(list_sum(list_transform(emb, lambda x: x::DOUBLE)), 3) AS emb_sum
+FROM pk
+""")
+def packed_rows(spark, sf_dir):
+    """K1 + K2 + K3: packed rows with concatenated ids and embeddings."""
+    p = packed(spark, sf_dir)
+    return p.select(_long("shard").alias("shard"), _long("bin").alias("bin"), _long("n_rows").alias("n_rows"),
+                    _long("n_tokens").alias("n_tokens"), A.checksum("input_ids").alias("ids_ck"),
+                    _long(F.size("speaker_embeddings")).alias("n_emb"),
+                    _round(F.aggregate("speaker_embeddings", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 3)
+                    .alias("emb_sum"))
+
+
+SLOTS_SQL = """
+pos AS (SELECT shard, bin, emb, generate_subscripts(ids, 1) - 1 AS p, unnest(ids) AS tok FROM pk),
+sl AS (SELECT shard, bin, emb, p, row_number() OVER (PARTITION BY shard, bin ORDER BY p) - 1 AS k
+       FROM pos WHERE tok IN (128263, -100))
+"""
+
+
+@register("placeholder_align", "WITH RECURSIVE " + PACK_INPUT_SQL + "," + SLOTS_SQL + f"""
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, k::BIGINT AS k, p::BIGINT AS pos,
+       round(list_sum(list_transform(emb[k * {EMB_DIM} + 1:(k + 1) * {EMB_DIM}], lambda x: x::DOUBLE)), 4) AS vec_sum,
+       len(emb[k * {EMB_DIM} + 1:(k + 1) * {EMB_DIM}])::BIGINT AS vec_len
+FROM sl
+""")
+def placeholder_align(spark, sf_dir):
+    """P13 -> P12 -> J4 (+ Q14 slicing): the k-th placeholder of each packed row
+    with the k-th embedding vector."""
+    a = align.align_placeholders(packed(spark, sf_dir), ["shard", "bin"], dim=EMB_DIM)
+    return a.select(_long("shard").alias("shard"), _long("bin").alias("bin"), _long("k").alias("k"),
+                    _long("pos").alias("pos"),
+                    _round(F.aggregate("vector", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double")), 4).alias("vec_sum"),
+                    _long(F.size("vector")).alias("vec_len"))
+
+
+@register("placeholder_ordinals", "WITH RECURSIVE " + PACK_INPUT_SQL + "," + SLOTS_SQL + """
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, k::BIGINT AS k, p::BIGINT AS pos FROM sl
+""")
+def placeholder_ordinals(spark, sf_dir):
+    """Running placeholder ordinal ``cumsum(mask) - 1`` in long form."""
+    o = align.placeholder_ordinals_long(packed(spark, sf_dir), ["shard", "bin"])
+    return o.select(_long("shard").alias("shard"), _long("bin").alias("bin"), _long("k").alias("k"), _long("pos").alias("pos"))
+
+
+@register("mask_labels", "WITH RECURSIVE " + PACK_INPUT_SQL + f"""
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin,
+       {ck("list_transform(ids, lambda x: CASE WHEN x IN (128263, -100) THEN -100 ELSE x END)")} AS labels_ck,
+       {ck("list_transform(ids, lambda x: CASE WHEN x = -100 THEN 128263 ELSE x END)")} AS ids_ck,
+       len(list_filter(ids, lambda x: x IN (128263, -100)))::BIGINT AS n_masked,
+       (len(list_filter(ids, lambda x: x IN (128263, -100))) * {EMB_DIM} = len(emb)) AS counts_match
+FROM pk
+""")
+def mask_labels(spark, sf_dir):
+    """P13 normalise, Q10 masked labels and the P12 count check per packed row."""
+    p = packed(spark, sf_dir)
+    ids = A.normalise_placeholder("input_ids")
+    return p.select(_long("shard").alias("shard"), _long("bin").alias("bin"),
+                    A.checksum(A.mask_labels(ids)).alias("labels_ck"), A.checksum(ids).alias("ids_ck"),
+                    _long(A.count_value(ids, V.PLACEHOLDER)).alias("n_masked"),
+                    align.placeholders_match(ids, "speaker_embeddings", EMB_DIM).alias("counts_match"))
+
+
+PROJ_OUT = 8
+
+
+def projection_weights(d: int = EMB_DIM, out: int = PROJ_OUT) -> np.ndarray:
+    """Fixed integer test weights ``w[i, j] = ((7 i + 3 j) mod 5) - 2``."""
+    i = np.arange(d)[:, None]
+    j = np.arange(out)[None, :]
+    return (((7 * i + 3 * j) % 5) - 2).astype(np.float64)
+
+
+WEIGHTS_SQL = f"""
+w AS (SELECT i, j, ((7 * i + 3 * j) % 5) - 2 AS wv FROM range({EMB_DIM}) t1(i), range({PROJ_OUT}) t2(j))
+"""
+
+
+@register("embedding_projection", f"""
+WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+{WEIGHTS_SQL}
+SELECT vec_id::BIGINT AS vec_id, j::BIGINT AS j, round(sum(x::DOUBLE * wv), 4) AS value FROM e JOIN w USING (i) GROUP BY vec_id, j
+""")
+def embedding_projection(spark, sf_dir):
+    """M4: linear projection (no bias) of every vector, output long form."""
+    e = FX.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    p = project_embeddings(e, "embedding", projection_weights())
+    return p.select(_long("vec_id").alias("vec_id"), F.posexplode("projection").alias("j", "value")).select(
+        "vec_id", _long("j").alias("j"), _round("value", 4).alias("value"))
+
+
+@register("fill_placeholders", "WITH RECURSIVE " + PACK_INPUT_SQL + "," + SLOTS_SQL + "," + WEIGHTS_SQL + f""",
+v AS (SELECT shard, bin, p, unnest(emb[k * {EMB_DIM} + 1:(k + 1) * {EMB_DIM}]) AS x,
+             generate_subscripts(emb[k * {EMB_DIM} + 1:(k + 1) * {EMB_DIM}], 1) - 1 AS i FROM sl),
+pr AS (SELECT shard, bin, p, j, sum(x::DOUBLE * wv) AS val FROM v JOIN w USING (i) GROUP BY shard, bin, p, j)
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, p::BIGINT AS pos, round(sum(val * (j + 1)), 3) AS proj_ck
+FROM pr GROUP BY shard, bin, p
+""")
+def fill_placeholders(spark, sf_dir):
+    """M5: projected speaker vectors placed at the placeholder positions."""
+    slots = align.align_placeholders(packed(spark, sf_dir), ["shard", "bin"], dim=EMB_DIM)
+    proj = project_embeddings(slots.select("shard", "bin", "k", "vector"), "vector", projection_weights())
+    filled = align.fill_placeholders(slots.select("shard", "bin", "k", "pos"), proj.select("shard", "bin", "k", "projection"),
+                                     ["shard", "bin"])
+    ckc = F.aggregate(F.transform("projection", lambda x, i: x * (i + 1)), F.lit(0.0).cast("double"), lambda a, y: a + y)
+    return filled.select(_long("shard").alias("shard"), _long("bin").alias("bin"), _long("pos").alias("pos"),
+                         _round(ckc, 3).alias("proj_ck"))
