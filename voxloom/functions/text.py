@@ -32,8 +32,8 @@ def video_id(url) -> Column:
 
 
 def output_path(out_dir: str, vid, ext: str = "mp3") -> Column:
-    """``<out_dir>/<id>.<ext>``."""
-    return F.concat_ws("/", F.lit(out_dir.rstrip("/")), F.concat(_c(vid), F.lit("." + ext)))
+    """``<out_dir>/<id>.<ext>``; NULL when there is no id."""
+    return F.concat(F.lit(out_dir.rstrip("/") + "/"), _c(vid), F.lit("." + ext))
 
 
 def shard_path(index, fmt: str = V.SHARD_PATH_FORMAT) -> Column:

@@ -616,3 +616,269 @@ def fill_placeholders(spark, sf_dir):
     ckc = F.aggregate(F.transform("projection", lambda x, i: x * (i + 1)), F.lit(0.0).cast("double"), lambda a, y: a + y)
     return filled.select(_long("shard").alias("shard"), _long("bin").alias("bin"), _long("pos").alias("pos"),
                          _round(ckc, 3).alias("proj_ck"))
+
+
+# --------------------------------------------------------------------------
+# Speaker segments
+# --------------------------------------------------------------------------
+SEG_SQL = """
+sg0 AS (SELECT conv_id AS file, role AS speaker, turn AS seg_order, text,
+               coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM conversations),
+sg AS (SELECT file, speaker, seg_order, text, off::DOUBLE / 100.0::DOUBLE AS "start",
+              (off + length(text) + 50)::DOUBLE / 100.0::DOUBLE AS "end" FROM sg0),
+st AS (SELECT file, speaker, sum("end" - "start") AS duration, count(*) AS n_segments, min(seg_order) AS first_seen
+       FROM sg GROUP BY file, speaker),
+ms AS (SELECT file, speaker AS main_speaker, duration AS main_duration FROM (
+         SELECT *, row_number() OVER (PARTITION BY file ORDER BY round(duration, 6) DESC, first_seen) AS r FROM st) WHERE r = 1)
+"""
+
+
+@register("speaker_time", f"""
+WITH {SEG_SQL}
+SELECT file::BIGINT AS file, speaker, round(duration, 6) AS duration, n_segments::BIGINT AS n_segments,
+       first_seen::BIGINT AS first_seen FROM st
+""")
+def speaker_time(spark, sf_dir):
+    """A1: total speaking time per (file, speaker); overlaps count twice."""
+    t = SEG.speaker_time(FX.segments(spark, sf_dir))
+    return t.select(_long("file").alias("file"), "speaker", _round("duration", 6).alias("duration"),
+                    _long("n_segments").alias("n_segments"), _long("first_seen").alias("first_seen"))
+
+
+@register("main_speaker", f"""
+WITH {SEG_SQL}
+SELECT file::BIGINT AS file, main_speaker, round(main_duration, 6) AS main_duration FROM ms
+""")
+def main_speaker(spark, sf_dir):
+    """A2: arg-max speaker per file, ties to the speaker seen first."""
+    m = SEG.main_speaker(FX.segments(spark, sf_dir))
+    return m.select(_long("file").alias("file"), "main_speaker", _round("main_duration", 6).alias("main_duration"))
+
+
+@register("main_speaker_concat", f"""
+WITH {SEG_SQL}
+SELECT sg.file::BIGINT AS file, count(*)::BIGINT AS n_parts, string_agg(sg.text, '' ORDER BY sg."start") AS text,
+       sum(length(sg.text))::BIGINT AS n_chars
+FROM sg JOIN ms ON sg.file = ms.file AND sg.speaker = ms.main_speaker GROUP BY sg.file
+""")
+def main_speaker_concat(spark, sf_dir):
+    """J3 -> O5 -> R3: the main speaker's parts in start order, joined."""
+    seg = FX.segments(spark, sf_dir)
+    mine = SEG.main_speaker_segments(seg)
+    c = SEG.concat_segments(mine, "text", "file", sep="")
+    return c.select(_long("file").alias("file"), _long("n_parts").alias("n_parts"), "text",
+                    _long(F.length("text")).alias("n_chars"))
+
+
+@register("word_join", """
+SELECT conv_id::BIGINT AS conv_id,
+       coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS transcript
+FROM conversations GROUP BY conv_id
+""")
+def word_join(spark, sf_dir):
+    """Keep ``type == 'word'`` and join the words with one space."""
+    w = FX.words(spark, sf_dir)
+    return w.select(_long("conv_id").alias("conv_id"), TX.transcript_from_words("words").alias("transcript"))
+
+
+WAVE_SQL = """
+wv AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, event_type
+       FROM events)
+"""
+
+
+@register("segment_slice", f"""
+WITH {WAVE_SQL},
+seg AS (SELECT file, t AS seg_t,
+               trunc(((t::DOUBLE - 2.6::DOUBLE) / 1000.0::DOUBLE) * 1000.0::DOUBLE)::BIGINT AS s,
+               trunc(((t::DOUBLE + 5.7::DOUBLE) / 1000.0::DOUBLE) * 1000.0::DOUBLE)::BIGINT AS e
+        FROM wv WHERE event_type = 'purchase')
+SELECT seg.file::BIGINT AS file, seg.seg_t::BIGINT AS seg_t, s::BIGINT AS start_idx, e::BIGINT AS end_idx,
+       count(*)::BIGINT AS n_samples, round(sum(wv.value), 4) AS value_sum
+FROM seg JOIN wv ON wv.file = seg.file AND wv.t >= seg.s AND wv.t < seg.e
+GROUP BY seg.file, seg.seg_t, s, e
+""")
+def segment_slice(spark, sf_dir):
+    """R4 + J2: cut ``[int(start*1000), int(end*1000))`` out of each user's
+    waveform for segments around every purchase event (binned range join)."""
+    smp = FX.wave_samples(spark, sf_dir)
+    seg = (smp.filter(F.col("event_type") == "purchase")
+           .select("file", F.col("t").alias("seg_t"),
+                   ((F.col("t").cast("double") - 2.6) / 1000.0).alias("start"),
+                   ((F.col("t").cast("double") + 5.7) / 1000.0).alias("end")))
+    j = SEG.slice_waveform(smp.select("file", "t", "value"), seg, "file", "t", sr=FX.SLICE_SR)
+    return j.groupBy("file", "seg_t", "_s", "_e").agg(
+        _long(F.count("*")).alias("n_samples"), _round(F.sum("value"), 4).alias("value_sum")).select(
+        _long("file").alias("file"), _long("seg_t").alias("seg_t"), _long("_s").alias("start_idx"),
+        _long("_e").alias("end_idx"), "n_samples", "value_sum")
+
+
+# --------------------------------------------------------------------------
+# Waveforms
+# --------------------------------------------------------------------------
+@register("resample_linear", f"""
+WITH {WAVE_SQL},
+n AS (SELECT file, count(*) AS n FROM wv GROUP BY file),
+o AS (SELECT file, n, unnest(range(0, floor(n::DOUBLE * (24000.0::DOUBLE / 16000.0::DOUBLE))::BIGINT)) AS t FROM n),
+x AS (SELECT file, n, t, greatest((t::DOUBLE + 0.5::DOUBLE) / (24000.0::DOUBLE / 16000.0::DOUBLE) - 0.5::DOUBLE, 0.0::DOUBLE) AS x FROM o),
+y AS (SELECT file, t, x, floor(x)::BIGINT AS x0, least(floor(x)::BIGINT + 1, n - 1) AS x1 FROM x)
+SELECT y.file::BIGINT AS file, y.t::BIGINT AS t,
+       round(a.value * (1 - (y.x - y.x0)) + b.value * (y.x - y.x0), 6) AS value
+FROM y JOIN wv a ON a.file = y.file AND a.t = y.x0 JOIN wv b ON b.file = y.file AND b.t = y.x1
+""")
+def resample_linear(spark, sf_dir):
+    """R2 long form: each user's event values as a 16 kHz waveform, resampled to 24 kHz."""
+    smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
+    rates = smp.select("file").distinct().withColumn("sr", F.lit(FX.WAVE_SR))
+    r = WV.resample_linear_long(smp, rates, V.TARGET_SR)
+    return r.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
+
+
+@register("mono_mix", f"""
+WITH {WAVE_SQL},
+ch AS (SELECT file, t, value AS v0, coalesce(lead(value) OVER (PARTITION BY file ORDER BY t), value) AS v1 FROM wv)
+SELECT file::BIGINT AS file, t::BIGINT AS t, round((v0 + v1) / 2, 6) AS value FROM ch
+""")
+def mono_mix(spark, sf_dir):
+    """R1 long form: two channels (the value and the next value) mixed to mono."""
+    smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
+    w = F.lead("value").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("file").orderBy("t"))
+    ch1 = smp.withColumn("value", F.coalesce(w, F.col("value"))).withColumn("channel", F.lit(1))
+    both = smp.withColumn("channel", F.lit(0)).unionByName(ch1)
+    m = WV.mono_mix_long(both, "file", "t", "value")
+    return m.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Ingest, URLs, pairing, run log, unions
+# --------------------------------------------------------------------------
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register("video_id", f"""
+WITH u AS (SELECT page_id, CASE page_id % 5
+    WHEN 0 THEN 'https://youtu.be/v' || page_id::VARCHAR || '?t=1'
+    WHEN 1 THEN 'https://www.youtube.com/watch?v=v' || page_id::VARCHAR || '&feature=share'
+    WHEN 2 THEN 'https://youtube.com/shorts/v' || page_id::VARCHAR
+    WHEN 3 THEN 'https://m.youtube.com/watch?app=desktop&v=v' || page_id::VARCHAR
+    ELSE url END AS url FROM pages),
+x AS (SELECT page_id, url, nullif(regexp_extract(url, {_sql_str(V.VIDEO_ID_PATTERN)}, 1), '') AS video_id FROM u)
+SELECT page_id::BIGINT AS page_id, url, video_id, 'downloads/' || video_id || '.mp3' AS out_path,
+       video_id IS NOT NULL AS ok FROM x
+""")
+def video_id(spark, sf_dir):
+    """P1 + P2: video id of every URL (NULL = quarantine) and its output path."""
+    u = FX.video_urls(spark, sf_dir)
+    x = u.select("page_id", "url", TX.video_id("url").alias("video_id"))
+    return x.select(_long("page_id").alias("page_id"), "url", "video_id",
+                    TX.output_path("downloads", "video_id").alias("out_path"), F.col("video_id").isNotNull().alias("ok"))
+
+
+@register("lift_field", """
+SELECT doc_id::BIGINT AS doc_id, text, 16000::BIGINT AS sampling_rate FROM documents WHERE source <> 'src3'
+""")
+def lift_field(spark, sf_dir):
+    """S1 + P6 + P4 + P3: rows shaped ``{json: {text}, mp3: {array, sampling_rate}}``
+    (``mp3`` missing for one source); keep rows with audio, lift ``json.text``,
+    keep only the produced columns."""
+    d = FX.table(spark, sf_dir, "documents")
+    mp3 = F.when(F.col("source") == "src3", F.lit(None)).otherwise(
+        F.struct(F.array(F.col("n_chars").cast("float")).alias("array"), F.lit(16000).alias("sampling_rate")))
+    shaped = d.select("doc_id", F.struct(F.col("text").alias("text")).alias("json"), mp3.alias("mp3"))
+    return shaped.filter(F.col("mp3.array").isNotNull()).select(
+        _long("doc_id").alias("doc_id"), F.col("json.text").alias("text"), _long("mp3.sampling_rate").alias("sampling_rate"))
+
+
+@register("nonempty_text", f"""
+WITH s AS (SELECT doc_id, regexp_replace(text, {_sql_str('^' + V.PY_WHITESPACE_CLASS + '+|' + V.PY_WHITESPACE_CLASS + '+$')}, '', 'g') AS text
+           FROM documents)
+SELECT doc_id::BIGINT AS doc_id, text, length(text)::BIGINT AS n_chars FROM s WHERE length(text) > 0
+""")
+def nonempty_text(spark, sf_dir):
+    """S5 text handling + P5: strip like ``str.strip()``, drop empty transcripts."""
+    d = FX.table(spark, sf_dir, "documents")
+    s = d.select("doc_id", TX.py_strip("text").alias("text"))
+    return s.filter(F.length("text") > 0).select(_long("doc_id").alias("doc_id"), "text",
+                                                 _long(F.length("text")).alias("n_chars"))
+
+
+@register("pairing", """
+SELECT d.doc_id::BIGINT AS doc_id, l.quality::BIGINT AS quality, l.toxic::BIGINT AS toxic, d.n_chars::BIGINT AS n_chars
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""")
+def pairing(spark, sf_dir):
+    """Audio (documents) and transcripts (labels) paired by stem."""
+    d = FX.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stem"), "n_chars")
+    lab = FX.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("stem"), "quality", "toxic")
+    pairs, _, _ = ingest.pair_by_stem(d, lab, "stem")
+    return pairs.select(_long("stem").alias("doc_id"), _long("quality").alias("quality"), _long("toxic").alias("toxic"),
+                        _long("n_chars").alias("n_chars"))
+
+
+@register("skip_done", """
+SELECT d.doc_id::BIGINT AS doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+""")
+def skip_done(spark, sf_dir):
+    """Work left after removing stems whose output exists (labels = done)."""
+    d = FX.table(spark, sf_dir, "documents").select("doc_id")
+    done = FX.table(spark, sf_dir, "labels").select("doc_id")
+    return ingest.skip_done(d, done, "doc_id").select(_long("doc_id").alias("doc_id"))
+
+
+@register("shard_paths", f"""
+SELECT DISTINCT (doc_id // 100 - 1)::BIGINT AS shard, printf({_sql_str(V.SHARD_PATH_FORMAT)}, greatest(doc_id // 100 - 1, 0)) AS path
+FROM documents
+""")
+def shard_paths(spark, sf_dir):
+    """S3: shard index -> file name (indexes below 1 map to shard 0)."""
+    from voxloom.sources.readers import shard_manifest
+    d = FX.table(spark, sf_dir, "documents").select(F.expr("doc_id div 100 - 1").alias("shard")).distinct()
+    return shard_manifest(d, "shard").select(_long("shard").alias("shard"), "path")
+
+
+@register("status_counts", """
+SELECT event_type AS status, count(*)::BIGINT AS n, arg_min(props, event_id) AS first_props FROM events GROUP BY event_type
+""")
+def status_counts(spark, sf_dir):
+    """Run-log counts per status with the first message of each."""
+    e = FX.table(spark, sf_dir, "events").select(F.col("event_type").alias("status"), "props", F.col("event_id").alias("shard"))
+    return ingest.status_counts(e, "status", "props").select(
+        "status", _long("n").alias("n"), F.col("first_error").alias("first_props"))
+
+
+@register("quarantine", f"""
+WITH {DOC_CTE},
+q AS (SELECT doc_id, CASE WHEN len(codes) < 7 THEN 'no full audio frame'
+                          WHEN length(regexp_replace(text, {_sql_str('^' + V.PY_WHITESPACE_CLASS + '+|' + V.PY_WHITESPACE_CLASS + '+$')}, '', 'g')) = 0 THEN 'empty transcript'
+                          END AS error FROM dc)
+SELECT doc_id::BIGINT AS doc_id, coalesce(error, 'ok') AS status FROM q
+""")
+def quarantine(spark, sf_dir):
+    """Bad rows split off with an error text instead of failing the job."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    err = (F.when(F.size("codes_list") < 7, F.lit("no full audio frame"))
+           .when(F.length(TX.py_strip("text")) == 0, F.lit("empty transcript")))
+    good, bad = ingest.split_quarantine(b.select("doc_id", "text", "codes_list"), err)
+    return (good.select(_long("doc_id").alias("doc_id"), F.lit("ok").alias("status"))
+            .unionByName(bad.select(_long("doc_id").alias("doc_id"), F.col("error").alias("status"))))
+
+
+@register("union_batches", f"""
+WITH {DOC_CTE},
+r AS (SELECT doc_id, len(text_ids) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM dc)
+SELECT doc_id::BIGINT AS doc_id, (CASE WHEN idx < total // 2 THEN 0 ELSE 1 END)::BIGINT AS half,
+       (idx // 1000)::BIGINT AS batch, n::BIGINT AS n_tokens FROM r
+""")
+def union_batches(spark, sf_dir):
+    """O4 + U1: the table cut in two halves processed apart, then concatenated."""
+    d = FX.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    n = d.count()
+    idx = sampling.with_global_index(d, ["doc_id"], "idx", n_rows=n, key="doc_id")
+    halves = [idx.filter(F.col("idx") < n // 2).withColumn("half", F.lit(0)),
+              idx.filter(F.col("idx") >= n // 2).withColumn("half", F.lit(1))]
+    done = [h.select("doc_id", "half", "idx", F.size(A.byte_tokens("text")).alias("n_tokens")) for h in halves]
+    u = sampling.row_batches(done[0].unionByName(done[1]), "idx", V.BATCH_ROWS)
+    return u.select(_long("doc_id").alias("doc_id"), _long("half").alias("half"), _long("batch").alias("batch"),
+                    _long("n_tokens").alias("n_tokens"))
