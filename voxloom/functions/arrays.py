@@ -57,9 +57,12 @@ def byte_tokens(text, bos: bool = True) -> Column:
 def frames_from_bytes(byte_arr, offset: int = V.AUDIO_OFFSET, slot0_div: int = 32) -> Column:
     """Stand-in flat code list: bytes cut in 7-slot frames, slot 0 ``div`` ``slot0_div``
     (so neighbouring frames repeat), each slot offset into its own codebook."""
+    shift = slot0_div.bit_length() - 1
+    if slot0_div <= 0 or (1 << shift) != slot0_div:
+        raise ValueError("slot0_div must be a power of two")
     return F.transform(
         _c(byte_arr),
-        lambda x, i: F.when(i % 7 == 0, F.floor(x / slot0_div).cast("int")).otherwise(x)
+        lambda x, i: F.when(i % 7 == 0, F.shiftright(x, shift)).otherwise(x)
         + F.lit(offset) + (i % 7) * V.CODEBOOK_SIZE,
     )
 
@@ -104,7 +107,7 @@ def dedupe_frames(codes) -> Column:
     """
     def body(v):
         def keep(x, i):
-            start = F.floor(i / 7).cast("int") * 7
+            start = i - i % 7
             return ~F.coalesce(F.get(v, start) == F.get(v, start + 7), F.lit(False))
         return F.filter(v, keep)
 

@@ -14,10 +14,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Every character Python's str.isspace() accepts, derived by rule (29 code points).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def py_strip(text) -> Column:
-    """Remove leading and trailing whitespace the way ``str.strip()`` does."""
-    ws = V.PY_WHITESPACE_CLASS
-    return F.regexp_replace(_c(text), f"^{ws}+|{ws}+$", "")
+    """Remove leading and trailing whitespace the way ``str.strip()`` does
+    (``trim`` with the full whitespace set; only the ends are scanned)."""
+    return F.btrim(_c(text), F.lit(PY_WHITESPACE))
 
 
 def transcript_from_words(words) -> Column:

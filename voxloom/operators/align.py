@@ -36,20 +36,22 @@ def align_placeholders(df: DataFrame, keys, ids_col: str = "input_ids", emb_col:
     Rows failing P12 are dropped here; use ``placeholders_match`` to report them.
     """
     ids = normalise_placeholder(ids_col) if normalise else F.col(ids_col)
-    base = df.select(*keys, ids.alias("_ids"), F.col(emb_col).alias("_emb"))
-    base = base.filter(placeholders_match("_ids", "_emb", dim))
-    return (base.select(*keys, "_emb", F.posexplode(placeholder_positions("_ids")).alias("k", "pos"))
+    base = df.select(*keys, placeholder_positions(ids).alias("_pos"), F.col(emb_col).alias("_emb"))
+    # no Filter node: a pushed-down filter would recompute the positions
+    ok = F.size("_pos") * dim == F.size("_emb")
+    return (base.select(*keys, "_emb", F.posexplode(F.when(ok, F.col("_pos"))).alias("k", "pos"))
             .select(*keys, "k", "pos", F.slice("_emb", F.col("k") * dim + 1, dim).alias("vector")))
 
 
 def placeholder_ordinals_long(df: DataFrame, keys, ids_col: str = "input_ids") -> DataFrame:
-    """W2 in long form: ``cumsum(mask) - 1`` at every placeholder position, via a
-    window over the row's tokens (one packed row per window partition)."""
-    tok = df.select(*keys, F.posexplode(normalise_placeholder(ids_col)).alias("pos", "tok"))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mask = (F.col("tok") == V.PLACEHOLDER).cast("int")
-    return (tok.withColumn("k", F.sum(mask).over(w) - 1)
-            .filter(F.col("tok") == V.PLACEHOLDER).select(*keys, "k", "pos"))
+    """W2 in long form: ``cumsum(mask) - 1`` at every placeholder position.
+
+    At a placeholder, the running count of placeholders equals its rank among
+    the placeholders, so only placeholder rows enter the window (one packed row
+    per window partition)."""
+    tok = df.select(*keys, F.explode(placeholder_positions(normalise_placeholder(ids_col))).alias("pos"))
+    w = Window.partitionBy(*keys).orderBy("pos")
+    return tok.withColumn("k", F.row_number().over(w) - 1).select(*keys, "k", "pos")
 
 
 def fill_placeholders(slots: DataFrame, projected: DataFrame, keys) -> DataFrame:

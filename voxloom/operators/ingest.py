@@ -7,13 +7,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def tag_errors(df: DataFrame, error: Column, error_col: str = "error") -> DataFrame:
+    """Attach the row's error text (NULL = good row); nothing is dropped."""
+    return df.withColumn(error_col, error)
+
+
 def split_quarantine(df: DataFrame, error: Column, error_col: str = "error") -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``error`` expression is NULL are good, the rest go to a
-    quarantine table with the error text; one pass each, nothing is dropped."""
-    tagged = df.withColumn(error_col, error)
+    """P7 as two frames (good rows, quarantined rows with their error).
+
+    Each frame re-reads its input; to produce both in one pass, write the
+    tagged frame with ``write_with_quarantine``."""
+    tagged = tag_errors(df, error, error_col)
     return tagged.filter(F.col(error_col).isNull()).drop(error_col), tagged.filter(F.col(error_col).isNotNull())
 
 
+def write_with_quarantine(df: DataFrame, error: Column, path: str, error_col: str = "error",
+                          mode: str = "overwrite") -> None:
+    """P7 sink: one pass writes good rows under ``quarantined=false`` and bad rows
+    (with their error) under ``quarantined=true``."""
+    tagged = tag_errors(df, error, error_col).withColumn("quarantined", F.col(error_col).isNotNull())
+    tagged.write.mode(mode).partitionBy("quarantined").parquet(path)
+
+
 def skip_done(todo: DataFrame, done: DataFrame, key: str = "stem") -> DataFrame:
     """Keep only work whose output does not exist yet (anti join on the key)."""
     return todo.join(done.select(key).distinct(), key, "left_anti")

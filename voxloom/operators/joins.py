@@ -29,10 +29,11 @@ def estimated_row_bytes(schema: T.StructType, array_len: int = 256, string_len:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_BROADCAST_BYTES,
-               array_len: int = 256) -> DataFrame:
+               array_len: int = 256, small_rows: int | None = None) -> DataFrame:
     """Join, broadcasting ``small`` only when ``rows * estimated width <= max_bytes``;
-    beyond that the planner's shuffle join (with AQE skew handling) is used."""
-    n = small.count()
+    beyond that the planner's shuffle join (with AQE skew handling) is used.
+    ``small_rows`` skips the count when the caller already knows it."""
+    n = small.count() if small_rows is None else small_rows
     if n * estimated_row_bytes(small.schema, array_len) <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

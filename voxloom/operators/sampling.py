@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
+from voxloom.operators.joins import join_small
 
 ROWS_PER_BUCKET = 2_000_000
 
@@ -47,8 +48,9 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
     order_cols = list(order_cols)
     if key is not None:
         narrow_cols = list(dict.fromkeys([key] + [c for c in order_cols if c in df.columns]))
-        narrow = with_global_index(df.select(*narrow_cols), order_cols, idx_col, lead, rows_per_bucket, n_rows)
-        return df.join(narrow.select(key, idx_col), key)
+        n = df.count() if n_rows is None else n_rows
+        narrow = with_global_index(df.select(*narrow_cols), order_cols, idx_col, lead, rows_per_bucket, n)
+        return join_small(df, narrow.select(key, idx_col), key, small_rows=n)
     n = df.count() if n_rows is None else n_rows
     buckets = max(1, math.ceil(n / rows_per_bucket))
     if buckets == 1:
@@ -79,9 +81,11 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col:
                    n_rows: int | None = None) -> DataFrame:
     """O1: deterministic permutation; ``idx`` is the row's position after it.
     The ranking runs on the key alone; the result is joined back by key."""
+    n = df.count() if n_rows is None else n_rows
     narrow = df.select(key).withColumn("_o1", seeded_key([key], seed))
-    ranked = with_global_index(narrow, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")), n_rows=n_rows)
-    return df.join(ranked.select(key, idx_col), key)
+    ranked = with_global_index(narrow, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")), n_rows=n)
+    # the (key, idx) table is broadcast only while its size is small; else a shuffle join
+    return join_small(df, ranked.select(key, idx_col), key, small_rows=n)
 
 
 def head_fraction(df: DataFrame, key: str, fraction_div: int = 5, idx_col: str = "idx") -> DataFrame:

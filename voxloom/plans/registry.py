@@ -99,8 +99,8 @@ PLAIN_SQL = "[128259] || text_ids || [128009, 128260, 128261, 128257] || codes |
 # --------------------------------------------------------------------------
 def speaker_prompt_stats_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = FX.bulk_rows(spark, sf_dir, with_embedding=False)
-    ids = A.assemble_speaker("text_ids", A.dedupe_frames("codes_list"))
-    per_row = rows.select("lang", F.size(ids).alias("n_ids"), A.count_value(ids, V.PLACEHOLDER).alias("n_ph"))
+    ids = rows.select("lang", A.assemble_speaker("text_ids", A.dedupe_frames("codes_list")).alias("ids"))
+    per_row = ids.select("lang", F.size("ids").alias("n_ids"), A.count_value("ids", V.PLACEHOLDER).alias("n_ph"))
     return per_row.groupBy("lang").agg(
         F.count("*").cast("long").alias("n_rows"),
         F.sum("n_ids").cast("long").alias("total_tokens"),
@@ -564,12 +564,12 @@ FROM pk
 """)
 def mask_labels(spark, sf_dir):
     """P13 normalise, Q10 masked labels and the P12 count check per packed row."""
-    p = packed(spark, sf_dir)
-    ids = A.normalise_placeholder("input_ids")
+    p = packed(spark, sf_dir).select("shard", "bin", A.normalise_placeholder("input_ids").alias("ids"),
+                                     "speaker_embeddings")
     return p.select(_long("shard").alias("shard"), _long("bin").alias("bin"),
-                    A.checksum(A.mask_labels(ids)).alias("labels_ck"), A.checksum(ids).alias("ids_ck"),
-                    _long(A.count_value(ids, V.PLACEHOLDER)).alias("n_masked"),
-                    align.placeholders_match(ids, "speaker_embeddings", EMB_DIM).alias("counts_match"))
+                    A.checksum(A.mask_labels("ids")).alias("labels_ck"), A.checksum("ids").alias("ids_ck"),
+                    _long(A.count_value("ids", V.PLACEHOLDER)).alias("n_masked"),
+                    align.placeholders_match("ids", "speaker_embeddings", EMB_DIM).alias("counts_match"))
 
 
 PROJ_OUT = 8
@@ -860,9 +860,8 @@ def quarantine(spark, sf_dir):
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
     err = (F.when(F.size("codes_list") < 7, F.lit("no full audio frame"))
            .when(F.length(TX.py_strip("text")) == 0, F.lit("empty transcript")))
-    good, bad = ingest.split_quarantine(b.select("doc_id", "text", "codes_list"), err)
-    return (good.select(_long("doc_id").alias("doc_id"), F.lit("ok").alias("status"))
-            .unionByName(bad.select(_long("doc_id").alias("doc_id"), F.col("error").alias("status"))))
+    tagged = ingest.tag_errors(b.select("doc_id", "text", "codes_list"), err)
+    return tagged.select(_long("doc_id").alias("doc_id"), F.coalesce("error", F.lit("ok")).alias("status"))
 
 
 @register("union_batches", f"""
