@@ -70,11 +70,13 @@ def scan_manifest(spark: SparkSession, root: str, suffix: str = ".txt", skip_pre
     return df.filter(F.col("_name").endswith(suffix)).select(stem.alias("stem"), "path")
 
 
-def read_transcripts(spark: SparkSession, root: str, suffix: str = ".txt") -> DataFrame:
+def read_transcripts(spark: SparkSession, root: str, suffix: str = ".txt", skip_prefix: str | None = "-") -> DataFrame:
     """One row per transcript file ``(stem, text)``, whole file, stripped the
-    way ``str.strip()`` does."""
+    way ``str.strip()`` does; names starting with ``skip_prefix`` are left out."""
     df = (spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}").text(root)
           .select(F.col("_metadata.file_name").alias("_name"), "value"))
+    if skip_prefix:
+        df = df.filter(~F.col("_name").startswith(skip_prefix))
     stem = F.expr(f"substring(_name, 1, length(_name) - {len(suffix)})")
     return df.select(stem.alias("stem"), py_strip("value").alias("text"))
 
