@@ -84,3 +84,13 @@ def test_mono_mix_array_and_long(spark):
                                  "file string, channel int, t long, value double")
     got = sorted((r["t"], r["value"]) for r in WV.mono_mix_long(long).collect())
     assert got == [(0, 5.0), (1, 6.0), (2, 7.0)]
+
+
+def test_resample_long_form_chunked_positions(spark, monkeypatch):
+    monkeypatch.setattr(WV, "OUTPUT_CHUNK", 7)
+    v = [float((i * 37) % 11) for i in range(45)]
+    long = spark.createDataFrame([("w", t, x) for t, x in enumerate(v)], "file string, t long, value double")
+    rates = spark.createDataFrame([("w", 16000)], "file string, sr int")
+    got = WV.resample_linear_long(long, rates).orderBy("t").collect()
+    assert [r["t"] for r in got] == list(range(67))
+    assert np.allclose([r["value"] for r in got], O.resample_linear(v, 16000), atol=1e-12)

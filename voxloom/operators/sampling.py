@@ -36,39 +36,49 @@ def _hash_lead(hex_col: Column) -> Column:
 
 def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Column | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
-                      key: str | None = None) -> DataFrame:
+                      key: str | None = None, uniform_range: tuple[float, float] | None = None,
+                      min_buckets: int | None = None) -> DataFrame:
     """Add a 0-based position of every row in the total order ``order_cols``.
 
     ``order_cols`` must be unique per row.  ``lead`` is a numeric expression
-    monotone with the first order column (defaults to that column).  With
-    ``key`` (a unique column) the index is computed on the narrow
+    monotone with the first order column (defaults to that column).  Rows are
+    cut into ``max(min_buckets, n / rows_per_bucket)`` buckets of ``lead``:
+    arithmetically when ``lead`` is uniform on ``uniform_range`` (hash orders),
+    else at approximate quantiles.  Bucket sizes (one number per bucket) give
+    the offsets; a window partitioned by bucket numbers the rows inside it.
+
+    With ``key`` (a unique column) the index is computed on the narrow
     ``(key, order_cols)`` projection and joined back, so wide rows never pass
     through the ranking sort.
     """
     order_cols = list(order_cols)
+    n = df.count() if n_rows is None else n_rows
     if key is not None:
         narrow_cols = list(dict.fromkeys([key] + [c for c in order_cols if c in df.columns]))
-        n = df.count() if n_rows is None else n_rows
-        narrow = with_global_index(df.select(*narrow_cols), order_cols, idx_col, lead, rows_per_bucket, n)
+        narrow = with_global_index(df.select(*narrow_cols), order_cols, idx_col, lead, rows_per_bucket, n,
+                                   uniform_range=uniform_range, min_buckets=min_buckets)
         return join_small(df, narrow.select(key, idx_col), key, small_rows=n)
-    n = df.count() if n_rows is None else n_rows
-    buckets = max(1, math.ceil(n / rows_per_bucket))
-    if buckets == 1:
-        # the whole table fits one bounded ranking task
-        w = Window.orderBy(*order_cols)
-        return df.withColumn(idx_col, (F.row_number().over(w) - 1).cast("long"))
+    spark = df.sparkSession
+    if min_buckets is None:
+        min_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min_buckets, math.ceil(n / rows_per_bucket))
     lead_col = (lead if lead is not None else F.col(order_cols[0])).cast("double")
     work = df.withColumn("_lead", lead_col)
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets))
-    splits = [-math.inf] + sorted(set(q for q in qs if q is not None)) + [math.inf]
-    work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
-    spark = df.sparkSession
-    counts = sorted(work.groupBy("_b").count().collect())       # at most `buckets` rows
+    if uniform_range is not None:
+        lo, hi = uniform_range
+        work = work.withColumn("_b", F.least(F.floor((F.col("_lead") - lo) * (buckets / (hi - lo))),
+                                             F.lit(buckets - 1)).cast("double"))
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets)) if probs else []
+        splits = [-math.inf] + sorted(set(q for q in qs if q is not None)) + [math.inf]
+        work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
+    # one count per bucket: a table of at most `buckets` rows
+    counts = sorted((float(r["_b"]), int(r["count"])) for r in work.groupBy("_b").count().collect())
     offsets, acc = [], 0
-    for r in counts:
-        offsets.append((float(r["_b"]), acc))
-        acc += int(r["count"])
+    for b, c in counts:
+        offsets.append((b, acc))
+        acc += c
     off_df = spark.createDataFrame(offsets, T.StructType([
         T.StructField("_b", T.DoubleType()), T.StructField("_off", T.LongType())]))
     w = Window.partitionBy("_b").orderBy(*order_cols)
@@ -80,10 +90,12 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
 def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col: str = "idx",
                    n_rows: int | None = None) -> DataFrame:
     """O1: deterministic permutation; ``idx`` is the row's position after it.
-    The ranking runs on the key alone; the result is joined back by key."""
+    The ranking runs on the key alone (hash-bucketed, no sampling pass); the
+    result is joined back by key."""
     n = df.count() if n_rows is None else n_rows
     narrow = df.select(key).withColumn("_o1", seeded_key([key], seed))
-    ranked = with_global_index(narrow, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")), n_rows=n)
+    ranked = with_global_index(narrow, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")), n_rows=n,
+                               uniform_range=(0.0, float(16 ** 15)))
     # the (key, idx) table is broadcast only while its size is small; else a shuffle join
     return join_small(df, ranked.select(key, idx_col), key, small_rows=n)
 

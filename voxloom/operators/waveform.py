@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from voxloom import vocab as V
 from voxloom.functions.arrays import let
 
+OUTPUT_CHUNK = 65536     # output samples generated per task-sized chunk (long-form resample)
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -69,10 +71,18 @@ def resample_linear_long(samples: DataFrame, rates: DataFrame, target_sr: int =
     """
     counts = samples.groupBy(file_col).agg(F.count("*").alias("_n")).join(rates, file_col)
     s = F.lit(float(target_sr)) / F.col("sr").cast("double")
-    out = (counts.withColumn("_s", s)
-           .withColumn("_nout", F.when(F.col("sr") == target_sr, F.col("_n")).otherwise(F.floor(F.col("_n") * F.col("_s"))))
-           .filter(F.col("_nout") > 0)
-           .withColumn(t_col, F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_nout") - 1).cast("long"))))
+    chunk = OUTPUT_CHUNK
+    per_file = (counts.withColumn("_s", s)
+                .withColumn("_nout", F.when(F.col("sr") == target_sr, F.col("_n")).otherwise(F.floor(F.col("_n") * F.col("_s"))))
+                .filter(F.col("_nout") > 0))
+    # output positions are generated in chunks spread over tasks, so a very
+    # long file does not produce all of its positions in one task
+    chunks = (per_file.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                             F.expr(f"(_nout - 1) div {chunk}").cast("long"))))
+              .repartition(file_col, "_c"))
+    out = (chunks
+           .withColumn(t_col, F.explode(F.sequence(F.col("_c") * chunk,
+                                                   F.least(F.col("_c") * chunk + chunk, F.col("_nout")).cast("long") - 1)))
            .withColumn("_x", F.when(F.col("sr") == target_sr, F.col(t_col).cast("double")).otherwise(
                F.greatest((F.col(t_col) + 0.5) / F.col("_s") - 0.5, F.lit(0.0))))
            .withColumn("_x0", F.floor("_x").cast("long"))
