@@ -91,3 +91,15 @@ def test_incremental_ingest_processes_each_shard_once(spark, scratch):
     assert out.count() == 15 and out.select("text").distinct().count() == 15
     ingest_new_shards(spark, src + "/*", schema, sink, ckpt, transform)   # nothing new: no repeats
     assert spark.read.parquet(sink).count() == 15
+
+
+def test_table_transcript_and_packed_sinks(spark, scratch):
+    from voxloom.operators.packing import write_packed
+    t = spark.createDataFrame([("a", "x"), ("b", "y")], "stem string, text string")
+    S.write_table(t, os.path.join(scratch, "tbl"))
+    S.write_transcripts(t, os.path.join(scratch, "tx"))
+    assert spark.read.parquet(os.path.join(scratch, "tx")).columns == ["stem", "text"]
+    assert spark.read.parquet(os.path.join(scratch, "tbl")).count() == 2
+    packed = spark.createDataFrame([(0, 0, [1, 2]), (1, 0, [3])], "outer_shard int, bin int, input_ids array<int>")
+    write_packed(packed, os.path.join(scratch, "packed"))
+    assert {"outer_shard=0", "outer_shard=1"} <= set(os.listdir(os.path.join(scratch, "packed")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from voxloom import vocab as V
 from voxloom.functions import arrays as A
 from voxloom.functions import text as TX
-from voxloom.operators import align, ingest, packing, sampling, segments as SEG, waveform as WV
+from voxloom.operators import align, ingest, packing, prompts as PR, sampling, segments as SEG, waveform as WV
 from voxloom.operators.inference import encode_text, project_embeddings
 from voxloom.plans import fixtures as FX
 
@@ -229,8 +229,8 @@ SELECT doc_id, n_full::BIGINT AS n_full, len(ids)::BIGINT AS n_ids, {ck('ids')}
 def prompt_plain(spark, sf_dir):
     """Plain training rows: Q4 -> Q7 (2048) -> Q8 mask -> Q9 labels."""
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
-    full = b.select("doc_id", A.assemble_plain("text_ids", "codes_list").alias("full"))
-    rows = full.select("doc_id", F.size("full").alias("n_full"), A.truncate("full", V.MAX_LEN_PLAIN).alias("input_ids"))
+    full = PR.plain_rows(b, ["doc_id"], max_len=None).select("doc_id", F.size("input_ids").alias("n_full"), "input_ids")
+    rows = full.select("doc_id", "n_full", A.truncate("input_ids", V.MAX_LEN_PLAIN).alias("input_ids"))
     rows = rows.select("doc_id", "n_full", "input_ids", A.attention_mask("input_ids").alias("attention_mask"),
                        F.col("input_ids").alias("labels"))
     return rows.select("doc_id", _long("n_full").alias("n_full"), _long(F.size("input_ids")).alias("n_ids"),
@@ -250,7 +250,7 @@ SELECT doc_id, len(ids)::BIGINT AS n_ids, {ck('ids')} AS ids_ck,
 def prompt_speaker(spark, sf_dir):
     """Speaker rows: Q3 -> Q5 -> P11 check -> Q10 masked labels."""
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
-    rows = b.select("doc_id", A.assemble_speaker("text_ids", A.dedupe_frames("codes_list")).alias("ids"))
+    rows = PR.speaker_rows(b, ["doc_id"]).withColumnRenamed("input_ids", "ids")
     return rows.select("doc_id", _long(F.size("ids")).alias("n_ids"), A.checksum("ids").alias("ids_ck"),
                        _long(A.count_value("ids", V.PLACEHOLDER)).alias("n_placeholders"),
                        (F.array_position("ids", V.PLACEHOLDER) - 1).cast("long").alias("placeholder_pos"),
@@ -267,11 +267,7 @@ def truncate_stats(spark, sf_dir):
     """A4: rows truncated and tokens removed at the 2048 limit, per language."""
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
     n = b.select("lang", F.size(A.assemble_plain("text_ids", "codes_list")).alias("n"))
-    lim = V.MAX_LEN_PLAIN
-    return n.groupBy("lang").agg(
-        _long(F.count("*")).alias("n_rows"), _long(F.count_if(F.col("n") > lim)).alias("n_truncated"),
-        _long(F.sum(F.greatest(F.col("n") - lim, F.lit(0)))).alias("tokens_removed"),
-        _long(F.max("n")).alias("max_len"))
+    return PR.truncation_stats(n, "n", V.MAX_LEN_PLAIN, ["lang"])
 
 
 @register("collate_rows", f"""
@@ -284,10 +280,7 @@ def collate_rows(spark, sf_dir):
     """Q12: the collator's projection (truncate ids and mask to 4096, labels = ids)
     over the plain training rows; ragged rows stay ragged (D12)."""
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
-    ids = A.truncate(A.assemble_plain("text_ids", "codes_list"), V.MAX_LEN_PLAIN)
-    rows = b.select("doc_id", ids.alias("ids")).select("doc_id", "ids", A.attention_mask("ids").alias("mask"))
-    c = rows.select("doc_id", A.truncate("ids", V.MAX_LEN_COLLATE).alias("input_ids"),
-                    A.truncate("mask", V.MAX_LEN_COLLATE).alias("attention_mask"))
+    c = PR.collate(PR.plain_rows(b, ["doc_id"], max_len=V.MAX_LEN_PLAIN), V.MAX_LEN_COLLATE)
     return c.select("doc_id", _long(F.size("input_ids")).alias("n_ids"), A.checksum("input_ids").alias("ids_ck"),
                     _long(F.size("attention_mask")).alias("mask_len"), A.checksum("input_ids").alias("labels_ck"))
 
