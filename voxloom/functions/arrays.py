@@ -20,7 +20,7 @@ __all__ = [
     "let", "lit_array", "utf8_bytes", "byte_tokens", "flatten_frames", "unflatten_frames",
     "dedupe_frames", "frame_shape_ok", "codes_in_range", "assemble_plain", "assemble_speaker",
     "generation_prompt", "truncate", "attention_mask", "mask_labels", "normalise_placeholder",
-    "audio_span", "flatten_nested", "split_flat", "count_value", "checksum", "frames_from_bytes",
+    "audio_span", "flatten_nested", "split_flat", "count_value", "checksum", "weighted_checksum", "frames_from_bytes",
 ]
 
 
@@ -103,15 +103,18 @@ def dedupe_frames(codes) -> Column:
     """Q3: drop frame i when its slot 0 equals slot 0 of frame i+1.
 
     The last frame of a run is kept; a trailing partial frame is kept; a frame
-    is compared on slot 0 only.
+    is compared on slot 0 only.  The keep/drop decision is made once per frame
+    and kept frames are copied as 7-code slices.
     """
     def body(v):
-        def keep(x, i):
-            start = i - i % 7
-            return ~F.coalesce(F.get(v, start) == F.get(v, start + 7), F.lit(False))
-        return F.filter(v, keep)
+        n_frames = F.ceil(F.size(v) / 7).cast("int")
+        frames = F.transform(
+            F.sequence(F.lit(0), n_frames - 1),
+            lambda f: F.when(F.coalesce(F.get(v, f * 7) == F.get(v, f * 7 + 7), F.lit(False)),
+                             F.array().cast("array<int>")).otherwise(F.slice(v, f * 7 + 1, 7)))
+        return F.when(F.size(v) == 0, v).otherwise(F.flatten(frames))
 
-    return let(codes, body)
+    return let(_c(codes).cast("array<int>"), body)
 
 
 def frame_shape_ok(codes) -> Column:
@@ -208,7 +211,19 @@ def count_value(ids, value: int) -> Column:
     return F.size(F.filter(_c(ids), lambda x: x == value))
 
 
+CHECKSUM_BASE = 31
+CHECKSUM_MOD = 1_000_000_007
+
+
 def checksum(arr) -> Column:
-    """Order-sensitive bigint checksum ``sum(x * (i + 1))`` of an int array."""
+    """Order-sensitive rolling checksum of an int array in one pass:
+    ``acc = (acc * 31 + x) % 1000000007`` from 0 (truncated remainder)."""
+    return F.aggregate(_c(arr), F.lit(0).cast("bigint"),
+                       lambda acc, x: (acc * CHECKSUM_BASE + x) % CHECKSUM_MOD)
+
+
+def weighted_checksum(arr) -> Column:
+    """``sum(x * (i + 1))``: a checksum that long-form (exploded) rows can also
+    compute with a plain ``sum``."""
     return F.aggregate(F.transform(_c(arr), lambda x, i: x.cast("bigint") * (i + 1)),
                        F.lit(0).cast("bigint"), lambda a, y: a + y)

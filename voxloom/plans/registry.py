@@ -81,6 +81,12 @@ DEDUPE_SQL = ("list_filter(codes, lambda x, i: NOT coalesce(codes[((i - 1) // 7)
 
 
 def ck(expr: str) -> str:
+    """Oracle side of ``functions.arrays.checksum``."""
+    return f"list_reduce({expr}, lambda acc, x: (acc * 31 + x) % 1000000007, 0::BIGINT)"
+
+
+def ck_weighted(expr: str) -> str:
+    """Oracle side of ``functions.arrays.weighted_checksum``."""
     return f"coalesce(list_sum(list_transform({expr}, lambda x, i: x::BIGINT * i)), 0)::BIGINT"
 
 
@@ -200,7 +206,7 @@ def frame_dedupe(spark, sf_dir):
 
 @register("frame_dedupe_long", f"""
 WITH {DOC_CTE}
-SELECT doc_id, len(codes)::BIGINT AS n_before, len(dedup)::BIGINT AS n_after, {ck('dedup')} AS dedup_ck FROM dd
+SELECT doc_id, len(codes)::BIGINT AS n_before, len(dedup)::BIGINT AS n_after, {ck_weighted('dedup')} AS dedup_ck FROM dd
 """)
 def frame_dedupe_long(spark, sf_dir):
     """The same dedupe in long form, frame i compared with ``lead`` frame i+1."""
