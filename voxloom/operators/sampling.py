@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from voxloom import vocab as V
 from voxloom.operators.joins import join_small
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 2_000_000      # upper bound of rows ranked by one task
+MIN_ROWS_PER_BUCKET = 10_000     # below this, more buckets only add tasks
 
 
 def seeded_key(keys, seed: int = V.SHUFFLE_SEED) -> Column:
@@ -42,7 +43,9 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
 
     ``order_cols`` must be unique per row.  ``lead`` is a numeric expression
     monotone with the first order column (defaults to that column).  Rows are
-    cut into ``max(min_buckets, n / rows_per_bucket)`` buckets of ``lead``:
+    cut into ``max(min_buckets, n / rows_per_bucket)`` buckets of ``lead``
+    (``min_buckets`` defaults to the shuffle width, capped at one bucket per
+    10,000 rows):
     arithmetically when ``lead`` is uniform on ``uniform_range`` (hash orders),
     else at approximate quantiles.  Bucket sizes (one number per bucket) give
     the offsets; a window partitioned by bucket numbers the rows inside it.
@@ -60,11 +63,14 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
         return join_small(df, narrow.select(key, idx_col), key, small_rows=n)
     spark = df.sparkSession
     if min_buckets is None:
-        min_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # spread the ranking over the shuffle width, but not into buckets of a few rows
+        min_buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / MIN_ROWS_PER_BUCKET))
     buckets = max(1, min_buckets, math.ceil(n / rows_per_bucket))
     lead_col = (lead if lead is not None else F.col(order_cols[0])).cast("double")
     work = df.withColumn("_lead", lead_col)
-    if uniform_range is not None:
+    if buckets == 1:
+        work = work.withColumn("_b", F.lit(0.0))
+    elif uniform_range is not None:
         lo, hi = uniform_range
         work = work.withColumn("_b", F.least(F.floor((F.col("_lead") - lo) * (buckets / (hi - lo))),
                                              F.lit(buckets - 1)).cast("double"))
@@ -100,10 +106,11 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col:
     return join_small(df, ranked.select(key, idx_col), key, small_rows=n)
 
 
-def head_fraction(df: DataFrame, key: str, fraction_div: int = 5, idx_col: str = "idx") -> DataFrame:
-    """O2: the first ``n div fraction_div`` rows in ``key`` order."""
-    n = df.count()
-    return with_global_index(df, [key], idx_col, n_rows=n).filter(F.col(idx_col) < n // fraction_div)
+def head_fraction(df: DataFrame, key: str, fraction_div: int = 5, idx_col: str = "idx",
+                  n_rows: int | None = None) -> DataFrame:
+    """O2: the first ``n div fraction_div`` rows in ``key`` order (``key`` unique)."""
+    n = df.count() if n_rows is None else n_rows
+    return with_global_index(df, [key], idx_col, n_rows=n, key=key).filter(F.col(idx_col) < n // fraction_div)
 
 
 def head_n(df: DataFrame, order_cols, n: int = V.HEAD_SAMPLE) -> DataFrame:

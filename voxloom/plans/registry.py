@@ -374,8 +374,9 @@ FROM r WHERE rn < n // 5
 def head_fraction(spark, sf_dir):
     """O2 then O1: the first fifth in table order, then the seeded shuffle."""
     d = FX.table(spark, sf_dir, "documents").select("doc_id")
-    head = sampling.head_fraction(d, "doc_id", 5, idx_col="rn").select("doc_id")
-    return sampling.seeded_shuffle(head, "doc_id").select("doc_id", _long("idx").alias("idx"))
+    n = d.count()
+    head = sampling.head_fraction(d, "doc_id", 5, idx_col="rn", n_rows=n).select("doc_id")
+    return sampling.seeded_shuffle(head, "doc_id", n_rows=n // 5).select("doc_id", _long("idx").alias("idx"))
 
 
 @register("row_batches", """
