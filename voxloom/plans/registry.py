@@ -881,3 +881,19 @@ def union_batches(spark, sf_dir):
     u = sampling.row_batches(done[0].unionByName(done[1]), "idx", V.BATCH_ROWS)
     return u.select(_long("doc_id").alias("doc_id"), _long("half").alias("half"), _long("batch").alias("batch"),
                     _long("n_tokens").alias("n_tokens"))
+
+
+@register("embedding_split", """
+WITH e AS (SELECT vec_id, embedding AS flat FROM embeddings),
+k AS (SELECT vec_id, flat, unnest(range(0, len(flat) // 16)) AS k FROM e)
+SELECT vec_id::BIGINT AS vec_id, k::BIGINT AS k, len(flat[k * 16 + 1:(k + 1) * 16])::BIGINT AS width,
+       round(list_sum(list_transform(flat[k * 16 + 1:(k + 1) * 16], lambda x: x::DOUBLE)), 5) AS vec_sum FROM k
+""")
+def embedding_split(spark, sf_dir):
+    """Q13 + Q14: nested ``[1, 1, d]`` embeddings flattened, then a flat run of
+    floats split into 16-wide vectors."""
+    e = FX.table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.array("embedding")).alias("nested"))
+    flat = e.select("vec_id", A.flatten_nested("nested").alias("flat"))
+    parts = flat.select("vec_id", F.posexplode(A.split_flat("flat", 16)).alias("k", "v"))
+    return parts.select(_long("vec_id").alias("vec_id"), _long("k").alias("k"), _long(F.size("v")).alias("width"),
+                        _round(F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 5).alias("vec_sum"))
