@@ -70,3 +70,21 @@ def test_mean_length_head_divides_by_rows_present(spark):
     df = spark.createDataFrame([(i, [1] * (i + 1)) for i in range(5)], "k long, ids array<int>")
     r = sampling.mean_length_head(df, "ids", ["k"], n=10000).collect()[0]
     assert r["sample_rows"] == 5 and r["avg_length"] == 3.0
+
+
+def test_rank_in_group_splits_a_hot_group(spark):
+    rows = [(0, t, t % 5) for t in range(3000)] + [(g, t, 1) for g in range(1, 40) for t in range(10)]
+    df = spark.createDataFrame(rows, "g long, t long, w long")
+    lead = sampling.composite_lead("g", "t", 0, 2999)
+    # the hot group must land in several buckets
+    buckets = sampling.with_global_index(df, ["g", "t"], "i", lead=lead, min_buckets=8)
+    assert buckets.filter("g = 0").count() == 3000
+    r = sampling.rank_in_group(df, "g", ["t"], "rank", lead, min_buckets=8)
+    got = {(x["g"], x["t"]): x["rank"] for x in r.collect()}
+    assert all(got[(g, t)] == t for (g, t, _) in rows)
+    s = sampling.rank_in_group(df, "g", ["t"], "before", lead, weight=F.col("w"), min_buckets=8)
+    got = {(x["g"], x["t"]): x["before"] for x in s.collect()}
+    acc = {}
+    for g, t, w in rows:
+        assert got[(g, t)] == acc.get(g, 0)
+        acc[g] = acc.get(g, 0) + w

@@ -38,17 +38,20 @@ def _hash_lead(hex_col: Column) -> Column:
 def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Column | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
                       key: str | None = None, uniform_range: tuple[float, float] | None = None,
-                      min_buckets: int | None = None) -> DataFrame:
-    """Add a 0-based position of every row in the total order ``order_cols``.
+                      min_buckets: int | None = None, weight: Column | None = None) -> DataFrame:
+    """Add a 0-based position of every row in the total order ``order_cols``
+    (or, with ``weight``, the sum of ``weight`` over all earlier rows).
 
     ``order_cols`` must be unique per row.  ``lead`` is a numeric expression
-    monotone with the first order column (defaults to that column).  Rows are
-    cut into ``max(min_buckets, n / rows_per_bucket)`` buckets of ``lead``
-    (``min_buckets`` defaults to the shuffle width, capped at one bucket per
-    10,000 rows):
-    arithmetically when ``lead`` is uniform on ``uniform_range`` (hash orders),
-    else at approximate quantiles.  Bucket sizes (one number per bucket) give
-    the offsets; a window partitioned by bucket numbers the rows inside it.
+    monotone non-decreasing in that order (defaults to the first order
+    column).  Rows are cut into ``max(min_buckets, n / rows_per_bucket)``
+    buckets of ``lead`` (``min_buckets`` defaults to the shuffle width, capped
+    at one bucket per 10,000 rows): arithmetically when ``lead`` is uniform on
+    ``uniform_range`` (hash orders), else at approximate quantiles.  Bucket
+    totals (one number per bucket) give the offsets; a window partitioned by
+    bucket finishes the count inside it.  Since the buckets follow ``lead``,
+    many rows with one leading value spread over several buckets as long as
+    ``lead`` varies among them.
 
     With ``key`` (a unique column) the index is computed on the narrow
     ``(key, order_cols)`` projection and joined back, so wide rows never pass
@@ -58,8 +61,9 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
     n = df.count() if n_rows is None else n_rows
     if key is not None:
         narrow_cols = list(dict.fromkeys([key] + [c for c in order_cols if c in df.columns]))
-        narrow = with_global_index(df.select(*narrow_cols), order_cols, idx_col, lead, rows_per_bucket, n,
-                                   uniform_range=uniform_range, min_buckets=min_buckets)
+        base = df.select(*narrow_cols, *([weight.alias("_w")] if weight is not None else []))
+        narrow = with_global_index(base, order_cols, idx_col, lead, rows_per_bucket, n, uniform_range=uniform_range,
+                                   min_buckets=min_buckets, weight=F.col("_w") if weight is not None else None)
         return join_small(df, narrow.select(key, idx_col), key, small_rows=n)
     spark = df.sparkSession
     if min_buckets is None:
@@ -67,7 +71,7 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
         min_buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / MIN_ROWS_PER_BUCKET))
     buckets = max(1, min_buckets, math.ceil(n / rows_per_bucket))
     lead_col = (lead if lead is not None else F.col(order_cols[0])).cast("double")
-    work = df.withColumn("_lead", lead_col)
+    work = df.withColumn("_lead", lead_col).withColumn("_w", (weight if weight is not None else F.lit(1)).cast("long"))
     if buckets == 1:
         work = work.withColumn("_b", F.lit(0.0))
     elif uniform_range is not None:
@@ -76,21 +80,52 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
                                              F.lit(buckets - 1)).cast("double"))
     else:
         probs = [i / buckets for i in range(1, buckets)]
-        qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets)) if probs else []
+        qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets))
         splits = [-math.inf] + sorted(set(q for q in qs if q is not None)) + [math.inf]
-        work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
-    # one count per bucket: a table of at most `buckets` rows
-    counts = sorted((float(r["_b"]), int(r["count"])) for r in work.groupBy("_b").count().collect())
+        if len(splits) < 3:
+            work = work.withColumn("_b", F.lit(0.0))
+        else:
+            work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
+    w = Window.partitionBy("_b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_w").over(w), F.lit(0).cast("long"))
+    if buckets == 1:
+        return work.withColumn(idx_col, before).drop("_b", "_lead", "_w")
+    # one total per bucket: a table of at most `buckets` rows
+    totals = sorted((float(r["_b"]), int(r["t"])) for r in work.groupBy("_b").agg(F.sum("_w").alias("t")).collect())
     offsets, acc = [], 0
-    for b, c in counts:
+    for b, t in totals:
         offsets.append((b, acc))
-        acc += c
+        acc += t
     off_df = spark.createDataFrame(offsets, T.StructType([
         T.StructField("_b", T.DoubleType()), T.StructField("_off", T.LongType())]))
-    w = Window.partitionBy("_b").orderBy(*order_cols)
     return (work.join(F.broadcast(off_df), "_b")
-            .withColumn(idx_col, F.col("_off") + F.row_number().over(w) - 1)
-            .drop("_b", "_off", "_lead"))
+            .withColumn(idx_col, F.col("_off") + before)
+            .drop("_b", "_off", "_lead", "_w"))
+
+
+def composite_lead(group: Column | str, order: Column | str, lo: float, hi: float) -> Column:
+    """A numeric lead monotone in ``(group, order)`` for a numeric ``group`` and an
+    ``order`` within ``[lo, hi]``: ``group + (order - lo) / (hi - lo + 1)``."""
+    g = F.col(group) if isinstance(group, str) else group
+    o = F.col(order) if isinstance(order, str) else order
+    return g.cast("double") + (o.cast("double") - lo) / (float(hi) - float(lo) + 1.0)
+
+
+def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead: Column,
+                  weight: Column | None = None, n_rows: int | None = None,
+                  min_buckets: int | None = None) -> DataFrame:
+    """Position of each row inside its group (``weight``: sum of ``weight`` over
+    the group's earlier rows) without a window per group.
+
+    The table is ranked globally over ``(group, order...)`` (buckets split a
+    hot group by its ``lead``), then each group's first value — a partial
+    aggregate, so a hot group is pre-combined — is subtracted.  ``order_cols``
+    must make rows unique within a group; weights must be non-negative.
+    """
+    g = with_global_index(df, [group_col, *order_cols], "_gi", lead=lead, n_rows=n_rows, weight=weight,
+                          min_buckets=min_buckets)
+    starts = g.groupBy(group_col).agg(F.min("_gi").alias("_g0"))
+    return g.join(starts, group_col).withColumn(out_col, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col: str = "idx",
