@@ -94,3 +94,27 @@ def test_resample_long_form_chunked_positions(spark, monkeypatch):
     got = WV.resample_linear_long(long, rates).orderBy("t").collect()
     assert [r["t"] for r in got] == list(range(67))
     assert np.allclose([r["value"] for r in got], O.resample_linear(v, 16000), atol=1e-12)
+
+
+def test_segment_offsets_running_length(spark):
+    segs = spark.createDataFrame([
+        (1, "A", 0, 0.0, 1.0, "abc"), (1, "A", 1, 2.0, 3.0, "de"), (1, "A", 2, 1.0, 1.5, "f"),
+        (2, "B", 0, 0.5, 1.0, "gh"), (2, "B", 1, 0.5, 2.0, "ijk"),
+    ], "file long, speaker string, seg_order int, start double, end double, text string")
+    got = {(r["file"], r["seg_order"]): r["out_start"]
+           for r in SEG.segment_offsets(segs.withColumn("n", F.length("text")), "n").collect()}
+    assert got == {(1, 0): 0, (1, 2): 3, (1, 1): 4, (2, 0): 0, (2, 1): 2}
+
+
+def test_dedupe_long_form_equals_array_form(spark):
+    from voxloom.functions.arrays import dedupe_frames
+    from voxloom.operators.frames import dedupe_frames_long
+    arrays = [[1] * 7 + [1] * 7 + [2] * 3, list(range(20)), [], [5] * 7 + [6] * 7 + [5] * 7 + [5] * 7]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "k long, a array<int>")
+    longf = dedupe_frames_long(df, "k", "a").collect()
+    got = {}
+    for r in longf:
+        got.setdefault(r["k"], {})[r["pos"]] = r["code"]
+    want = {r["k"]: r["d"] for r in df.select("k", dedupe_frames("a").alias("d")).collect()}
+    for k, d in want.items():
+        assert [got.get(k, {})[i] for i in range(len(d))] == d and len(got.get(k, {})) == len(d)

@@ -1,30 +1,36 @@
 """Codec-frame operators in long form.
 
 The array form lives in ``voxloom.functions.arrays``; this is the same frame
-dedupe with one row per frame, compared with the next frame through ``lead``.
+dedupe with one row per frame.  Frame i meets frame i+1 through an equi-join on
+``(key, frame)`` and kept positions come from ``rank_in_group``, so neither
+step puts a whole utterance into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.sampling import composite_lead, rank_in_group
+
 
 def frames_long(df: DataFrame, key: str, codes_col: str) -> DataFrame:
     """One row per frame: ``key, frame, slots`` (the last frame may be partial)."""
-    return df.select(key, F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(codes_col) / 7).cast("int") - 1, F.lit(0))),
-        lambda f: F.slice(codes_col, f * 7 + 1, 7))).alias("frame", "slots")).filter(F.size("slots") > 0)
+    n_frames = F.ceil(F.size(codes_col) / 7).cast("int")
+    return df.select(key, F.posexplode(F.when(n_frames > 0, F.transform(
+        F.sequence(F.lit(0), n_frames - 1), lambda f: F.slice(codes_col, f * 7 + 1, 7)))).alias("frame", "slots"))
 
 
 def dedupe_frames_long(df: DataFrame, key: str, codes_col: str) -> DataFrame:
     """W1 + Q3: drop frame i when slot 0 equals slot 0 of frame i+1.  Output one
-    row per kept code ``key, pos, code`` with ``pos`` its position after the dedupe."""
+    row per kept code ``key, pos, code`` with ``pos`` its position after the
+    dedupe.  ``key`` must be numeric (it leads the ranking)."""
     fr = frames_long(df, key, codes_col)
-    w = Window.partitionBy(key).orderBy("frame")
-    nxt = F.lead(F.get("slots", 0)).over(w)
-    kept = fr.withColumn("_drop", F.coalesce(F.get("slots", 0) == nxt, F.lit(False))).filter(~F.col("_drop"))
-    wk = Window.partitionBy(key).orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("_before", F.coalesce(F.sum(F.size("slots")).over(wk), F.lit(0)))
+    nxt = fr.select(key, (F.col("frame") - 1).alias("frame"), F.get("slots", 0).alias("_next0"))
+    kept = (fr.join(nxt, [key, "frame"], "left")
+            .filter(~F.coalesce(F.get("slots", 0) == F.col("_next0"), F.lit(False))).drop("_next0"))
+    # frame < 2^31, so key + frame / 2^31 leads (key, frame) without a pass for the maximum
+    kept = rank_in_group(kept, key, ["frame"], "_before", composite_lead(key, "frame", 0, 2 ** 31 - 1),
+                         weight=F.size("slots"), materialize=True)
     return kept.select(key, F.posexplode("slots").alias("_j", "code"), "_before").select(
         key, (F.col("_before") + F.col("_j")).alias("pos"), "code")

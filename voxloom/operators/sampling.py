@@ -113,7 +113,7 @@ def composite_lead(group: Column | str, order: Column | str, lo: float, hi: floa
 
 def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead: Column,
                   weight: Column | None = None, n_rows: int | None = None,
-                  min_buckets: int | None = None) -> DataFrame:
+                  min_buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """Position of each row inside its group (``weight``: sum of ``weight`` over
     the group's earlier rows) without a window per group.
 
@@ -121,9 +121,23 @@ def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead:
     hot group by its ``lead``), then each group's first value — a partial
     aggregate, so a hot group is pre-combined — is subtracted.  ``order_cols``
     must make rows unique within a group; weights must be non-negative.
+
+    ``materialize=True`` is for inputs that are expensive to recompute: the
+    narrow ``(group, order, lead, weight)`` rows are checkpointed once to the
+    shared checkpoint folder, ranked there, and the ranks are joined back.
     """
-    g = with_global_index(df, [group_col, *order_cols], "_gi", lead=lead, n_rows=n_rows, weight=weight,
-                          min_buckets=min_buckets)
+    order_cols = list(order_cols)
+    keys = [group_col, *order_cols]
+    if materialize:
+        from voxloom.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        cols = [*keys, lead.alias("_lead_in")] + ([weight.alias("_w_in")] if weight is not None else [])
+        narrow = df.select(*cols).checkpoint(eager=True)
+        n = narrow.count()
+        ranks = rank_in_group(narrow, group_col, order_cols, out_col, F.col("_lead_in"),
+                              F.col("_w_in") if weight is not None else None, n, min_buckets)
+        return join_small(df, ranks.select(*keys, out_col), keys, small_rows=n)
+    g = with_global_index(df, keys, "_gi", lead=lead, n_rows=n_rows, weight=weight, min_buckets=min_buckets)
     starts = g.groupBy(group_col).agg(F.min("_gi").alias("_g0"))
     return g.join(starts, group_col).withColumn(out_col, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
 

@@ -8,9 +8,11 @@ dependent) order of floating-point additions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.sampling import composite_lead, rank_in_group
+
 
 def ms_index(seconds) -> Column:
     """Seconds -> millisecond index, truncated toward zero."""
@@ -62,11 +64,17 @@ def concat_segments(segments: DataFrame, payload_col: str, file_col: str = "file
     return agg.select(file_col, "n_parts", joined.alias(payload_col))
 
 
-def segment_offsets(segments: DataFrame, len_col: str, file_col: str = "file") -> DataFrame:
+def segment_offsets(segments: DataFrame, len_col: str, file_col: str = "file", order_col: str = "seg_order") -> DataFrame:
     """Long form of R3: where each part lands in the joined output
-    (``out_start`` = total length of the earlier parts)."""
-    w = Window.partitionBy(file_col).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("out_start", F.coalesce(F.sum(len_col).over(w), F.lit(0)))
+    (``out_start`` = total length of the parts that start earlier).
+
+    A running sum per file without a window per file: ``rank_in_group`` splits
+    a long file over several tasks.  ``file_col`` must be numeric; ``order_col``
+    breaks ties between parts with the same start.
+    """
+    lo, hi = segments.agg(F.min("start"), F.max("start")).first()
+    lead = composite_lead(file_col, "start", lo or 0.0, hi or 0.0)
+    return rank_in_group(segments, file_col, ["start", "end", order_col], "out_start", lead, weight=F.col(len_col))
 
 
 def slice_waveform(samples: DataFrame, segments: DataFrame, file_col: str = "file", t_col: str = "t",

@@ -14,12 +14,14 @@ grows with them:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom import vocab as V
 from voxloom.functions.arrays import assemble_speaker, dedupe_frames, frames_from_bytes, let, utf8_bytes
 from voxloom.operators.joins import join_small
+from voxloom.operators.sampling import composite_lead, rank_in_group
 from voxloom.sources.readers import read_table
 
 SEGMENT_CHARS_PER_SECOND = 100.0
@@ -83,11 +85,13 @@ def speaker_rows(spark: SparkSession, sf_dir: str, alt_placeholder_lang: str | N
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diarisation-like segments from conversations: ``file, speaker, seg_order,
     start, end, text``; each segment overlaps the next by half a second."""
-    c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    lo, hi = c.agg(F.min("turn"), F.max("turn")).first()
+    lead = composite_lead("conv_id", "turn", lo or 0, hi or 0)
+    # characters of the earlier turns of the conversation, without a window per conversation
+    c = rank_in_group(c, "conv_id", ["turn"], "_off", lead, weight=F.length("text"))
     return c.select(F.col("conv_id").alias("file"), F.col("role").alias("speaker"), F.col("turn").alias("seg_order"),
-                    "text", off.alias("_off")).select(
+                    "text", "_off").select(
         "file", "speaker", "seg_order", "text",
         (F.col("_off") / SEGMENT_CHARS_PER_SECOND).alias("start"),
         ((F.col("_off") + F.length("text") + SEGMENT_OVERLAP_CHARS) / SEGMENT_CHARS_PER_SECOND).alias("end"))
@@ -108,12 +112,22 @@ def wave_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form waveform ``file, t, value`` from events per user.
 
     A decoded file carries its sample index; here it is numbered in
-    ``(ts, event_id)`` order per user.
+    ``(ts, event_id)`` order per user with ``rank_in_group``.
     """
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("file"), (F.row_number().over(w) - 1).alias("t"), "value", "event_type",
-                    "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    micros = _epoch_micros(e, "ts")
+    lo, hi = e.agg(F.min(micros), F.max(micros)).first()
+    lead = composite_lead("user_id", micros, lo or 0, hi or 0)
+    # sample index per user without a window per user (a hot user is split by time)
+    e = rank_in_group(e, "user_id", ["ts", "event_id"], "t", lead)
+    return e.select(F.col("user_id").alias("file"), "t", "value", "event_type", "event_id")
+
+
+def _epoch_micros(df: DataFrame, col: str):
+    """Microseconds since the epoch, time-zone free for TIMESTAMP_NTZ columns."""
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")
+    return F.unix_micros(col)
 
 
 def video_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -743,8 +743,10 @@ SELECT file::BIGINT AS file, t::BIGINT AS t, round((v0 + v1) / 2, 6) AS value FR
 def mono_mix(spark, sf_dir):
     """R1 long form: two channels (the value and the next value) mixed to mono."""
     smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
-    w = F.lead("value").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("file").orderBy("t"))
-    ch1 = smp.withColumn("value", F.coalesce(w, F.col("value"))).withColumn("channel", F.lit(1))
+    # channel 1 = the next sample (equi-join on (file, t + 1), no window per file)
+    nxt = smp.select("file", (F.col("t") - 1).alias("t"), F.col("value").alias("_next"))
+    ch1 = (smp.join(nxt, ["file", "t"], "left").withColumn("value", F.coalesce("_next", "value"))
+           .drop("_next").withColumn("channel", F.lit(1)))
     both = smp.withColumn("channel", F.lit(0)).unionByName(ch1)
     m = WV.mono_mix_long(both, "file", "t", "value")
     return m.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
