@@ -123,23 +123,21 @@ def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead:
     must make rows unique within a group; weights must be non-negative.
 
     ``materialize=True`` is for inputs that are expensive to recompute: the
-    narrow ``(group, order, lead, weight)`` rows are checkpointed once to the
-    shared checkpoint folder, ranked there, and the ranks are joined back.
+    input is checkpointed once to the shared checkpoint folder (project it to
+    the columns you need first) and all ranking passes read that copy.
     """
     order_cols = list(order_cols)
     keys = [group_col, *order_cols]
     if materialize:
         from voxloom.session import checkpoint_dir
         checkpoint_dir(df.sparkSession)
-        cols = [*keys, lead.alias("_lead_in")] + ([weight.alias("_w_in")] if weight is not None else [])
-        narrow = df.select(*cols).checkpoint(eager=True)
-        n = narrow.count()
-        ranks = rank_in_group(narrow, group_col, order_cols, out_col, F.col("_lead_in"),
-                              F.col("_w_in") if weight is not None else None, n, min_buckets)
-        return join_small(df, ranks.select(*keys, out_col), keys, small_rows=n)
+        df = df.withColumn("_lead_in", lead).checkpoint(eager=True)
+        lead = F.col("_lead_in")
+        n_rows = df.count()
     g = with_global_index(df, keys, "_gi", lead=lead, n_rows=n_rows, weight=weight, min_buckets=min_buckets)
     starts = g.groupBy(group_col).agg(F.min("_gi").alias("_g0"))
-    return g.join(starts, group_col).withColumn(out_col, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
+    out = g.join(starts, group_col).withColumn(out_col, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
+    return out.drop("_lead_in") if materialize else out
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col: str = "idx",
