@@ -118,3 +118,11 @@ def test_dedupe_long_form_equals_array_form(spark):
     want = {r["k"]: r["d"] for r in df.select("k", dedupe_frames("a").alias("d")).collect()}
     for k, d in want.items():
         assert [got.get(k, {})[i] for i in range(len(d))] == d and len(got.get(k, {})) == len(d)
+
+
+def test_slice_waveform_cuts_whole_milliseconds(spark):
+    # 16 kHz: 0.0105 s -> 10 ms -> sample 160 (not 168); 0.02 s -> 20 ms -> 320
+    sdf = spark.createDataFrame([("a", t, 1.0) for t in range(400)], "file string, t long, value double")
+    gdf = spark.createDataFrame([("a", 0, 0.0105, 0.02)], "file string, seg int, start double, end double")
+    r = SEG.slice_waveform(sdf, gdf, "file", "t", sr=16000, bin_width=64).agg(F.min("t"), F.max("t"), F.count("*")).first()
+    assert tuple(r) == (160, 319, 160)

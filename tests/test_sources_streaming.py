@@ -39,9 +39,11 @@ def test_url_lists(spark, scratch):
     d = os.path.join(scratch, "urls")
     os.makedirs(d)
     _write(os.path.join(d, "good.txt"), "['https://youtu.be/a1', \"https://youtube.com/shorts/b2\"]")
-    _write(os.path.join(d, "bad.txt"), "['https://youtu.be/c3',]")
+    _write(os.path.join(d, "trailing.txt"), "['https://youtu.be/c3',]\n")
+    _write(os.path.join(d, "bad.txt"), "https://youtu.be/d4")
     good, bad = R.read_url_lists(spark, d)
-    assert sorted(r["url"] for r in good.collect()) == ["https://youtu.be/a1", "https://youtube.com/shorts/b2"]
+    assert sorted(r["url"] for r in good.collect()) == ["https://youtu.be/a1", "https://youtu.be/c3",
+                                                         "https://youtube.com/shorts/b2"]
     assert [os.path.basename(r["file"]) for r in bad.collect()] == ["bad.txt"]
 
 

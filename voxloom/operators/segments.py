@@ -79,8 +79,11 @@ def segment_offsets(segments: DataFrame, len_col: str, file_col: str = "file", o
 
 def slice_waveform(samples: DataFrame, segments: DataFrame, file_col: str = "file", t_col: str = "t",
                    sr: int = 1000, bin_width: int = 4096) -> DataFrame:
-    """J2 in long form: samples with ``start_idx <= t < end_idx`` of a segment,
-    ``*_idx = int(seconds * sr)``.
+    """J2 in long form: samples with ``start_idx <= t < end_idx`` of a segment.
+
+    As in the reference, times are cut in whole milliseconds first
+    (``ms = int(seconds * 1000)``, R4) and then turned into sample indexes
+    ``ms * sr div 1000``.
 
     A range join on an equi key: each segment is expanded to the ``bin_width``
     sample bins it covers and joined on ``(file, bin)``, so a long file is spread
@@ -88,8 +91,8 @@ def slice_waveform(samples: DataFrame, segments: DataFrame, file_col: str = "fil
     segments.
     """
     seg = (segments
-           .withColumn("_s", (F.col("start") * sr).cast("long"))
-           .withColumn("_e", (F.col("end") * sr).cast("long"))
+           .withColumn("_s", F.expr(f"(cast(cast(start * 1000 as int) as long) * {int(sr)}) div 1000"))
+           .withColumn("_e", F.expr(f"(cast(cast(`end` * 1000 as int) as long) * {int(sr)}) div 1000"))
            .filter(F.col("_e") > F.col("_s"))
            .withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / bin_width),
                                                     F.floor((F.col("_e") - 1) / bin_width)))))
