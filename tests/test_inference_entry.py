@@ -120,3 +120,17 @@ def test_all_queries_match_duckdb_on_smoke_data(spark):
         if s != d:
             bad.append(name)
     assert bad == []
+
+
+def test_fill_placeholders_single_pass_and_join_form(spark):
+    ph = 128263
+    df = spark.createDataFrame([(0, [1, ph, 2, ph], [1.0, 2.0, 3.0, 4.0])],
+                               "row int, input_ids array<int>, speaker_embeddings array<float>")
+    w = np.array([[1.0, 0.0, 1.0], [0.0, 2.0, 1.0]])
+    got = sorted((r["pos"], tuple(r["projection"])) for r in align.fill_placeholders(df, ["row"], w, dim=2).collect())
+    assert got == [(1, (1.0, 4.0, 3.0)), (3, (3.0, 8.0, 7.0))]
+    slots = align.align_placeholders(df, ["row"], dim=2)
+    proj = project_embeddings(slots, "vector", w).select("row", "k", "projection")
+    joined = sorted((r["pos"], tuple(r["projection"])) for r in
+                    align.fill_from_projected(slots.select("row", "k", "pos"), proj, ["row"]).collect())
+    assert joined == got

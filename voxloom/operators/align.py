@@ -54,7 +54,16 @@ def placeholder_ordinals_long(df: DataFrame, keys, ids_col: str = "input_ids") -
     return tok.withColumn("k", F.row_number().over(w) - 1).select(*keys, "k", "pos")
 
 
-def fill_placeholders(slots: DataFrame, projected: DataFrame, keys) -> DataFrame:
-    """M5: projected vectors at placeholder positions; ``projected`` has
-    ``(keys..., k, projection)``.  Output ``(keys..., pos, projection)``."""
+def fill_placeholders(packed: DataFrame, keys, weights, ids_col: str = "input_ids",
+                      emb_col: str = "speaker_embeddings", dim: int = V.SPEAKER_DIM) -> DataFrame:
+    """M5 in one pass: J4 slots of each packed row, their vectors projected by
+    ``weights`` (M4, per Arrow batch), output ``(keys..., pos, projection)``."""
+    from voxloom.operators.inference import project_embeddings
+    slots = align_placeholders(packed, keys, ids_col, emb_col, dim)
+    return project_embeddings(slots, "vector", weights).select(*keys, "pos", "projection")
+
+
+def fill_from_projected(slots: DataFrame, projected: DataFrame, keys) -> DataFrame:
+    """M5 when the projections come from elsewhere: ``slots (keys..., k, pos)``
+    joined with ``projected (keys..., k, projection)``."""
     return slots.join(projected, [*keys, "k"]).select(*keys, "pos", "projection")

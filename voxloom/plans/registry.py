@@ -609,10 +609,7 @@ FROM pr GROUP BY shard, bin, p
 """)
 def fill_placeholders(spark, sf_dir):
     """M5: projected speaker vectors placed at the placeholder positions."""
-    slots = align.align_placeholders(packed(spark, sf_dir), ["shard", "bin"], dim=EMB_DIM)
-    proj = project_embeddings(slots.select("shard", "bin", "k", "vector"), "vector", projection_weights())
-    filled = align.fill_placeholders(slots.select("shard", "bin", "k", "pos"), proj.select("shard", "bin", "k", "projection"),
-                                     ["shard", "bin"])
+    filled = align.fill_placeholders(packed(spark, sf_dir), ["shard", "bin"], projection_weights(), dim=EMB_DIM)
     ckc = F.aggregate(F.transform("projection", lambda x, i: x * (i + 1)), F.lit(0.0).cast("double"), lambda a, y: a + y)
     return filled.select(_long("shard").alias("shard"), _long("bin").alias("bin"), _long("pos").alias("pos"),
                          _round(ckc, 3).alias("proj_ck"))
@@ -664,7 +661,7 @@ FROM sg JOIN ms ON sg.file = ms.file AND sg.speaker = ms.main_speaker GROUP BY s
 """)
 def main_speaker_concat(spark, sf_dir):
     """J3 -> O5 -> R3: the main speaker's parts in start order, joined."""
-    seg = FX.segments(spark, sf_dir)
+    seg = FX.segments(spark, sf_dir, materialize=True)
     mine = SEG.main_speaker_segments(seg)
     c = SEG.concat_segments(mine, "text", "file", sep="")
     return c.select(_long("file").alias("file"), _long("n_parts").alias("n_parts"), "text",
@@ -702,7 +699,7 @@ GROUP BY seg.file, seg.seg_t, s, e
 def segment_slice(spark, sf_dir):
     """R4 + J2: cut ``[int(start*1000), int(end*1000))`` out of each user's
     waveform for segments around every purchase event (binned range join)."""
-    smp = FX.wave_samples(spark, sf_dir)
+    smp = FX.wave_samples(spark, sf_dir, materialize=True)
     seg = (smp.filter(F.col("event_type") == "purchase")
            .select("file", F.col("t").alias("seg_t"),
                    ((F.col("t").cast("double") - 2.6) / 1000.0).alias("start"),
@@ -729,7 +726,7 @@ FROM y JOIN wv a ON a.file = y.file AND a.t = y.x0 JOIN wv b ON b.file = y.file
 """)
 def resample_linear(spark, sf_dir):
     """R2 long form: each user's event values as a 16 kHz waveform, resampled to 24 kHz."""
-    smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
+    smp = FX.wave_samples(spark, sf_dir, materialize=True).select("file", "t", "value")
     rates = smp.select("file").distinct().withColumn("sr", F.lit(FX.WAVE_SR))
     r = WV.resample_linear_long(smp, rates, V.TARGET_SR)
     return r.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
@@ -742,7 +739,7 @@ SELECT file::BIGINT AS file, t::BIGINT AS t, round((v0 + v1) / 2, 6) AS value FR
 """)
 def mono_mix(spark, sf_dir):
     """R1 long form: two channels (the value and the next value) mixed to mono."""
-    smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
+    smp = FX.wave_samples(spark, sf_dir, materialize=True).select("file", "t", "value")
     # channel 1 = the next sample (equi-join on (file, t + 1), no window per file)
     nxt = smp.select("file", (F.col("t") - 1).alias("t"), F.col("value").alias("_next"))
     ch1 = (smp.join(nxt, ["file", "t"], "left").withColumn("value", F.coalesce("_next", "value"))
