@@ -111,13 +111,14 @@ def test_dedupe_long_form_equals_array_form(spark):
     from voxloom.operators.frames import dedupe_frames_long
     arrays = [[1] * 7 + [1] * 7 + [2] * 3, list(range(20)), [], [5] * 7 + [6] * 7 + [5] * 7 + [5] * 7]
     df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "k long, a array<int>")
-    longf = dedupe_frames_long(df, "k", "a").collect()
-    got = {}
-    for r in longf:
-        got.setdefault(r["k"], {})[r["pos"]] = r["code"]
+    from voxloom.operators.frames import dedupe_frame_rows, frames_long
     want = {r["k"]: r["d"] for r in df.select("k", dedupe_frames("a").alias("d")).collect()}
-    for k, d in want.items():
-        assert [got.get(k, {})[i] for i in range(len(d))] == d and len(got.get(k, {})) == len(d)
+    for longf in (dedupe_frames_long(df, "k", "a"), dedupe_frame_rows(frames_long(df, "k", "a"), "k")):
+        got = {}
+        for r in longf.collect():
+            got.setdefault(r["k"], {})[r["pos"]] = r["code"]
+        for k, d in want.items():
+            assert [got.get(k, {})[i] for i in range(len(d))] == d and len(got.get(k, {})) == len(d)
 
 
 def test_slice_waveform_cuts_whole_milliseconds(spark):

@@ -1,0 +1,8 @@
+"""voxloom: speech-corpus data preparation as PySpark DataFrame operators.
+
+``functions`` holds Column expressions, ``operators`` DataFrame operators,
+``sources``/``streaming`` scans, sinks and incremental ingest, ``plans`` the
+composed data paths and the registered queries.
+"""
+
+__version__ = "0.1.0"

@@ -1,9 +1,13 @@
 """Codec-frame operators in long form.
 
-The array form lives in ``voxloom.functions.arrays``; this is the same frame
-dedupe with one row per frame.  Frame i meets frame i+1 through an equi-join on
-``(key, frame)`` and kept positions come from ``rank_in_group``, so neither
-step puts a whole utterance into one task.
+The array form lives in ``voxloom.functions.arrays``; these are the same frame
+dedupe with one row per frame.  Kept positions come from ``rank_in_group``, so
+no step puts a whole utterance into one task:
+
+* ``dedupe_frames_long`` explodes code arrays and carries each frame's next
+  slot 0 from the same array (no join);
+* ``dedupe_frame_rows`` works on a table that already holds one row per frame:
+  frame i meets frame i+1 through an equi-join on ``(key, frame)``.
 """
 
 from __future__ import annotations
@@ -11,26 +15,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions.arrays import let
 from voxloom.operators.sampling import composite_lead, rank_in_group
 
+# frame < 2^31, so key + frame / 2^31 leads (key, frame) without a pass for the maximum
+_FRAME_SPAN = 2 ** 31 - 1
 
-def frames_long(df: DataFrame, key: str, codes_col: str) -> DataFrame:
-    """One row per frame: ``key, frame, slots`` (the last frame may be partial)."""
-    n_frames = F.ceil(F.size(codes_col) / 7).cast("int")
-    return df.select(key, F.posexplode(F.when(n_frames > 0, F.transform(
-        F.sequence(F.lit(0), n_frames - 1), lambda f: F.slice(codes_col, f * 7 + 1, 7)))).alias("frame", "slots"))
 
+def frames_long(df: DataFrame, key: str, codes_col: str, with_next: bool = False) -> DataFrame:
+    """One row per frame: ``key, frame, slots[, next0]`` (the last frame may be
+    partial; ``next0`` is slot 0 of the following frame, NULL for the last)."""
+    def body(v):
+        n_frames = F.ceil(F.size(v) / 7).cast("int")
+        if with_next:
+            item = lambda f: F.struct(F.slice(v, f * 7 + 1, 7).alias("slots"), F.get(v, f * 7 + 7).alias("next0"))
+        else:
+            item = lambda f: F.struct(F.slice(v, f * 7 + 1, 7).alias("slots"))
+        return F.when(n_frames > 0, F.transform(F.sequence(F.lit(0), n_frames - 1), item))
 
-def dedupe_frames_long(df: DataFrame, key: str, codes_col: str) -> DataFrame:
-    """W1 + Q3: drop frame i when slot 0 equals slot 0 of frame i+1.  Output one
-    row per kept code ``key, pos, code`` with ``pos`` its position after the
-    dedupe.  ``key`` must be numeric (it leads the ranking)."""
-    fr = frames_long(df, key, codes_col)
-    nxt = fr.select(key, (F.col("frame") - 1).alias("frame"), F.get("slots", 0).alias("_next0"))
-    kept = (fr.join(nxt, [key, "frame"], "left")
-            .filter(~F.coalesce(F.get("slots", 0) == F.col("_next0"), F.lit(False))).drop("_next0"))
-    # frame < 2^31, so key + frame / 2^31 leads (key, frame) without a pass for the maximum
-    kept = rank_in_group(kept, key, ["frame"], "_before", composite_lead(key, "frame", 0, 2 ** 31 - 1),
+    out = df.select(key, F.posexplode(let(codes_col, body)).alias("frame", "_f"))
+    return out.select(key, "frame", "_f.*")
+
+
+def _kept_positions(kept: DataFrame, key: str) -> DataFrame:
+    kept = rank_in_group(kept, key, ["frame"], "_before", composite_lead(key, "frame", 0, _FRAME_SPAN),
                          weight=F.size("slots"), materialize=True)
     return kept.select(key, F.posexplode("slots").alias("_j", "code"), "_before").select(
         key, (F.col("_before") + F.col("_j")).alias("pos"), "code")
+
+
+def dedupe_frames_long(df: DataFrame, key: str, codes_col: str) -> DataFrame:
+    """W1 + Q3 from code arrays: drop frame i when slot 0 equals slot 0 of frame
+    i+1.  Output one row per kept code ``key, pos, code`` with ``pos`` its
+    position after the dedupe.  ``key`` must be numeric (it leads the ranking)."""
+    fr = frames_long(df, key, codes_col, with_next=True)
+    kept = fr.filter(~F.coalesce(F.get("slots", 0) == F.col("next0"), F.lit(False))).drop("next0")
+    return _kept_positions(kept, key)
+
+
+def dedupe_frame_rows(frames: DataFrame, key: str = "key") -> DataFrame:
+    """W1 + Q3 on a table of frame rows ``(key, frame, slots)``: the next frame
+    is found by an equi-join on ``(key, frame + 1)`` instead of a window."""
+    nxt = frames.select(key, (F.col("frame") - 1).alias("frame"), F.get("slots", 0).alias("_next0"))
+    kept = (frames.join(nxt, [key, "frame"], "left")
+            .filter(~F.coalesce(F.get("slots", 0) == F.col("_next0"), F.lit(False))).drop("_next0"))
+    return _kept_positions(kept, key)

@@ -41,9 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    # unset: a single-machine run (tests); a cluster names a shared folder
     local = tempfile.mkdtemp(prefix="voxloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return spark.sparkContext.getCheckpointDir()
