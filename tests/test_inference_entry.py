@@ -134,3 +134,21 @@ def test_fill_placeholders_single_pass_and_join_form(spark):
     joined = sorted((r["pos"], tuple(r["projection"])) for r in
                     align.fill_from_projected(slots.select("row", "k", "pos"), proj, ["row"]).collect())
     assert joined == got
+
+
+def test_call_with_retry_stage(spark):
+    from voxloom.operators.inference import call_with_retry
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id int, path string")
+
+    def transcribe(client, path):
+        if path.endswith("3"):
+            raise RuntimeError("bad audio")
+        if client == "flaky" and path.endswith("5"):
+            raise RuntimeError("quota")
+        return path.upper()
+
+    out = call_with_retry(df, "path", lambda: "flaky", transcribe, "text", max_retries=1, rotate=lambda: "fresh")
+    rows = {r["id"]: (r["text"], r["status"]) for r in out.collect()}
+    assert rows[3] == (None, "error") and rows[13] == (None, "error")
+    assert rows[5] == ("T5", "ok") and rows[0] == ("T0", "ok")
+    assert sum(1 for v in rows.values() if v[1] == "ok") == 18

@@ -55,6 +55,26 @@ def with_retry(call: Callable, max_retries: int = 1, rotate: Callable[[], object
     return wrapped
 
 
+def call_with_retry(df: DataFrame, input_col: str, make_resource: Callable[[], object], call: Callable,
+                    out_col: str = "result", out_type: T.DataType = T.StringType(), max_retries: int = 1,
+                    rotate: Callable[[], object] | None = None) -> DataFrame:
+    """M1 + M3: run ``call(resource, value)`` on every row with retries and
+    resource rotation inside the task.  Adds ``out_col``, ``status`` ('ok' /
+    'error') and ``error``; a failing row never fails the job (P7)."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type), T.StructField("status", T.StringType()),
+                                              T.StructField("error", T.StringType())])
+    wrapped = with_retry(call, max_retries, rotate)
+
+    def fn(box, pdf: pd.DataFrame) -> pd.DataFrame:
+        res = [wrapped(box, x) for x in pdf[input_col]]
+        pdf[out_col] = [r[0] for r in res]
+        pdf["status"] = [r[1] for r in res]
+        pdf["error"] = [r[2] for r in res]
+        return pdf
+
+    return map_model(df, lambda: [make_resource()], fn, schema)
+
+
 def byte_encoder(texts: pd.Series) -> pd.Series:
     """Default text encoder for M1: ``[start_of_text] + UTF-8 bytes``."""
     bos = np.array([V.START_OF_TEXT], dtype=np.int32)
