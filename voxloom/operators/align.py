@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom import vocab as V
-from voxloom.functions.arrays import count_value, let, normalise_placeholder
+from voxloom.functions.arrays import count_value, normalise_placeholder
 
 
 def _c(x) -> Column:
