@@ -99,3 +99,9 @@ def test_packing_streams_across_arrow_batches_and_partitions(spark):
 def test_bad_policy_raises(spark):
     with pytest.raises(ValueError):
         packing.pack_rows(rows_df(spark, {0: [1]}), "shard", "ord", "ids", "emb", oversize="drop")
+
+
+def test_inner_shards_for():
+    assert packing.inner_shards_for(1000, 10) == 1
+    assert packing.inner_shards_for(25_000_000_000, 10, 2_000_000, minimum=50) == 1250
+    assert packing.inner_shards_for(10, 10, minimum=50) == 50

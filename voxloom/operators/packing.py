@@ -25,6 +25,14 @@ from pyspark.sql import types as T
 from voxloom import vocab as V
 
 
+def inner_shards_for(n_rows: int, outer: int, rows_per_shard: int = 2_000_000, minimum: int = 1) -> int:
+    """Inner shard count that keeps every packed shard near ``rows_per_shard``
+    rows.  Packing is sequential inside a shard, so this is the parallelism of
+    the packer; the reference's fixed 10 x 50 suits ~1e9 rows at this target."""
+    import math
+    return max(minimum, math.ceil(n_rows / max(outer, 1) / rows_per_shard))
+
+
 def _next_fit(shards, lengths, state, limit):
     """Advance the next-fit state over one batch; returns the bin of each row."""
     cur, fill, bin_no = state
