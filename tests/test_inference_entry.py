@@ -152,3 +152,17 @@ def test_call_with_retry_stage(spark):
     assert rows[3] == (None, "error") and rows[13] == (None, "error")
     assert rows[5] == ("T5", "ok") and rows[0] == ("T0", "ok")
     assert sum(1 for v in rows.values() if v[1] == "ok") == 18
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    """Plan check over every registered query: no Cartesian products, no
+    nested-loop joins, no Python UDF row-at-a-time evaluation."""
+    import __spark_entry__ as E
+    from tests.conftest import SF_CHECK
+    bad = {}
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF_CHECK)._jdf.queryExecution().executedPlan().toString()
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if op in plan]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
