@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
+from voxloom.session import ship_package
 
 
 def map_model(df: DataFrame, make_model: Callable[[], object], fn: Callable[[object, pd.DataFrame], pd.DataFrame],
@@ -25,6 +26,8 @@ def map_model(df: DataFrame, make_model: Callable[[], object], fn: Callable[[obj
     if partitions:
         df = df.repartition(partitions)
 
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for pdf in batches:
@@ -120,4 +123,5 @@ def project_embeddings(df: DataFrame, emb_col: str, weights: np.ndarray, out_col
             arr = pa.ListArray.from_arrays(offsets, pa.array(proj.reshape(-1), pa.float64()))
             yield pa.RecordBatch.from_arrays(list(rb.columns) + [arr], names=list(rb.schema.names) + [out_col])
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
+from voxloom.session import ship_package
 
 
 def inner_shards_for(n_rows: int, outer: int, rows_per_shard: int = 2_000_000, minimum: int = 1) -> int:
@@ -75,6 +76,7 @@ def assign_bins(df: DataFrame, shard_col: str, ord_col: str, len_col: str, limit
             yield pa.RecordBatch.from_arrays(list(rb.columns) + [pa.array(bins, pa.int32())],
                                              names=list(rb.schema.names) + [bin_col])
 
+    ship_package(df.sparkSession)
     binned = narrow.mapInArrow(fn, out_schema)
     if drop_tail:
         last = binned.groupBy(shard_col).agg(F.max(bin_col).alias("_last"))
@@ -182,6 +184,7 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
         if out["shard"]:
             yield build()
 
+    ship_package(df.sparkSession)
     return payload.mapInArrow(fn, out_schema)
 
 

@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_PACKAGE_ZIP: str | None = None
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "voxloom") -> SparkSession:
     builder = (
@@ -50,3 +53,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="voxloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``voxloom`` importable in Python workers (the ``--py-files`` step of
+    a cluster submit): the package is zipped once per process and added once
+    per SparkContext.  Operators that run Python on executors call this."""
+    global _PACKAGE_ZIP
+    sc = spark.sparkContext
+    if getattr(sc, "_voxloom_shipped", False):
+        return
+    if _PACKAGE_ZIP is None or not os.path.exists(_PACKAGE_ZIP):
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        out = os.path.join(tempfile.mkdtemp(prefix="voxloom-pkg-"), "voxloom.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, root))
+        _PACKAGE_ZIP = out
+    sc.addPyFile(_PACKAGE_ZIP)
+    sc._voxloom_shipped = True
