@@ -1,10 +1,13 @@
 """Ordering, sampling and sharding.
 
 A global row index is the basis of head fractions, contiguous batches and
-contiguous shards.  It is computed without a one-partition window: rows are
-cut into quantile buckets of the leading sort key (balanced for unique keys),
-bucket sizes give each bucket's offset (a table of at most ``buckets`` rows),
-and a window partitioned by bucket numbers the rows inside it.
+contiguous shards.  It is computed without a one-partition window (above
+10,000 rows): rows are cut into buckets of a numeric lead of the sort order
+(arithmetically for uniform hash orders, else at approximate quantiles),
+bucket totals give each bucket's offset (a table of at most ``buckets``
+rows), and a window partitioned by bucket numbers the rows inside it.
+``rank_in_group`` applies the same scheme to positions and running sums
+inside groups, so a hot group is split instead of landing in one task.
 """
 
 from __future__ import annotations
@@ -168,7 +171,7 @@ def head_n(df: DataFrame, order_cols, n: int = V.HEAD_SAMPLE) -> DataFrame:
 def row_batches(df: DataFrame, idx_col: str = "idx", batch_rows: int = V.BATCH_ROWS,
                 batch_col: str = "batch") -> DataFrame:
     """Contiguous batches ``[k*batch_rows, (k+1)*batch_rows)`` of a global index."""
-    return df.withColumn(batch_col, F.floor(F.col(idx_col) / batch_rows).cast("long"))
+    return df.withColumn(batch_col, F.expr(f"{idx_col} div {int(batch_rows)}"))
 
 
 def mean_length_head(df: DataFrame, ids_col: str, order_cols, n: int = V.HEAD_SAMPLE) -> DataFrame:
@@ -204,8 +207,9 @@ def two_level_shards(df: DataFrame, idx_col: str, n: int, outer: int = V.OUTER_S
     """K4 twice: ``outer_shard`` of the table, ``inner_shard`` of each outer shard,
     plus ``inner_idx`` (position inside the inner shard).
 
-    Shard boundaries depend only on ``n`` and the shard counts, so they are
-    small literal arrays (``outer + 1`` and ``outer * (inner + 1)`` numbers).
+    Shard boundaries depend only on ``n`` and the shard counts: the outer
+    starts are a literal array of ``outer + 1`` numbers, the inner shard
+    follows from the outer shard's size with integer arithmetic.
     """
     if mode == "strided":
         return (df.withColumn("outer_shard", F.expr(f"cast({idx_col} % {outer} as int)"))
