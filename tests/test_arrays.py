@@ -155,3 +155,9 @@ def test_shard_path(spark):
     got = [r[0] for r in df.select(TX.shard_path("i")).collect()]
     assert got == ["EN/EN-B000000.tar", "EN/EN-B000000.tar", "EN/EN-B000001.tar", "EN/EN-B000042.tar",
                    "EN/EN-B001139.tar"]
+
+
+def test_truncate_keep_tail_markers(spark):
+    df = ints_df(spark, [list(range(10)) + [V.END_OF_AUDIO, V.END_OF_GPT], [1, 2, 3]])
+    got = [r[0] for r in df.orderBy("id").select(A.truncate("a", 6, keep_tail=2)).collect()]
+    assert got == [[0, 1, 2, 3, V.END_OF_AUDIO, V.END_OF_GPT], [1, 2, 3]]

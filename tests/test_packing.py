@@ -105,3 +105,12 @@ def test_inner_shards_for():
     assert packing.inner_shards_for(1000, 10) == 1
     assert packing.inner_shards_for(25_000_000_000, 10, 2_000_000, minimum=50) == 1250
     assert packing.inner_shards_for(10, 10, minimum=50) == 50
+
+
+def test_row_lengths_and_segment_ids(spark):
+    from voxloom.functions.arrays import segment_ids
+    df = rows_df(spark, {0: [3, 4, 30, 2]})
+    out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT)
+    got = sorted((r["bin"], r["row_lengths"], r["seg"]) for r in
+                 out.select("bin", "row_lengths", segment_ids("row_lengths").alias("seg")).collect())
+    assert got == [(0, [3, 4], [0, 0, 0, 1, 1, 1, 1]), (1, [30], [0] * 30), (2, [2], [0, 0])]

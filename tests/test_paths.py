@@ -19,6 +19,7 @@ def test_bulk_path_invariants(spark):
     assert bad == 0
     inputs, slots = P.model_inputs(packed, dim=64)
     assert inputs.filter(~F.col("placeholders_ok")).count() == 0
+    assert inputs.filter(F.size("segment_ids") != F.size("input_ids")).count() == 0
     assert slots.count() == want["rows"]
 
 

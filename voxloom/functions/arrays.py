@@ -19,7 +19,7 @@ from voxloom import vocab as V
 __all__ = [
     "let", "lit_array", "utf8_bytes", "byte_tokens", "flatten_frames", "unflatten_frames",
     "dedupe_frames", "frame_shape_ok", "codes_in_range", "assemble_plain", "assemble_speaker",
-    "generation_prompt", "truncate", "attention_mask", "mask_labels", "normalise_placeholder",
+    "generation_prompt", "truncate", "segment_ids", "attention_mask", "mask_labels", "normalise_placeholder",
     "audio_span", "flatten_nested", "split_flat", "count_value", "checksum", "weighted_checksum", "frames_from_bytes",
 ]
 
@@ -155,9 +155,21 @@ def generation_prompt(text_ids, speaker: bool = False) -> Column:
     )
 
 
-def truncate(ids, max_len: int) -> Column:
-    """Q7: keep the first ``max_len`` tokens."""
-    return F.slice(_c(ids), 1, int(max_len))
+def truncate(ids, max_len: int, keep_tail: int = 0) -> Column:
+    """Q7: keep the first ``max_len`` tokens.  With ``keep_tail=k`` a cut row
+    keeps its last ``k`` tokens (e.g. the end-of-audio / end-of-gpt markers,
+    D4) in place of the last ``k`` kept tokens."""
+    if not keep_tail:
+        return F.slice(_c(ids), 1, int(max_len))
+    head, tail = int(max_len) - int(keep_tail), int(keep_tail)
+    return let(ids, lambda v: F.when(F.size(v) <= max_len, v).otherwise(
+        F.concat(F.slice(v, 1, head), F.slice(v, -tail, tail))))
+
+
+def segment_ids(row_lengths) -> Column:
+    """Per-token number of the packed row it came from, from the packer's
+    ``row_lengths`` (for attention masks that keep packed rows apart)."""
+    return F.flatten(F.transform(_c(row_lengths), lambda n, i: F.array_repeat(i, n)))
 
 
 def attention_mask(ids) -> Column:

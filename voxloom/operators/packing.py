@@ -87,11 +87,11 @@ def assign_bins(df: DataFrame, shard_col: str, ord_col: str, len_col: str, limit
 class _Carry:
     """The open bin: pieces of flattened ids/embeddings plus bookkeeping."""
 
-    __slots__ = ("shard", "bin", "ids", "embs", "rows", "first_ord")
+    __slots__ = ("shard", "bin", "ids", "embs", "rows", "first_ord", "lens")
 
     def __init__(self, shard, bin_no, first_ord):
         self.shard, self.bin, self.first_ord = shard, bin_no, first_ord
-        self.ids, self.embs, self.rows = [], [], 0
+        self.ids, self.embs, self.rows, self.lens = [], [], 0, []
 
 
 def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input_ids",
@@ -100,7 +100,9 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
     """K1 + K2 + K3: pack rows of a shard in ``ord`` order into bins of at most
     ``limit`` tokens; concatenate ids and embeddings per bin.
 
-    Output: ``shard, bin, input_ids, speaker_embeddings, n_rows, first_ord, n_tokens``.
+    Output: ``shard, bin, input_ids, speaker_embeddings, n_rows, first_ord,
+    n_tokens, row_lengths`` (token count of each packed row, in order; see
+    ``functions.arrays.segment_ids`` for per-token row numbers, D13).
     """
     if oversize not in ("own_bin", "truncate"):
         raise ValueError("oversize must be 'own_bin' or 'truncate'")
@@ -116,12 +118,13 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
         T.StructField("speaker_embeddings", T.ArrayType(T.FloatType())),
         T.StructField("n_rows", T.IntegerType()), T.StructField("first_ord", T.LongType()),
         T.StructField("n_tokens", T.IntegerType()),
+        T.StructField("row_lengths", T.ArrayType(T.IntegerType())),
     ])
     flush_every = 512
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = [None, 0, -1]
-        out = {k: [] for k in ("shard", "bin", "rows", "first", "ids", "ids_len", "embs", "embs_len")}
+        out = {k: [] for k in ("shard", "bin", "rows", "first", "ids", "ids_len", "embs", "embs_len", "row_lens")}
         carry = None
 
         def emit(c, is_tail):
@@ -137,6 +140,7 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
             out["ids_len"].append(len(ids_v))
             out["embs"].append(emb_v)
             out["embs_len"].append(len(emb_v))
+            out["row_lens"].append(c.lens)
 
         def build():
             def as_list(pieces, lens, typ):
@@ -150,10 +154,11 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
                 as_list(out["ids"], out["ids_len"], pa.int32()),
                 as_list(out["embs"], out["embs_len"], pa.float32()),
                 pa.array(out["rows"], pa.int32()), pa.array(out["first"], pa.int64()),
-                pa.array(out["ids_len"], pa.int32()),
+                pa.array(out["ids_len"], pa.int32()), pa.array(out["row_lens"], pa.list_(pa.int32())),
             ], schema=pa.schema([("shard", pa.int64()), ("bin", pa.int32()),
                                  ("input_ids", pa.list_(pa.int32())), ("speaker_embeddings", pa.list_(pa.float32())),
-                                 ("n_rows", pa.int32()), ("first_ord", pa.int64()), ("n_tokens", pa.int32())]))
+                                 ("n_rows", pa.int32()), ("first_ord", pa.int64()), ("n_tokens", pa.int32()),
+                                 ("row_lengths", pa.list_(pa.int32()))]))
             for v in out.values():
                 v.clear()
             return rb
@@ -169,14 +174,13 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
                 j = i + 1
                 while j < n and shards[j] == shards[i] and bins[j] == bins[i]:
                     j += 1
-                if carry is not None and carry.shard == shards[i] and carry.bin == bins[i]:
-                    pass
-                else:
+                if carry is None or carry.shard != shards[i] or carry.bin != bins[i]:
                     emit(carry, is_tail=carry is not None and carry.shard != shards[i])
                     carry = _Carry(shards[i], bins[i], ords[i])
                 carry.ids.append(ids_arr.slice(i, j - i).flatten())
                 carry.embs.append(emb_arr.slice(i, j - i).flatten())
                 carry.rows += j - i
+                carry.lens.extend(lens[i:j])
                 i = j
             if len(out["shard"]) >= flush_every:
                 yield build()

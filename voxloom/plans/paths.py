@@ -79,13 +79,16 @@ def pack_corpus(rows: DataFrame, key: str, outer: int = V.OUTER_SHARDS, inner: i
 def model_inputs(packed: DataFrame, keys=("shard", "bin"), dim: int = V.SPEAKER_DIM,
                  max_len: int = V.MAX_LEN_PACKED) -> tuple[DataFrame, DataFrame]:
     """P12 -> P13 -> Q10 -> Q7 and J4/W2: per packed row the normalised ids,
-    masked labels, mask and the P12 flag; and the placeholder slots
+    masked labels, mask, the P12 flag and per-token ``segment_ids`` (D13);
+    and the placeholder slots
     ``(keys, k, pos, vector)`` that receive the projected embeddings (M4/M5)."""
     keys = list(keys)
-    ids = packed.select(*keys, A.normalise_placeholder("input_ids").alias("ids"), "speaker_embeddings")
+    extra = ["row_lengths"] if "row_lengths" in packed.columns else []
+    ids = packed.select(*keys, A.normalise_placeholder("input_ids").alias("ids"), "speaker_embeddings", *extra)
+    seg = [A.truncate(A.segment_ids("row_lengths"), max_len).alias("segment_ids")] if extra else []
     rows = ids.select(*keys, A.truncate("ids", max_len).alias("input_ids"),
                       A.truncate(A.mask_labels("ids"), max_len).alias("labels"),
-                      align.placeholders_match("ids", "speaker_embeddings", dim).alias("placeholders_ok"))
+                      align.placeholders_match("ids", "speaker_embeddings", dim).alias("placeholders_ok"), *seg)
     rows = rows.withColumn("attention_mask", A.attention_mask("input_ids"))
     return rows, align.align_placeholders(packed, keys, dim=dim)
 
