@@ -896,3 +896,40 @@ def embedding_split(spark, sf_dir):
     parts = flat.select("vec_id", F.posexplode(A.split_flat("flat", 16)).alias("k", "v"))
     return parts.select(_long("vec_id").alias("vec_id"), _long("k").alias("k"), _long(F.size("v")).alias("width"),
                         _round(F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 5).alias("vec_sum"))
+
+
+@register("main_speaker_offsets", f"""
+WITH {SEG_SQL},
+mine AS (SELECT sg.* FROM sg JOIN ms ON sg.file = ms.file AND sg.speaker = ms.main_speaker)
+SELECT file::BIGINT AS file, seg_order::BIGINT AS seg_order,
+       coalesce(sum(length(text)) OVER (PARTITION BY file ORDER BY "start", "end", seg_order
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS out_start,
+       length(text)::BIGINT AS n_chars
+FROM mine
+""")
+def main_speaker_offsets(spark, sf_dir):
+    """R3 in long form: where each main-speaker part lands in the joined output
+    (a running length per file without a window per file)."""
+    seg = FX.segments(spark, sf_dir, materialize=True)
+    mine = SEG.main_speaker_segments(seg).withColumn("n_chars", F.length("text"))
+    off = SEG.segment_offsets(mine, "n_chars", "file", "seg_order")
+    return off.select(_long("file").alias("file"), _long("seg_order").alias("seg_order"),
+                      _long("out_start").alias("out_start"), _long("n_chars").alias("n_chars"))
+
+
+@register("training_rows", f"""
+WITH {DOC_CTE},
+r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM dc),
+h AS (SELECT dc.doc_id, text_ids, codes FROM dc JOIN r USING (doc_id) WHERE rn < n // 5),
+s AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS idx,
+             ({PLAIN_SQL})[1:2048] AS ids FROM h)
+SELECT doc_id::BIGINT AS doc_id, idx::BIGINT AS idx, len(ids)::BIGINT AS n_ids, {ck('ids')} AS ids_ck,
+       len(ids)::BIGINT AS mask_len FROM s
+""")
+def training_rows(spark, sf_dir):
+    """Training path without speaker: O2 (first fifth) -> O1 -> Q4 -> Q7 -> Q8 -> Q9."""
+    from voxloom.plans.paths import plain_training_rows
+    rows = FX.bulk_rows(spark, sf_dir, with_embedding=False).select("doc_id", "text", "codes_list")
+    t = plain_training_rows(rows, "doc_id")
+    return t.select(_long("doc_id").alias("doc_id"), _long("idx").alias("idx"), _long(F.size("input_ids")).alias("n_ids"),
+                    A.checksum("input_ids").alias("ids_ck"), _long(F.size("attention_mask")).alias("mask_len"))
