@@ -41,5 +41,9 @@ def output_path(out_dir: str, vid, ext: str = "mp3") -> Column:
 
 
 def shard_path(index, fmt: str = V.SHARD_PATH_FORMAT) -> Column:
-    """S3: shard index -> file name; indexes below 1 map to shard 0."""
+    """S3: shard index -> file name; indexes below 1 map to shard 0.
+
+    The zero padding is to six digits, which equals the reference's names for
+    its whole index range (0..1139); indexes of 10,000 and more would get a
+    seventh digit there, not here."""
     return F.format_string(fmt, F.greatest(_c(index), F.lit(0)))
