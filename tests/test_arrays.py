@@ -161,3 +161,13 @@ def test_truncate_keep_tail_markers(spark):
     df = ints_df(spark, [list(range(10)) + [V.END_OF_AUDIO, V.END_OF_GPT], [1, 2, 3]])
     got = [r[0] for r in df.orderBy("id").select(A.truncate("a", 6, keep_tail=2)).collect()]
     assert got == [[0, 1, 2, 3, V.END_OF_AUDIO, V.END_OF_GPT], [1, 2, 3]]
+
+
+def test_unflatten_partial_last_frame(spark):
+    off, cb = V.AUDIO_OFFSET, V.CODEBOOK_SIZE
+    raw = list(range(9))                               # one whole frame + two codes
+    codes = [x + off + (i % 7) * cb for i, x in enumerate(raw)]
+    df = ints_df(spark, [codes, []])
+    got = [r[0] for r in df.orderBy("id").select(A.unflatten_frames("a")).collect()]
+    assert (got[0]["c0"], got[0]["c1"], got[0]["c2"]) == ([0, 7], [1, 4, 8], [2, 3, 5, 6])
+    assert (got[1]["c0"], got[1]["c1"], got[1]["c2"]) == ([], [], [])

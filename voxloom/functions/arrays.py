@@ -87,16 +87,42 @@ def flatten_frames(c0, c1, c2, offset: int = V.AUDIO_OFFSET) -> Column:
 
 
 def unflatten_frames(codes, offset: int = V.AUDIO_OFFSET) -> Column:
-    """Q2: flat code list -> ``struct(c0, c1, c2)`` with offsets removed."""
-    def body(raw):
+    """Q2: flat code list -> ``struct(c0, c1, c2)`` with offsets removed.
+
+    Whole frames are picked frame by frame (n/7 lambda calls); a list with a
+    partial last frame is split by slot with filters, so its extra codes are
+    still returned for the range check (P10) to see.
+    """
+    cb = V.CODEBOOK_SIZE
+
+    def whole(v):
+        nf = F.floor(F.size(v) / 7).cast("int")
+        seq = F.sequence(F.lit(0), nf - 1)
+
+        def pick(f, slot):
+            return F.get(v, 7 * f + slot) - (offset + slot * cb)
+
+        def per_frame(body):
+            return F.when(nf == 0, F.array().cast("array<int>")).otherwise(body)
+
+        return F.struct(
+            per_frame(F.transform(seq, lambda f: pick(f, 0))).alias("c0"),
+            per_frame(F.flatten(F.transform(seq, lambda f: F.array(pick(f, 1), pick(f, 4))))).alias("c1"),
+            per_frame(F.flatten(F.transform(seq, lambda f: F.array(pick(f, 2), pick(f, 3), pick(f, 5), pick(f, 6)))))
+            .alias("c2"))
+
+    def by_slot(raw):
         return F.struct(
             F.filter(raw, lambda x, i: i % 7 == 0).alias("c0"),
             F.filter(raw, lambda x, i: (i % 7 == 1) | (i % 7 == 4)).alias("c1"),
             F.filter(raw, lambda x, i: (i % 7 == 2) | (i % 7 == 3) | (i % 7 == 5) | (i % 7 == 6)).alias("c2"),
         )
 
-    raw = F.transform(_c(codes), lambda x, i: x - F.lit(offset) - (i % 7) * V.CODEBOOK_SIZE)
-    return let(raw, body)
+    def body(v):
+        raw = F.transform(v, lambda x, i: x - F.lit(offset) - (i % 7) * cb)
+        return F.when(F.size(v) % 7 == 0, whole(v)).otherwise(let(raw, by_slot))
+
+    return let(_c(codes).cast("array<int>"), body)
 
 
 def dedupe_frames(codes) -> Column:
