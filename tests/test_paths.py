@@ -60,3 +60,15 @@ def test_curated_helpers(spark):
     emb = spark.createDataFrame([("s1", [0.5]), ("s2", [0.1])], "stem string, speaker_embedding array<float>")
     rows = P.speaker_rows(tx, codes, emb).collect()
     assert len(rows) == 1 and rows[0]["input_ids"].count(V.IGNORE_LABEL) == 1
+
+
+def test_transcripts_stage(spark):
+    audio = spark.createDataFrame([("a", "/x/a.mp3"), ("b", "/x/b.mp3")], "stem string, path string")
+
+    def transcribe(client, path):
+        if path.endswith("b.mp3"):
+            raise RuntimeError("service down")
+        return [{"type": "word", "text": "hello"}, {"type": "spacing", "text": " "}, {"type": "word", "text": "there"}]
+
+    out = {r["stem"]: (r["text"], r["status"]) for r in P.transcripts(audio, lambda: "client", transcribe).collect()}
+    assert out == {"a": ("hello there", "ok"), "b": ("", "error")}

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom import vocab as V
 from voxloom.functions import arrays as A
 from voxloom.functions import text as TX
 from voxloom.operators import align, ingest, packing, sampling
 from voxloom.operators import segments as SEG
+from voxloom.operators.inference import call_with_retry
 
 
 # --- curated path: URL lists -> main-speaker audio -> speaker rows -----------
@@ -35,6 +37,21 @@ def main_speaker_audio(segments: DataFrame, samples: DataFrame, sr: int, bin_wid
     return SEG.slice_waveform(samples, mine.select("file", "start", "end"), "file", "t", sr=sr, bin_width=bin_width)
 
 
+WORDS_TYPE = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+def transcripts(audio: DataFrame, make_client, transcribe, key: str = "stem", path_col: str = "path",
+                max_retries: int = 1, rotate=None) -> DataFrame:
+    """M3 -> P8: call a caller-supplied transcription client per file (retries
+    with client rotation inside the task), keep ``type == 'word'`` entries and
+    join them with one space.  A file whose calls all fail gets an empty
+    transcript (later dropped by P5) and keeps its error text.
+    ``transcribe(client, path)`` returns a list of ``{'type', 'text'}`` dicts."""
+    words = call_with_retry(audio.select(key, path_col), path_col, make_client, transcribe, "words", WORDS_TYPE,
+                            max_retries, rotate)
+    return words.select(key, F.coalesce(TX.transcript_from_words("words"), F.lit("")).alias("text"), "status", "error")
+
+
 def speaker_rows(transcripts: DataFrame, codes: DataFrame, embeddings: DataFrame, key: str = "stem",
                  placeholder: int = V.IGNORE_LABEL) -> DataFrame:
     """J1 -> P5 -> Q15 -> Q3 -> Q5: ``(stem, input_ids, speaker_embedding)``.
