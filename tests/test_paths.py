@@ -9,7 +9,8 @@ from tests.conftest import SF_SMOKE
 def test_bulk_path_invariants(spark):
     rows = FX.bulk_rows(spark, SF_SMOKE)
     sp = P.bulk_speaker_rows(rows, "doc_id", text_ids="text_ids")
-    assert sp.filter(~F.col("placeholder_ok")).count() == 0
+    assert sp.filter(~F.col("placeholder_ok")).count() == 0 and sp.filter(F.col("error").isNotNull()).count() == 0
+    sp = sp.drop("error", "placeholder_ok")
     packed = P.pack_corpus(sp, "doc_id", outer=2, inner=3)
     got = packed.select(F.sum("n_rows").alias("rows"), F.sum("n_tokens").alias("tok"),
                         F.max("outer_shard").alias("mo")).collect()[0]
@@ -72,3 +73,10 @@ def test_transcripts_stage(spark):
 
     out = {r["stem"]: (r["text"], r["status"]) for r in P.transcripts(audio, lambda: "client", transcribe).collect()}
     assert out == {"a": ("hello there", "ok"), "b": ("", "error")}
+
+
+def test_bulk_rows_with_failed_encode_are_tagged(spark):
+    rows = spark.createDataFrame([(1, "hi", [V.AUDIO_OFFSET] * 7, [0.1]), (2, "yo", None, [0.2])],
+                                 "doc_id long, text string, codes_list array<int>, speaker_embedding array<float>")
+    got = {r["doc_id"]: (r["error"], r["placeholder_ok"]) for r in P.bulk_speaker_rows(rows, "doc_id").collect()}
+    assert got == {1: (None, True), 2: ("no audio codes", False)}

@@ -67,12 +67,17 @@ def speaker_rows(transcripts: DataFrame, codes: DataFrame, embeddings: DataFrame
 
 # --- bulk path: corpus rows -> packed training sequences ---------------------
 def bulk_speaker_rows(rows: DataFrame, key: str, text_ids: str | None = None) -> DataFrame:
-    """S1 -> Q15 -> Q3 -> Q5 -> P11: speaker rows with the placeholder check.
-    ``rows`` has ``key, text, codes_list, speaker_embedding`` (or ready ``text_ids``)."""
+    """S1 -> Q15 -> Q3 -> Q5 -> P11 (+ P7): speaker rows with the placeholder
+    check and an ``error`` for rows whose encode failed (NULL codes or
+    embedding, D7), so they can be split off with ``ingest.write_with_quarantine``
+    instead of ending the job.  ``rows`` has ``key, text, codes_list,
+    speaker_embedding`` (or ready ``text_ids``)."""
     tid = F.col(text_ids) if text_ids else A.byte_tokens("text")
+    error = (F.when(F.col("codes_list").isNull(), F.lit("no audio codes"))
+             .when(F.col("speaker_embedding").isNull(), F.lit("no speaker embedding")))
     out = rows.select(key, A.assemble_speaker(tid, A.dedupe_frames("codes_list")).alias("input_ids"),
-                      "speaker_embedding")
-    return out.withColumn("placeholder_ok", A.count_value("input_ids", V.PLACEHOLDER) == 1)
+                      "speaker_embedding", error.alias("error"))
+    return out.withColumn("placeholder_ok", F.coalesce(A.count_value("input_ids", V.PLACEHOLDER) == 1, F.lit(False)))
 
 
 def pack_corpus(rows: DataFrame, key: str, outer: int = V.OUTER_SHARDS, inner: int | str = V.INNER_SHARDS,
