@@ -114,3 +114,29 @@ def test_row_lengths_and_segment_ids(spark):
     got = sorted((r["bin"], r["row_lengths"], r["seg"]) for r in
                  out.select("bin", "row_lengths", segment_ids("row_lengths").alias("seg")).collect())
     assert got == [(0, [3, 4], [0, 0, 0, 1, 1, 1, 1]), (1, [30], [0] * 30), (2, [2], [0, 0])]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=4),
+       st.sampled_from(["3", "11", "10000"]))
+def test_packing_property(spark, shards, batch):
+    """Every row lands in exactly one bin, rows keep their order inside a bin,
+    bins follow next-fit, and only single rows exceed the limit."""
+    df = rows_df(spark, dict(enumerate(shards)))
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT, partitions=3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+    for s, lens in enumerate(shards):
+        bins = O.next_fit(lens, LIMIT)
+        mine = sorted((r for r in out if r["shard"] == s), key=lambda r: r["bin"])
+        assert [r["row_lengths"] for r in mine] == [[n for n, b in zip(lens, bins) if b == k] for k in sorted(set(bins))]
+        flat = [x for r in mine for x in r["input_ids"]]
+        assert flat == [s * 1000 + o for o, n in enumerate(lens) for _ in range(n)]
+        assert all(r["n_tokens"] <= LIMIT or r["n_rows"] == 1 for r in mine)
