@@ -88,3 +88,27 @@ def test_rank_in_group_splits_a_hot_group(spark):
     for g, t, w in rows:
         assert got[(g, t)] == acc.get(g, 0)
         acc[g] = acc.get(g, 0) + w
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=6), st.integers(1, 9), st.integers(0, 5))
+def test_rank_in_group_property(spark, sizes, buckets, hot):
+    """Rank and running sum inside groups equal a Python scan, whatever the
+    bucket count, with one group made much larger than the rest."""
+    sizes = list(sizes)
+    sizes[hot % len(sizes)] *= 20
+    rows = [(g, t, (g * 7 + t) % 4) for g, n in enumerate(sizes) for t in range(n)]
+    df = spark.createDataFrame(rows, "g long, t long, w long")
+    lead = sampling.composite_lead("g", "t", 0, max(sizes))
+    r = sampling.rank_in_group(df, "g", ["t"], "rank", lead, min_buckets=buckets)
+    s = sampling.rank_in_group(df, "g", ["t"], "before", lead, weight=F.col("w"), min_buckets=buckets)
+    ranks = {(x["g"], x["t"]): x["rank"] for x in r.collect()}
+    sums = {(x["g"], x["t"]): x["before"] for x in s.collect()}
+    acc = {}
+    for g, t, w in rows:
+        assert ranks[(g, t)] == t and sums[(g, t)] == acc.get(g, 0)
+        acc[g] = acc.get(g, 0) + w
