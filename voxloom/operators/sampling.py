@@ -137,9 +137,12 @@ def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead:
         df = df.withColumn("_lead_in", lead).checkpoint(eager=True)
         lead = F.col("_lead_in")
         n_rows = df.count()
-    g = with_global_index(df, keys, "_gi", lead=lead, n_rows=n_rows, weight=weight, min_buckets=min_buckets)
+    n = df.count() if n_rows is None else n_rows
+    g = with_global_index(df, keys, "_gi", lead=lead, n_rows=n, weight=weight, min_buckets=min_buckets)
     starts = g.groupBy(group_col).agg(F.min("_gi").alias("_g0"))
-    out = g.join(starts, group_col).withColumn(out_col, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
+    # there are at most n groups: broadcast the starts only under that bound
+    out = join_small(g, starts, group_col, small_rows=n).withColumn(out_col, F.col("_gi") - F.col("_g0"))
+    out = out.drop("_gi", "_g0")
     return out.drop("_lead_in") if materialize else out
 
 
