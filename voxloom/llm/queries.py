@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import jaccard_join, mixing, packing, pii, quality_model, quality_rules, toxicity
-from voxloom.llm.common import table
+from voxloom.llm import ann, chat, jaccard_join, mixing, packing, pii, quality_model, quality_rules, token_counts, toxicity
+from voxloom.llm.common import materialize, table
 
 #: folder of the public vocabularies (a parameter of the operators)
 TOKENIZERS = "/opt/tokenizers"
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -31,6 +35,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: what conversation -1 says, as user and as assistant
+_CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", _CONTROL_TEXT), (-1, 1, "assistant", _CONTROL_TEXT)], rows.schema)
+    convs = materialize(chat.conversation_table(rows.unionByName(own)), "conversations")
+    path = _tokenizer("byte_bpe_50k.json")
+    said = chat.read_back(materialize(chat.format_conversations(convs, path), "sequences"), path)
+    return convs.select("conv_id", "cls").join(said, "cls").drop("cls")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken")
@@ -46,6 +63,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     counts = [F.aggregate("base", F.lit(0).cast("long"), _counter(i)) for i in range(4)]
@@ -64,8 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_toxicity, op6_mixing, op7_quality_classifier,
-                            op8_jaccard_join, op10_pii, pipeline)}
+    f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_best_fit_packing, op4_toxicity, op5_chat_format, op6_mixing,
+                            op7_quality_classifier, op8_jaccard_join, op9_token_counts, op10_pii, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -95,6 +116,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR len(regexp_extract_all(t, '[!?]')) * 2 > n_words
             OR len(regexp_extract_all(t, '[^\p{{L}}\s]')) * 2 > word_chars) AS kept
 FROM j""",
+    "op5_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>|<SYS>>|</SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS x,
+         regexp_replace(replace(role, '\', '\\'), '(<)(\||/?s>|<SYS>>|</SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS r FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(24 + length(r) + length(x)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op6_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
