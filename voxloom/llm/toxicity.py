@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated.
 
 Features of the whole text: densities of a lexicon (a fixed list plus words
-that the training fold shows to be typical of toxic documents), how close its
+and word beginnings that the training fold shows to be typical of toxic
+documents), how close its
 words stand to second-person words, capitals, punctuation, and obfuscation
 (words of the lexicon written with digits and signs).  Spark ML fits the trees
 on one part of at most ``MAX_LABELLED`` labelled documents and an isotonic
@@ -32,8 +33,10 @@ from voxloom.llm import common as C
 
 #: labelled documents the model is fitted on, at most
 MAX_LABELLED = 12000
-#: words added to the lexicon from the training fold, at most
-MAX_LEARNED = 64
+#: words and word beginnings added to the lexicon from the training fold, at most
+MAX_LEARNED = 1000
+#: bytes of a word beginning
+BEGIN = 7
 
 # fixed values
 LEXICON = ("idiot idiots moron morons stupid trash worthless pathetic disgusting loser losers clown scum dumb "
@@ -53,13 +56,19 @@ FEATURES = ("lexicon_log", "lexicon_density", "weighted_density", "lexicon_disti
             "second_person", "capitals", "punctuation", "exclamation", "obfuscated_log", "obfuscation", "words_log")
 
 
+def terms(data: bytes) -> set[bytes]:
+    """Distinct words of a text, and the beginnings of longer ones (``*``)."""
+    words = set(data.translate(_PLAIN).split())
+    return words | {w[:BEGIN] + b"*" for w in words if len(w) > BEGIN}
+
+
 def features(text: str | None, weights: dict[bytes, float], second: frozenset[bytes]) -> list[float]:
     data = (text or "").encode("utf-8", "surrogatepass")
     plain = data.translate(_PLAIN).split()
     n = len(plain)
     if not n:
         return [0.0] * len(FEATURES)
-    hits = [i for i, w in enumerate(plain) if w in weights]
+    hits = [i for i, w in enumerate(plain) if w in weights or (len(w) > BEGIN and w[:BEGIN] + b"*" in weights)]
     persons = [i for i, w in enumerate(plain) if w in second]
     close = 0.0
     if hits and persons:
@@ -72,20 +81,20 @@ def features(text: str | None, weights: dict[bytes, float], second: frozenset[by
     if hits:
         h = np.array(hits)
         window = int((np.searchsorted(h, h + 30, "left") - np.arange(len(h))).max())
-    hidden = sum(w in weights for w in data.translate(_LEET).split()) - len(hits)
+    hidden = sum(w in weights for w in data.translate(_LEET).split()) - sum(w in weights for w in plain)
     letters = len(data) - len(data.translate(None, _LETTERS))
     upper = len(data) - len(data.translate(None, _UPPER))
     punct = len(data) - len(data.translate(None, _PUNCT))
-    return [math.log1p(len(hits)), 100 * len(hits) / n, 100 * sum(weights[plain[i]] for i in hits) / n,
+    return [math.log1p(len(hits)), 100 * len(hits) / n, 100 * sum(weights.get(plain[i]) or weights[plain[i][:BEGIN] + b"*"] for i in hits) / n,
             float(len({plain[i] for i in hits})), float(window), close, 100 * len(persons) / n,
             upper / max(1, letters), punct / n, data.count(b"!") / n, math.log1p(max(0, hidden)),
             100 * len(_MIXED.findall(data)) / n, math.log1p(n)]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text_col: str) -> DataFrame:
+def with_features(docs: DataFrame, lexicon: dict[bytes, float], keep: list[str], text_col: str) -> DataFrame:
     """``keep`` columns and ``features`` (array of double)."""
     C.ready(docs.sparkSession)
-    weights = {k.encode(): v for k, v in lexicon.items()}
+    weights = dict(lexicon)
     second = frozenset(w.encode() for w in SECOND_PERSON)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,20 +107,26 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], t
     return d.mapInArrow(run, schema + ", features array<double>")
 
 
-def learned_lexicon(rows: DataFrame, most: int = MAX_LEARNED) -> dict[str, float]:
-    """Words that far more toxic than other training documents hold: at least
-    2 % of the toxic ones (five at least), with a log-odds of 3 or more."""
-    word = F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")))
-    by = rows.select("label", word.alias("word")).where("word != ''").groupBy("word").agg(
-        F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+def learned_lexicon(rows: DataFrame, most: int = MAX_LEARNED) -> dict[bytes, float]:
+    """Words and word beginnings that far more toxic than other training
+    documents hold: at least 0.5 % of the toxic ones (five at least), with a
+    log-odds of 3 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted(terms((t.as_py() or "").encode("utf-8", "surrogatepass"))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.binary()))], ["label", "terms"])
+
+    by = rows.select("label", "text").mapInArrow(run, "label int, terms array<binary>").select("label", F.explode("terms").alias("term"))
+    by = by.groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     totals = rows.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).first()
     p, n = totals["p"] or 0, totals["n"] or 0
     if not p or not n:
         return {}
     odds = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (n + 1))
-    top = by.where(F.col("pos") >= max(5, 0.02 * p)).withColumn("odds", odds).where("odds >= 3").orderBy(
-        F.desc(F.col("pos") * F.col("odds")), "word").limit(most).collect()
-    return {r["word"]: float(r["odds"]) for r in top}
+    top = by.where(F.col("pos") >= max(5, 0.005 * p)).withColumn("odds", odds).where("odds >= 3").orderBy(
+        F.desc(F.col("pos") * F.col("odds")), "term").limit(most).collect()
+    return {bytes(r["term"]): float(r["odds"]) for r in top}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -123,7 +138,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     train = d.join(F.broadcast(known), "id").limit(max_labelled).persist()
     try:
-        lexicon = dict.fromkeys(LEXICON, 3.0) | learned_lexicon(train)
+        lexicon = dict.fromkeys((w.encode() for w in LEXICON), 3.0) | learned_lexicon(train)
         rows = C.materialize(with_features(train, lexicon, ["id", "label"], "text"), "toxic-train")
     finally:
         train.unpersist()
