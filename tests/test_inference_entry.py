@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from voxloom.operators import align
-from voxloom.operators.inference import encode_text, map_model, project_embeddings, with_retry
+from voxloom.operators.inference import ResourcePool, RetryPolicy, encode_text, map_model, project_embeddings, resolve
 
 from tests.conftest import SF_SMOKE
 
@@ -29,21 +29,49 @@ def test_encode_text_default_encoder(spark):
     assert got == [[128000, 104, 195, 169], [128000]]
 
 
-def test_with_retry_rotates_resource():
+def test_resolve_takes_the_next_resource_for_what_failed():
     calls = []
 
     def call(client, x):
-        calls.append(client)
-        if client == "bad":
+        calls.append((client, x))
+        if client == "bad" and x != 1:
             raise RuntimeError("quota")
         return x * 2
 
-    wrapped = with_retry(call, max_retries=1, rotate=lambda: "good")
-    assert wrapped(["bad"], 3) == (6, "ok", None) and calls == ["bad", "good"]
-    always_bad = with_retry(call, max_retries=2, rotate=lambda: "bad")
-    v, status, err = always_bad(["bad"], 1)
-    assert v is None and status == "error" and "quota" in err
-    assert with_retry(call)([None], 1)[1] == "error"
+    got = resolve([1, 3, 5], ResourcePool(["bad", "good"]), call, RetryPolicy())
+    assert [tuple(o) for o in got] == [(2, "ok", None, 1), (6, "ok", None, 2), (10, "ok", None, 2)]
+    assert calls == [("bad", 1), ("bad", 3), ("bad", 5), ("good", 3), ("good", 5)]
+    once = resolve([3], ResourcePool(["bad", "good"]), call, RetryPolicy(retryable=lambda e: not isinstance(e, RuntimeError)))
+    assert once[0].status == "error" and once[0].attempts == 1 and "quota" in once[0].error
+    spent = resolve([3], ResourcePool(["bad"]), call, RetryPolicy(attempts=3))
+    assert spent[0].status == "error" and "quota" in spent[0].error
+    assert resolve([1], ResourcePool([]), call, RetryPolicy())[0].error == "no resource left"
+    waits = RetryPolicy(attempts=5, first_wait=1.0, longest_wait=3.0)
+    assert [waits.wait_before(i) for i in range(4)] == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_encode_text_null_and_projection_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (4, "é")], "i int, text string")
+    got = {r["i"]: r["ids"] for r in encode_text(df, "text", "ids").collect()}
+    assert got == {1: [128000, 97, 98], 2: None, 3: [128000], 4: [128000, 195, 169]}
+    rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [3.0, 0.0])]
+    vec = spark.createDataFrame(rows, "i int, e array<float>")
+    got = {r["i"]: r["projection"] for r in project_embeddings(vec, "e", np.array([[1.0], [10.0]])).collect()}
+    assert got == {1: [21.0], 2: None, 3: None, 4: None, 5: [3.0]}
+
+
+def test_one_model_load_per_worker(spark, scratch):
+    def load():
+        import os
+        import uuid
+        open(os.path.join(scratch, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return 1
+
+    df = spark.range(0, 64, 1, 32)
+    map_model(df, load, lambda m, pdf: pdf, "id long", name="test-model").count()
+    import os
+    pids = [f.split("-")[0] for f in os.listdir(scratch)]
+    assert pids and len(pids) == len(set(pids))
 
 
 def test_projection_matches_numpy(spark):
@@ -147,7 +175,7 @@ def test_call_with_retry_stage(spark):
             raise RuntimeError("quota")
         return path.upper()
 
-    out = call_with_retry(df, "path", lambda: "flaky", transcribe, "text", max_retries=1, rotate=lambda: "fresh")
+    out = call_with_retry(df, "path", lambda: ["flaky", "fresh"], transcribe, "text")
     rows = {r["id"]: (r["text"], r["status"]) for r in out.collect()}
     assert rows[3] == (None, "error") and rows[13] == (None, "error")
     assert rows[5] == ("T5", "ok") and rows[0] == ("T0", "ok")

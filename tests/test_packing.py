@@ -140,3 +140,13 @@ def test_packing_property(spark, shards, batch):
         flat = [x for r in mine for x in r["input_ids"]]
         assert flat == [s * 1000 + o for o, n in enumerate(lens) for _ in range(n)]
         assert all(r["n_tokens"] <= LIMIT or r["n_rows"] == 1 for r in mine)
+
+
+def test_rows_without_ids_or_vector_do_not_shift_vectors(spark):
+    from voxloom import vocab as V
+    ph = V.PLACEHOLDER
+    df = spark.createDataFrame([(0, 0, None, [1.0, 1.0]), (0, 1, [ph, 5], None), (0, 2, [6, ph], [3.0, 3.0])],
+                               "shard int, ord int, input_ids array<int>, speaker_embedding array<float>")
+    row = packing.pack_rows(df, "shard", "ord").first()
+    assert list(row["input_ids"]) == [6, ph] and list(row["speaker_embeddings"]) == [3.0, 3.0] and row["n_rows"] == 1
+    assert [r[0] for r in df.orderBy("ord").select(packing.packable(dim=2)).collect()] == [False, False, True]

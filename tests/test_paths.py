@@ -71,7 +71,7 @@ def test_transcripts_stage(spark):
             raise RuntimeError("service down")
         return [{"type": "word", "text": "hello"}, {"type": "spacing", "text": " "}, {"type": "word", "text": "there"}]
 
-    out = {r["stem"]: (r["text"], r["status"]) for r in P.transcripts(audio, lambda: "client", transcribe).collect()}
+    out = {r["stem"]: (r["text"], r["status"]) for r in P.transcripts(audio, lambda: ["client"], transcribe).collect()}
     assert out == {"a": ("hello there", "ok"), "b": ("", "error")}
 
 

@@ -34,6 +34,11 @@ def test_concat_main_speaker_in_start_order(spark):
     assert r["n_parts"] == 3 and r["text"] == "early|mid|late"
 
 
+def test_concat_ties_keep_segment_order(spark):
+    segs = spark.createDataFrame([("f", "A", 0, 1.0, 3.0, "zz"), ("f", "A", 1, 1.0, 2.0, "aa")], SEG_SCHEMA)
+    assert SEG.concat_segments(segs, "text", "file").first()["text"] == "zzaa"
+
+
 def test_ms_index_truncates_toward_zero(spark):
     df = spark.createDataFrame([(1.9999,), (-0.0026,), (0.0,), (2.5,)], "x double")
     assert [r[0] for r in df.select(SEG.ms_index("x")).collect()] == [1999, -2, 0, 2500]

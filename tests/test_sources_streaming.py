@@ -105,3 +105,36 @@ def test_table_transcript_and_packed_sinks(spark, scratch):
     packed = spark.createDataFrame([(0, 0, [1, 2]), (1, 0, [3])], "outer_shard int, bin int, input_ids array<int>")
     write_packed(packed, os.path.join(scratch, "packed"))
     assert {"outer_shard=0", "outer_shard=1"} <= set(os.listdir(os.path.join(scratch, "packed")))
+
+
+def test_transcript_stems_are_decoded(spark, scratch):
+    for name in ("a b", "c%d", "e+f"):
+        with open(os.path.join(scratch, f"{name}.txt"), "w") as f:
+            f.write("x")
+    got = sorted(r["stem"] for r in R.read_transcripts(spark, scratch).collect())
+    assert got == ["a b", "c%d", "e+f"]
+
+
+def test_late_old_shard_and_batch_count(spark, scratch):
+    import time
+    src, sink, ckpt = (os.path.join(scratch, x) for x in ("in", "out", "ck"))
+    schema = spark.range(1).schema
+
+    def shard(i, days):
+        tmp = os.path.join(scratch, f"tmp{i}")
+        spark.range(i, i + 1).coalesce(1).write.parquet(tmp)
+        os.makedirs(src, exist_ok=True)
+        part = next(f for f in os.listdir(tmp) if f.endswith(".parquet"))
+        to = os.path.join(src, f"{i}.parquet")
+        with open(os.path.join(tmp, part), "rb") as a, open(to, "wb") as b:
+            b.write(a.read())
+        at = time.time() - days * 86400
+        os.utime(to, (at, at))
+
+    for i in range(3):
+        shard(i, 0)
+    assert ingest_new_shards(spark, src, schema, sink, ckpt, max_files_per_trigger=1) == 3
+    assert ingest_new_shards(spark, src, schema, sink, ckpt) == 0
+    shard(3, 10)
+    assert ingest_new_shards(spark, src, schema, sink, ckpt) == 1
+    assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == [0, 1, 2, 3]

@@ -1,4 +1,4 @@
-"""voxloom: speech-corpus data preparation as PySpark DataFrame operators.
+"""voxloom: preparation of training data for voice and text models with PySpark.
 
 ``functions`` holds Column expressions, ``operators`` DataFrame operators,
 ``sources``/``streaming`` scans, sinks and incremental ingest, ``plans`` the

@@ -7,7 +7,7 @@ functions (bounded by the row length), output in long form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom import vocab as V
@@ -47,11 +47,8 @@ def placeholder_ordinals_long(df: DataFrame, keys, ids_col: str = "input_ids") -
     """W2 in long form: ``cumsum(mask) - 1`` at every placeholder position.
 
     At a placeholder, the running count of placeholders equals its rank among
-    the placeholders, so only placeholder rows enter the window (one packed row
-    per window partition)."""
-    tok = df.select(*keys, F.explode(placeholder_positions(normalise_placeholder(ids_col))).alias("pos"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    return tok.withColumn("k", F.row_number().over(w) - 1).select(*keys, "k", "pos")
+    the placeholders: the index that ``posexplode`` gives, without a shuffle."""
+    return df.select(*keys, F.posexplode(placeholder_positions(normalise_placeholder(ids_col))).alias("k", "pos"))
 
 
 def fill_placeholders(packed: DataFrame, keys, weights, ids_col: str = "input_ids",

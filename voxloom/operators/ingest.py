@@ -31,7 +31,7 @@ def write_with_quarantine(df: DataFrame, error: Column, path: str, error_col: st
 
 def skip_done(todo: DataFrame, done: DataFrame, key: str = "stem") -> DataFrame:
     """Keep only work whose output does not exist yet (anti join on the key)."""
-    return todo.join(done.select(key).distinct(), key, "left_anti")
+    return todo.join(done.select(key), key, "left_anti")
 
 
 def pair_by_stem(audio: DataFrame, text: DataFrame, key: str = "stem") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,7 +3,7 @@
 Next-fit is sequential inside a shard, so parallelism is the shard count.  The
 table is hash-partitioned by shard (one shuffle), sorted by ``(shard, ord)``
 inside each partition, and streamed through ``mapInArrow``: the packer keeps
-only the open bin (at most ``limit`` tokens) in memory, never a whole shard.
+the open bin, up to 512 finished bins and one Arrow batch in memory, never a whole shard.
 Packed rows are built from zero-copy slices of the Arrow batches, so the
 payload crosses one shuffle and one Python pass.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,21 @@ from voxloom import vocab as V
 from voxloom.session import ship_package
 
 
+def packable(ids_col: str = "input_ids", emb_col: str | None = "speaker_embedding", dim: int | None = None) -> Column:
+    """True for rows whose ids and vectors stay aligned when packed: ids
+    present without NULLs, and, with vectors, a whole vector (of width ``dim``
+    if given) and exactly one placeholder.  Never NULL."""
+    ids = F.col(ids_col)
+    ok = ids.isNotNull() & ~F.array_contains(F.transform(ids, lambda x: x.isNull()), True)
+    if emb_col:
+        emb = F.col(emb_col)
+        ok = ok & emb.isNotNull() & (F.size(emb) > 0 if dim is None else F.size(emb) == dim)
+        ok = ok & ~F.array_contains(F.transform(emb, lambda x: x.isNull()), True)
+        one = F.size(F.filter(ids, lambda x: (x == V.PLACEHOLDER) | (x == V.IGNORE_LABEL))) == 1
+        ok = ok & one
+    return F.coalesce(ok, F.lit(False))
+
+
 def inner_shards_for(n_rows: int, outer: int, rows_per_shard: int = 2_000_000, minimum: int = 1) -> int:
     """Inner shard count that keeps every packed shard near ``rows_per_shard``
     rows.  Packing is sequential inside a shard, so this is the parallelism of
@@ -100,6 +115,9 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
     """K1 + K2 + K3: pack rows of a shard in ``ord`` order into bins of at most
     ``limit`` tokens; concatenate ids and embeddings per bin.
 
+    Rows without ids, or without the vector where vectors are packed, are left
+    out (see ``packable``).
+
     Output: ``shard, bin, input_ids, speaker_embeddings, n_rows, first_ord,
     n_tokens, row_lengths`` (token count of each packed row, in order; see
     ``functions.arrays.segment_ids`` for per-token row numbers, D13).
@@ -110,6 +128,10 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
     if oversize == "truncate":
         ids = F.slice(ids, 1, limit)
     emb = F.col(emb_col).cast("array<float>") if emb_col else F.array().cast("array<float>")
+    if emb_col:  # a row without ids or vector would shift the vectors of its bin
+        df = df.where(F.col(ids_col).isNotNull() & F.col(emb_col).isNotNull())
+    else:
+        df = df.where(F.col(ids_col).isNotNull())
     payload = _prepare(df.select(F.col(shard_col).cast("long").alias("shard"), F.col(ord_col).cast("long").alias("ord"),
                                  ids.cast("array<int>").alias("ids"), emb.alias("emb")), "shard", "ord", partitions)
     out_schema = T.StructType([

@@ -50,11 +50,12 @@ def main_speaker_segments(segments: DataFrame, main: DataFrame | None = None, fi
     return segments.join(keys, [file_col, speaker_col], "left_semi")
 
 
-def concat_segments(segments: DataFrame, payload_col: str, file_col: str = "file", sep: str = "") -> DataFrame:
-    """O5 + R3: a file's segments sorted by start and their payloads joined in that
-    order.  String payloads are joined with ``sep``; array payloads are flattened.
+def concat_segments(segments: DataFrame, payload_col: str, file_col: str = "file", sep: str = "",
+                    order_col: str = "seg_order") -> DataFrame:
+    """O5 + R3: a file's segments sorted by start (ties by ``order_col``, as a
+    stable sort leaves them) and their payloads joined in that order.  String payloads are joined with ``sep``; array payloads are flattened.
     One output row per file (its audio); a file with no part has no row."""
-    parts = F.sort_array(F.collect_list(F.struct("start", "end", F.col(payload_col).alias("p"))))
+    parts = F.sort_array(F.collect_list(F.struct("start", order_col, F.col(payload_col).alias("p"))))
     agg = segments.groupBy(file_col).agg(parts.alias("_parts"), F.count("*").alias("n_parts"))
     dt = segments.schema[payload_col].dataType.simpleString()
     if dt.startswith("array"):
@@ -74,7 +75,7 @@ def segment_offsets(segments: DataFrame, len_col: str, file_col: str = "file", o
     """
     lo, hi = segments.agg(F.min("start"), F.max("start")).first()
     lead = composite_lead(file_col, "start", lo or 0.0, hi or 0.0)
-    return rank_in_group(segments, file_col, ["start", "end", order_col], "out_start", lead, weight=F.col(len_col))
+    return rank_in_group(segments, file_col, ["start", order_col], "out_start", lead, weight=F.col(len_col))
 
 
 def slice_waveform(samples: DataFrame, segments: DataFrame, file_col: str = "file", t_col: str = "t",

@@ -16,7 +16,7 @@ from voxloom.functions import arrays as A
 from voxloom.functions import text as TX
 from voxloom.operators import align, ingest, packing, sampling
 from voxloom.operators import segments as SEG
-from voxloom.operators.inference import call_with_retry
+from voxloom.operators.inference import RetryPolicy, call_with_retry
 
 
 # --- curated path: URL lists -> main-speaker audio -> speaker rows -----------
@@ -40,15 +40,14 @@ def main_speaker_audio(segments: DataFrame, samples: DataFrame, sr: int, bin_wid
 WORDS_TYPE = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-def transcripts(audio: DataFrame, make_client, transcribe, key: str = "stem", path_col: str = "path",
-                max_retries: int = 1, rotate=None) -> DataFrame:
-    """M3 -> P8: call a caller-supplied transcription client per file (retries
-    with client rotation inside the task), keep ``type == 'word'`` entries and
+def transcripts(audio: DataFrame, clients, transcribe, key: str = "stem", path_col: str = "path",
+                policy: RetryPolicy = RetryPolicy()) -> DataFrame:
+    """M3 -> P8: call a caller-supplied transcription client per file (failed files
+    again with the next of ``clients()``), keep ``type == 'word'`` entries and
     join them with one space.  A file whose calls all fail gets an empty
     transcript (later dropped by P5) and keeps its error text.
     ``transcribe(client, path)`` returns a list of ``{'type', 'text'}`` dicts."""
-    words = call_with_retry(audio.select(key, path_col), path_col, make_client, transcribe, "words", WORDS_TYPE,
-                            max_retries, rotate)
+    words = call_with_retry(audio.select(key, path_col), path_col, clients, transcribe, "words", WORDS_TYPE, policy)
     return words.select(key, F.coalesce(TX.transcript_from_words("words"), F.lit("")).alias("text"), "status", "error")
 
 
@@ -86,8 +85,11 @@ def pack_corpus(rows: DataFrame, key: str, outer: int = V.OUTER_SHARDS, inner: i
     """O1 -> K4 -> K1 -> K2/K3: seeded shuffle, two-level shards, next-fit packing
     of each shard.  Output has ``outer_shard`` for the per-shard sink (K5).
 
+    Rows that cannot be packed safely (``packing.packable``) are left out; write
+    them to quarantine from ``rows`` first (``ingest.write_with_quarantine``).
     ``inner='auto'`` picks the inner shard count so that a shard holds about
     ``rows_per_shard`` rows (at least the reference's 50)."""
+    rows = rows.where(packing.packable())
     n = rows.count()
     if inner == "auto":
         inner = packing.inner_shards_for(n, outer, rows_per_shard, minimum=V.INNER_SHARDS)
@@ -112,7 +114,7 @@ def model_inputs(packed: DataFrame, keys=("shard", "bin"), dim: int = V.SPEAKER_
                       A.truncate(A.mask_labels("ids"), max_len).alias("labels"),
                       align.placeholders_match("ids", "speaker_embeddings", dim).alias("placeholders_ok"), *seg)
     rows = rows.withColumn("attention_mask", A.attention_mask("input_ids"))
-    return rows, align.align_placeholders(packed, keys, dim=dim)
+    return rows, align.align_placeholders(packed, keys, dim=dim).where(F.col("pos") < max_len)
 
 
 # --- training rows without speaker, and the sampling side --------------------

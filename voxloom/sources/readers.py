@@ -74,7 +74,7 @@ def read_transcripts(spark: SparkSession, root: str, suffix: str = ".txt", skip_
     """One row per transcript file ``(stem, text)``, whole file, stripped the
     way ``str.strip()`` does; names starting with ``skip_prefix`` are left out."""
     df = (spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}").text(root)
-          .select(F.col("_metadata.file_name").alias("_name"), "value"))
+          .select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_name"), "value"))
     if skip_prefix:
         df = df.filter(~F.col("_name").startswith(skip_prefix))
     stem = F.expr(f"substring(_name, 1, length(_name) - {len(suffix)})")

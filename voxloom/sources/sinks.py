@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 __all__ = ["write_sharded", "write_table", "write_transcripts"]
 
 
-def write_sharded(df: DataFrame, path: str, shard_col: str = "shard", mode: str = "overwrite") -> None:
+def write_sharded(df: DataFrame, path: str, shard_col: str = "shard", mode: str = "overwrite", files_per_shard: int = 1) -> None:
     """One directory per shard; re-running a shard replaces only that shard
-    (dynamic partition overwrite), so a retried job is idempotent."""
-    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(shard_col).parquet(path))
+    (dynamic partition overwrite), so a retried job is idempotent.  A shard's rows are
+    brought together in at most ``files_per_shard`` files."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard)) if files_per_shard > 1 else F.lit(0)
+    (df.repartition(shard_col, salt).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(shard_col).parquet(path))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -15,18 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: longer than any corpus is collected for
+NO_AGE_LIMIT = "36500d"
+
+
+def _committed(spark: SparkSession, checkpoint: str) -> int:
+    """Micro-batches committed so far, from the checkpoint's commit log."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/commits")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    # old commit files are removed in time; batch ids count on
+    return max((int(n) + 1 for n in names if n.isdigit()), default=0)
+
+
 def ingest_new_shards(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str, checkpoint: str,
                       transform: Callable[[DataFrame], DataFrame] | None = None,
                       max_files_per_trigger: int | None = None) -> int:
     """Run one incremental pass; returns the number of micro-batches executed."""
-    reader = spark.readStream.schema(schema)
+    # the age limit counts back from the newest file seen; shards may come late
+    reader = spark.readStream.schema(schema).option("maxFileAge", NO_AGE_LIMIT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.parquet(source_dir)
     if transform is not None:
         stream = transform(stream)
+    before = _committed(spark, checkpoint)
     q = (stream.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return len(q.recentProgress)
+    return _committed(spark, checkpoint) - before
