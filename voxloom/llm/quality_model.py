@@ -31,7 +31,7 @@ from voxloom.llm import common as C
 BITS = 13
 DIM = 1 << BITS
 #: rated documents the model is fitted on, at most
-MAX_LABELLED = 4000
+MAX_LABELLED = 3000
 CHUNK = 1 << 20
 
 SCORES = "expected_grade double, tail double, kept boolean"
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     x = np.zeros((len(got), DIM), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["idx"], "<u2")] = np.frombuffer(r["val"], "<f4")
+    del got
     return fit_ordinal(x, np.searchsorted(present, grade))
 
 

@@ -136,7 +136,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = d.join(F.broadcast(known), "id").limit(max_labelled).persist()
+    train = d.join(F.broadcast(known), "id").dropDuplicates(["id"]).persist()
     try:
         lexicon = dict.fromkeys((w.encode() for w in LEXICON), 3.0) | learned_lexicon(train)
         rows = C.materialize(with_features(train, lexicon, ["id", "label"], "text"), "toxic-train")
