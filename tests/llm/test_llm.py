@@ -326,6 +326,19 @@ def test_jaccard_components(spark, empty):
     assert jaccard_join.similarity_components(empty).count() == 0
 
 
+def test_jaccard_keeps_links_between_sets_of_different_size(spark):
+    """Copies with words added: the shorter set's prefix may end after the longer one's."""
+    rng = np.random.default_rng(11)
+    texts = {}
+    for i in range(300):
+        w = [f"w{i}x{j}" for j in range(int(rng.integers(20, 80)))]
+        more = [f"m{i}x{j}" for j in range((len(w) - 4) // 3)]  # just at the threshold
+        texts[2 * i], texts[2 * i + 1] = " ".join(w), " ".join(w + more)
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similarity_components(df).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_jaccard_odd_rows(spark, odd):
     rows = jaccard_join.similarity_components(odd).collect()
     assert len(rows) == len(ODD) and jaccard_join.keep_one(odd).columns == odd.columns
