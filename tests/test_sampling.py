@@ -14,9 +14,9 @@ def test_global_index_multi_bucket_equals_row_number(spark):
     assert got == expect
 
 
-def test_global_index_with_key_join_back(spark):
+def test_global_index_keeps_wide_rows(spark):
     df = spark.range(0, 300).select(F.col("id").alias("key"), (F.col("id") * 2).alias("payload"))
-    idx = sampling.with_global_index(df, ["key"], "idx", key="key", rows_per_bucket=50)
+    idx = sampling.with_global_index(df, ["key"], "idx", rows_per_bucket=50)
     assert sorted((r["key"], r["idx"], r["payload"]) for r in idx.collect()) == [(i, i, 2 * i) for i in range(300)]
 
 
@@ -112,3 +112,19 @@ def test_rank_in_group_property(spark, sizes, buckets, hot):
     for g, t, w in rows:
         assert ranks[(g, t)] == t and sums[(g, t)] == acc.get(g, 0)
         acc[g] = acc.get(g, 0) + w
+
+
+def test_global_index_orders_nulls_and_repeated_keys(spark):
+    """NULLs first, NaN last, repeated keys next to each other, no row lost or doubled."""
+    keys = [None] * 7 + [float("nan")] * 2 + [float(i % 40) for i in range(400)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k double, row long").repartition(5)
+    order = sorted(keys, key=lambda k: (k is not None, k != k, k if k is not None and k == k else 0.0))
+    for buckets in (1, 2, 16):
+        got = sampling.with_global_index(df, ["k"], "idx", min_buckets=buckets).orderBy("idx").collect()
+        assert [r["idx"] for r in got] == list(range(len(keys)))
+        assert [str(r["k"]) for r in got] == [str(k) for k in order]
+        assert sorted(r["row"] for r in got) == list(range(len(keys)))
+    assert sampling.with_global_index(df.limit(0), ["k"], "idx").count() == 0
+    shuffled = sampling.seeded_shuffle(df, "k").collect()
+    assert sorted(r["idx"] for r in shuffled) == list(range(len(keys)))
+    assert sampling.head_fraction(df, "k", 5).count() == len(keys) // 5

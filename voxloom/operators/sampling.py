@@ -1,8 +1,8 @@
 """Ordering, sampling and sharding.
 
 A global row index is the basis of head fractions, contiguous batches and
-contiguous shards.  It is computed without a one-partition window (above
-10,000 rows): rows are cut into buckets of a numeric lead of the sort order
+contiguous shards.  It is computed without a one-partition window, in the same
+way at every size: rows are cut into buckets of a numeric lead of the sort order
 (arithmetically for uniform hash orders, else at approximate quantiles),
 bucket totals give each bucket's offset (a table of at most ``buckets``
 rows), and a window partitioned by bucket numbers the rows inside it.
@@ -23,7 +23,6 @@ from voxloom import vocab as V
 from voxloom.operators.joins import join_small
 
 ROWS_PER_BUCKET = 2_000_000      # upper bound of rows ranked by one task
-MIN_ROWS_PER_BUCKET = 10_000     # below this, more buckets only add tasks
 
 
 def seeded_key(keys, seed: int = V.SHUFFLE_SEED) -> Column:
@@ -40,59 +39,46 @@ def _hash_lead(hex_col: Column) -> Column:
 
 def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Column | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
-                      key: str | None = None, uniform_range: tuple[float, float] | None = None,
+                      uniform_range: tuple[float, float] | None = None,
                       min_buckets: int | None = None, weight: Column | None = None) -> DataFrame:
     """Add a 0-based position of every row in the total order ``order_cols``
     (or, with ``weight``, the sum of ``weight`` over all earlier rows).
 
-    ``order_cols`` must be unique per row.  ``lead`` is a numeric expression
-    monotone non-decreasing in that order (defaults to the first order
-    column).  Rows are cut into ``max(min_buckets, n / rows_per_bucket)``
-    buckets of ``lead`` (``min_buckets`` defaults to the shuffle width, capped
-    at one bucket per 10,000 rows): arithmetically when ``lead`` is uniform on
-    ``uniform_range`` (hash orders), else at approximate quantiles.  Bucket
-    totals (one number per bucket) give the offsets; a window partitioned by
-    bucket finishes the count inside it.  Since the buckets follow ``lead``,
-    many rows with one leading value spread over several buckets as long as
-    ``lead`` varies among them.
-
-    With ``key`` (a unique column) the index is computed on the narrow
-    ``(key, order_cols)`` projection and joined back, so wide rows never pass
-    through the ranking sort.
+    ``order_cols`` should be unique per row; rows that tie in all of them get
+    distinct positions next to each other, in no fixed order.  NULLs come first,
+    as in ``orderBy``, and NaN last.  ``lead`` is a numeric expression monotone
+    non-decreasing in that order (defaults to the first order column).  Rows are
+    cut into ``max(min_buckets, n / rows_per_bucket)`` buckets of ``lead``
+    (``min_buckets`` defaults to the shuffle width): arithmetically when
+    ``lead`` is uniform on ``uniform_range`` (hash orders), else at approximate
+    quantiles; rows whose ``lead`` is NULL are a bucket of their own.  Bucket
+    totals (one number per bucket) give the offsets, which are put on the rows
+    themselves; a window partitioned by bucket finishes the count inside it.
+    Since the buckets follow ``lead``, many rows with one leading value spread
+    over several buckets as long as ``lead`` varies among them.
     """
     order_cols = list(order_cols)
     n = df.count() if n_rows is None else n_rows
-    if key is not None:
-        narrow_cols = list(dict.fromkeys([key] + [c for c in order_cols if c in df.columns]))
-        base = df.select(*narrow_cols, *([weight.alias("_w")] if weight is not None else []))
-        narrow = with_global_index(base, order_cols, idx_col, lead, rows_per_bucket, n, uniform_range=uniform_range,
-                                   min_buckets=min_buckets, weight=F.col("_w") if weight is not None else None)
-        return join_small(df, narrow.select(key, idx_col), key, small_rows=n)
     spark = df.sparkSession
     if min_buckets is None:
-        # spread the ranking over the shuffle width, but not into buckets of a few rows
-        min_buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / MIN_ROWS_PER_BUCKET))
+        min_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min_buckets, math.ceil(n / rows_per_bucket))
     lead_col = (lead if lead is not None else F.col(order_cols[0])).cast("double")
     work = df.withColumn("_lead", lead_col).withColumn("_w", (weight if weight is not None else F.lit(1)).cast("long"))
-    if buckets == 1:
-        work = work.withColumn("_b", F.lit(0.0))
-    elif uniform_range is not None:
+    if uniform_range is not None:
         lo, hi = uniform_range
         work = work.withColumn("_b", F.least(F.floor((F.col("_lead") - lo) * (buckets / (hi - lo))),
                                              F.lit(buckets - 1)).cast("double"))
     else:
         probs = [i / buckets for i in range(1, buckets)]
-        qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets))
-        splits = [-math.inf] + sorted(set(q for q in qs if q is not None)) + [math.inf]
-        if len(splits) < 3:
-            work = work.withColumn("_b", F.lit(0.0))
-        else:
-            work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
+        qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets)) if probs else []
+        # an infinite quantile is no split of its own: the outer ones cover it
+        cuts = sorted(set(q for q in qs if q is not None and math.isfinite(q)))
+        splits = [-math.inf, *(cuts or [0.0]), math.inf]
+        work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
+    work = work.withColumn("_b", F.when(F.col("_lead").isNull(), F.lit(-1.0)).otherwise(F.col("_b")))
     w = Window.partitionBy("_b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_w").over(w), F.lit(0).cast("long"))
-    if buckets == 1:
-        return work.withColumn(idx_col, before).drop("_b", "_lead", "_w")
     # one total per bucket: a table of at most `buckets` rows
     totals = sorted((float(r["_b"]), int(r["t"])) for r in work.groupBy("_b").agg(F.sum("_w").alias("t")).collect())
     offsets, acc = [], 0
@@ -149,21 +135,18 @@ def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead:
 def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col: str = "idx",
                    n_rows: int | None = None) -> DataFrame:
     """O1: deterministic permutation; ``idx`` is the row's position after it.
-    The ranking runs on the key alone (hash-bucketed, no sampling pass); the
-    result is joined back by key."""
-    n = df.count() if n_rows is None else n_rows
-    narrow = df.select(key).withColumn("_o1", seeded_key([key], seed))
-    ranked = with_global_index(narrow, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")), n_rows=n,
-                               uniform_range=(0.0, float(16 ** 15)))
-    # the (key, idx) table is broadcast only while its size is small; else a shuffle join
-    return join_small(df, ranked.select(key, idx_col), key, small_rows=n)
+    Every row gets one position, also where keys are NULL or repeat (such rows
+    lie next to each other).  Hash-bucketed, no sampling pass."""
+    hashed = df.withColumn("_o1", seeded_key([key], seed))
+    return with_global_index(hashed, ["_o1", key], idx_col, lead=_hash_lead(F.col("_o1")), n_rows=n_rows,
+                             uniform_range=(0.0, float(16 ** 15))).drop("_o1")
 
 
 def head_fraction(df: DataFrame, key: str, fraction_div: int = 5, idx_col: str = "idx",
                   n_rows: int | None = None) -> DataFrame:
-    """O2: the first ``n div fraction_div`` rows in ``key`` order (``key`` unique)."""
+    """O2: the first ``n div fraction_div`` rows in ``key`` order, NULLs first."""
     n = df.count() if n_rows is None else n_rows
-    return with_global_index(df, [key], idx_col, n_rows=n, key=key).filter(F.col(idx_col) < n // fraction_div)
+    return with_global_index(df, [key], idx_col, n_rows=n).filter(F.col(idx_col) < n // fraction_div)
 
 
 def head_n(df: DataFrame, order_cols, n: int = V.HEAD_SAMPLE) -> DataFrame:

@@ -873,7 +873,7 @@ def union_batches(spark, sf_dir):
     """O4 + U1: the table cut in two halves processed apart, then concatenated."""
     d = FX.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     n = d.count()
-    idx = sampling.with_global_index(d, ["doc_id"], "idx", n_rows=n, key="doc_id")
+    idx = sampling.with_global_index(d, ["doc_id"], "idx", n_rows=n)
     halves = [idx.filter(F.col("idx") < n // 2).withColumn("half", F.lit(0)),
               idx.filter(F.col("idx") >= n // 2).withColumn("half", F.lit(1))]
     done = [h.select("doc_id", "half", "idx", F.size(A.byte_tokens("text")).alias("n_tokens")) for h in halves]
