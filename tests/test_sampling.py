@@ -75,14 +75,13 @@ def test_mean_length_head_divides_by_rows_present(spark):
 def test_rank_in_group_splits_a_hot_group(spark):
     rows = [(0, t, t % 5) for t in range(3000)] + [(g, t, 1) for g in range(1, 40) for t in range(10)]
     df = spark.createDataFrame(rows, "g long, t long, w long")
-    lead = sampling.composite_lead("g", "t", 0, 2999)
     # the hot group must land in several buckets
-    buckets = sampling.with_global_index(df, ["g", "t"], "i", lead=lead, min_buckets=8)
-    assert buckets.filter("g = 0").count() == 3000
-    r = sampling.rank_in_group(df, "g", ["t"], "rank", lead, min_buckets=8)
+    cut = sampling._by_quantiles(df.withColumn("_lead", F.col("t").cast("double")), 8)
+    assert cut.filter("g = 0").select("_b").distinct().count() >= 6
+    r = sampling.rank_in_group(df, "g", ["t"], "rank", min_buckets=8)
     got = {(x["g"], x["t"]): x["rank"] for x in r.collect()}
     assert all(got[(g, t)] == t for (g, t, _) in rows)
-    s = sampling.rank_in_group(df, "g", ["t"], "before", lead, weight=F.col("w"), min_buckets=8)
+    s = sampling.rank_in_group(df, "g", ["t"], "before", weight=F.col("w"), min_buckets=8)
     got = {(x["g"], x["t"]): x["before"] for x in s.collect()}
     acc = {}
     for g, t, w in rows:
@@ -90,6 +89,23 @@ def test_rank_in_group_splits_a_hot_group(spark):
         acc[g] = acc.get(g, 0) + w
 
 
+def test_rank_in_group_any_key(spark):
+    """Groups that are NULL, strings or 64-bit ids; a NULL order key comes first."""
+    ids = [None, 2 ** 62 + 1, 2 ** 62 + 2, -5]
+    rows = [(g, t) for g in ids for t in [None, *range(50)]]
+    df = spark.createDataFrame(rows, "g long, t long").repartition(4)
+    for frame in (df, df.withColumn("g", F.concat(F.lit("k"), F.col("g").cast("string")))):
+        got = sampling.rank_in_group(frame, "g", ["t"], "rank", min_buckets=6).collect()
+        assert len(got) == len(rows)
+        assert all(r["rank"] == (0 if r["t"] is None else r["t"] + 1) for r in got)
+    assert sampling.rank_in_group(df.limit(0), "g", ["t"], "rank").count() == 0
+
+
+def test_head_rows(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(20)], "k long, p string")
+    assert {r["k"] for r in sampling.head_rows(df, "k", -F.col("k"), 3).collect()} == {17, 18, 19}
+
+
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
@@ -103,9 +119,8 @@ def test_rank_in_group_property(spark, sizes, buckets, hot):
     sizes[hot % len(sizes)] *= 20
     rows = [(g, t, (g * 7 + t) % 4) for g, n in enumerate(sizes) for t in range(n)]
     df = spark.createDataFrame(rows, "g long, t long, w long")
-    lead = sampling.composite_lead("g", "t", 0, max(sizes))
-    r = sampling.rank_in_group(df, "g", ["t"], "rank", lead, min_buckets=buckets)
-    s = sampling.rank_in_group(df, "g", ["t"], "before", lead, weight=F.col("w"), min_buckets=buckets)
+    r = sampling.rank_in_group(df, "g", ["t"], "rank", min_buckets=buckets)
+    s = sampling.rank_in_group(df, "g", ["t"], "before", weight=F.col("w"), min_buckets=buckets)
     ranks = {(x["g"], x["t"]): x["rank"] for x in r.collect()}
     sums = {(x["g"], x["t"]): x["before"] for x in s.collect()}
     acc = {}

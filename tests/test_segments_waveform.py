@@ -132,3 +132,11 @@ def test_slice_waveform_cuts_whole_milliseconds(spark):
     gdf = spark.createDataFrame([("a", 0, 0.0105, 0.02)], "file string, seg int, start double, end double")
     r = SEG.slice_waveform(sdf, gdf, "file", "t", sr=16000, bin_width=64).agg(F.min("t"), F.max("t"), F.count("*")).first()
     assert tuple(r) == (160, 319, 160)
+
+
+def test_slice_samples(spark):
+    df = spark.createDataFrame([([float(i) for i in range(10)], a, b) for a, b in
+                                [(0.002, 0.005), (0.0019, 0.0051), (0.008, 0.5), (0.5, 0.6), (0.004, 0.002)]],
+                               "v array<double>, a double, b double")
+    got = [r["x"] for r in df.select(SEG.slice_samples("v", F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [[2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0], [8.0, 9.0], [], []]

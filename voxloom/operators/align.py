@@ -33,7 +33,7 @@ def align_placeholders(df: DataFrame, keys, ids_col: str = "input_ids", emb_col:
                        dim: int = V.SPEAKER_DIM, normalise: bool = True) -> DataFrame:
     """J4 (slice form): one row per placeholder ``(keys..., k, pos, vector)``.
 
-    Rows failing P12 are dropped here; use ``placeholders_match`` to report them.
+    Rows failing P12 have no slots here; ``misaligned_rows`` reports them.
     """
     ids = normalise_placeholder(ids_col) if normalise else F.col(ids_col)
     base = df.select(*keys, placeholder_positions(ids).alias("_pos"), F.col(emb_col).alias("_emb"))
@@ -43,6 +43,15 @@ def align_placeholders(df: DataFrame, keys, ids_col: str = "input_ids", emb_col:
             .select(*keys, "k", "pos", F.slice("_emb", F.col("k") * dim + 1, dim).alias("vector")))
 
 
+def misaligned_rows(df: DataFrame, keys, ids_col: str = "input_ids", emb_col: str = "speaker_embeddings",
+                    dim: int = V.SPEAKER_DIM) -> DataFrame:
+    """P12 rejects: packed rows whose placeholders and vectors differ in number,
+    or hold a part of a vector, with both counts (for quarantine)."""
+    n = count_value(normalise_placeholder(ids_col), V.PLACEHOLDER)
+    out = df.select(*keys, n.alias("n_placeholders"), F.coalesce(F.size(emb_col), F.lit(0)).alias("n_floats"))
+    return out.where(F.coalesce(F.col("n_placeholders") * dim != F.col("n_floats"), F.lit(True)))
+
+
 def placeholder_ordinals_long(df: DataFrame, keys, ids_col: str = "input_ids") -> DataFrame:
     """W2 in long form: ``cumsum(mask) - 1`` at every placeholder position.
 

@@ -1,13 +1,14 @@
 """Codec-frame operators in long form.
 
 The array form lives in ``voxloom.functions.arrays``; these are the same frame
-dedupe with one row per frame.  Kept positions come from ``rank_in_group``, so
-no step puts a whole utterance into one task:
+dedupe with one row per kept code:
 
-* ``dedupe_frames_long`` explodes code arrays and carries each frame's next
-  slot 0 from the same array (no join);
+* ``dedupe_frames_long`` dedupes each code array and explodes what is left: the
+  whole utterance lies in one row, so neither a join nor a ranking is needed;
 * ``dedupe_frame_rows`` works on a table that already holds one row per frame:
-  frame i meets frame i+1 through an equi-join on ``(key, frame)``.
+  frame i meets frame i+1 through an equi-join on ``(key, frame)``, and kept
+  positions come from ``rank_in_group``, so no step puts a whole utterance into
+  one task.
 """
 
 from __future__ import annotations
@@ -15,11 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.arrays import let
-from voxloom.operators.sampling import composite_lead, rank_in_group
-
-# frame < 2^31, so key + frame / 2^31 leads (key, frame) without a pass for the maximum
-_FRAME_SPAN = 2 ** 31 - 1
+from voxloom.functions.arrays import dedupe_frames, let
+from voxloom.operators.sampling import rank_in_group
 
 
 def frames_long(df: DataFrame, key: str, codes_col: str, with_next: bool = False) -> DataFrame:
@@ -37,20 +35,11 @@ def frames_long(df: DataFrame, key: str, codes_col: str, with_next: bool = False
     return out.select(key, "frame", "_f.*")
 
 
-def _kept_positions(kept: DataFrame, key: str) -> DataFrame:
-    kept = rank_in_group(kept, key, ["frame"], "_before", composite_lead(key, "frame", 0, _FRAME_SPAN),
-                         weight=F.size("slots"), materialize=True)
-    return kept.select(key, F.posexplode("slots").alias("_j", "code"), "_before").select(
-        key, (F.col("_before") + F.col("_j")).alias("pos"), "code")
-
-
 def dedupe_frames_long(df: DataFrame, key: str, codes_col: str) -> DataFrame:
     """W1 + Q3 from code arrays: drop frame i when slot 0 equals slot 0 of frame
     i+1.  Output one row per kept code ``key, pos, code`` with ``pos`` its
-    position after the dedupe.  ``key`` must be numeric (it leads the ranking)."""
-    fr = frames_long(df, key, codes_col, with_next=True)
-    kept = fr.filter(~F.coalesce(F.get("slots", 0) == F.col("next0"), F.lit(False))).drop("next0")
-    return _kept_positions(kept, key)
+    position after the dedupe."""
+    return df.select(key, F.posexplode(dedupe_frames(codes_col)).alias("pos", "code"))
 
 
 def dedupe_frame_rows(frames: DataFrame, key: str = "key") -> DataFrame:
@@ -59,4 +48,6 @@ def dedupe_frame_rows(frames: DataFrame, key: str = "key") -> DataFrame:
     nxt = frames.select(key, (F.col("frame") - 1).alias("frame"), F.get("slots", 0).alias("_next0"))
     kept = (frames.join(nxt, [key, "frame"], "left")
             .filter(~F.coalesce(F.get("slots", 0) == F.col("_next0"), F.lit(False))).drop("_next0"))
-    return _kept_positions(kept, key)
+    kept = rank_in_group(kept, key, ["frame"], "_before", weight=F.size("slots"))
+    return kept.select(key, F.posexplode("slots").alias("_j", "code"), "_before").select(
+        key, (F.col("_before") + F.col("_j")).alias("pos"), "code")

@@ -6,7 +6,7 @@ way at every size: rows are cut into buckets of a numeric lead of the sort order
 (arithmetically for uniform hash orders, else at approximate quantiles),
 bucket totals give each bucket's offset (a table of at most ``buckets``
 rows), and a window partitioned by bucket numbers the rows inside it.
-``rank_in_group`` applies the same scheme to positions and running sums
+``rank_in_group`` cuts each group the same way for positions and running sums
 inside groups, so a hot group is split instead of landing in one task.
 """
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
-from voxloom.operators.joins import join_small
 
 ROWS_PER_BUCKET = 2_000_000      # upper bound of rows ranked by one task
 
@@ -37,6 +36,18 @@ def _hash_lead(hex_col: Column) -> Column:
     return F.conv(F.substring(hex_col, 1, 15), 16, 10).cast("long")
 
 
+def _by_quantiles(work: DataFrame, buckets: int) -> DataFrame:
+    """Add ``_b``: the bucket of ``_lead`` between approximate quantiles, -1 for
+    NULL; NaN is the last bucket."""
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets)) if probs else []
+    # an infinite quantile is no split of its own: the outer ones cover it
+    cuts = sorted(set(q for q in qs if q is not None and math.isfinite(q)))
+    splits = [-math.inf, *(cuts or [0.0]), math.inf]
+    cut = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
+    return cut.withColumn("_b", F.when(F.col("_lead").isNull(), F.lit(-1.0)).otherwise(F.col("_b")))
+
+
 def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Column | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
                       uniform_range: tuple[float, float] | None = None,
@@ -69,14 +80,9 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
         lo, hi = uniform_range
         work = work.withColumn("_b", F.least(F.floor((F.col("_lead") - lo) * (buckets / (hi - lo))),
                                              F.lit(buckets - 1)).cast("double"))
+        work = work.withColumn("_b", F.when(F.col("_lead").isNull(), F.lit(-1.0)).otherwise(F.col("_b")))
     else:
-        probs = [i / buckets for i in range(1, buckets)]
-        qs = work.stat.approxQuantile("_lead", probs, 1.0 / (8 * buckets)) if probs else []
-        # an infinite quantile is no split of its own: the outer ones cover it
-        cuts = sorted(set(q for q in qs if q is not None and math.isfinite(q)))
-        splits = [-math.inf, *(cuts or [0.0]), math.inf]
-        work = Bucketizer(splits=splits, inputCol="_lead", outputCol="_b", handleInvalid="keep").transform(work)
-    work = work.withColumn("_b", F.when(F.col("_lead").isNull(), F.lit(-1.0)).otherwise(F.col("_b")))
+        work = _by_quantiles(work, buckets)
     w = Window.partitionBy("_b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_w").over(w), F.lit(0).cast("long"))
     # one total per bucket: a table of at most `buckets` rows
@@ -92,44 +98,36 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
             .drop("_b", "_off", "_lead", "_w"))
 
 
-def composite_lead(group: Column | str, order: Column | str, lo: float, hi: float) -> Column:
-    """A numeric lead monotone in ``(group, order)`` for a numeric ``group`` and an
-    ``order`` within ``[lo, hi]``: ``group + (order - lo) / (hi - lo + 1)``."""
-    g = F.col(group) if isinstance(group, str) else group
-    o = F.col(order) if isinstance(order, str) else order
-    return g.cast("double") + (o.cast("double") - lo) / (float(hi) - float(lo) + 1.0)
-
-
-def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead: Column,
-                  weight: Column | None = None, n_rows: int | None = None,
-                  min_buckets: int | None = None, materialize: bool = False) -> DataFrame:
+def rank_in_group(df: DataFrame, group_col: str, order_cols, out_col: str, lead: Column | None = None,
+                  weight: Column | None = None, min_buckets: int | None = None) -> DataFrame:
     """Position of each row inside its group (``weight``: sum of ``weight`` over
-    the group's earlier rows) without a window per group.
-
-    The table is ranked globally over ``(group, order...)`` (buckets split a
-    hot group by its ``lead``), then each group's first value — a partial
-    aggregate, so a hot group is pre-combined — is subtracted.  ``order_cols``
-    must make rows unique within a group; weights must be non-negative.
-
-    ``materialize=True`` is for inputs that are expensive to recompute: the
-    input is checkpointed once to the shared checkpoint folder (project it to
-    the columns you need first) and all ranking passes read that copy.
+    the group's earlier rows) without a window over a whole group.
+
+    Rows are cut by approximate quantiles of ``lead``, a numeric expression
+    non-decreasing in ``order_cols`` (defaults to the first of them), and ranked
+    inside ``(group, bucket)``; a hot group spreads over the buckets, since no
+    bucket holds much more than its share of all rows.  Bucket totals per group,
+    a partial aggregate, give the offsets; they are joined on the same keys that
+    the window is partitioned by, so the rows are shuffled once.  Groups may be
+    of any type, and rows with a NULL group are a group of their own.
+    ``order_cols`` must make rows unique within a group.
     """
     order_cols = list(order_cols)
-    keys = [group_col, *order_cols]
-    if materialize:
-        from voxloom.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        df = df.withColumn("_lead_in", lead).checkpoint(eager=True)
-        lead = F.col("_lead_in")
-        n_rows = df.count()
-    n = df.count() if n_rows is None else n_rows
-    g = with_global_index(df, keys, "_gi", lead=lead, n_rows=n, weight=weight, min_buckets=min_buckets)
-    starts = g.groupBy(group_col).agg(F.min("_gi").alias("_g0"))
-    # there are at most n groups: broadcast the starts only under that bound
-    out = join_small(g, starts, group_col, small_rows=n).withColumn(out_col, F.col("_gi") - F.col("_g0"))
-    out = out.drop("_gi", "_g0")
-    return out.drop("_lead_in") if materialize else out
+    buckets = min_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a struct is never NULL, so NULL groups meet in the join too
+    work = (df.withColumn("_g", F.struct(F.col(group_col).alias("g")))
+            .withColumn("_lead", (lead if lead is not None else F.col(order_cols[0])).cast("double"))
+            .withColumn("_w", (weight if weight is not None else F.lit(1)).cast("long")))
+    work = _by_quantiles(work, buckets)
+    none = F.lit(0).cast("long")
+    inside = Window.partitionBy("_g", "_b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # at most `buckets` + 1 totals per group
+    starts = (work.groupBy("_g", "_b").agg(F.sum("_w").alias("_t"))
+              .select("_g", "_b", F.coalesce(F.sum("_t").over(earlier), none).alias("_off")))
+    ranked = work.withColumn("_in", F.coalesce(F.sum("_w").over(inside), none))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out_col]
+    return ranked.join(starts, ["_g", "_b"]).select(*kept, (F.col("_off") + F.col("_in")).alias(out_col))
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col: str = "idx",
@@ -154,6 +152,14 @@ def head_n(df: DataFrame, order_cols, n: int = V.HEAD_SAMPLE) -> DataFrame:
     return df.orderBy(*order_cols).limit(n)
 
 
+def head_rows(df: DataFrame, key: str, order: Column, n: int = V.HEAD_SAMPLE) -> DataFrame:
+    """O3 before expensive columns are built: the rows of ``df`` whose ``key`` is
+    among the first ``n`` by ``(order, key)``.  The top-k runs on the narrow
+    keys and a semi join prunes the rows."""
+    keys = df.select(key).withColumn("_o", order)
+    return df.join(head_n(keys, ["_o", key], n).select(key), key, "left_semi")
+
+
 def row_batches(df: DataFrame, idx_col: str = "idx", batch_rows: int = V.BATCH_ROWS,
                 batch_col: str = "batch") -> DataFrame:
     """Contiguous batches ``[k*batch_rows, (k+1)*batch_rows)`` of a global index."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.sampling import composite_lead, rank_in_group
+from voxloom.operators.sampling import rank_in_group
 
 
 def ms_index(seconds) -> Column:
@@ -70,12 +70,21 @@ def segment_offsets(segments: DataFrame, len_col: str, file_col: str = "file", o
     (``out_start`` = total length of the parts that start earlier).
 
     A running sum per file without a window per file: ``rank_in_group`` splits
-    a long file over several tasks.  ``file_col`` must be numeric; ``order_col``
-    breaks ties between parts with the same start.
+    a long file over several tasks.  ``order_col`` breaks ties between parts
+    with the same start.
     """
-    lo, hi = segments.agg(F.min("start"), F.max("start")).first()
-    lead = composite_lead(file_col, "start", lo or 0.0, hi or 0.0)
-    return rank_in_group(segments, file_col, ["start", order_col], "out_start", lead, weight=F.col(len_col))
+    return rank_in_group(segments, file_col, ["start", order_col], "out_start", weight=F.col(len_col))
+
+
+def slice_samples(samples, start, end, sr: int = 1000) -> Column:
+    """J2 on one file's sample array: ``[start, end)`` in seconds, cut in whole
+    milliseconds first (R4).  Empty where the segment lies past the samples."""
+    def index(seconds):
+        at = ms_index(seconds).cast("long") * sr
+        return F.greatest((at - F.pmod(at, F.lit(1000))) / 1000, F.lit(0)).cast("int")
+
+    first, last = index(start), index(end)
+    return F.slice(samples, first + 1, F.greatest(last - first, F.lit(0)))
 
 
 def slice_waveform(samples: DataFrame, segments: DataFrame, file_col: str = "file", t_col: str = "t",

@@ -20,9 +20,7 @@ from pyspark.sql import types as T
 
 from voxloom import vocab as V
 from voxloom.functions.arrays import assemble_speaker, dedupe_frames, frames_from_bytes, let, utf8_bytes
-from voxloom.operators.joins import join_small
-from voxloom.operators.sampling import composite_lead, rank_in_group
-from voxloom.session import checkpoint_dir
+from voxloom.operators.sampling import rank_in_group
 from voxloom.sources.readers import read_table
 
 SEGMENT_CHARS_PER_SECOND = 100.0
@@ -53,8 +51,7 @@ def bulk_rows(spark: SparkSession, sf_dir: str, with_embedding: bool = True) ->
     emb = table(spark, sf_dir, "embeddings")
     n_vec = emb.count()
     rows = rows.withColumn("vec_id", F.col("doc_id") % n_vec)
-    return join_small(rows, emb.select("vec_id", F.col("embedding").alias("speaker_embedding")), "vec_id",
-                      array_len=64, small_rows=n_vec).drop("vec_id")
+    return rows.join(emb.select("vec_id", F.col("embedding").alias("speaker_embedding")), "vec_id").drop("vec_id")
 
 
 def codec_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,27 +87,17 @@ def speaker_rows(spark: SparkSession, sf_dir: str, alt_placeholder_lang: str | N
     return b.select("doc_id", "lang", ids.alias("input_ids"), "speaker_embedding")
 
 
-def _materialized(df: DataFrame) -> DataFrame:
-    """Checkpoint a derived table read more than once by a plan (shared
-    checkpoint folder, lineage cut)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def segments(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diarisation-like segments from conversations: ``file, speaker, seg_order,
     start, end, text``; each segment overlaps the next by half a second."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    lo, hi = c.agg(F.min("turn"), F.max("turn")).first()
-    lead = composite_lead("conv_id", "turn", lo or 0, hi or 0)
     # characters of the earlier turns of the conversation, without a window per conversation
-    c = rank_in_group(c, "conv_id", ["turn"], "_off", lead, weight=F.length("text"))
-    out = c.select(F.col("conv_id").alias("file"), F.col("role").alias("speaker"), F.col("turn").alias("seg_order"),
+    c = rank_in_group(c, "conv_id", ["turn"], "_off", weight=F.length("text"))
+    return c.select(F.col("conv_id").alias("file"), F.col("role").alias("speaker"), F.col("turn").alias("seg_order"),
                    "text", "_off").select(
         "file", "speaker", "seg_order", "text",
         (F.col("_off") / SEGMENT_CHARS_PER_SECOND).alias("start"),
         ((F.col("_off") + F.length("text") + SEGMENT_OVERLAP_CHARS) / SEGMENT_CHARS_PER_SECOND).alias("end"))
-    return _materialized(out) if materialize else out
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,20 +111,16 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.transform("_w", lambda x: x["w"]).alias("words"))
 
 
-def wave_samples(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+def wave_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form waveform ``file, t, value`` from events per user.
 
     A decoded file carries its sample index; here it is numbered in
     ``(ts, event_id)`` order per user with ``rank_in_group``.
     """
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
-    micros = _epoch_micros(e, "ts")
-    lo, hi = e.agg(F.min(micros), F.max(micros)).first()
-    lead = composite_lead("user_id", micros, lo or 0, hi or 0)
     # sample index per user without a window per user (a hot user is split by time)
-    e = rank_in_group(e, "user_id", ["ts", "event_id"], "t", lead)
-    out = e.select(F.col("user_id").alias("file"), "t", "value", "event_type", "event_id")
-    return _materialized(out) if materialize else out
+    e = rank_in_group(e, "user_id", ["ts", "event_id"], "t", _epoch_micros(e, "ts"))
+    return e.select(F.col("user_id").alias("file"), "t", "value", "event_type", "event_id")
 
 
 def _epoch_micros(df: DataFrame, col: str):

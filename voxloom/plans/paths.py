@@ -79,20 +79,20 @@ def bulk_speaker_rows(rows: DataFrame, key: str, text_ids: str | None = None) ->
     return out.withColumn("placeholder_ok", F.coalesce(A.count_value("input_ids", V.PLACEHOLDER) == 1, F.lit(False)))
 
 
-def pack_corpus(rows: DataFrame, key: str, outer: int = V.OUTER_SHARDS, inner: int | str = V.INNER_SHARDS,
+def pack_corpus(rows: DataFrame, key: str, outer: int = V.OUTER_SHARDS, inner: int = V.INNER_SHARDS,
                 limit: int = V.PACK_LIMIT, seed: int = V.SHUFFLE_SEED, mode: str = "contiguous",
-                drop_tail: bool = False, rows_per_shard: int = 2_000_000) -> DataFrame:
+                drop_tail: bool = False, dim: int | None = None) -> DataFrame:
     """O1 -> K4 -> K1 -> K2/K3: seeded shuffle, two-level shards, next-fit packing
     of each shard.  Output has ``outer_shard`` for the per-shard sink (K5).
 
-    Rows that cannot be packed safely (``packing.packable``) are left out; write
-    them to quarantine from ``rows`` first (``ingest.write_with_quarantine``).
-    ``inner='auto'`` picks the inner shard count so that a shard holds about
-    ``rows_per_shard`` rows (at least the reference's 50)."""
-    rows = rows.where(packing.packable())
+    Rows that cannot be packed safely (``packing.packable``, with vectors of width
+    ``dim`` if given) are left out; write them to quarantine from ``rows`` first
+    (``ingest.write_with_quarantine``), which also spares computing ``rows``
+    again for the count and the ranking.  Packing is sequential inside a shard:
+    ``packing.inner_shards_for`` suggests a count for ``inner``, which sets the
+    bins' boundaries and is therefore never derived here."""
+    rows = rows.where(packing.packable(dim=dim))
     n = rows.count()
-    if inner == "auto":
-        inner = packing.inner_shards_for(n, outer, rows_per_shard, minimum=V.INNER_SHARDS)
     s = sampling.two_level_shards(sampling.seeded_shuffle(rows, key, seed, n_rows=n), "idx", n, outer, inner, mode)
     s = s.withColumn("shard", (F.col("outer_shard") * inner + F.col("inner_shard")).cast("long"))
     packed = packing.pack_rows(s, "shard", "inner_idx", "input_ids", "speaker_embedding", limit=limit,

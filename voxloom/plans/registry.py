@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from voxloom import vocab as V
 from voxloom.functions import arrays as A
 from voxloom.functions import text as TX
-from voxloom.operators import align, ingest, packing, prompts as PR, sampling, segments as SEG, waveform as WV
+from voxloom.operators import align, frames as FR, ingest, packing, prompts as PR, sampling, segments as SEG, waveform as WV
 from voxloom.operators.inference import encode_text, project_embeddings
-from voxloom.plans import fixtures as FX
+from voxloom.plans import fixtures as FX, paths as PATHS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -209,10 +209,19 @@ WITH {DOC_CTE}
 SELECT doc_id, len(codes)::BIGINT AS n_before, len(dedup)::BIGINT AS n_after, {ck_weighted('dedup')} AS dedup_ck FROM dd
 """)
 def frame_dedupe_long(spark, sf_dir):
-    """The same dedupe in long form, frame i compared with ``lead`` frame i+1."""
-    from voxloom.operators.frames import dedupe_frames_long
+    """The same dedupe in long form, from code arrays."""
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False).select("doc_id", "codes_list")
-    kept = dedupe_frames_long(b, "doc_id", "codes_list")
+    return _kept_stats(b, FR.dedupe_frames_long(b, "doc_id", "codes_list"))
+
+
+@register("frame_dedupe_rows", ORACLE["frame_dedupe_long"])
+def frame_dedupe_rows(spark, sf_dir):
+    """W1 on a table of frame rows: frame i meets frame i+1 by an equi-join."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False).select("doc_id", "codes_list")
+    return _kept_stats(b, FR.dedupe_frame_rows(FR.frames_long(b, "doc_id", "codes_list"), "doc_id"))
+
+
+def _kept_stats(b: DataFrame, kept: DataFrame) -> DataFrame:
     sizes = b.select("doc_id", _long(F.size("codes_list")).alias("n_before"))
     agg = kept.groupBy("doc_id").agg(
         _long(F.count("*")).alias("n_after"),
@@ -291,6 +300,23 @@ def collate_rows(spark, sf_dir):
                     _long(F.size("attention_mask")).alias("mask_len"), A.checksum("input_ids").alias("labels_ck"))
 
 
+@register("collate_long_rows", f"""
+WITH {DOC_CTE},
+p AS (SELECT doc_id, {PLAIN_SQL} AS full_ids FROM dd),
+t AS (SELECT doc_id, len(full_ids) AS n_full, full_ids[1:4096] AS ids FROM p)
+SELECT doc_id, n_full::BIGINT AS n_full, len(ids)::BIGINT AS n_ids, {ck('ids')} AS ids_ck,
+       len(ids)::BIGINT AS n_mask, {ck('ids')} AS labels_ck FROM t
+""")
+def collate_long_rows(spark, sf_dir):
+    """Q12 on rows that were not cut before: the collator's own limit bites."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    rows = PR.plain_rows(b, ["doc_id"], max_len=None).withColumn("n_full", F.size("input_ids"))
+    c = PR.collate(rows, V.MAX_LEN_COLLATE)
+    return c.select("doc_id", _long("n_full").alias("n_full"), _long(F.size("input_ids")).alias("n_ids"),
+                    A.checksum("input_ids").alias("ids_ck"), _long(F.size("attention_mask")).alias("n_mask"),
+                    A.checksum("labels").alias("labels_ck"))
+
+
 @register("generation_prompt", f"""
 WITH {DOC_CTE},
 g AS (SELECT doc_id, [128259] || text_ids || [128009, 128260, 128261, 128257] AS plain,
@@ -401,6 +427,7 @@ SELECT count(*)::BIGINT AS sample_rows, round(avg(n), 6) AS avg_length FROM h
 def mean_length_head(spark, sf_dir):
     """A3: mean speaker-row length over the first 10,000 rows of the shuffled table."""
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
+    b = sampling.head_rows(b, "doc_id", sampling.seeded_key(["doc_id"]), V.HEAD_SAMPLE)
     rows = b.select("doc_id", A.assemble_speaker("text_ids", A.dedupe_frames("codes_list")).alias("input_ids"))
     rows = rows.withColumn("_o1", sampling.seeded_key(["doc_id"]))
     r = sampling.mean_length_head(rows, "input_ids", ["_o1", "doc_id"], V.HEAD_SAMPLE)
@@ -469,10 +496,11 @@ def packed(spark, sf_dir) -> DataFrame:
     return packing.pack_rows(packing_input(spark, sf_dir), "shard", "ord", "input_ids", "speaker_embedding")
 
 
-PACK_INPUT_SQL = DOC_CTE + f""",
+def pack_input_sql(ph: str, emb: str = "e.embedding", where: str = "true") -> str:
+    return DOC_CTE + f""",
 ne AS (SELECT count(*) AS nv FROM embeddings),
-sp AS (SELECT dd.doc_id, {SPEAKER_SQL.format(ph="CASE WHEN lang = 'de' THEN -100 ELSE 128263 END")} AS ids, e.embedding AS emb
-       FROM dd, ne JOIN embeddings e ON e.vec_id = dd.doc_id % ne.nv),
+sp AS (SELECT dd.doc_id, {SPEAKER_SQL.format(ph=ph)} AS ids, {emb} AS emb
+       FROM dd, ne JOIN embeddings e ON e.vec_id = dd.doc_id % ne.nv WHERE {where}),
 s AS (SELECT doc_id, ids, emb, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS idx,
              count(*) OVER () AS n FROM sp),
 o AS (SELECT *, CASE WHEN idx < (n % {PACK_OUTER}) * (n // {PACK_OUTER} + 1) THEN idx // (n // {PACK_OUTER} + 1)
@@ -496,6 +524,9 @@ pk AS (SELECT shard, bin, count(*) AS n_rows, flatten(list(ids ORDER BY ord)) AS
 """
 
 
+PACK_INPUT_SQL = pack_input_sql("CASE WHEN lang = 'de' THEN -100 ELSE 128263 END")
+
+
 @register("pack_bins", "WITH RECURSIVE " + PACK_INPUT_SQL + """
 SELECT doc_id, shard::BIGINT AS shard, ord::BIGINT AS ord, bin::BIGINT AS bin FROM rb
 """)
@@ -572,6 +603,72 @@ def mask_labels(spark, sf_dir):
                     align.placeholders_match("ids", "speaker_embeddings", EMB_DIM).alias("counts_match"))
 
 
+@register("placeholder_rejects", "WITH RECURSIVE " + pack_input_sql(
+    "CASE WHEN lang = 'de' THEN -100 ELSE 128263 END",
+    "CASE WHEN dd.doc_id % 7 = 0 THEN e.embedding[1:32] ELSE e.embedding END") + f"""
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, len(list_filter(ids, lambda x: x IN (128263, -100)))::BIGINT AS n_placeholders,
+       len(emb)::BIGINT AS n_floats
+FROM pk WHERE len(list_filter(ids, lambda x: x IN (128263, -100))) * {EMB_DIM} <> len(emb)
+""")
+def placeholder_rejects(spark, sf_dir):
+    """P12 rejects: packed rows with vectors of a wrong width, reported with both counts."""
+    rows = packing_input(spark, sf_dir)
+    half = F.when(F.col("doc_id") % 7 == 0, F.slice("speaker_embedding", 1, 32)).otherwise(F.col("speaker_embedding"))
+    p = packing.pack_rows(rows.withColumn("speaker_embedding", half), "shard", "ord")
+    r = align.misaligned_rows(p, ["shard", "bin"], dim=EMB_DIM)
+    return r.select(*[_long(c).alias(c) for c in ("shard", "bin", "n_placeholders", "n_floats")])
+
+
+def bulk_packed(spark, sf_dir) -> DataFrame:
+    """The bulk path as a user calls it, on rows of which some lack codes, some a
+    vector, and some are longer than a sequence."""
+    b = FX.bulk_rows(spark, sf_dir).select(
+        "doc_id", "text", F.when(F.col("doc_id") % 11 != 3, F.col("codes_list")).alias("codes_list"),
+        F.when(F.col("doc_id") % 13 != 5, F.col("speaker_embedding")).alias("speaker_embedding"))
+    return PATHS.pack_corpus(PATHS.bulk_speaker_rows(b, "doc_id"), "doc_id", PACK_OUTER, PACK_INNER, dim=EMB_DIM)
+
+
+BULK_SQL = pack_input_sql("128263", where="dd.doc_id % 11 <> 3 AND dd.doc_id % 13 <> 5")
+
+
+@register("pack_corpus_bulk", "WITH RECURSIVE " + BULK_SQL + f"""
+SELECT (shard // {PACK_INNER})::BIGINT AS outer_shard, shard::BIGINT AS shard, bin::BIGINT AS bin, n_rows::BIGINT AS n_rows,
+       {ck('ids')} AS ids_ck, len(emb)::BIGINT AS n_emb FROM pk
+""")
+def pack_corpus_bulk(spark, sf_dir):
+    """The bulk path: P7 -> P11 -> O1 -> K4 -> K1 -> K2/K3."""
+    p = bulk_packed(spark, sf_dir)
+    return p.select(_long("outer_shard").alias("outer_shard"), _long("shard").alias("shard"), _long("bin").alias("bin"),
+                    _long("n_rows").alias("n_rows"), A.checksum("input_ids").alias("ids_ck"),
+                    _long(F.size("speaker_embeddings")).alias("n_emb"))
+
+
+@register("model_inputs_bulk", "WITH RECURSIVE " + BULK_SQL + f"""
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, {ck('ids[1:8192]')} AS ids_ck,
+       {ck("list_transform(ids[1:8192], lambda x: CASE WHEN x = 128263 THEN -100 ELSE x END)")} AS labels_ck,
+       least(len(ids), 8192)::BIGINT AS n_mask, least(len(ids), 8192)::BIGINT AS n_segment_ids,
+       (len(list_filter(ids, lambda x: x = 128263)) * {EMB_DIM} = len(emb)) AS placeholders_ok FROM pk
+""")
+def model_inputs_bulk(spark, sf_dir):
+    """The bulk path's model inputs, cut at 8192: P12 -> P13 -> Q10 -> Q7."""
+    rows, _ = PATHS.model_inputs(bulk_packed(spark, sf_dir), dim=EMB_DIM)
+    return rows.select(_long("shard").alias("shard"), _long("bin").alias("bin"), A.checksum("input_ids").alias("ids_ck"),
+                       A.checksum("labels").alias("labels_ck"), _long(F.size("attention_mask")).alias("n_mask"),
+                       _long(F.size("segment_ids")).alias("n_segment_ids"), "placeholders_ok")
+
+
+@register("model_slots_bulk", "WITH RECURSIVE " + BULK_SQL + "," + SLOTS_SQL + f"""
+SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, k::BIGINT AS k, p::BIGINT AS pos,
+       round(list_sum(list_transform(emb[k * {EMB_DIM} + 1:(k + 1) * {EMB_DIM}], lambda x: x::DOUBLE)), 4) AS vec_sum
+FROM sl WHERE p < 8192
+""")
+def model_slots_bulk(spark, sf_dir):
+    """The bulk path's placeholder slots inside the cut rows."""
+    _, slots = PATHS.model_inputs(bulk_packed(spark, sf_dir), dim=EMB_DIM)
+    total = F.aggregate("vector", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double"))
+    return slots.select(*[_long(c).alias(c) for c in ("shard", "bin", "k", "pos")], _round(total, 4).alias("vec_sum"))
+
+
 PROJ_OUT = 8
 
 
@@ -661,7 +758,7 @@ FROM sg JOIN ms ON sg.file = ms.file AND sg.speaker = ms.main_speaker GROUP BY s
 """)
 def main_speaker_concat(spark, sf_dir):
     """J3 -> O5 -> R3: the main speaker's parts in start order, joined."""
-    seg = FX.segments(spark, sf_dir, materialize=True)
+    seg = FX.segments(spark, sf_dir)
     mine = SEG.main_speaker_segments(seg)
     c = SEG.concat_segments(mine, "text", "file", sep="")
     return c.select(_long("file").alias("file"), _long("n_parts").alias("n_parts"), "text",
@@ -699,7 +796,7 @@ GROUP BY seg.file, seg.seg_t, s, e
 def segment_slice(spark, sf_dir):
     """R4 + J2: cut ``[int(start*1000), int(end*1000))`` out of each user's
     waveform for segments around every purchase event (binned range join)."""
-    smp = FX.wave_samples(spark, sf_dir, materialize=True)
+    smp = FX.wave_samples(spark, sf_dir)
     seg = (smp.filter(F.col("event_type") == "purchase")
            .select("file", F.col("t").alias("seg_t"),
                    ((F.col("t").cast("double") - 2.6) / 1000.0).alias("start"),
@@ -726,7 +823,7 @@ FROM y JOIN wv a ON a.file = y.file AND a.t = y.x0 JOIN wv b ON b.file = y.file
 """)
 def resample_linear(spark, sf_dir):
     """R2 long form: each user's event values as a 16 kHz waveform, resampled to 24 kHz."""
-    smp = FX.wave_samples(spark, sf_dir, materialize=True).select("file", "t", "value")
+    smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
     rates = smp.select("file").distinct().withColumn("sr", F.lit(FX.WAVE_SR))
     r = WV.resample_linear_long(smp, rates, V.TARGET_SR)
     return r.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
@@ -739,7 +836,7 @@ SELECT file::BIGINT AS file, t::BIGINT AS t, round((v0 + v1) / 2, 6) AS value FR
 """)
 def mono_mix(spark, sf_dir):
     """R1 long form: two channels (the value and the next value) mixed to mono."""
-    smp = FX.wave_samples(spark, sf_dir, materialize=True).select("file", "t", "value")
+    smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
     # channel 1 = the next sample (equi-join on (file, t + 1), no window per file)
     nxt = smp.select("file", (F.col("t") - 1).alias("t"), F.col("value").alias("_next"))
     ch1 = (smp.join(nxt, ["file", "t"], "left").withColumn("value", F.coalesce("_next", "value"))
@@ -749,6 +846,47 @@ def mono_mix(spark, sf_dir):
     return m.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
 
 
+@register("segment_slice_array", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+       trunc(((vec_id % 40)::DOUBLE / 1000.0::DOUBLE) * 1000.0::DOUBLE)::BIGINT * 2 AS s,
+       trunc((((vec_id % 40)::DOUBLE + 15.7::DOUBLE) / 1000.0::DOUBLE) * 1000.0::DOUBLE)::BIGINT * 2 AS e FROM embeddings)
+SELECT vec_id::BIGINT AS vec_id, len(v[s + 1:e])::BIGINT AS n_samples, round(coalesce(list_sum(v[s + 1:e]), 0), 5) AS value_sum FROM e
+""")
+def segment_slice_array(spark, sf_dir):
+    """R4 + J2 on one sample array per file (vectors as files of 2 kHz samples)."""
+    e = FX.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    at = (F.col("vec_id") % 40).cast("double")
+    s = e.select("vec_id", SEG.slice_samples("v", at / 1000.0, (at + 15.7) / 1000.0, sr=2000).alias("v"))
+    return s.select(_long("vec_id").alias("vec_id"), _long(F.size("v")).alias("n_samples"),
+                    _round(F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x), 5).alias("value_sum"))
+
+
+@register("resample_array", """
+WITH e AS (SELECT vec_id, embedding AS v, len(embedding) AS n FROM embeddings),
+o AS (SELECT vec_id, v, n, unnest(range(0, floor(n::DOUBLE * 1.5::DOUBLE)::BIGINT)) AS t FROM e),
+x AS (SELECT vec_id, v, n, t, greatest((t::DOUBLE + 0.5::DOUBLE) / 1.5::DOUBLE - 0.5::DOUBLE, 0.0::DOUBLE) AS x FROM o)
+SELECT vec_id::BIGINT AS vec_id, t::BIGINT AS t, round(v[floor(x)::BIGINT + 1]::DOUBLE * (1 - (x - floor(x)))
+       + v[least(floor(x)::BIGINT + 1, n - 1) + 1]::DOUBLE * (x - floor(x)), 5) AS value FROM x
+""")
+def resample_array(spark, sf_dir):
+    """R2 on one sample array per file: no shuffle."""
+    e = FX.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    r = e.select("vec_id", F.posexplode(WV.resample_linear("embedding", FX.WAVE_SR, V.TARGET_SR)).alias("t", "value"))
+    return r.select(_long("vec_id").alias("vec_id"), _long("t").alias("t"), _round("value", 5).alias("value"))
+
+
+@register("mono_mix_array", """
+WITH e AS (SELECT vec_id, embedding AS v, unnest(range(0, 32)) AS t FROM embeddings)
+SELECT vec_id::BIGINT AS vec_id, t::BIGINT AS t, round((v[t + 1]::DOUBLE + v[t + 33]::DOUBLE) / 2, 5) AS value FROM e
+""")
+def mono_mix_array(spark, sf_dir):
+    """R1 on one array of channels per file (the halves of a vector): no shuffle."""
+    e = FX.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("channels"))
+    m = e.select("vec_id", F.posexplode(WV.mono_mix("channels")).alias("t", "value"))
+    return m.select(_long("vec_id").alias("vec_id"), _long("t").alias("t"), _round("value", 5).alias("value"))
+
+
 # --------------------------------------------------------------------------
 # Ingest, URLs, pairing, run log, unions
 # --------------------------------------------------------------------------
@@ -816,6 +954,20 @@ def pairing(spark, sf_dir):
                         _long("n_chars").alias("n_chars"))
 
 
+@register("pairing_missing", """
+SELECT 'no transcript' AS missing, doc_id::BIGINT AS doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'no audio', doc_id::BIGINT FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 1)
+""")
+def pairing_missing(spark, sf_dir):
+    """J1 reports: audio without a transcript, and transcripts whose audio is missing."""
+    d = FX.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stem"))
+    lab = FX.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("stem"))
+    _, no_text, _ = ingest.pair_by_stem(d, lab, "stem")
+    _, _, no_audio = ingest.pair_by_stem(d.where("stem % 3 <> 1"), lab, "stem")
+    return (no_text.select(F.lit("no transcript").alias("missing"), _long("stem").alias("doc_id"))
+            .unionByName(no_audio.select(F.lit("no audio").alias("missing"), _long("stem").alias("doc_id"))))
+
+
 @register("skip_done", """
 SELECT d.doc_id::BIGINT AS doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 """)
@@ -910,7 +1062,7 @@ FROM mine
 def main_speaker_offsets(spark, sf_dir):
     """R3 in long form: where each main-speaker part lands in the joined output
     (a running length per file without a window per file)."""
-    seg = FX.segments(spark, sf_dir, materialize=True)
+    seg = FX.segments(spark, sf_dir)
     mine = SEG.main_speaker_segments(seg).withColumn("n_chars", F.length("text"))
     off = SEG.segment_offsets(mine, "n_chars", "file", "seg_order")
     return off.select(_long("file").alias("file"), _long("seg_order").alias("seg_order"),
