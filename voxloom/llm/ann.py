@@ -123,20 +123,25 @@ class KdTree:
         return (d * d).sum(1)
 
 
-def search_leaf(points: np.ndarray, ids: list[np.ndarray], proj: np.ndarray, query: np.ndarray, qproj: np.ndarray,
-                bound: float, k: int, stop: float, block: int = 64) -> list[tuple[float, int]]:
-    """The k best (cosine, id) of a leaf.  ``bound``: squared distance of the
-    k-th best known elsewhere."""
+def search_leaf(points: np.ndarray, norms: np.ndarray, ids: list[np.ndarray], proj: np.ndarray, query: np.ndarray,
+                qproj: np.ndarray, bound: float, k: int, stop: float, block: int = 64) -> list[tuple[float, int]]:
+    """The k best (cosine, id) of a leaf, without those beyond ``bound``, the
+    squared distance of the k-th best known elsewhere.  Blocks of growing
+    projected distance double in size; the test is made before each."""
     near = ((proj - qproj) ** 2).sum(1)
-    order = np.argsort(near, kind="stable")
+    order = np.flatnonzero(near <= stop * bound)
+    order = order[np.argsort(near[order], kind="stable")]
     qn = math.sqrt(float((query * query).sum()))
     best: list[tuple[float, int]] = []
-    for at in range(0, len(order), block):
+    at = 0
+    while at < len(order) and near[order[at]] <= stop * bound:
         rows = order[at:at + block]
-        if near[rows[0]] > stop * bound:
-            break
-        v = points[rows]
-        cos = (v * query).sum(1) / (np.sqrt((v * v).sum(1)) * qn)
+        at, block = at + block, 2 * block
+        # a quick product first; what may enter the best, ties included, is measured exactly
+        rows = rows[points[rows] @ query / (norms[rows] * qn) >= 1 - bound / 2 - 1e-9]
+        if not len(rows):
+            continue
+        cos = (points[rows] * query).sum(1) / (norms[rows] * qn)
         best += [(-c, int(i)) for c, r in zip(cos.tolist(), rows) for i in ids[r]]
         best = sorted(best)[:k]
         if len(best) == k:
@@ -211,8 +216,9 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
                 x, y = _matrix(p["v"]), _matrix(a["v"])
                 px, py = unit(x) @ g, unit(y) @ g
                 ids = list(p["ids"])
+                norms = np.sqrt((x * x).sum(1))
                 for i, (s, bound) in enumerate(zip(a["same"], a["bound"])):
-                    out += [(s, c, j) for c, j in search_leaf(x, ids, px, y[i], py[i], bound, k + 1, stop)]
+                    out += [(s, c, j) for c, j in search_leaf(x, norms, ids, px, y[i], py[i], bound, k + 1, stop)]
             return pd.DataFrame(out, columns=["same", "score", "vec_id"]).astype({"score": float, "vec_id": "int64"})
 
         keys = ["leaf", "block", "part"]
