@@ -339,6 +339,35 @@ def test_jaccard_keeps_links_between_sets_of_different_size(spark):
     assert got == {i: i - i % 2 for i in texts}
 
 
+def test_jaccard_enumerates_the_links_inside_components(spark, odd, empty):
+    """120 near copies, a class of equal texts among them, and some that link with few of the others."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(100)]
+    texts = {}
+    for i in range(120):
+        w = list(base)
+        for _ in range(int(rng.integers(1, 3))):
+            w[int(rng.integers(0, 100))] = f"e{rng.integers(0, 10**6)}"
+        texts[i] = " ".join(w)
+    texts |= {200: texts[0], 201: texts[0].upper(), 300: "a b c", 301: "A b c", 302: "", 303: None, 304: "alone in the world here now"}
+    sets = {}
+    for i, t in texts.items():
+        w = [x.lower() for x in WORD.findall(t or "")]
+        sets[i] = frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    linked = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b]
+              and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    links, docs = jaccard_join.linked_documents(df)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert {i: r["n_links"] for i, r in rows.items()} == {i: sum(a == i for a, _ in linked) for i in texts}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in rows.items()} == components_of(texts)
+    pairs = [tuple(r) for r in links.collect()]
+    want = {tuple(sorted((rows[a]["cls"], rows[b]["cls"]))) for a, b in linked if rows[a]["cls"] != rows[b]["cls"]}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 1000
+    assert jaccard_join.linked_documents(odd)[1].count() == len(ODD)
+    assert [t.count() for t in jaccard_join.linked_documents(empty)] == [0, 0]
+
+
 def test_jaccard_odd_rows(spark, odd):
     rows = jaccard_join.similarity_components(odd).collect()
     assert len(rows) == len(ODD) and jaccard_join.keep_one(odd).columns == odd.columns

@@ -60,7 +60,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+    # all links are looked for and written; the SQL's columns do not show their number (n_links)
+    _, documents = jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
