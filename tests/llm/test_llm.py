@@ -269,6 +269,22 @@ def test_mix_targets_and_positions(spark, odd, empty):
     assert mixing.plan_mix(empty).count() == 0
 
 
+def test_mix_plan_is_counted_in_the_written_corpus(spark, odd, empty):
+    both = sample(spark).unionByName(odd.drop("SIZE_", "kept"))
+    copies, plan = mixing.mixed_corpus(both)
+    want = mixing.plan_mix(both).select("doc_id", "size", "taken").collect()
+    rows = plan.collect()
+    assert sorted(map(str, ((r["doc_id"], r["size"], r["taken"]) for r in rows))) == sorted(map(str, map(tuple, want)))
+    assert all((r["first_position"] is None) == (r["taken"] == 0) for r in rows)
+    written = copies.collect()
+    texts = {r["text"] for r in both.collect()}
+    assert sum(r["size"] for r in written) == sum(r["taken"] for r in rows) > 0
+    assert {r["in_1"] for r in written} <= texts and all(len(WORD.findall(r["in_1"])) == r["size"] for r in written)
+    assert mixing.mixed_corpus(empty)[1].count() == 0
+    op6 = queries.op6_mixing(spark, SF)
+    assert any("voxloom-mixed-" in f for f in op6.inputFiles())
+
+
 def test_training_time_inverts_the_schedule(spark):
     for sched in mixing.SCHEDULES:
         got = spark.range(0, 101).select(mixing.training_time(F.col("id") / 100, sched).alias("t")).collect()

@@ -84,7 +84,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              keep: list[str] | None = None, max_repeats: int = MAX_REPEATS,
              schedules: tuple[tuple[float, ...], ...] = SCHEDULES) -> DataFrame:
     """``keep`` columns (default: the id), size, source_size, target, taken,
-    copies and positions (training time of each copy)."""
+    copies, positions (training time of each copy), and the source's rank with
+    the words of it that come before: a key of the rows with words."""
     keep = [id_col] if keep is None else keep
     names = C.free_name(keep, "size"), C.free_name(keep, "taken")
     assert names == ("size", "taken"), "rename input columns that clash with the plan's"
@@ -119,17 +120,40 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(
         F.array().cast("array<double>"))
     return d.select(*(F.col(f"`{c}`") for c in keep), "size", "source_size", "target",
-                    (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", positions.alias("positions"))
+                    (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", positions.alias("positions"), "rank", "before")
 
 
-def order_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                    parts: int | None = None) -> DataFrame:
-    """The mixed corpus: each document as often as the plan takes it, range
-    partitioned and sorted by training position; the input's columns."""
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, parts: int | None) -> tuple[DataFrame, dict[str, str]]:
+    """The mixed corpus in training order with position, size, rank and
+    before; the input's columns are renamed as in the second result."""
     inner = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     d = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
     plan = plan_mix(d, inner[id_col], inner[text_col], inner[source_col], keep=list(inner.values()))
-    copies = plan.select(*inner.values(), F.explode("positions").alias("position"))
+    copies = plan.select(*inner.values(), F.explode("positions").alias("position"), "size", "rank", "before")
     parts = parts or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = copies.repartitionByRange(parts, "position", inner[id_col]).sortWithinPartitions("position", inner[id_col])
+    return copies.repartitionByRange(parts, "position", inner[id_col]).sortWithinPartitions("position", inner[id_col]), inner
+
+
+def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Writes the mixed corpus in training order.  Returns it (the input's
+    columns as in_0, in_1, .., position, size, rank, before), and per row of
+    ``docs`` the id, size, source_size, target, and, counted in the written
+    copies, taken, first and last position (null: not taken)."""
+    copies, _ = _copies(docs, id_col, text_col, source_col, None)
+    copies = C.materialize(copies, "mixed")
+    # a row without words has the next row's key, and no copies
+    told = copies.groupBy("rank", "before").agg(F.sum("size").cast("long").alias("told"), F.min("position").alias("first_position"),
+                                                F.max("position").alias("last_position"))
+    plan = plan_mix(docs, id_col, text_col, source_col).join(told, ["rank", "before"], "left")
+    mine = F.col("size") > 0
+    return copies, plan.select(F.col(f"`{id_col}`"), "size", "source_size", "target",
+                               F.when(mine, F.coalesce("told", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+                               *(F.when(mine, F.col(c)).alias(c) for c in ("first_position", "last_position")))
+
+
+def order_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    parts: int | None = None) -> DataFrame:
+    """The mixed corpus: each document as often as the plan takes it, range
+    partitioned and sorted by training position; the input's columns."""
+    out, inner = _copies(docs, id_col, text_col, source_col, parts)
     return out.select(*(F.col(n).alias(c) for c, n in inner.items()))

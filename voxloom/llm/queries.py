@@ -49,7 +49,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    # the mixed corpus is written; taken is counted in it (the SQL's columns do not show the positions)
+    _, plan = mixing.mixed_corpus(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken")
 
 
