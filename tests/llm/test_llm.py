@@ -144,6 +144,21 @@ def test_packing_is_whole_and_tight(spark, odd, empty):
     assert packing.pack_documents(empty, BPE).count() == 0
 
 
+def test_sequences_hold_the_ids(spark, odd, empty):
+    import corpus_pipeline
+    docs = sample(spark).unionByName(odd.drop("SIZE_", "kept"))
+    plain = packing.pack_documents(docs, BPE, keep_ids=True).cache()
+    seqs = packing.sequences(plain).cache()
+    got = packing.pieces_of(seqs)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.select(*got.columns).collect()))
+    for s in seqs.collect():
+        assert len(s["ids"]) == 4 * sum(p["length"] for p in s["pieces"]) <= 4 * 2048
+    assert packing.pieces_of(packing.sequences(packing.pack_documents(empty, BPE, keep_ids=True))).count() == 0
+    last = corpus_pipeline.pack(spark, sample(spark), SF).collect()
+    assert last and all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in last)
+    assert any("voxloom-packed-" in f for f in queries.op3_best_fit_packing(spark, SF).inputFiles())
+
+
 def check_sequences(rows):
     seqs = {}
     for r in rows:

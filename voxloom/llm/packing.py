@@ -236,3 +236,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     ranked = ranked.select(*cols, (F.col("earlier") + F.col("local_rank")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
     return ranked.mapInPandas(place, schema + ", sequence_id long, offset long")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row per sequence of ``pack_documents(keep_ids=True)``: sequence_id,
+    its ids (at most ``capacity``), and in ``pieces`` what lies where."""
+    piece = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    s = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    ids = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), ""))
+    return s.select("sequence_id", ids.alias("ids"), F.transform("p", lambda x: x.dropFields("ids")).alias("pieces"))
+
+
+def pieces_of(seqs: DataFrame) -> DataFrame:
+    """The pieces in written sequences, with the checksum of the ids found there."""
+    s = seqs.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    ids = F.substring("ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
+    return s.select("p.doc_id", "p.piece", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "sequence_id", "p.offset")
