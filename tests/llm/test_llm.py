@@ -475,6 +475,30 @@ def test_redaction(spark, odd):
     assert pii.redact(odd).columns == odd.columns
 
 
+def test_long_and_base64_secrets(spark):
+    rng = np.random.default_rng(4)
+
+    def key(n, more=""):
+        return "A1b" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more), n - 3))
+
+    secrets = [key(128), key(129), key(400), key(44, "+/") + "==", "/" + key(63, "+/"), "eyJhbGciOiJSUzI1NiJ9." + key(300, "_-") + "." + key(342, "_-"),
+               "eyJhbGciOiJSUzI1NiJ9." + key(20) + "." + key(22), "".join(rng.choice(list("0123456789abcdef"), 256))]
+    shapes = ["token: {} and more", "secret key={}, then", "Authorization: Bearer {}", 'password = "{}"']
+    texts = [(i, shapes[i % 4].format(s), s) for i, s in enumerate(secrets * 4)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, secret string")
+    for r in pii.find_pii(df, ["text", "secret"]).collect():
+        at = r["text"].index(r["secret"])
+        spans = [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]]
+        assert any(k == "secret" and a <= at and b >= at + len(r["secret"]) for k, a, b in spans), (r["text"][:60], spans)
+    assert not [r for r in pii.redact(df).collect() if r["secret"][-20:] in r["text"] or r["secret"][:20] in r["text"]]
+    local = "x" * 80
+    spoken = spark.createDataFrame([(1, f"mail 1 {local} [at] {local} [dot] photography")], "doc_id long, text string")
+    hit = pii.with_candidates(spoken, [], "text", "cand").first()["cand"]
+    assert [(c["start"], c["end"]) for c in hit if c["kind"] == 0] == [(7, 7 + 80 + 6 + 80 + 18)]
+    long = spark.createDataFrame([(1, "1a" * 100_000 + "=" * 100_000 + " 1" + "a.b/c" * 60_000 + " eyJ" + "a.." * 60_000)], "doc_id long, text string")
+    assert pii.find_pii(long).count() == 1
+
+
 def test_label_model_finds_the_reliable_labelers():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.6

@@ -35,9 +35,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: added candidates: written-out addresses, grouped numbers, opaque keys
-EMAIL_SPOKEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,12}+"
+EMAIL_SPOKEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,}+"
 PHONE_GROUPED = r"(?<![0-9A-Za-z+.-])\+?(?:[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_-]{24,128}+(?![A-Za-z0-9_+/=-])"
+#: a web token's dotted parts are one key; "=" ends a key (padding) or stands before it
+_KEY = "A-Za-z0-9_+/-"
+SECRET = rf"(?<![{_KEY}])(?:eyJ[{_KEY}]{{9,}}+=*+(?:\.\.?+[{_KEY}]++=*+)++|[{_KEY}]{{24,}}+=*+)"
 
 #: fixed values: gazetteers and cue words
 TLDS = "com org net edu gov mil int info biz io co de fr es uk it nl eu us ca".split()
@@ -113,7 +115,8 @@ def _structure(kind: str, v: Column) -> Column:
         "ip": lambda: _vote(CHECKS["ip"](v)),
         "card": lambda: _vote(v.rlike(r"^[0-9]{13,19}$|^[0-9]{4}([\x20-][0-9]{4}){3}$|^[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}$")),
         "phone": lambda: _vote(v.rlike(r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}$") & n_digits(v).between(9, 15)),
-        "secret": lambda: _vote(v.rlike("[0-9]") & v.rlike("[A-Za-z]") & v.rlike(r"^[a-f0-9]+$|[A-Z].*[a-z].*[0-9]|[0-9].*[A-Z]")),
+        "secret": lambda: _vote(v.rlike("[0-9]") & v.rlike("[A-Za-z]") & v.rlike(  # possessive: linear in a key of any length
+            r"^[a-f0-9]++$|^[^A-Z]*+[A-Z][^a-z]*+[a-z][^0-9]*+[0-9]|^[^0-9]*+[0-9][^A-Z]*+[A-Z]")),
     }[kind]()
 
 
@@ -149,7 +152,7 @@ _SEARCHES = (  # kind, pattern, strict, a cheap test that a text may match; all
     ("card", CARD, True, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")),
     ("phone", PHONE, True, lambda t: F.contains(t, F.lit("+"))),
     ("phone", PHONE_GROUPED, False, lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}")),
-    ("secret", SECRET, False, lambda t: t.rlike(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24}")),
+    ("secret", SECRET, False, lambda t: t.rlike(rf"(?<![{_KEY}])(?:[{_KEY}]{{24}}|eyJ[{_KEY}]{{9}})")),
 )
 
 
