@@ -370,6 +370,19 @@ def test_jaccard_keeps_links_between_sets_of_different_size(spark):
     assert got == {i: i - i % 2 for i in texts}
 
 
+def test_keep_one_with_ids_that_repeat_with_other_texts(spark):
+    def text(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(5, text("a")), (5, text("b")), (5, text("b")), (6, text("b") + " z"), (7, text("c")), (8, text("c") + " z"), (8, text("d")),
+            (9, text("a") + " z"), (10, ""), (10, text("e")), (None, text("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, map(tuple, jaccard_join.keep_one(df).collect())))
+    want = [(5, text("a")), (5, text("b")), (7, text("c")), (8, text("d")), (10, ""), (10, text("e")), (None, text("a"))]
+    assert kept == sorted(map(str, want))
+    assert kept == sorted(map(str, map(tuple, jaccard_join.keep_one(df.repartition(7)).collect())))
+
+
 def test_jaccard_enumerates_the_links_inside_components(spark, odd, empty):
     """120 near copies, a class of equal texts among them, and some that link with few of the others."""
     rng = np.random.default_rng(7)
