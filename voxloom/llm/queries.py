@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import ann, chat, jaccard_join, mixing, packing, pii, quality_model, quality_rules, token_counts, toxicity
+from voxloom.llm import (ann, chat, conversation_trie, hard_negatives, jaccard_join, mixing, packing, pii, quality_model, quality_rules,
+                         substring_dedup, token_counts, toxicity)
 from voxloom.llm.common import materialize, table
 
 #: folder of the public vocabularies (a parameter of the operators)
@@ -83,6 +84,27 @@ def _counter(kind: int):
     return lambda n, s: n + (s["kind"] == kind).cast("long")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = conversation_trie.shared_openings(table(spark, sf_dir, "conversations"))
+    nodes, ends = conversation_trie.prefix_trie(turns, convs)
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")
+    both = nodes.join(conversation_trie.member_digests(ends), ["conv_id", "depth"], "left")
+    return both.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digest)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -90,7 +112,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_best_fit_packing, op4_toxicity, op5_chat_format, op6_mixing,
-                            op7_quality_classifier, op8_jaccard_join, op9_token_counts, op10_pii, pipeline)}
+                            op7_quality_classifier, op8_jaccard_join, op9_token_counts, op10_pii, op11_conversation_trie, op12_substring_dedup,
+                            op13_hard_negatives, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -172,4 +195,64 @@ reach AS (SELECT DISTINCT a AS root, a AS node FROM g UNION SELECT reach.root, g
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
 FROM (SELECT doc_id FROM documents) AS d LEFT JOIN n USING (doc_id)
 LEFT JOIN (SELECT node AS doc_id, min(root) AS c FROM reach GROUP BY node) AS m USING (doc_id)""",
+    "op11_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, turns, CAST(xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT))),
+           lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)),
+             lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))) AS BIGINT) % 9 AS h
+  FROM own),
+r AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+  FROM crc AS c LEFT JOIN own AS b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, len(turns) AS n, d, list_slice(turns, 1, d) AS key FROM r, range(0, len(turns) + 1) AS g(d)),
+n AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM p GROUP BY key, d),
+k AS (SELECT list_slice(key, 1, d - 1) AS key, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.key[n.d].text) END AS saved
+  FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key),
+s AS (
+  SELECT list_slice(v.key, 1, a) AS key, a AS d, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum(saved) AS saved_tokens
+  FROM v, range(0, v.d + 1) AS g(a) GROUP BY 1, 2)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.d = v.d AND s.key = v.key LEFT JOIN n AS u ON u.d = v.d - 1 AND u.key = list_slice(v.key, 1, v.d - 1)""",
+    "op12_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+x AS (
+  SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS s
+  FROM d, range(1, len(w) - 48) AS r(i) WHERE len(w) >= 50 AND doc_id IS NOT NULL),
+m AS (SELECT rid, i FROM x QUALIFY doc_id > min(doc_id) OVER (PARTITION BY s)),
+gone AS (SELECT rid, list(DISTINCT i + k) AS places FROM m, range(0, 50) AS g(k) GROUP BY rid),
+keep AS (
+  SELECT rid, doc_id, len(w) AS n, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(w, lambda y, j: NOT list_contains(places, j)), ' ') END AS kept
+  FROM d LEFT JOIN gone USING (rid))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM keep""",
+    "op13_hard_negatives": r"""
+WITH e AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.q, e.q) AS BIGINT) AS score
+  FROM e AS a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10""",
 }

@@ -15,7 +15,8 @@ CHUNK = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
+_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -37,7 +38,7 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start byte of each word of ``data``."""
     b = np.frombuffer(data, np.uint8)
     on = ~_SPACE[b]
@@ -48,18 +49,18 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     lens = ends - starts
     first = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    vals = (_LOWER[b[on]].astype(np.uint64) + np.uint64(1)) * _power(int(lens.max()))[place]
+    vals = ((_LOWER if lower else _SAME)[b[on]].astype(np.uint64) + np.uint64(1)) * _power(int(lens.max()))[place]
     return mix(np.add.reduceat(vals, first) + lens.astype(np.uint64) * _PLACE[1]), starts
 
 
-def long_word_hashes(data: bytes) -> np.ndarray:
+def long_word_hashes(data: bytes, lower: bool = True) -> np.ndarray:
     """``word_hashes`` of a long text, cut at white space."""
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + CHUNK)
         while end < len(data) and not _SPACE[data[end]]:
             end += 1
-        out.append(word_hashes(data[at:end])[0])
+        out.append(word_hashes(data[at:end], lower)[0])
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
