@@ -401,15 +401,36 @@ def test_jaccard_enumerates_the_links_inside_components(spark, odd, empty):
     linked = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b]
               and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    links, docs = jaccard_join.linked_documents(df)
-    rows = {r["doc_id"]: r for r in docs.collect()}
+    rows = {r["doc_id"]: r for r in jaccard_join.linked_documents(df).collect()}
     assert {i: r["n_links"] for i, r in rows.items()} == {i: sum(a == i for a, _ in linked) for i in texts}
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in rows.items()} == components_of(texts)
-    pairs = [tuple(r) for r in links.collect()]
-    want = {tuple(sorted((rows[a]["cls"], rows[b]["cls"]))) for a, b in linked if rows[a]["cls"] != rows[b]["cls"]}
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 1000
-    assert jaccard_join.linked_documents(odd)[1].count() == len(ODD)
-    assert [t.count() for t in jaccard_join.linked_documents(empty)] == [0, 0]
+    assert len(linked) > 2000
+    assert jaccard_join.linked_documents(odd).count() == len(ODD)
+    assert jaccard_join.linked_documents(empty).count() == 0
+
+
+def test_jaccard_links_of_rows_without_an_id(spark):
+    def text(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(1, text("a")), (None, text("a") + " z"), (3, text("a") + " y"), (None, text("a")), (None, text("b")), (None, text("b") + " z"),
+            (4, "lone words without any partner in the table"), (5, text("a") + " z"), (None, None)]
+    got = jaccard_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted(str((r["doc_id"], r["component_id"], r["n_links"])) for r in got if r["n_shingles"])
+    assert found == sorted(map(str, [(1, 1, 4), (None, 1, 4), (3, 1, 4), (None, 1, 4), (5, 1, 4), (None, None, 1), (None, None, 1), (4, 4, 0)]))
+    assert [(r["component_id"], r["n_links"]) for r in got if not r["n_shingles"]] == [(None, 0)]
+
+
+def test_sketches_share_a_token_where_sets_link():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 200))).astype(np.uint64))
+        b = a.copy()
+        b[rng.random(len(b)) < 0.14] = 1
+        b = np.unique(b)
+        if jaccard_join.linked(a, b):
+            for order in (2, 3):
+                assert len(np.intersect1d(jaccard_join.sketch(a, order), jaccard_join.sketch(b, order)))
 
 
 def test_jaccard_odd_rows(spark, odd):

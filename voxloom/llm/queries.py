@@ -63,9 +63,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # all links are looked for and written; the SQL's columns do not show their number (n_links)
-    _, documents = jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "n_shingles", "component_id")
+    documents = jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,9 +191,10 @@ e AS (
   SELECT p.a, p.b FROM p JOIN n AS x ON x.doc_id = p.a JOIN n AS y ON y.doc_id = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
 g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT DISTINCT a AS root, a AS node FROM g UNION SELECT reach.root, g.b FROM reach JOIN g ON g.a = reach.node)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(l.k, 0) AS n_links
 FROM (SELECT doc_id FROM documents) AS d LEFT JOIN n USING (doc_id)
-LEFT JOIN (SELECT node AS doc_id, min(root) AS c FROM reach GROUP BY node) AS m USING (doc_id)""",
+LEFT JOIN (SELECT node AS doc_id, min(root) AS c FROM reach GROUP BY node) AS m USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM g GROUP BY a) AS l USING (doc_id)""",
     "op11_conversation_trie": r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
