@@ -108,6 +108,40 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.where("vec_id = 5000"), F.lit(True)).count() == 0
 
 
+def test_neighbours_over_many_leaves(spark, monkeypatch):
+    """Recall of the walk from leaf to leaf: no clusters, 40 leaves."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 100)
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((4000, 24))
+    built = []
+    tree = ann.KdTree
+    monkeypatch.setattr(ann, "KdTree", lambda *a: built.append(tree(*a)) or built[-1])
+    got = ann.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    u = v / np.sqrt((v * v).sum(1))[:, None]
+    cos = u[::50] @ u.T
+    cos[np.arange(80), np.arange(0, 4000, 50)] = -9
+    true = np.argsort(-cos, axis=1)[:, :5]
+    rows = got.collect()
+    assert len(built[0].low) >= 20 and len(rows) == 400
+    hits = sum(r["vec_id"] in true[r["query_id"] // 50] for r in rows)
+    assert hits / 400 >= 0.9
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(13)
+    v = rng.standard_normal((100, 8)).tolist()
+    rows = list(enumerate(v)) + [(0, v[0])] * 6 + [(3, v[3])] + [(50, v[51]), (50, v[52])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    distinct = sorted({(i, tuple(x)) for i, x in rows})
+    for q in (0, 50):
+        want = []
+        for own in [x for i, x in distinct if i == q]:
+            a = np.array(own)
+            others = [(-round(float(a @ b / np.sqrt((a @ a) * (np.array(b) @ np.array(b)))), 9), i) for i, b in distinct if (i, b) != (q, own)]
+            want += [(r + 1, i) for r, (_, i) in enumerate(sorted(others)[:5])]
+        assert sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q) == sorted(want)
+
+
 def test_chi_square():
     assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.98)) - 0.98) < 1e-9
     assert abs(ann.chi_square_quantile(0.95) - 15.507) < 1e-3

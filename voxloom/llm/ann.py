@@ -14,11 +14,13 @@ points are taken by growing projected distance and verified against the
 original vectors until the chi-square test holds.
 
 Vectors that are equal form a class that is stored, and searched for, once; a
-class keeps its k + 1 smallest ids, more can never be among k answers.
+class keeps its k + 1 smallest distinct ids, more can never be among k answers.
 
 Defined results: vectors that are null, all zero, hold null or non-finite
 components, or have another dimension than most (ties: the smaller) take no
-part, as queries or candidates; equal scores go to the smaller id; a query has
+part, as queries or candidates; rows that repeat an id with its vector count once;
+rows that share an id only are rows of their own, as queries and as each other's
+candidates; equal scores go to the smaller id; a query has
 fewer than k rows only if there are fewer candidates; an empty table gives an
 empty result.
 """
@@ -38,8 +40,9 @@ from voxloom.llm import common as C
 DIMS = 8
 P_STOP = 0.98
 LEAF_ROWS = 2048
-#: classes the tree's splits are taken from, at most
-SAMPLE_ROWS = 20_000
+#: classes the tree's splits are taken from, at most, and per leaf, at least
+SAMPLE_ROWS = 100_000
+SAMPLE_PER_LEAF = 32
 #: queries of one leaf searched together
 QUERY_ROWS = 1024
 SEED = 20_240_229
@@ -124,15 +127,15 @@ class KdTree:
 
 
 def search_leaf(points: np.ndarray, norms: np.ndarray, ids: list[np.ndarray], proj: np.ndarray, query: np.ndarray,
-                qproj: np.ndarray, bound: float, k: int, stop: float, block: int = 64) -> list[tuple[float, int]]:
-    """The k best (cosine, id) of a leaf, without those beyond ``bound``, the
+                qproj: np.ndarray, bound: float, k: int, stop: float, mine: int = -1, block: int = 64) -> list[tuple[float, int, bool]]:
+    """The k best (cosine, id, whether of row ``mine``) of a leaf, without those beyond ``bound``, the
     squared distance of the k-th best known elsewhere.  Blocks of growing
     projected distance double in size; the test is made before each."""
     near = ((proj - qproj) ** 2).sum(1)
     order = np.flatnonzero(near <= stop * bound)
     order = order[np.argsort(near[order], kind="stable")]
     qn = math.sqrt(float((query * query).sum()))
-    best: list[tuple[float, int]] = []
+    best: list[tuple[float, int, bool]] = []
     at = 0
     while at < len(order) and near[order[at]] <= stop * bound:
         rows = order[at:at + block]
@@ -142,11 +145,11 @@ def search_leaf(points: np.ndarray, norms: np.ndarray, ids: list[np.ndarray], pr
         if not len(rows):
             continue
         cos = (points[rows] * query).sum(1) / (norms[rows] * qn)
-        best += [(-c, int(i)) for c, r in zip(cos.tolist(), rows) for i in ids[r]]
+        best += [(-c, int(i), bool(r == mine)) for c, r in zip(cos.tolist(), rows) for i in ids[r]]
         best = sorted(best)[:k]
         if len(best) == k:
             bound = min(bound, max(0.0, 2 + 2 * best[-1][0]))
-    return [(-c, i) for c, i in best]
+    return [(-c, i, own) for c, i, own in best]
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -169,7 +172,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     dim = top["d"]
     v = v.where(F.size("v") == dim)
     same = F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(7), "v"))).alias("same")
-    v = v.select("id", "v", "is_query", same)
+    v = v.select("id", "v", "is_query", same).dropDuplicates(["id", "same"])
     # k + 1 smallest ids of each class, first per salt: a class may hold a third of all rows
     small = v.withColumn("salt", F.pmod("id", F.lit(16)))
     for part in (["same", "salt"], ["same"]):
@@ -181,10 +184,16 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     wanted = classes.join(asked.select("same").distinct(), "same").select("same", "v")
 
     every = max(1, n // SAMPLE_ROWS)
-    some = classes.where(F.pmod(F.xxhash64("same"), F.lit(every)) == 0).orderBy("same").limit(SAMPLE_ROWS).select("v").collect()
     g = projection(dim)
-    sample = unit(np.array([r["v"] for r in some], np.float64)) @ g if some else np.zeros((0, DIMS))
-    tree = KdTree(sample, max(1, min(n // LEAF_ROWS, len(some) // 32)))
+
+    def projected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"same": f["same"], "p": [x.tobytes() for x in unit(_matrix(f["v"])) @ g] if len(f) else []})
+
+    some = classes.where(F.pmod(F.xxhash64("same"), F.lit(every)) == 0).select("same", "v").mapInPandas(projected, "same string, p binary")
+    got = some.orderBy("same").limit(SAMPLE_ROWS).select("p").collect()
+    sample = np.array([np.frombuffer(r["p"]) for r in got]) if got else np.zeros((0, DIMS))
+    tree = KdTree(sample, max(1, min(n // LEAF_ROWS, len(got) // SAMPLE_PER_LEAF)))
     stop = chi_square_quantile(P_STOP)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,29 +209,30 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     kind = classes.schema["v"].dataType.simpleString()
 
     def visit(q: DataFrame) -> DataFrame:
-        """q: same, v, leaf, bound -> same, score, vec_id (k + 1 best per block)."""
+        """q: same, v, leaf, bound -> same, score, vec_id, own (k + 1 best per block; own: of the query's class)."""
         q = C.materialize(q, "visits")
         load = q.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("q_parts"))
         nblk = F.element_at(how_many, F.col("leaf"))
         points = index.join(F.broadcast(load), "leaf").select(
-            "leaf", F.pmod(F.xxhash64("same"), nblk).alias("block"), F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("part"), "ids", "v")
+            "leaf", F.pmod(F.xxhash64("same"), nblk).alias("block"), F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("part"), "same", "ids", "v")
         asks = q.join(F.broadcast(load), "leaf").select(
             "leaf", F.explode(F.sequence(F.lit(0).cast("long"), nblk - 1)).alias("block"),
             F.pmod(F.xxhash64("same"), F.col("q_parts")).cast("int").alias("part"), "same", "v", "bound")
 
         def run(p: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple[str, float, int]] = []
+            out: list[tuple[str, float, int, bool]] = []
             if len(p) and len(a):
                 x, y = _matrix(p["v"]), _matrix(a["v"])
                 px, py = unit(x) @ g, unit(y) @ g
                 ids = list(p["ids"])
                 norms = np.sqrt((x * x).sum(1))
+                row = {s: i for i, s in enumerate(p["same"])}
                 for i, (s, bound) in enumerate(zip(a["same"], a["bound"])):
-                    out += [(s, c, j) for c, j in search_leaf(x, norms, ids, px, y[i], py[i], bound, k + 1, stop)]
-            return pd.DataFrame(out, columns=["same", "score", "vec_id"]).astype({"score": float, "vec_id": "int64"})
+                    out += [(s, *found) for found in search_leaf(x, norms, ids, px, y[i], py[i], bound, k + 1, stop, row.get(s, -1))]
+            return pd.DataFrame(out, columns=["same", "score", "vec_id", "own"]).astype({"score": float, "vec_id": "int64", "own": bool})
 
         keys = ["leaf", "block", "part"]
-        return points.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(run, "same string, score double, vec_id long")
+        return points.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(run, "same string, score double, vec_id long, own boolean")
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("same").orderBy(F.desc("score"), "vec_id")
@@ -260,6 +270,6 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     more = wanted.join(known, "same", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).mapInPandas(
         reach, f"same string, v {kind}, leaf long, bound double")
     found = C.materialize(best(first.unionByName(visit(more))), "nearest")
-    answers = asked.join(found, "same").where("vec_id != query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    answers = asked.join(found, "same").where("not (own and vec_id = query_id)")
+    w = Window.partitionBy("query_id", "same").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
