@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm import common as C
-from voxloom.llm.shingles import CHUNK, long_word_hashes, mix, word_hashes
+from voxloom.llm.shingles import BASE, CHUNK, INVERSE, long_word_hashes, mix, powers, word_hashes
 
 WINDOW = 50
 #: windows of a block, and hashes of a bucket, about
@@ -52,28 +52,14 @@ BYTES_PER_WINDOW = 6
 
 RESULT = "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept_text binary"
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_tables = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n - 1), mod 2^64."""
-    if len(_tables[base]) < n:
-        more = np.full(max(n, 2 * len(_tables[base])), base, np.uint64)
-        more[0] = 1
-        _tables[base] = np.cumprod(more)
-    return _tables[base][:n]
-
-
 def rolled(w: np.ndarray, window: int) -> np.ndarray:
     """Rabin-Karp hash of every window of the word hashes ``w``: the sum of
     w[i + k] / base^k, from prefix sums, mixed."""
     n = len(w) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * _powers(_INVERSE, len(w)))])
-    return mix((sums[window:] - sums[:-window]) * _powers(_BASE, n))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers(INVERSE, len(w)))])
+    return mix((sums[window:] - sums[:-window]) * powers(BASE, n))
 
 
 def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
