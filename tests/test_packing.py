@@ -36,6 +36,41 @@ def test_assign_bins_matches_oracle(spark):
         assert [got[(s, o)] for o in range(len(lens))] == O.next_fit(lens, LIMIT), s
 
 
+def test_one_shard_spreads_over_many_tasks(spark):
+    """Chunks of one shard, bins that span chunks, chunks that open no bin, oversized and empty rows."""
+    rng = random.Random(3)
+    for spread in (3, 30):
+        lens = [rng.choice([0, 1, rng.randint(0, spread), 45 if rng.random() < 0.05 else 2]) for _ in range(3000)]
+        want = O.next_fit(lens, LIMIT)
+        df = spark.createDataFrame([(0, o, n) for o, n in enumerate(lens)], "shard long, ord long, n long")
+        for rows in (1, 7, 40):
+            got = packing.assign_bins(df, "shard", "ord", "n", LIMIT, chunk_rows=rows)
+            assert [r["bin"] for r in got.orderBy("ord").collect()] == want, (spread, rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.assign_bins(df, "shard", "ord", "n", LIMIT, chunk_rows=40)
+        assert got.select(F.spark_partition_id()).distinct().count() >= 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_payload_of_a_bin_that_spans_chunks(spark):
+    rng = random.Random(4)
+    shards = {s: [rng.choice([0, 1, 2, 9, 25]) for _ in range(200)] for s in range(2)}
+    df = rows_df(spark, shards)
+    for rows in (1, 3, 50):
+        for drop in (False, True):
+            out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT, chunk_rows=rows, drop_tail=drop).collect()
+            for s, lens in shards.items():
+                bins = O.next_fit(lens, LIMIT)
+                want = {b: [s * 1000 + o for o, x in enumerate(bins) if x == b for _ in range(lens[o])] for b in set(bins) if not (drop and b == max(bins))}
+                assert {r["bin"]: r["input_ids"] for r in out if r["shard"] == s} == want
+                assert sum(r["shard"] == s for r in out) == len(want)
+
+
 def test_pack_rows_content_and_order(spark):
     df = rows_df(spark, CASES)
     out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT).collect()
@@ -87,7 +122,7 @@ def test_packing_streams_across_arrow_batches_and_partitions(spark):
     try:
         results = []
         for parts in (1, 3, 16):
-            out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT, partitions=parts)
+            out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT, chunk_rows=parts)
             results.append(sorted((r["shard"], r["bin"], tuple(r["input_ids"]), r["n_rows"]) for r in out.collect()))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
@@ -130,7 +165,7 @@ def test_packing_property(spark, shards, batch):
     prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT, partitions=3).collect()
+        out = packing.pack_rows(df, "shard", "ord", "ids", "emb", limit=LIMIT, chunk_rows=3).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
     for s, lens in enumerate(shards):

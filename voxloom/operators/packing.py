@@ -1,11 +1,21 @@
 """Next-fit packing of token rows into fixed-size training sequences (K1-K5).
 
-Next-fit is sequential inside a shard, so parallelism is the shard count.  The
-table is hash-partitioned by shard (one shuffle), sorted by ``(shard, ord)``
-inside each partition, and streamed through ``mapInArrow``: the packer keeps
-the open bin, up to 512 finished bins and one Arrow batch in memory, never a whole shard.
-Packed rows are built from zero-copy slices of the Arrow batches, so the
-payload crosses one shuffle and one Python pass.
+Next-fit reads a shard in order, but only the fill of the open bin passes from
+one row to the next.  A shard is therefore cut into chunks of consecutive rows,
+each of which is a function of the fill it starts with:
+
+1. every chunk is summed up on its own: for each row that may be the first to
+   open a bin, the bins opened and the fill left at the chunk's end (a row opens
+   the next bin where the prefix sum passes the limit, found by search);
+2. the summaries, one row per chunk, are run through in order, which gives each
+   chunk's starting fill and bin number;
+3. every chunk assigns its bins on its own.
+
+So a shard spreads over as many tasks as it has chunks, and only summaries are
+read in sequence.  For the payload, rows go to the chunk in which their bin
+opens, so a bin is never cut; it crosses one shuffle and one Python pass, and packed rows are
+zero-copy slices of the Arrow batches.  A task holds
+the open bin, up to 512 finished bins and one Arrow batch.
 
 Decisions (SURVEY D1/D2): the last open bin of a shard is emitted unless
 ``drop_tail=True``; empty bins are never emitted; a row longer than ``limit``
@@ -15,15 +25,17 @@ forms its own bin (``oversize='own_bin'``) or is cut to ``limit``
 
 from __future__ import annotations
 
+import bisect
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
-from voxloom.session import ship_package
+from voxloom.session import ship_package, written
 
 
 def packable(ids_col: str = "input_ids", emb_col: str | None = "speaker_embedding", dim: int | None = None) -> Column:
@@ -49,13 +61,20 @@ def inner_shards_for(n_rows: int, outer: int, rows_per_shard: int = 2_000_000, m
     return max(minimum, math.ceil(n_rows / max(outer, 1) / rows_per_shard))
 
 
-def _next_fit(shards, lengths, state, limit):
-    """Advance the next-fit state over one batch; returns the bin of each row."""
+#: rows of a chunk
+CHUNK_ROWS = 65_536
+#: chunks whose starts are broadcast (about 100 bytes each); more are joined
+BROADCAST_CHUNKS = 200_000
+
+
+def _next_fit(keys, firsts, lengths, state, limit):
+    """Advance the next-fit state over one batch; returns the bin of each row.
+    The first row of a key opens the bin that ``firsts`` names."""
     cur, fill, bin_no = state
     out = []
-    for s, n in zip(shards, lengths):
-        if s != cur:
-            cur, fill, bin_no = s, n, 0
+    for k, first, n in zip(keys, firsts, lengths):
+        if k != cur:
+            cur, fill, bin_no = k, n, first
         elif fill + n <= limit:
             fill += n
         else:
@@ -65,38 +84,156 @@ def _next_fit(shards, lengths, state, limit):
     return out
 
 
-def _prepare(df: DataFrame, shard_col: str, ord_col: str, partitions: int | None) -> DataFrame:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, shard_col).sortWithinPartitions(shard_col, ord_col)
+class _Chunk:
+    """Lengths of a chunk's rows as a function of the fill it starts with."""
+
+    def __init__(self, lengths: np.ndarray, limit: int):
+        self.limit = limit
+        self.sums = np.concatenate([[0], np.cumsum(lengths)])
+        n = len(lengths)
+        over = np.searchsorted(self.sums, self.sums[:-1] + limit, side="right") - 1
+        #: the row that opens the next bin after one opened at a row; n: none here
+        self.next = np.where(over >= n, n, np.maximum(over, np.arange(1, n + 1)))
+
+    def first(self, fill: int | None) -> int:
+        """The first row that opens a bin; fill None: no bin is open yet."""
+        if fill is None or fill > self.limit:
+            return 0
+        return int(np.searchsorted(self.sums, self.limit - fill, side="right")) - 1
+
+    def summary(self) -> tuple[list[int], list[int], list[int]]:
+        """Per row that may open the chunk's first bin: prefix sum up to and with
+        it, bins opened from there on, fill at the end."""
+        n = len(self.next)
+        opened, left = [0] * (n + 1), [0] * (n + 1)
+        total, sums, nxt = int(self.sums[-1]), self.sums.tolist(), self.next.tolist()
+        for i in range(n - 1, -1, -1):
+            j = nxt[i]
+            opened[i] = 1 + opened[j]
+            left[i] = left[j] if j < n else total - sums[i]
+        k = min(n, int(np.searchsorted(self.sums, self.limit, side="right")))
+        return sums[1:k + 1], opened[:k], left[:k]
+
+    def bins(self, fill: int | None, before: int) -> np.ndarray:
+        """Bin of each row, ``before`` bins having been opened earlier."""
+        opens = np.zeros(len(self.next), np.int64)
+        at = self.first(fill)
+        while at < len(opens):
+            opens[at] = 1
+            at = int(self.next[at])
+        return before - 1 + np.cumsum(opens)
+
+
+_SUMMARY = "shard long, chunk long, first_ord array<long>, sums array<long>, opened array<long>, left array<long>, total long"
+_START = "shard long, chunk long, fill long, bins long, open_ord long, home long, after long"
+
+
+def _chunk_of(ord_col: str, chunk_rows: int) -> Column:
+    return F.floor(F.col(ord_col) / chunk_rows).cast("long").alias("chunk")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of equal values of the first ``keys`` columns, one batch each."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for rb in batches:
+        cols = [rb.column(i).to_pylist() for i in range(keys)]
+        start = 0
+        for i, k in enumerate(zip(*cols)):
+            if k != key:
+                if i > start:
+                    held.append(rb.slice(start, i - start))
+                if held:
+                    yield key, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, start, key = [], i, k
+        if rb.num_rows > start:
+            held.append(rb.slice(start))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def chunk_starts(lengths: DataFrame, limit: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The state in which each chunk starts, without reading a shard in one task.
+
+    ``lengths``: shard, ord, n.  Returns shard, chunk, fill (null: no bin open) and bins (opened
+    so far), open_ord (the first row that opens a bin; null: none), home (the latest chunk
+    before it that opens one) and after (bins opened up to its end)."""
+    spark = lengths.sparkSession
+    ship_package(spark)
+    dealt = lengths.select("shard", _chunk_of("ord", chunk_rows), "ord", F.col("n").cast("long").alias("n")).repartition("shard", "chunk")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard, chunk), rb in _by_key(batches, 2):
+            c = _Chunk(rb.column(3).to_numpy(), limit)
+            sums, opened, left = c.summary()
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "chunk": chunk, "first_ord": rb.column(2).to_pylist()[:len(sums)], "sums": sums,
+                                               "opened": opened, "left": left, "total": int(c.sums[-1])}], schema=schema)
+
+    schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("first_ord", "sums", "opened", "left")),
+                        ("total", pa.int64())])
+    summaries = dealt.sortWithinPartitions("shard", "chunk", "ord").mapInArrow(summed, _SUMMARY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, fill, bins, home = None, None, 0, None
+        for rb in batches:
+            out = []
+            for r in rb.to_pylist():
+                if r["shard"] != shard:
+                    shard, fill, bins, home = r["shard"], None, 0, None
+                start = {"shard": shard, "chunk": r["chunk"], "fill": fill, "bins": bins, "open_ord": None, "home": home, "after": bins}
+                first = 0 if fill is None or fill > limit else bisect.bisect_right(r["sums"], limit - fill)
+                if first < len(r["sums"]):
+                    start["open_ord"] = r["first_ord"][first]
+                    home = r["chunk"]
+                    bins, fill = bins + r["opened"][first], r["left"][first]
+                    start["after"] = bins
+                else:
+                    fill += r["total"]
+                out.append(start)
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.int64()) for c in
+                                                                    ("shard", "chunk", "fill", "bins", "open_ord", "home", "after")]))
+
+    return written(summaries.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(run, _START), "chunk-starts")
+
+
+def _sized(starts: DataFrame) -> DataFrame:
+    """The starts, broadcast where their counted number allows it."""
+    return F.broadcast(starts) if starts.count() <= BROADCAST_CHUNKS else starts
 
 
 def assign_bins(df: DataFrame, shard_col: str, ord_col: str, len_col: str, limit: int = V.PACK_LIMIT,
-                bin_col: str = "bin", drop_tail: bool = False, partitions: int | None = None,
+                bin_col: str = "bin", drop_tail: bool = False, chunk_rows: int = CHUNK_ROWS,
                 keep: list[str] | None = None) -> DataFrame:
     """K1 on lengths only: ``(shard, ord, len[, keep...]) -> (..., bin)``.
 
-    Plans bins from narrow rows; ``keep`` columns (e.g. a row key) pass through
+    Plans bins from narrow rows, chunk by chunk; ``keep`` columns (e.g. a row key) pass through
     so the result can be joined back to the payload without recomputing it.
+    ``ord`` orders a shard's rows and does not repeat in it; a chunk holds the rows of ``chunk_rows``
+    consecutive values.  A null length counts as 0.
     """
     keep = [c for c in (keep or []) if c not in (shard_col, ord_col, len_col)]
-    cols = [F.col(shard_col).cast("long").alias(shard_col), F.col(ord_col).cast("long").alias(ord_col),
-            F.col(len_col).cast("long").alias(len_col)] + [F.col(c) for c in keep]
-    narrow = _prepare(df.select(*cols), shard_col, ord_col, partitions)
-    out_schema = T.StructType(list(narrow.schema.fields) + [T.StructField(bin_col, T.IntegerType())])
+    cols = [F.col(shard_col).cast("long").alias("shard"), F.col(ord_col).cast("long").alias("ord"),
+            F.coalesce(F.col(len_col).cast("long"), F.lit(0)).alias("n"), F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("kept")]
+    narrow = written(df.select(*cols), "lengths")
+    starts = chunk_starts(narrow, limit, chunk_rows)
+    rows = narrow.withColumn("chunk", _chunk_of("ord", chunk_rows)).join(_sized(starts.select("shard", "chunk", "fill", "bins")), ["shard", "chunk"])
+    rows = rows.select("shard", "chunk", "ord", "n", "fill", "bins", "kept").repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "ord")
+    out_schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("n", T.LongType()),
+                               narrow.schema["kept"], T.StructField("bin", T.IntegerType())])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = [None, 0, -1]
-        for rb in batches:
-            bins = _next_fit(rb.column(0).to_pylist(), rb.column(2).to_pylist(), state, limit)
-            yield pa.RecordBatch.from_arrays(list(rb.columns) + [pa.array(bins, pa.int32())],
-                                             names=list(rb.schema.names) + [bin_col])
+        for _, rb in _by_key(batches, 2):
+            fill, bins = rb.column(4)[0].as_py(), rb.column(5)[0].as_py()
+            assigned = _Chunk(rb.column(3).to_numpy(), limit).bins(fill, bins)
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), rb.column(3), rb.column(6), pa.array(assigned, pa.int32())],
+                                             names=["shard", "ord", "n", "kept", "bin"])
 
-    ship_package(df.sparkSession)
-    binned = narrow.mapInArrow(fn, out_schema)
+    binned = rows.mapInArrow(fn, out_schema)
     if drop_tail:
-        last = binned.groupBy(shard_col).agg(F.max(bin_col).alias("_last"))
-        binned = binned.join(last, shard_col).filter(F.col(bin_col) < F.col("_last")).drop("_last")
-    return binned
+        last = binned.groupBy("shard").agg(F.max("bin").alias("_last"))
+        binned = binned.join(last, "shard").filter(F.col("bin") < F.col("_last"))
+    return binned.select(F.col("shard").alias(shard_col), F.col("ord").alias(ord_col), F.col("n").alias(len_col),
+                         *[F.col(f"kept.{c}").alias(c) for c in keep], F.col("bin").alias(bin_col))
 
 
 class _Carry:
@@ -111,12 +248,12 @@ class _Carry:
 
 def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input_ids",
               emb_col: str | None = "speaker_embedding", limit: int = V.PACK_LIMIT, drop_tail: bool = False,
-              oversize: str = "own_bin", partitions: int | None = None) -> DataFrame:
+              oversize: str = "own_bin", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """K1 + K2 + K3: pack rows of a shard in ``ord`` order into bins of at most
     ``limit`` tokens; concatenate ids and embeddings per bin.
 
     Rows without ids, or without the vector where vectors are packed, are left
-    out (see ``packable``).
+    out (see ``packable``).  ``df`` is read twice, first for its lengths: pass a written table.
 
     Output: ``shard, bin, input_ids, speaker_embeddings, n_rows, first_ord,
     n_tokens, row_lengths`` (token count of each packed row, in order; see
@@ -132,8 +269,15 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
         df = df.where(F.col(ids_col).isNotNull() & F.col(emb_col).isNotNull())
     else:
         df = df.where(F.col(ids_col).isNotNull())
-    payload = _prepare(df.select(F.col(shard_col).cast("long").alias("shard"), F.col(ord_col).cast("long").alias("ord"),
-                                 ids.cast("array<int>").alias("ids"), emb.alias("emb")), "shard", "ord", partitions)
+    payload = df.select(F.col(shard_col).cast("long").alias("shard"), F.col(ord_col).cast("long").alias("ord"),
+                        ids.cast("array<int>").alias("ids"), emb.alias("emb"))
+    starts = chunk_starts(payload.select("shard", "ord", F.size("ids").alias("n")), limit, chunk_rows)
+    payload = payload.withColumn("chunk", _chunk_of("ord", chunk_rows)).join(_sized(starts), ["shard", "chunk"])
+    # a row that belongs to a bin opened earlier goes to the chunk that opened it
+    here = F.coalesce(F.col("ord") >= F.col("open_ord"), F.lit(False))
+    payload = payload.select("shard", "ord", "ids", "emb", F.when(here, F.col("chunk")).otherwise(F.col("home")).alias("home"),
+                             F.when(here, F.col("bins")).alias("first"))
+    payload = payload.repartition("shard", "home").sortWithinPartitions("shard", "home", "ord")
     out_schema = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("bin", T.IntegerType()),
         T.StructField("input_ids", T.ArrayType(T.IntegerType())),
@@ -149,8 +293,8 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
         out = {k: [] for k in ("shard", "bin", "rows", "first", "ids", "ids_len", "embs", "embs_len", "row_lens")}
         carry = None
 
-        def emit(c, is_tail):
-            if c is None or c.rows == 0 or (is_tail and drop_tail):
+        def emit(c):
+            if c is None or c.rows == 0:
                 return
             ids_v = pa.concat_arrays(c.ids) if len(c.ids) > 1 else c.ids[0]
             emb_v = pa.concat_arrays(c.embs) if len(c.embs) > 1 else c.embs[0]
@@ -190,14 +334,14 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
             ords = rb.column(1).to_pylist()
             ids_arr, emb_arr = rb.column(2), rb.column(3)
             lens = ids_arr.value_lengths().fill_null(0).to_pylist()
-            bins = _next_fit(shards, lens, state, limit)
+            bins = _next_fit(list(zip(shards, rb.column(4).to_pylist())), rb.column(5).to_pylist(), lens, state, limit)
             i, n = 0, len(shards)
             while i < n:
                 j = i + 1
                 while j < n and shards[j] == shards[i] and bins[j] == bins[i]:
                     j += 1
                 if carry is None or carry.shard != shards[i] or carry.bin != bins[i]:
-                    emit(carry, is_tail=carry is not None and carry.shard != shards[i])
+                    emit(carry)
                     carry = _Carry(shards[i], bins[i], ords[i])
                 carry.ids.append(ids_arr.slice(i, j - i).flatten())
                 carry.embs.append(emb_arr.slice(i, j - i).flatten())
@@ -206,12 +350,15 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
                 i = j
             if len(out["shard"]) >= flush_every:
                 yield build()
-        emit(carry, is_tail=True)
+        emit(carry)
         if out["shard"]:
             yield build()
 
-    ship_package(df.sparkSession)
-    return payload.mapInArrow(fn, out_schema)
+    out = payload.mapInArrow(fn, out_schema)
+    if drop_tail:
+        last = starts.groupBy("shard").agg((F.max("after") - 1).alias("_last"))
+        out = out.join(last, "shard").filter(F.col("bin") < F.col("_last")).drop("_last")
+    return out
 
 
 def write_packed(packed: DataFrame, path: str, outer_col: str = "outer_shard", mode: str = "overwrite") -> None:

@@ -17,6 +17,7 @@ from voxloom.functions import text as TX
 from voxloom.operators import align, ingest, packing, sampling
 from voxloom.operators import segments as SEG
 from voxloom.operators.inference import RetryPolicy, call_with_retry
+from voxloom.session import written
 
 
 # --- curated path: URL lists -> main-speaker audio -> speaker rows -----------
@@ -81,25 +82,36 @@ def bulk_speaker_rows(rows: DataFrame, key: str, text_ids: str | None = None) ->
 
 def pack_corpus(rows: DataFrame, key: str, outer: int = V.OUTER_SHARDS, inner: int = V.INNER_SHARDS,
                 limit: int = V.PACK_LIMIT, seed: int = V.SHUFFLE_SEED, mode: str = "contiguous",
-                drop_tail: bool = False, dim: int | None = None) -> DataFrame:
+                drop_tail: bool = False, dim: int | None = None, chunk_rows: int = packing.CHUNK_ROWS) -> DataFrame:
     """O1 -> K4 -> K1 -> K2/K3: seeded shuffle, two-level shards, next-fit packing
     of each shard.  Output has ``outer_shard`` for the per-shard sink (K5).
 
     Rows that cannot be packed safely (``packing.packable``, with vectors of width
     ``dim`` if given) are left out; write them to quarantine from ``rows`` first
-    (``ingest.write_with_quarantine``), which also spares computing ``rows``
-    again for the count and the ranking.  Packing is sequential inside a shard:
-    ``packing.inner_shards_for`` suggests a count for ``inner``, which sets the
-    bins' boundaries and is therefore never derived here."""
-    rows = rows.where(packing.packable(dim=dim))
+    (``ingest.write_with_quarantine``; ``unpackable_rows`` names and counts them).
+    Rows are computed once and written to the checkpoint folder; the count, the ranking and the
+    bins' lengths then read narrow columns of that table.  ``inner`` sets the
+    bins' boundaries and is therefore never derived here; the parallelism of the
+    packer does not depend on it (``chunk_rows``)."""
+    kept = [c for c in rows.columns if c in (key, "input_ids", "speaker_embedding")]
+    rows = written(rows.select(*kept, packing.packable(dim=dim).alias("_fit")), "corpus").where("_fit").drop("_fit")
     n = rows.count()
-    s = sampling.two_level_shards(sampling.seeded_shuffle(rows, key, seed, n_rows=n), "idx", n, outer, inner, mode)
+    ranked = sampling.seeded_shuffle(rows, key, seed, n_rows=n)
+    s = sampling.two_level_shards(ranked, "idx", n, outer, inner, mode)
     s = s.withColumn("shard", (F.col("outer_shard") * inner + F.col("inner_shard")).cast("long"))
+    s = written(s.select("shard", "inner_idx", "input_ids", "speaker_embedding"), "sharded")
     packed = packing.pack_rows(s, "shard", "inner_idx", "input_ids", "speaker_embedding", limit=limit,
-                               drop_tail=drop_tail)
+                               drop_tail=drop_tail, chunk_rows=chunk_rows)
     return packed.withColumn("outer_shard", F.floor(F.col("shard") / inner).cast("int"))
 
 
+def unpackable_rows(rows: DataFrame, key: str, dim: int | None = None) -> DataFrame:
+    """The rows ``pack_corpus`` leaves out, with the reason: ``(key, reason)``."""
+    reason = (F.when(F.col("input_ids").isNull(), F.lit("no ids")).when(F.col("speaker_embedding").isNull(), F.lit("no speaker embedding"))
+              .otherwise(F.lit("ids and vector do not match")))
+    return rows.where(~packing.packable(dim=dim)).select(key, reason.alias("reason"))
+
+
 def model_inputs(packed: DataFrame, keys=("shard", "bin"), dim: int = V.SPEAKER_DIM,
                  max_len: int = V.MAX_LEN_PACKED) -> tuple[DataFrame, DataFrame]:
     """P12 -> P13 -> Q10 -> Q7 and J4/W2: per packed row the normalised ids,

@@ -20,6 +20,7 @@ from voxloom.functions import text as TX
 from voxloom.operators import align, frames as FR, ingest, packing, prompts as PR, sampling, segments as SEG, waveform as WV
 from voxloom.operators.inference import encode_text, project_embeddings
 from voxloom.plans import fixtures as FX, paths as PATHS
+from voxloom.session import written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -297,7 +298,7 @@ def collate_rows(spark, sf_dir):
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False)
     c = PR.collate(PR.plain_rows(b, ["doc_id"], max_len=V.MAX_LEN_PLAIN), V.MAX_LEN_COLLATE)
     return c.select("doc_id", _long(F.size("input_ids")).alias("n_ids"), A.checksum("input_ids").alias("ids_ck"),
-                    _long(F.size("attention_mask")).alias("mask_len"), A.checksum("input_ids").alias("labels_ck"))
+                    _long(F.size("attention_mask")).alias("mask_len"), A.checksum("labels").alias("labels_ck"))
 
 
 @register("collate_long_rows", f"""
@@ -479,6 +480,7 @@ def shard_assign_strided(spark, sf_dir):
 # Packing (K1-K5) and alignment
 # --------------------------------------------------------------------------
 PACK_OUTER, PACK_INNER = 2, 4   # shards of the fixture (the library default is 10 x 50)
+PACK_CHUNK = 128                 # rows of a chunk, so that small shards spread over tasks too
 EMB_DIM = 64                     # width of the fixture's vectors
 
 
@@ -493,7 +495,8 @@ def packing_input(spark, sf_dir) -> DataFrame:
 
 
 def packed(spark, sf_dir) -> DataFrame:
-    return packing.pack_rows(packing_input(spark, sf_dir), "shard", "ord", "input_ids", "speaker_embedding")
+    return packing.pack_rows(written(packing_input(spark, sf_dir), "speaker-rows"), "shard", "ord", "input_ids", "speaker_embedding",
+                             chunk_rows=PACK_CHUNK)
 
 
 def pack_input_sql(ph: str, emb: str = "e.embedding", where: str = "true") -> str:
@@ -533,7 +536,7 @@ SELECT doc_id, shard::BIGINT AS shard, ord::BIGINT AS ord, bin::BIGINT AS bin FR
 def pack_bins(spark, sf_dir):
     """K1 on lengths only: bin of every row (next-fit, 8192 tokens)."""
     inp = packing_input(spark, sf_dir).select("doc_id", "shard", "ord", F.size("input_ids").alias("n_tok"))
-    bins = packing.assign_bins(inp, "shard", "ord", "n_tok", V.PACK_LIMIT, keep=["doc_id"])
+    bins = packing.assign_bins(inp, "shard", "ord", "n_tok", V.PACK_LIMIT, chunk_rows=PACK_CHUNK, keep=["doc_id"])
     return bins.select("doc_id", _long("shard").alias("shard"), _long("ord").alias("ord"),
                                                    _long("bin").alias("bin"))
 
@@ -614,18 +617,23 @@ def placeholder_rejects(spark, sf_dir):
     """P12 rejects: packed rows with vectors of a wrong width, reported with both counts."""
     rows = packing_input(spark, sf_dir)
     half = F.when(F.col("doc_id") % 7 == 0, F.slice("speaker_embedding", 1, 32)).otherwise(F.col("speaker_embedding"))
-    p = packing.pack_rows(rows.withColumn("speaker_embedding", half), "shard", "ord")
+    p = packing.pack_rows(written(rows.withColumn("speaker_embedding", half), "speaker-rows"), "shard", "ord", chunk_rows=PACK_CHUNK)
     r = align.misaligned_rows(p, ["shard", "bin"], dim=EMB_DIM)
     return r.select(*[_long(c).alias(c) for c in ("shard", "bin", "n_placeholders", "n_floats")])
 
 
+def bulk_input(spark, sf_dir) -> DataFrame:
+    """Bulk rows of which some lack codes and some a vector."""
+    return FX.bulk_rows(spark, sf_dir).select(
+        "doc_id", "text", F.when(F.col("doc_id") % 11 != 3, F.col("codes_list")).alias("codes_list"),
+        F.when(F.col("doc_id") % 13 != 5, F.col("speaker_embedding")).alias("speaker_embedding"))
+
+
 def bulk_packed(spark, sf_dir) -> DataFrame:
     """The bulk path as a user calls it, on rows of which some lack codes, some a
     vector, and some are longer than a sequence."""
-    b = FX.bulk_rows(spark, sf_dir).select(
-        "doc_id", "text", F.when(F.col("doc_id") % 11 != 3, F.col("codes_list")).alias("codes_list"),
-        F.when(F.col("doc_id") % 13 != 5, F.col("speaker_embedding")).alias("speaker_embedding"))
-    return PATHS.pack_corpus(PATHS.bulk_speaker_rows(b, "doc_id"), "doc_id", PACK_OUTER, PACK_INNER, dim=EMB_DIM)
+    b = bulk_input(spark, sf_dir)
+    return PATHS.pack_corpus(PATHS.bulk_speaker_rows(b, "doc_id"), "doc_id", PACK_OUTER, PACK_INNER, dim=EMB_DIM, chunk_rows=PACK_CHUNK)
 
 
 BULK_SQL = pack_input_sql("128263", where="dd.doc_id % 11 <> 3 AND dd.doc_id % 13 <> 5")
@@ -643,6 +651,17 @@ def pack_corpus_bulk(spark, sf_dir):
                     _long(F.size("speaker_embeddings")).alias("n_emb"))
 
 
+@register("pack_corpus_rejects", """
+SELECT reason, count(*)::BIGINT AS n_rows, min(doc_id)::BIGINT AS first_id FROM (
+  SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'no ids' ELSE 'no speaker embedding' END AS reason
+  FROM documents WHERE doc_id % 11 = 3 OR doc_id % 13 = 5) GROUP BY reason
+""")
+def pack_corpus_rejects(spark, sf_dir):
+    """The bulk rows that packing leaves out, counted by reason."""
+    r = PATHS.unpackable_rows(PATHS.bulk_speaker_rows(bulk_input(spark, sf_dir), "doc_id"), "doc_id", dim=EMB_DIM)
+    return r.groupBy("reason").agg(_long(F.count("*")).alias("n_rows"), _long(F.min("doc_id")).alias("first_id"))
+
+
 @register("model_inputs_bulk", "WITH RECURSIVE " + BULK_SQL + f"""
 SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, {ck('ids[1:8192]')} AS ids_ck,
        {ck("list_transform(ids[1:8192], lambda x: CASE WHEN x = 128263 THEN -100 ELSE x END)")} AS labels_ck,

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE_ZIP: str | None = None
 
@@ -57,6 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder: computed once, read by
+    column as often as needed, and still there when an executor is lost."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/voxloom-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``voxloom`` importable in Python workers (the ``--py-files`` step of
     a cluster submit): the package is zipped once per process and added once
