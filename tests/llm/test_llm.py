@@ -369,7 +369,9 @@ def components_of(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_jaccard_components(spark, empty):
+@pytest.mark.parametrize("bound", [jaccard_join.BROADCAST_CLASSES, 0])
+def test_jaccard_components(spark, empty, monkeypatch, bound):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CLASSES", bound)
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(400)]
     base = rng.choice(vocab, 60).tolist()
