@@ -138,3 +138,27 @@ def test_late_old_shard_and_batch_count(spark, scratch):
     shard(3, 10)
     assert ingest_new_shards(spark, src, schema, sink, ckpt) == 1
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == [0, 1, 2, 3]
+
+
+def test_logged_ingest_isolates_and_retries_a_shard(spark, scratch):
+    from voxloom.streaming import ingest_logged, read_ingested, read_log, retry_failed
+    src, sink, log, state = (os.path.join(scratch, x) for x in ("a b%c", "sink", "log", "state"))
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.parquet(os.path.join(src, f"s{i}"))
+
+    def transform(rows, attempt):
+        return rows.withColumn("error", F.when((F.col("id") == 14) & F.lit(attempt < 3), F.lit("boom")))
+
+    assert ingest_logged(spark, src + "/*", schema, sink, log, state, transform, max_files_per_trigger=1) == 3
+    ids = lambda: sorted(r["id"] for r in read_ingested(spark, sink, log).collect())
+    assert ids() == [*range(10), *range(20, 30)]
+    assert ingest_logged(spark, src + "/*", schema, sink, log, state, transform) == 0
+    assert retry_failed(spark, schema, sink, log, transform) == 1
+    assert ids() == [*range(10), *range(20, 30)]
+    # rows of an attempt without a log entry are not read; the attempt replaces itself
+    spark.range(99, 100).write.parquet(os.path.join(sink, "run=retry-9-x"))
+    assert retry_failed(spark, schema, sink, log, transform) == 1
+    assert ids() == list(range(30)) and retry_failed(spark, schema, sink, log, transform) == 0
+    got = sorted((r["attempt"], r["status"], r["n_rows"], r["n_errors"], r["error"]) for r in read_log(spark, log).collect() if "s1/" in r["shard"])
+    assert got == [(1, "failed", 0, 1, "boom"), (2, "failed", 0, 1, "boom"), (3, "done", 10, 0, None)]

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,15 @@ def split_quarantine(df: DataFrame, error: Column, error_col: str = "error") ->
 
 
 def write_with_quarantine(df: DataFrame, error: Column, path: str, error_col: str = "error",
-                          mode: str = "overwrite") -> None:
+                          mode: str = "overwrite", counts: dict[str, Column] | None = None) -> dict[str, int]:
     """P7 sink: one pass writes good rows under ``quarantined=false`` and bad rows
-    (with their error) under ``quarantined=true``."""
+    (with their error) under ``quarantined=true``, and returns what that pass
+    observed: ``good``, ``quarantined``, and ``counts`` (aggregates over the tagged rows)."""
     tagged = tag_errors(df, error, error_col).withColumn("quarantined", F.col(error_col).isNotNull())
-    tagged.write.mode(mode).partitionBy("quarantined").parquet(path)
+    seen = Observation()
+    aggs = {"good": F.count_if(~F.col("quarantined")), "quarantined": F.count_if(F.col("quarantined"))} | (counts or {})
+    tagged.observe(seen, *(c.alias(n) for n, c in aggs.items())).write.mode(mode).partitionBy("quarantined").parquet(path)
+    return seen.get
 
 
 def skip_done(todo: DataFrame, done: DataFrame, key: str = "stem") -> DataFrame:

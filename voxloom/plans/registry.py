@@ -8,11 +8,13 @@ computed columns are aliased to the same names.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom import vocab as V
 from voxloom.functions import arrays as A
@@ -20,7 +22,9 @@ from voxloom.functions import text as TX
 from voxloom.operators import align, frames as FR, ingest, packing, prompts as PR, sampling, segments as SEG, waveform as WV
 from voxloom.operators.inference import encode_text, project_embeddings
 from voxloom.plans import fixtures as FX, paths as PATHS
-from voxloom.session import written
+from voxloom import streaming
+from voxloom.session import checkpoint_dir, written
+from voxloom.sources import sinks
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -541,6 +545,25 @@ def pack_bins(spark, sf_dir):
                                                    _long("bin").alias("bin"))
 
 
+@register("pack_bins_one_shard", f"""
+WITH RECURSIVE {DOC_CTE},
+r AS (SELECT doc_id, len({SPEAKER_SQL.format(ph=128263)}) AS n_tok, row_number() OVER (ORDER BY doc_id) AS rn FROM dd),
+bins AS (
+  SELECT rn, doc_id, 0 AS bin, n_tok AS fill FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.rn, r.doc_id, CASE WHEN b.fill + r.n_tok <= 8192 THEN b.bin ELSE b.bin + 1 END,
+         CASE WHEN b.fill + r.n_tok <= 8192 THEN b.fill + r.n_tok ELSE r.n_tok END
+  FROM bins b JOIN r ON r.rn = b.rn + 1)
+SELECT doc_id, bin::BIGINT AS bin FROM bins
+""")
+def pack_bins_one_shard(spark, sf_dir):
+    """The whole table as one shard, in table order, spread over its chunks."""
+    rows = FX.bulk_rows(spark, sf_dir, with_embedding=False).select(
+        "doc_id", F.lit(0).alias("shard"), F.size(A.assemble_speaker("text_ids", A.dedupe_frames("codes_list"))).alias("n_tok"))
+    bins = packing.assign_bins(rows, "shard", "doc_id", "n_tok", V.PACK_LIMIT, chunk_rows=16)
+    return bins.select("doc_id", _long("bin").alias("bin"))
+
+
 @register("packed_rows", "WITH RECURSIVE " + PACK_INPUT_SQL + f"""
 SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, n_rows::BIGINT AS n_rows, len(ids)::BIGINT AS n_tokens,
        {ck('ids')} AS ids_ck, len(emb)::BIGINT AS n_emb, round(list_sum(list_transform(emb, lambda x: x::DOUBLE)), 3) AS emb_sum
@@ -1018,6 +1041,74 @@ def status_counts(spark, sf_dir):
         "status", _long("n").alias("n"), F.col("first_error").alias("first_props"))
 
 
+RUN_SHARDS = 8
+RUN_ERROR = "shard 3 cannot be decoded"
+
+
+def logged_run(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """``documents`` dealt to 8 shard files and ingested in two passes, two shards coming late; shard 3
+    fails in its first attempt and is retried.  Returns the ingested rows and the log."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/voxloom-run-{uuid.uuid4().hex}"
+    src, sink, log, state = (f"{root}/{x}" for x in ("in", "rows", "log", "state"))
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % RUN_SHARDS).cast("int").alias("part"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def transform(rows: DataFrame, attempt: int) -> DataFrame:
+        broken = (F.col("doc_id") % RUN_SHARDS == 3) & (F.col("doc_id") % (2 * RUN_SHARDS) == 3) & F.lit(attempt == 1)
+        return rows.select("shard", "doc_id", F.length("text").alias("n_chars"), F.when(broken, F.lit(RUN_ERROR)).alias("error"))
+
+    for late in (False, True):
+        sinks.write_sharded(docs.where((F.col("part") >= RUN_SHARDS - 2) == F.lit(late)), src, "part")
+        streaming.ingest_logged(spark, f"{src}/part=*", schema, sink, log, state, transform, max_files_per_trigger=4)
+    streaming.retry_failed(spark, schema, sink, log, transform)
+    index = F.regexp_extract("shard", r"part=(\d+)/", 1).cast("long").alias("shard")
+    return (streaming.read_ingested(spark, sink, log).select(index, "doc_id", "n_chars"),
+            streaming.read_log(spark, log).select(index, "attempt", "status", "n_rows", "n_errors", "error"))
+
+
+@register("ingest_run_log", f"""
+WITH s AS (SELECT doc_id % {RUN_SHARDS} AS shard, count(*) AS n, coalesce(sum(length(text)), 0) AS n_chars FROM documents GROUP BY 1)
+SELECT shard::BIGINT AS shard, CASE WHEN shard = 3 THEN 2 ELSE 1 END::BIGINT AS attempts, CASE WHEN shard = 3 THEN 1 ELSE 0 END::BIGINT AS failures,
+       n::BIGINT AS logged_rows, n::BIGINT AS n_rows, n::BIGINT AS n_docs, n_chars::BIGINT AS n_chars FROM s
+""")
+def ingest_run_log(spark, sf_dir):
+    """Per shard its attempts and what is in the sink after two passes and a retry."""
+    rows, log = logged_run(spark, sf_dir)
+    per = log.groupBy("shard").agg(_long(F.max("attempt")).alias("attempts"), _long(F.count_if(F.col("status") == "failed")).alias("failures"),
+                                   _long(F.sum("n_rows")).alias("logged_rows"))
+    sink = rows.groupBy("shard").agg(_long(F.count("*")).alias("n_rows"), _long(F.countDistinct("doc_id")).alias("n_docs"),
+                                     _long(F.coalesce(F.sum("n_chars"), F.lit(0))).alias("n_chars"))
+    return per.join(sink, "shard", "left")
+
+
+@register("ingest_status_counts", f"""
+WITH s AS (SELECT doc_id % {RUN_SHARDS} AS shard, doc_id FROM documents)
+SELECT 'done' AS status, count(DISTINCT shard)::BIGINT AS n, 0::BIGINT AS n_errors, NULL::VARCHAR AS first_error FROM s
+UNION ALL
+SELECT 'failed', 1, count(*)::BIGINT, '{RUN_ERROR}' FROM s WHERE shard = 3 AND doc_id % {2 * RUN_SHARDS} = 3
+""")
+def ingest_status_counts(spark, sf_dir):
+    """A6 over the log that S11 wrote."""
+    _, log = logged_run(spark, sf_dir)
+    errors = log.groupBy("status").agg(_long(F.sum("n_errors")).alias("n_errors"))
+    return ingest.status_counts(log, "status", "error").withColumn("n", _long("n")).join(errors, "status").select("status", "n", "n_errors", "first_error")
+
+
+@register("quarantine_counts", f"""
+WITH {DOC_CTE}
+SELECT sum(CASE WHEN len(codes) < 700 THEN 0 ELSE 1 END)::BIGINT AS good, sum(CASE WHEN len(codes) < 700 THEN 1 ELSE 0 END)::BIGINT AS quarantined,
+       max(len(codes))::BIGINT AS longest, sum(CASE WHEN len(codes) < 700 THEN 1 ELSE 0 END)::BIGINT AS read_back FROM dc
+""")
+def quarantine_counts(spark, sf_dir):
+    """Counts observed while good and bad rows are written, in the one pass."""
+    b = FX.bulk_rows(spark, sf_dir, with_embedding=False).select("doc_id", "codes_list")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/voxloom-quarantine-{uuid.uuid4().hex}"
+    seen = ingest.write_with_quarantine(b, F.when(F.size("codes_list") < 700, F.lit("fewer than 100 frames")), path,
+                                        counts={"longest": F.max(F.size("codes_list"))})
+    back = spark.read.parquet(path).where("quarantined = 'true'").agg(_long(F.count("*")).alias("read_back"))
+    return back.select(*(F.lit(seen[c]).cast("long").alias(c) for c in ("good", "quarantined", "longest")), "read_back")
+
+
 @register("quarantine", f"""
 WITH {DOC_CTE},
 q AS (SELECT doc_id, CASE WHEN len(codes) < 7 THEN 'no full audio frame'
