@@ -91,12 +91,11 @@ def test_mono_mix_array_and_long(spark):
     assert got == [(0, 5.0), (1, 6.0), (2, 7.0)]
 
 
-def test_resample_long_form_chunked_positions(spark, monkeypatch):
-    monkeypatch.setattr(WV, "OUTPUT_CHUNK", 7)
+def test_resample_long_form_chunked_positions(spark):
     v = [float((i * 37) % 11) for i in range(45)]
     long = spark.createDataFrame([("w", t, x) for t, x in enumerate(v)], "file string, t long, value double")
     rates = spark.createDataFrame([("w", 16000)], "file string, sr int")
-    got = WV.resample_linear_long(long, rates).orderBy("t").collect()
+    got = WV.resample_linear_long(long, rates, chunk=7).orderBy("t").collect()
     assert [r["t"] for r in got] == list(range(67))
     assert np.allclose([r["value"] for r in got], O.resample_linear(v, 16000), atol=1e-12)
 
@@ -140,3 +139,60 @@ def test_slice_samples(spark):
                                "v array<double>, a double, b double")
     got = [r["x"] for r in df.select(SEG.slice_samples("v", F.col("a"), F.col("b")).alias("x")).collect()]
     assert got == [[2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0], [8.0, 9.0], [], []]
+
+
+def test_resample_chunks_any_rate_and_chunk(spark):
+    """Every chunk size gives the samples of the whole file, also where a chunk starts no output."""
+    rng = np.random.default_rng(11)
+    rates = {"a": 16000, "b": 22050, "c": 24000, "d": 8000, "e": 44100, "f": 96000, "g": 16000}
+    waves = {f: rng.normal(size=n).tolist() for f, n in zip(rates, (50, 33, 20, 1, 97, 64, 0))}
+    long = spark.createDataFrame([(f, t, x) for f, v in waves.items() for t, x in enumerate(v)], "file string, t long, value double")
+    sr = spark.createDataFrame(list(rates.items()), "file string, sr int")
+    for chunk in (1, 2, 5, 64):
+        got = {}
+        for r in WV.resample_linear_long(long, sr, chunk=chunk).collect():
+            got.setdefault(r["file"], {})[r["t"]] = r["value"]
+        for f, v in waves.items():
+            want = O.resample_linear(v, rates[f])
+            assert sorted(got.get(f, {})) == list(range(len(want))), (f, chunk)
+            assert np.allclose([got[f][i] for i in range(len(want))] if len(want) else [], want, atol=1e-12)
+
+
+def test_slice_chunks_equals_slice_waveform(spark):
+    samples = spark.createDataFrame([(f, t, float(t * 3 % 17)) for f, n in (("a", 300), ("b", 5)) for t in range(n)],
+                                    "file string, t long, value double")
+    segs = spark.createDataFrame([("a", 0, 0.010, 0.050), ("a", 1, 0.040, 0.299), ("b", 2, -0.005, 0.003), ("b", 3, 0.1, 0.2),
+                                  ("a", 4, 0.2995, 0.5), ("a", 5, -0.3, -0.1), ("a", 6, 0.05, 0.05)],
+                                 "file string, seg int, start double, end double")
+    want = {(r["seg"], r["t"]): r["value"] for r in SEG.slice_waveform(samples, segs).collect()}
+    parts = SEG.slice_chunks(WV.chunk_samples(samples, chunk=16), segs, chunk=16).collect()
+    got = {(r["seg"], r["first_t"] + i): x for r in parts for i, x in enumerate(r["samples"])}
+    assert got == want and sum(len(r["samples"]) for r in parts) == len(want)
+    assert max(len(r["samples"]) for r in parts) <= 16
+
+
+def test_concat_chunks_joined_equal_concat_segments(spark):
+    rows = [("f", "A", i, float((i * 7) % 5), 9.0, "äb" * (i % 4) + "x" * (40 if i == 3 else 0)) for i in range(12)]
+    rows += [("g", "A", 0, 0.0, 1.0, ""), ("h", "A", 0, 0.0, 1.0, None), ("i", "A", 0, 0.0, 1.0, "z")]
+    segs = spark.createDataFrame(rows, SEG_SCHEMA)
+    whole = {r["file"]: r["text"] for r in SEG.concat_segments(segs, "text").collect()}
+    for chunk in (1, 7, 1000):
+        got = {}
+        for r in SEG.concat_chunks(segs, "text", chunk=chunk).collect():
+            got.setdefault(r["file"], {})[r["chunk_no"]] = r["text"]
+        assert sorted(got) == ["f", "i"]
+        for f, c in got.items():
+            assert sorted(c) == list(range(len(c))) and "".join(c[i] for i in sorted(c)) == whole[f]
+            assert all(len(c[i]) == chunk for i in range(len(c) - 1))
+    arrays = segs.withColumn("text", F.transform(F.split("text", ""), lambda x: F.ascii(x).cast("double")))
+    flat = {r["file"]: r["text"] for r in SEG.concat_segments(arrays.filter("text is not null"), "text").collect()}
+    got = sorted((r["file"], r["chunk_no"], r["text"]) for r in SEG.concat_chunks(arrays, "text", chunk=9).collect())
+    assert [x for f, _, v in got for x in v if f == "f"] == flat["f"]
+
+
+def test_mono_mix_chunks(spark):
+    long = spark.createDataFrame([("f", c, t, float(c * 10 + t)) for c in range(2) for t in range(5)] + [("g", 0, 0, 4.0)],
+                                 "file string, channel int, t long, value double")
+    chunks = WV.chunk_samples(long, chunk=2, by=("channel",))
+    got = sorted((r["file"], r["chunk"], r["samples"]) for r in WV.mono_mix_chunks(chunks).collect())
+    assert got == [("f", 0, [5.0, 6.0]), ("f", 1, [7.0, 8.0]), ("f", 2, [9.0]), ("g", 0, [4.0])]

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.sampling import rank_in_group
+from voxloom.operators.waveform import CHUNK
+
+OUT_CHUNK = 65536        # characters or samples of a chunk of joined output
 
 
 def ms_index(seconds) -> Column:
@@ -76,6 +79,39 @@ def segment_offsets(segments: DataFrame, len_col: str, file_col: str = "file", o
     return rank_in_group(segments, file_col, ["start", order_col], "out_start", weight=F.col(len_col))
 
 
+def assemble_chunks(parts: DataFrame, payload_col: str, start_col: str, file_col: str = "file",
+                    chunk: int = OUT_CHUNK) -> DataFrame:
+    """R3 at scale: parts with their place in a file's joined output
+    (``start_col``) to ``(file, chunk_no, payload)``, cut at fixed output
+    offsets.  Parts are cut before they are exchanged, so no row and no group
+    is longer than a chunk, however long a part or a file is.  Chunk numbers
+    are gapless where the parts are; empty and NULL parts add nothing."""
+    is_array = parts.schema[payload_col].dataType.simpleString().startswith("array")
+    p = F.col(payload_col)
+    size = (F.size(p) if is_array else F.length(p)).cast("long")
+    at = F.col(start_col).cast("long")
+    cut = F.slice if is_array else F.substring
+    d = parts.filter(size > 0).select(file_col, at.alias("_at"), size.alias("_size"), p.alias("_p"))
+    d = d.withColumn("chunk_no", F.explode(F.sequence(F.expr(f"_at div {chunk}"), F.expr(f"(_at + _size - 1) div {chunk}"))))
+    first = F.greatest(F.col("chunk_no") * chunk, F.col("_at"))
+    last = F.least((F.col("chunk_no") + 1) * chunk, F.col("_at") + F.col("_size"))
+    d = d.select(file_col, "chunk_no", first.alias("_first"),
+                 cut(F.col("_p"), (first - F.col("_at") + 1).cast("int"), (last - first).cast("int")).alias("_p"))
+    d = d.groupBy(file_col, "chunk_no").agg(F.sort_array(F.collect_list(F.struct("_first", "_p"))).alias("_parts"))
+    pieces = F.transform("_parts", lambda x: x["_p"])
+    return d.select(file_col, "chunk_no", (F.flatten(pieces) if is_array else F.array_join(pieces, "")).alias(payload_col))
+
+
+def concat_chunks(segments: DataFrame, payload_col: str, file_col: str = "file", order_col: str = "seg_order",
+                  chunk: int = OUT_CHUNK) -> DataFrame:
+    """O5 + R3 in chunks: what ``concat_segments`` joins (without a separator),
+    as rows ``(file, chunk_no, payload)`` of ``chunk`` characters or samples."""
+    is_array = segments.schema[payload_col].dataType.simpleString().startswith("array")
+    size = F.size(payload_col) if is_array else F.length(payload_col)
+    sized = segments.select(file_col, "start", order_col, payload_col, F.coalesce(F.greatest(size, F.lit(0)), F.lit(0)).alias("_len"))
+    return assemble_chunks(segment_offsets(sized, "_len", file_col, order_col), payload_col, "out_start", file_col, chunk)
+
+
 def slice_samples(samples, start, end, sr: int = 1000) -> Column:
     """J2 on one file's sample array: ``[start, end)`` in seconds, cut in whole
     milliseconds first (R4).  Empty where the segment lies past the samples."""
@@ -110,3 +146,26 @@ def slice_waveform(samples: DataFrame, segments: DataFrame, file_col: str = "fil
     j = smp.join(seg.drop(*[c for c in seg.columns if c in smp.columns and c not in (file_col, "_bin")]),
                  [file_col, "_bin"])
     return j.filter((F.col(t_col) >= F.col("_s")) & (F.col(t_col) < F.col("_e"))).drop("_bin")
+
+
+def slice_chunks(chunks: DataFrame, segments: DataFrame, file_col: str = "file", sr: int = 1000, chunk: int = CHUNK) -> DataFrame:
+    """J2 on chunked waveforms: the columns of ``segments``, its sample indexes
+    ``_s`` and ``_e`` (cut in whole milliseconds first, R4), and per chunk it
+    touches the part of the samples there (``samples``) with the index of the
+    part's first sample (``first_t``).
+
+    A segment is expanded to the chunks it covers and joined on ``(file,
+    chunk)``: the exchange carries chunks and segments, not samples.  A segment
+    outside the samples has no row.
+    """
+    seg = (segments
+           .withColumn("_s", F.expr(f"(cast(cast(start * 1000 as int) as long) * {int(sr)}) div 1000"))
+           .withColumn("_e", F.expr(f"(cast(cast(`end` * 1000 as int) as long) * {int(sr)}) div 1000"))
+           .filter((F.col("_e") > F.col("_s")) & (F.col("_e") > 0))
+           .withColumn("chunk", F.explode(F.sequence(F.expr(f"greatest(_s, 0L) div {chunk}"), F.expr(f"(_e - 1) div {chunk}")))))
+    seg = seg.drop(*(c for c in ("samples", "first_t") if c in seg.columns))
+    j = seg.join(chunks.select(file_col, "chunk", "samples"), [file_col, "chunk"])
+    first = F.greatest(F.col("_s"), F.col("chunk") * chunk)
+    last = F.least(F.col("_e"), F.col("chunk") * chunk + F.size("samples"))
+    j = j.withColumn("first_t", first).filter(last > first)
+    return j.withColumn("samples", F.slice("samples", (first - F.col("chunk") * chunk + 1).cast("int"), (last - first).cast("int")))

@@ -1,8 +1,10 @@
 """Waveform operators over tables of samples.
 
 Array form: one row per file with ``array<double>`` samples (what a decoded
-file is).  Long form: one row per sample ``(file, [channel,] t, value)``; this
-form has no per-file collect and is what runs at corpus scale.
+file is).  Chunked form: ``(file, [channel,] chunk, samples)`` with a fixed number
+of samples per chunk, which runs at corpus scale: a long file is many rows, and
+what needs a neighbouring sample takes it from a halo.  Long form: one row per
+sample ``(file, [channel,] t, value)``.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from voxloom import vocab as V
 from voxloom.functions.arrays import let
 
-OUTPUT_CHUNK = 65536     # output samples generated per task-sized chunk (long-form resample)
+CHUNK = 65536            # samples of a chunk
 
 
 def _c(x) -> Column:
@@ -61,35 +63,91 @@ def resample_linear(samples, sr, target_sr: int = V.TARGET_SR) -> Column:
     return let(_c(samples).cast("array<double>"), body)
 
 
-def resample_linear_long(samples: DataFrame, rates: DataFrame, target_sr: int = V.TARGET_SR,
-                         file_col: str = "file", t_col: str = "t", value_col: str = "value") -> DataFrame:
-    """R2 long form.  ``rates`` holds ``(file, sr)``.  Output ``(file, t, value)``.
+def chunk_samples(samples: DataFrame, file_col: str = "file", t_col: str = "t", value_col: str = "value",
+                  chunk: int = CHUNK, by: tuple[str, ...] = ()) -> DataFrame:
+    """Long form to chunked form: ``(file, *by, chunk, samples)`` where chunk
+    ``c`` holds samples ``c * chunk`` up to ``(c + 1) * chunk`` of a file.  The
+    samples of a file are numbered from 0 without gaps; ``by`` may name a channel."""
+    at = F.struct(F.col(t_col).alias("t"), F.col(value_col).cast("double").alias("v"))
+    number = F.floor(F.col(t_col) / F.lit(chunk)).cast("long")
+    c = samples.groupBy(file_col, *by, number.alias("chunk")).agg(F.sort_array(F.collect_list(at)).alias("_s"))
+    return c.select(file_col, *by, "chunk", F.transform("_s", lambda x: x["v"]).alias("samples"))
+
+
+def explode_chunks(chunks: DataFrame, file_col: str = "file", t_col: str = "t", value_col: str = "value",
+                   first_col: str = "first_t") -> DataFrame:
+    """Chunked form to long form; ``first_col`` is the position of a chunk's first sample."""
+    c = chunks.select(file_col, F.col(first_col).alias("_first"), F.posexplode("samples").alias("_i", value_col))
+    return c.select(file_col, (F.col("_first") + F.col("_i")).alias(t_col), value_col)
+
+
+def with_halo(chunks: DataFrame, file_col: str = "file", by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``halo``: the first sample of a file's next chunk, NULL at the end.
+    One narrow row per chunk is joined, never a sample."""
+    keys = [file_col, *by, "chunk"]
+    following = chunks.select(file_col, *by, (F.col("chunk") - 1).alias("chunk"), F.get("samples", F.lit(0)).alias("halo"))
+    return chunks.join(following, keys, "left")
+
 
-    Output positions are generated per file from its sample count, then the
-    two source samples of each output are fetched with equi-joins on
-    ``(file, t)`` — no per-file collect.
+def mono_mix_chunks(chunks: DataFrame, file_col: str = "file", channel_col: str = "channel") -> DataFrame:
+    """R1 on chunks: ``(file, channel, chunk, samples) -> (file, chunk, samples)``, the mean over channels."""
+    c = chunks.groupBy(file_col, "chunk").agg(
+        F.sort_array(F.collect_list(F.struct(channel_col, "samples"))).alias("_c"))
+    return c.select(file_col, "chunk", F.transform("_c", lambda x: x["samples"]).alias("_c")).select(
+        file_col, "chunk", mono_mix(F.col("_c")).alias("samples"))
+
+
+def resample_chunks(chunks: DataFrame, rates: DataFrame, target_sr: int = V.TARGET_SR, file_col: str = "file",
+                    chunk: int = CHUNK) -> DataFrame:
+    """R2 on chunks: ``(file, chunk, samples)`` to ``(file, chunk, first_t,
+    samples)`` with the outputs whose left source sample lies in the chunk.
+
+    A chunk needs its own samples and one of the next chunk; exchanges carry
+    chunks and one narrow row per chunk and file.  ``rates`` holds ``(file, sr)``;
+    a file without a rate has no output.  A chunk in which no output starts has no row.
     """
-    counts = samples.groupBy(file_col).agg(F.count("*").alias("_n")).join(rates, file_col)
-    s = F.lit(float(target_sr)) / F.col("sr").cast("double")
-    chunk = OUTPUT_CHUNK
-    per_file = (counts.withColumn("_s", s)
-                .withColumn("_nout", F.when(F.col("sr") == target_sr, F.col("_n")).otherwise(F.floor(F.col("_n") * F.col("_s"))))
-                .filter(F.col("_nout") > 0))
-    # output positions are generated in chunks spread over tasks, so a very
-    # long file does not produce all of its positions in one task
-    chunks = (per_file.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                             F.expr(f"(_nout - 1) div {chunk}").cast("long"))))
-              .repartition(file_col, "_c"))
-    out = (chunks
-           .withColumn(t_col, F.explode(F.sequence(F.col("_c") * chunk,
-                                                   F.least(F.col("_c") * chunk + chunk, F.col("_nout")).cast("long") - 1)))
-           .withColumn("_x", F.when(F.col("sr") == target_sr, F.col(t_col).cast("double")).otherwise(
-               F.greatest((F.col(t_col) + 0.5) / F.col("_s") - 0.5, F.lit(0.0))))
-           .withColumn("_x0", F.floor("_x").cast("long"))
-           .withColumn("_x1", F.least(F.col("_x0") + 1, F.col("_n") - 1))
-           .withColumn("_w", F.col("_x") - F.col("_x0")))
-    src = samples.select(file_col, F.col(t_col).cast("long").alias("_t"), F.col(value_col).cast("double").alias("_v"))
-    a = src.select(file_col, F.col("_t").alias("_x0"), F.col("_v").alias("_v0"))
-    b = src.select(file_col, F.col("_t").alias("_x1"), F.col("_v").alias("_v1"))
-    j = out.join(a, [file_col, "_x0"]).join(b, [file_col, "_x1"])
-    return j.select(file_col, t_col, (F.col("_v0") * (1 - F.col("_w")) + F.col("_v1") * F.col("_w")).alias(value_col))
+    totals = chunks.groupBy(file_col).agg(F.sum(F.size("samples").cast("long")).alias("_n")).join(
+        rates.select(file_col, "sr"), file_col)
+    d = with_halo(chunks, file_col).join(totals, file_col)
+    d = d.withColumn("_s", F.lit(float(target_sr)) / F.col("sr").cast("double"))
+    d = d.withColumn("_a", F.col("chunk") * chunk).withColumn("_len", F.size("samples"))
+    same = F.col("sr") == target_sr
+    n_out = F.floor(F.col("_n") * F.col("_s")).cast("long")
+    # positions that may start in the chunk, one more at each end against rounding
+    low = F.greatest(F.floor((F.col("_a") + 0.5) * F.col("_s") - 0.5).cast("long") - 1, F.lit(0))
+    low = F.when(F.col("_a") == 0, F.lit(0)).otherwise(low).cast("long")
+    high = F.least(F.ceil((F.col("_a") + F.col("_len") + 0.5) * F.col("_s")).cast("long") + 1, n_out - 1)
+    d = d.withColumn("_low", low).withColumn("_high", high)
+
+    def source(t: Column) -> Column:
+        return F.greatest((t.cast("double") + 0.5) / F.col("_s") - 0.5, F.lit(0.0))
+
+    def mine(t: Column) -> Column:
+        left = F.floor(source(t)).cast("long") - F.col("_a")
+        return (left >= 0) & (left < F.col("_len"))
+
+    at = F.filter(F.sequence("_low", "_high"), mine)
+    d = d.withColumn("_at", F.when(same | (F.col("_high") < F.col("_low")), F.array().cast("array<bigint>")).otherwise(at))
+
+    def values(v: Column) -> Column:
+        def one(t: Column) -> Column:
+            x = source(t)
+            x0 = F.floor(x)
+            left, w = (x0 - F.col("_a")).cast("int"), x - x0
+            return F.get(v, left) * (1 - w) + F.get(v, left + 1) * w
+        return F.transform("_at", one)
+
+    # the last sample of a file is its own right neighbour
+    padded = F.concat("samples", F.array(F.when(F.col("_a") + F.col("_len") < F.col("_n"), F.col("halo"))
+                                         .otherwise(F.element_at("samples", -1))))
+    first = F.when(same, F.col("_a")).otherwise(F.get("_at", F.lit(0)))
+    out = F.when(same, F.col("samples")).otherwise(let(padded, values))
+    return d.select(file_col, "chunk", first.alias("first_t"), out.alias("samples")).filter(F.col("first_t").isNotNull())
+
+
+def resample_linear_long(samples: DataFrame, rates: DataFrame, target_sr: int = V.TARGET_SR,
+                         file_col: str = "file", t_col: str = "t", value_col: str = "value", chunk: int = CHUNK) -> DataFrame:
+    """R2 long form.  ``rates`` holds ``(file, sr)``.  Output ``(file, t, value)``.
+    The samples are brought together in chunks once and resampled there."""
+    chunks = chunk_samples(samples, file_col, t_col, value_col, chunk)
+    return explode_chunks(resample_chunks(chunks, rates, target_sr, file_col, chunk), file_col, t_col, value_col)
