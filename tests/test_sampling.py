@@ -143,3 +143,19 @@ def test_global_index_orders_nulls_and_repeated_keys(spark):
     shuffled = sampling.seeded_shuffle(df, "k").collect()
     assert sorted(r["idx"] for r in shuffled) == list(range(len(keys)))
     assert sampling.head_fraction(df, "k", 5).count() == len(keys) // 5
+
+
+def test_global_index_splits_a_shared_leading_value(spark):
+    """One value leads all rows: the buckets follow the columns behind it, of any type."""
+    rows = [(1, None if i % 50 == 0 else f"k{i % 13}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b string, c long").repartition(6)
+    want = [r[2] for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2]))]
+    assert [r["c"] for r in sampling.with_global_index(df, ["a", "b", "c"], "idx").orderBy("idx").collect()] == want
+    cut = sampling._by_ranges(df, ["a", "b", "c"], 8).groupBy("_b").count().collect()
+    assert len(cut) == 8 and max(r["count"] for r in cut) < 1000
+    # ties in all order columns spread too, and every row gets one position
+    tied = sampling.with_global_index(df, ["a", "a"], "idx")
+    assert sorted(r["idx"] for r in tied.collect()) == list(range(2000))
+    assert sampling._by_ranges(df, ["a"], 8).select("_b").distinct().count() == 8
+    assert sampling.head_fraction(df, ["a", "b", "c"], 5).count() == 400
+    assert sampling.with_global_index(df.limit(0), ["a", "b"], "idx").count() == 0

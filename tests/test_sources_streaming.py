@@ -162,3 +162,17 @@ def test_logged_ingest_isolates_and_retries_a_shard(spark, scratch):
     assert ids() == list(range(30)) and retry_failed(spark, schema, sink, log, transform) == 0
     got = sorted((r["attempt"], r["status"], r["n_rows"], r["n_errors"], r["error"]) for r in read_log(spark, log).collect() if "s1/" in r["shard"])
     assert got == [(1, "failed", 0, 1, "boom"), (2, "failed", 0, 1, "boom"), (3, "done", 10, 0, None)]
+
+
+def test_list_literal_reads_what_python_reads(spark):
+    import ast
+    from voxloom.functions.text import list_literal
+    texts = ["[]", " [ ]\n", "['a', \"b\",]", r"['it\'s', 'a\\n', 'x\x41\u00e9\U0001F600\101\0']", r"['\q', 'a\tb']",
+             "['a',  # it's\n 'b' ]  # end", "['" + "x" * 50_000 + "', " + "'y', " * 5_000 + "]", "['#no', \"it's\"]", "['line\\\nnext']",
+             "['a'", "'a'", "[1]", "['a' 'b']", "['a',,]", "[,]", r"['\x1']", r"['\N{DASH}']", "['a\nb']", "", "[['a']]", "['a'] x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["u"] for r in rows.select("i", list_literal("t").alias("u")).collect()}
+    for i, t in enumerate(texts[:9]):
+        assert got[i] == ast.literal_eval(t.strip()), t[:40]
+    assert [i for i in range(9, len(texts)) if got[i] is not None] == []
+    assert spark.range(1).select(list_literal(F.lit(None).cast("string"))).first()[0] is None

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
+from voxloom.session import written
 
 ROWS_PER_BUCKET = 2_000_000      # upper bound of rows ranked by one task
 
@@ -48,6 +49,15 @@ def _by_quantiles(work: DataFrame, buckets: int) -> DataFrame:
     return cut.withColumn("_b", F.when(F.col("_lead").isNull(), F.lit(-1.0)).otherwise(F.col("_b")))
 
 
+def _by_ranges(work: DataFrame, order_cols: list, buckets: int) -> DataFrame:
+    """Add ``_b``: the range of the composite key ``order_cols`` (any types,
+    NULLs first), then of a hash of the row, that a row falls in.  Split points
+    are sampled anew whenever a range exchange runs, so the cut rows are written."""
+    hashed = [F.col(f"`{f.name}`") for f in work.schema.fields if "map" not in f.dataType.simpleString()]
+    cut = work.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(buckets, *order_cols, "_tie")
+    return written(cut.withColumn("_b", F.spark_partition_id().cast("double")).drop("_tie"), "ranges")
+
+
 def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Column | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
                       uniform_range: tuple[float, float] | None = None,
@@ -67,6 +77,11 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
     themselves; a window partitioned by bucket finishes the count inside it.
     Since the buckets follow ``lead``, many rows with one leading value spread
     over several buckets as long as ``lead`` varies among them.
+
+    Without ``lead``, an order of several columns, or one that does not start
+    with a number, is cut at split points over all order columns and a hash of
+    the row: a leading value that all rows share is split by what follows it.
+    Rows are written once for that; only rows equal in every column stay together.
     """
     order_cols = list(order_cols)
     n = df.count() if n_rows is None else n_rows
@@ -74,9 +89,13 @@ def with_global_index(df: DataFrame, order_cols, idx_col: str = "idx", lead: Col
     if min_buckets is None:
         min_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min_buckets, math.ceil(n / rows_per_bucket))
-    lead_col = (lead if lead is not None else F.col(order_cols[0])).cast("double")
-    work = df.withColumn("_lead", lead_col).withColumn("_w", (weight if weight is not None else F.lit(1)).cast("long"))
-    if uniform_range is not None:
+    work = df.withColumn("_w", (weight if weight is not None else F.lit(1)).cast("long"))
+    by_ranges = lead is None and (len(order_cols) > 1 or not isinstance(df.select(order_cols[0]).schema[0].dataType, T.NumericType))
+    if not by_ranges:
+        work = work.withColumn("_lead", (lead if lead is not None else F.col(order_cols[0])).cast("double"))
+    if by_ranges:
+        work = _by_ranges(work, order_cols, buckets)
+    elif uniform_range is not None:
         lo, hi = uniform_range
         work = work.withColumn("_b", F.least(F.floor((F.col("_lead") - lo) * (buckets / (hi - lo))),
                                              F.lit(buckets - 1)).cast("double"))
@@ -140,11 +159,12 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = V.SHUFFLE_SEED, idx_col:
                              uniform_range=(0.0, float(16 ** 15))).drop("_o1")
 
 
-def head_fraction(df: DataFrame, key: str, fraction_div: int = 5, idx_col: str = "idx",
+def head_fraction(df: DataFrame, key: str | list[str], fraction_div: int = 5, idx_col: str = "idx",
                   n_rows: int | None = None) -> DataFrame:
-    """O2: the first ``n div fraction_div`` rows in ``key`` order, NULLs first."""
+    """O2: the first ``n div fraction_div`` rows in ``key`` order (one column or
+    several), NULLs first."""
     n = df.count() if n_rows is None else n_rows
-    return with_global_index(df, [key], idx_col, n_rows=n).filter(F.col(idx_col) < n // fraction_div)
+    return with_global_index(df, [key] if isinstance(key, str) else key, idx_col, n_rows=n).filter(F.col(idx_col) < n // fraction_div)
 
 
 def head_n(df: DataFrame, order_cols, n: int = V.HEAD_SAMPLE) -> DataFrame:

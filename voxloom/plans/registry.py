@@ -410,6 +410,23 @@ def head_fraction(spark, sf_dir):
     return sampling.seeded_shuffle(head, "doc_id", n_rows=n // 5).select("doc_id", _long("idx").alias("idx"))
 
 
+@register("order_any", """
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, source NULLS FIRST, doc_id) - 1 AS idx,
+                  count(*) OVER () AS n FROM documents)
+SELECT doc_id::BIGINT AS doc_id, idx::BIGINT AS idx, (idx // 1000)::BIGINT AS batch, idx < n // 5 AS in_head,
+       CASE WHEN idx < (n % 7) * (n // 7 + 1) THEN idx // (n // 7 + 1)
+            ELSE n % 7 + (idx - (n % 7) * (n // 7 + 1)) // (n // 7) END::BIGINT AS shard
+FROM d
+""")
+def order_any(spark, sf_dir):
+    """O1-O4, K4 in an order whose first column is one value for all rows, then strings."""
+    d = FX.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.lit(1).alias("run"))
+    n = d.count()
+    i = sampling.row_batches(sampling.with_global_index(d, ["run", "lang", "source", "doc_id"], n_rows=n), "idx", V.BATCH_ROWS)
+    return i.select(_long("doc_id").alias("doc_id"), _long("idx").alias("idx"), _long("batch").alias("batch"),
+                    (F.col("idx") < n // 5).alias("in_head"), _long(sampling.shard_of("idx", n, 7)).alias("shard"))
+
+
 @register("row_batches", """
 WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events)
 SELECT (idx // 1000)::BIGINT AS batch, count(*)::BIGINT AS n_rows, min(event_id)::BIGINT AS first_id,
@@ -818,6 +835,7 @@ def word_join(spark, sf_dir):
     return w.select(_long("conv_id").alias("conv_id"), TX.transcript_from_words("words").alias("transcript"))
 
 
+WAVE_CHUNK = 64          # samples of a chunk; the files of the fixture are short
 WAVE_SQL = """
 wv AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, event_type
        FROM events)
@@ -843,13 +861,59 @@ def segment_slice(spark, sf_dir):
            .select("file", F.col("t").alias("seg_t"),
                    ((F.col("t").cast("double") - 2.6) / 1000.0).alias("start"),
                    ((F.col("t").cast("double") + 5.7) / 1000.0).alias("end")))
-    j = SEG.slice_waveform(smp.select("file", "t", "value"), seg, "file", "t", sr=FX.SLICE_SR)
+    chunks = WV.chunk_samples(smp.select("file", "t", "value"), chunk=WAVE_CHUNK)
+    j = SEG.slice_chunks(chunks, seg, "file", sr=FX.SLICE_SR, chunk=WAVE_CHUNK)
+    total = F.aggregate("samples", F.lit(0.0).cast("double"), lambda a, x: a + x)
     return j.groupBy("file", "seg_t", "_s", "_e").agg(
-        _long(F.count("*")).alias("n_samples"), _round(F.sum("value"), 4).alias("value_sum")).select(
+        _long(F.sum(F.size("samples"))).alias("n_samples"), _round(F.sum(total), 4).alias("value_sum")).select(
         _long("file").alias("file"), _long("seg_t").alias("seg_t"), _long("_s").alias("start_idx"),
         _long("_e").alias("end_idx"), "n_samples", "value_sum")
 
 
+@register("segment_audio_chunks", f"""
+WITH {WAVE_SQL},
+seg AS (SELECT file, t AS seg_t,
+               trunc(((t::DOUBLE - 2.6::DOUBLE) / 1000.0::DOUBLE) * 1000.0::DOUBLE)::BIGINT AS s,
+               trunc(((t::DOUBLE + 5.7::DOUBLE) / 1000.0::DOUBLE) * 1000.0::DOUBLE)::BIGINT AS e
+        FROM wv WHERE event_type = 'purchase'),
+o AS (SELECT seg.file, wv.value, row_number() OVER (PARTITION BY seg.file ORDER BY seg.seg_t, wv.t) - 1 AS pos
+      FROM seg JOIN wv ON wv.file = seg.file AND wv.t >= seg.s AND wv.t < seg.e)
+SELECT file::BIGINT AS file, (pos // 32)::BIGINT AS chunk_no, count(*)::BIGINT AS n_samples,
+       round(sum(value * (pos % 32 + 1)), 4) AS value_ck
+FROM o GROUP BY file, pos // 32
+""")
+def segment_audio_chunks(spark, sf_dir):
+    """J2 -> O5 -> R3 on chunks: the cut segments of each file joined in order,
+    written in chunks of 32 samples."""
+    smp = FX.wave_samples(spark, sf_dir)
+    seg = (smp.filter(F.col("event_type") == "purchase")
+           .select("file", F.col("t").alias("seg_t"),
+                   ((F.col("t").cast("double") - 2.6) / 1000.0).alias("start"),
+                   ((F.col("t").cast("double") + 5.7) / 1000.0).alias("end")))
+    chunks = WV.chunk_samples(smp.select("file", "t", "value"), chunk=WAVE_CHUNK)
+    cut = written(SEG.slice_chunks(chunks, seg, "file", sr=FX.SLICE_SR, chunk=WAVE_CHUNK), "cut")
+    place = sampling.rank_in_group(cut.select("file", "seg_t", "first_t", "samples"), "file", ["seg_t", "first_t"], "out_start",
+                                   weight=F.size("samples"))
+    out = SEG.assemble_chunks(place, "samples", "out_start", "file", chunk=32)
+    weighed = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return out.select(_long("file").alias("file"), _long("chunk_no").alias("chunk_no"),
+                      _long(F.size("samples")).alias("n_samples"), _round(weighed, 4).alias("value_ck"))
+
+
+@register("main_speaker_chunks", f"""
+WITH {SEG_SQL},
+j AS (SELECT sg.file, string_agg(sg.text, '' ORDER BY sg."start", sg.seg_order) AS text
+      FROM sg JOIN ms ON sg.file = ms.file AND sg.speaker = ms.main_speaker GROUP BY sg.file),
+k AS (SELECT file, text, unnest(range(0, ((length(text) + 99) // 100)::BIGINT)) AS chunk_no FROM j)
+SELECT file::BIGINT AS file, chunk_no::BIGINT AS chunk_no, substr(text, chunk_no * 100 + 1, 100) AS text FROM k
+""")
+def main_speaker_chunks(spark, sf_dir):
+    """J3 -> O5 -> R3 in chunks: what main_speaker_concat joins, 100 characters a row."""
+    mine = SEG.main_speaker_segments(FX.segments(spark, sf_dir))
+    c = SEG.concat_chunks(mine, "text", "file", chunk=100)
+    return c.select(_long("file").alias("file"), _long("chunk_no").alias("chunk_no"), "text")
+
+
 # --------------------------------------------------------------------------
 # Waveforms
 # --------------------------------------------------------------------------
@@ -867,7 +931,7 @@ def resample_linear(spark, sf_dir):
     """R2 long form: each user's event values as a 16 kHz waveform, resampled to 24 kHz."""
     smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
     rates = smp.select("file").distinct().withColumn("sr", F.lit(FX.WAVE_SR))
-    r = WV.resample_linear_long(smp, rates, V.TARGET_SR)
+    r = WV.resample_linear_long(smp, rates, V.TARGET_SR, chunk=WAVE_CHUNK)
     return r.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
 
 
@@ -888,6 +952,24 @@ def mono_mix(spark, sf_dir):
     return m.select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
 
 
+@register("mono_mix_chunks", f"""
+WITH {WAVE_SQL},
+ch AS (SELECT file, t, value AS v0, coalesce(lead(value) OVER (PARTITION BY file ORDER BY t), value) AS v1 FROM wv)
+SELECT file::BIGINT AS file, t::BIGINT AS t, round((v0 + v1) / 2, 6) AS value FROM ch
+""")
+def mono_mix_chunks(spark, sf_dir):
+    """R1 on chunks: the second channel is the first one a sample later, by the halo."""
+    smp = FX.wave_samples(spark, sf_dir).select("file", "t", "value")
+    chunks = written(WV.chunk_samples(smp, chunk=WAVE_CHUNK), "chunks")
+    later = F.concat(F.slice("samples", F.lit(2), F.size("samples")),
+                     F.array(F.coalesce("halo", F.element_at("samples", -1))))
+    halo = WV.with_halo(chunks)
+    both = (halo.select("file", F.lit(0).alias("channel"), "chunk", "samples")
+            .unionByName(halo.select("file", F.lit(1).alias("channel"), "chunk", later.alias("samples"))))
+    m = WV.mono_mix_chunks(both).withColumn("first_t", F.col("chunk") * WAVE_CHUNK)
+    return WV.explode_chunks(m).select(_long("file").alias("file"), _long("t").alias("t"), _round("value", 6).alias("value"))
+
+
 @register("segment_slice_array", """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v,
        trunc(((vec_id % 40)::DOUBLE / 1000.0::DOUBLE) * 1000.0::DOUBLE)::BIGINT * 2 AS s,
@@ -955,6 +1037,37 @@ def video_id(spark, sf_dir):
                     TX.output_path("downloads", "video_id").alias("out_path"), F.col("video_id").isNotNull().alias("ok"))
 
 
+@register("url_list_literals", """
+WITH u AS (SELECT page_id // 10 AS list_id, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS pos,
+                  url || CASE WHEN page_id % 3 = 0 THEN '&q=it''s "ok"' ELSE '' END AS url FROM pages)
+SELECT list_id::BIGINT AS list_id, pos::BIGINT AS pos, url, 'ok' AS status FROM u WHERE list_id % 5 <> 4
+UNION ALL SELECT DISTINCT list_id::BIGINT, NULL::BIGINT, NULL::VARCHAR, 'not a list literal' FROM u WHERE list_id % 5 = 4
+""")
+def url_list_literals(spark, sf_dir):
+    """S6 -> P7: ten page URLs a list, written as literals of five kinds and parsed;
+    every fifth list does not close and goes to quarantine."""
+    extra = F.when(F.col("page_id") % 3 == 0, F.lit("&q=it's \"ok\"")).otherwise("")
+    p = FX.table(spark, sf_dir, "pages").select("page_id", F.concat("url", extra).alias("url"))
+    lists = p.groupBy(F.expr("page_id div 10").alias("list_id")).agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("u"))
+    urls = F.transform("u", lambda x: x["url"])
+
+    def quoted(q: str, escape=lambda x: x):
+        return F.transform(urls, lambda x: F.concat(F.lit(q), escape(F.replace(x, F.lit(q), F.lit("\\" + q))), F.lit(q)))
+
+    hexed = lambda x: F.replace(F.replace(x, F.lit("/"), F.lit("\\x2f")), F.lit("e"), F.lit("\\u0065"))
+    kind = F.col("list_id") % 5
+    text = (F.when(kind == 0, F.concat(F.lit("["), F.array_join(quoted("'"), ", "), F.lit("]")))
+            .when(kind == 1, F.concat(F.lit("["), F.array_join(quoted('"'), ","), F.lit(" , ]\n")))
+            .when(kind == 2, F.concat(F.lit("["), F.array_join(quoted("'", hexed), ", "), F.lit("]")))
+            .when(kind == 3, F.concat(F.lit("[  # it's a list\n"), F.array_join(quoted('"'), ",  # \"next\"\n"), F.lit("\n]")))
+            .otherwise(F.concat(F.lit("["), F.array_join(quoted("'"), ", "))))
+    parsed = lists.select("list_id", TX.list_literal(text).alias("urls"))
+    good = parsed.filter(F.col("urls").isNotNull()).select("list_id", F.posexplode("urls").alias("pos", "url")).withColumn("status", F.lit("ok"))
+    bad = parsed.filter(F.col("urls").isNull()).select("list_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("url"),
+                                                       F.lit("not a list literal").alias("status"))
+    return good.unionByName(bad).select(_long("list_id").alias("list_id"), _long("pos").alias("pos"), "url", "status")
+
+
 @register("lift_field", """
 SELECT doc_id::BIGINT AS doc_id, text, 16000::BIGINT AS sampling_rate FROM documents WHERE source <> 'src3'
 """)

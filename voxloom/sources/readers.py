@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
-from voxloom.functions.text import py_strip, shard_path
+from voxloom.functions.text import list_literal, py_strip, shard_path
 
 __all__ = ["BULK_SCHEMA", "SPEAKER_ROW_SCHEMA", "read_table", "read_corpus", "read_shards", "shard_manifest",
            "scan_manifest", "read_transcripts", "read_url_lists"]
@@ -86,9 +86,7 @@ def read_url_lists(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
     do not parse as a list go to the second (quarantine) frame."""
     raw = (spark.read.option("wholetext", "true").text(root)
            .select(F.col("_metadata.file_path").alias("file"), "value"))
-    # a Python list literal may end in ",]"; JSON may not
-    literal = F.regexp_replace("value", r",\s*\]\s*$", "]")
-    parsed = raw.withColumn("_urls", F.from_json(literal, "array<string>", {"allowSingleQuotes": "true"}))
+    parsed = raw.withColumn("_urls", list_literal("value"))
     good = parsed.filter(F.col("_urls").isNotNull()).select("file", F.posexplode("_urls").alias("pos", "url"))
     bad = parsed.filter(F.col("_urls").isNull()).select("file", F.lit("not a list literal").alias("error"))
     return good, bad
