@@ -219,6 +219,51 @@ def test_configuration_program():
     assert packing.solve({}) == []
 
 
+def exact_cover(lengths, capacity):
+    """Fewest bins, by search over the bins that the largest piece may go in."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for j in {r: j for j, r in enumerate(rooms) if r >= lengths[i]}.values():
+            place(i + 1, rooms[:j] + [rooms[j] - lengths[i]] + rooms[j + 1:])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_covering_program_is_feasible_and_bounded():
+    """The amounts cover the demand; bound <= exact optimum <= packed; the gap is small."""
+    rng = np.random.default_rng(5)
+    for trial in range(12):
+        cap = int(rng.integers(20, 60))
+        lengths = rng.integers(1 if trial % 2 else cap // 4, cap, 11)
+        demand = np.bincount(lengths, minlength=cap + 1)
+        p = packing.covering_program(demand, cap)
+        cover = np.zeros(cap + 1)
+        for c, x in p.amounts.items():
+            assert sum(c) <= cap and x > 0
+            np.add.at(cover, list(c), x)
+        assert (cover >= demand - 1e-6).all() and abs(sum(p.amounts.values()) - p.value) < 1e-6
+        best = exact_cover(lengths.tolist(), cap)
+        used = sum(k for _, k in packing.solve(dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True)))), cap))
+        assert p.bound <= best + 1e-9 and best <= used <= best + 1 and p.bound <= p.value <= 1.1 * p.bound
+    for lengths in (rng.integers(1, 2048, 3000), rng.choice([900, 600, 500, 410], 3000), rng.integers(700, 1400, 5000)):
+        p = packing.covering_program(np.bincount(lengths, minlength=2049), 2048)
+        assert p.value <= 1.06 * p.bound
+    # three lengths that best fit decreasing packs badly
+    few = dict(zip(*map(np.ndarray.tolist, np.unique(rng.choice([900, 600, 500, 410], 3000), return_counts=True))))
+    demand = np.bincount(np.repeat(list(few), list(few.values())), minlength=2049)
+    assert sum(k for _, k in packing.solve(few)) < sum(k for _, k in packing.best_fit(demand, 2048))
+    assert packing.covering_program(np.zeros(2049, np.int64), 2048) == packing.Program({}, 0.0, 0.0)
+
+
 # -- toxicity, quality model --------------------------------------------------------
 
 def test_toxicity_held_out(spark, odd, empty):

@@ -4,12 +4,13 @@ Documents become pieces of at most ``capacity`` tokens.  Only the histogram of
 piece lengths (at most ``capacity`` rows, whatever the corpus) reaches the
 driver.  There a configuration LP - cover every length's pieces by as few
 copies of configurations (multisets of lengths that fit one sequence) as
-possible - is solved by multiplicative weights: each round prices a
-configuration by unbounded-knapsack dynamic programming under the current
-weights, takes a fraction of it, and lowers the weights of the lengths it
-covers.  Rounding down the solution packs most pieces; rounds repeat on what
-is left, and best fit decreasing (on groups of equal bins, so its cost does not
-depend on the number of pieces) packs the last of it.
+possible - is solved by multiplicative weights: each round prices
+configurations by unbounded-knapsack dynamic programming under the current
+weights, takes fractions of them, and lowers the weights of the lengths they
+cover; the prices also bound the program's value from below.  The fractional
+solution is rounded to whole configurations, and best fit decreasing (on groups
+of equal bins, so its cost does not depend on the number of pieces) packs the
+last of it.
 
 Every piece then finds its slot by its rank among the pieces of its length:
 the rank inside its partition (counted while tokenizing) plus the counts of
@@ -23,9 +24,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,8 +37,14 @@ from voxloom.llm.word_bpe import WordBpe
 
 CAPACITY = 2048
 END_ID = 0
-#: pricing rounds, at most; the rest is left to best fit
-ROUNDS = 300
+#: pricing rounds of a program, at most, and the gap between value and bound that ends them
+ROUNDS = 200
+GAP = 0.002
+#: how fast prices fall with the covered share; how far from the best a configuration may be
+STEP = 0.1
+SLACK = 0.02
+#: pricing rounds, at most, on what rounding down leaves; the rest is left to best fit
+REST_ROUNDS = 300
 TILT = 0.5
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
@@ -45,12 +52,12 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part i
 
 # -- the configuration program (driver, over the histogram) ------------------
 
-def best_configuration(value: np.ndarray, room: int) -> list[int]:
-    """Lengths (with repeats) that fit ``room`` and have the largest total
-    value: unbounded knapsack, one vector step per capacity."""
+def knapsack(price: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest total price of lengths (with repeats) that fit 0, 1, .. ``room``
+    and the length taken first (0: one token stays free); one vector step per size."""
     best = np.zeros(room + 1)
     took = np.zeros(room + 1, np.int64)
-    v = value[1:room + 1]
+    v = price[1:room + 1]
     for c in range(1, room + 1):
         gain = v[:c] + best[c - 1::-1]
         j = int(gain.argmax())
@@ -58,48 +65,126 @@ def best_configuration(value: np.ndarray, room: int) -> list[int]:
             best[c], took[c] = gain[j], j + 1
         else:
             best[c] = best[c - 1]
-    out, c = [], room
-    while c > 0:
-        if took[c]:
-            out.append(int(took[c]))
-            c -= int(took[c])
-        else:
-            c -= 1
-    return out
+    return best, took
 
 
-def weighted_rounds(demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[list[int], float]]:
-    """Fractional configurations by multiplicative weights.
+def configuration(took: np.ndarray, room: int) -> list[int]:
+    """The lengths of a best filling of ``room``."""
+    out = []
+    while room > 0:
+        n = int(took[room])
+        if n:
+            out.append(n)
+        room -= n or 1
+    return out
+
 
-    A length's price starts as its size (the LP's dual for a full bin) and
-    shrinks by ``exp(-step * covered share)`` relative to the others; a length
-    whose demand is met leaves the program."""
-    left = demand.astype(float).copy()
-    size = np.arange(len(demand))
+class Program(NamedTuple):
+    """A feasible fractional cover, its value and a lower bound of any cover's."""
+    amounts: dict[tuple[int, ...], float]
+    value: float
+    bound: float
+
+
+def covering_program(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, gap: float = GAP) -> Program:
+    """The configuration LP by multiplicative weights.
+
+    ``covered`` is the share of each length's demand that the rounds so far
+    cover.  A length's price starts as its size and shrinks by
+    ``exp(-step * covered)``.  A round prices by one knapsack table, which holds
+    the best configuration around every length; those within ``SLACK`` of the
+    best are taken, each up to its share of what its lengths demand.  Any prices
+    give a lower bound (what the demand costs over the best configuration's
+    price).  The sum of the rounds over the least share is a cover; lengths that
+    lag far behind are filled up with configurations of their own where that is
+    cheaper.  Ends when value and bound differ by ``gap`` or after ``rounds``.
+    """
+    live = np.flatnonzero(demand)
+    if not len(live):
+        return Program({}, 0.0, 0.0)
+    d = demand[live].astype(float)
+    covered = np.zeros(len(live))
+    place = np.zeros(len(demand), np.int64)
+    place[live] = np.arange(len(live))
+    own = capacity // live
+    taken: dict[tuple[int, ...], float] = {}
+    bound, done = 0.0, 0.0
+    best_cover: tuple[float, float] = (np.inf, 1.0)
+    for _ in range(rounds):
+        price = np.zeros(len(demand))
+        price[live] = live * np.exp(-step * (covered - covered.min()))
+        best, took = knapsack(price, capacity)
+        bound = max(bound, float(price[live] @ d / best[capacity]))
+        around = price[live] + best[capacity - live]
+        confs = {tuple(sorted([int(n), *configuration(took, capacity - int(n))], reverse=True))
+                 for n in live[around >= (1 - SLACK) * best[capacity]]}
+        uses = [np.unique(place[list(c)], return_counts=True) for c in sorted(confs)]
+        sharing = np.zeros(len(live))
+        for i, _n in uses:
+            sharing[i] += 1
+        for c, (i, n) in zip(sorted(confs), uses):
+            amount = float(np.min(d[i] / (n * sharing[i])))
+            taken[c] = taken.get(c, 0.0) + amount
+            covered[i] += amount * n / d[i]
+            done += amount
+        # the level at which rounds so far plus own configurations cost least
+        levels = np.unique(np.quantile(covered, np.linspace(0, 1, 33)))
+        for level in levels[levels > 0]:
+            cost = (done + float(np.sum(np.maximum(0.0, level - covered) * d / own))) / level
+            if cost < best_cover[0]:
+                best_cover = cost, float(level)
+                kept, lacking = dict(taken), np.maximum(0.0, level - covered) * d / own / level
+        if best_cover[0] <= bound * (1 + gap):
+            break
+    value, level = best_cover
+    amounts = {c: x / level for c, x in kept.items()}
+    for n, k, x in zip(live.tolist(), own.tolist(), lacking.tolist()):
+        if x > 0:
+            amounts[(n,) * k] = amounts.get((n,) * k, 0.0) + x
+    return Program(amounts, value, bound)
+
+
+def rounded(program: Program, demand: np.ndarray, capacity: int) -> tuple[list[tuple[list[int], int]], np.ndarray]:
+    """Whole copies of the program's configurations, fullest first, as far as
+    the lengths last, and the demand they leave.  What no cover's average sequence
+    could be as empty as, by the bound, is left to the pricing below."""
+    left = demand.copy()
+    out = []
+    fill = min(capacity, int(float(np.arange(len(demand)) @ demand) / program.bound)) if program.bound else 0
+    for c, x in sorted(program.amounts.items(), key=lambda x: (-sum(x[0]), -x[1], x[0])):
+        if sum(c) < fill:
+            break
+        i, n = np.unique(c, return_counts=True)
+        k = min(int(x + 1e-9), int(np.min(left[i] // n)))
+        if k > 0:
+            left[i] -= k * n
+            out.append((list(c), k))
+    return out, left
+
+
+def priced_rounds(left: np.ndarray, capacity: int, rounds: int, step: float = 2.0) -> list[tuple[list[int], int]]:
+    """Whole copies of full configurations from what rounding down leaves: the
+    knapsack prices only lengths that are left, and half of what lasts is taken."""
+    demand = np.maximum(left, 1)
+    size = np.arange(len(left))
     start = size * (1 + TILT * size / capacity)
-    log_w = np.zeros(len(demand))
-    out: list[tuple[list[int], float]] = []
+    log_w = np.zeros(len(left))
+    out: list[tuple[list[int], int]] = []
     for _ in range(rounds):
         live = left >= 1
         if not live.any():
             break
-        price = np.where(live, start * np.exp(log_w - log_w[live].max()), 0.0)
-        conf = best_configuration(price, capacity)
-        if not conf:
-            break
-        uses = np.bincount(conf, minlength=len(demand))
+        conf = configuration(knapsack(np.where(live, start * np.exp(log_w - log_w[live].max()), 0.0), capacity)[1], capacity)
+        uses = np.bincount(conf, minlength=len(left))
         on = uses > 0
-        amount = float(np.min(left[on] / uses[on]))
-        if amount < 1 or sum(conf) < capacity:
-            # a length occurs less often than the configuration wants, or the
-            # bin stays open: make these lengths cheaper and price again; what
-            # no full configuration takes is left to the rounding step
-            log_w[on] -= step
+        lasts = int(np.min(left[on] // uses[on]))
+        if not lasts or sum(conf) < capacity:
+            log_w[on] -= step  # too few of a length, or the bin stays open: price these lower
             continue
-        amount = max(1.0, np.floor(amount / 2))
-        out.append((conf, amount))
-        left[on] -= amount * uses[on]
-        log_w[on] -= step * amount * uses[on] / demand[on]
+        n = max(1, lasts // 2)
+        out.append((conf, n))
+        left[on] -= n * uses[on]
+        log_w[on] -= step * n * uses[on] / demand[on]
     return out
 
 
@@ -134,23 +219,17 @@ def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     return [(p, c) for g in groups.values() for p, c in g]
 
 
-def solve(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = 2.0) -> list[tuple[list[int], int]]:
-    """(configuration, number of sequences) covering the histogram exactly."""
+def solve(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """(configuration, number of sequences) covering the histogram exactly: the
+    program rounded down, priced rounds on what that leaves, best fit for the last of it."""
     demand = np.zeros(capacity + 1, np.int64)
     for k, n in hist.items():
         demand[k] = n
     full = [([capacity], int(demand[capacity]))] if demand[capacity] else []
     demand[capacity] = 0
-    left = demand.copy()
-    done: list[tuple[list[int], int]] = []
-    for conf, x in weighted_rounds(demand, capacity, rounds, step):
-        uses = np.bincount(conf, minlength=capacity + 1)
-        n = int(min(np.floor(x), np.min(left[uses > 0] // uses[uses > 0])))
-        if n > 0:
-            done.append((conf, n))
-            left -= n * uses
-    done += best_fit(left, capacity)
-    return full + done
+    done, left = rounded(covering_program(demand, capacity), demand, capacity)
+    done += priced_rounds(left, capacity, REST_ROUNDS)
+    return full + done + best_fit(left, capacity)
 
 
 def slot_table(configs: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
@@ -221,30 +300,58 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     key = slots["length"] * shift + slots["rank"]
     sent = pieces.sparkSession.sparkContext.broadcast((key, slots))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, t = sent.value
-        for f in frames:
-            length, rank = f["length"].to_numpy(), f["rank"].to_numpy()
+        for b in batches:
+            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             i = np.searchsorted(key, length * shift + rank, "right") - 1
             nth = rank - t["rank"][i]
-            f["sequence_id"] = t["seq"][i] + nth // t["per"][i]
-            f["offset"] = t["offset"][i] + nth % t["per"][i] * length
-            yield f.drop(columns=["rank"])
+            seq = t["seq"][i] + nth // t["per"][i]
+            offset = t["offset"][i] + nth % t["per"][i] * length
+            keep = b.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     ranked = pieces.join(counts.select("part", "length", "earlier"), ["part", "length"])
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
     ranked = ranked.select(*cols, (F.col("earlier") + F.col("local_rank")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return ranked.mapInPandas(place, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
     """One row per sequence of ``pack_documents(keep_ids=True)``: sequence_id,
     its ids (at most ``capacity``), and in ``pieces`` what lies where."""
-    piece = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
-    s = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(piece)).alias("p"))
-    ids = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), ""))
-    return s.select("sequence_id", ids.alias("ids"), F.transform("p", lambda x: x.dropFields("ids")).alias("pieces"))
+    cols = ["sequence_id", "offset", "doc_id", "piece", "start", "length", "ids"]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by sequence and offset: a sequence's ids are neighbours in
+        the batch's buffer, so joining them is a matter of offsets."""
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            if not t.num_rows:
+                continue
+            seq = t["sequence_id"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(seq[1:] != seq[:-1]) + 1])
+            held = t.slice(int(cuts[-1]))  # may go on in the next batch
+            if len(cuts) > 1:
+                yield whole(t.slice(0, int(cuts[-1])), cuts)
+        if held is not None and held.num_rows:
+            yield whole(held, np.array([0, held.num_rows]))
+
+    def whole(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        t = pa.concat_tables([t]).combine_chunks()
+        ids = pa.concat_arrays(t["ids"].chunks)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1]
+        joined = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].tobytes()), ids.buffers()[2]])
+        parts = pa.StructArray.from_arrays([pa.concat_arrays(t[c].chunks) for c in cols[1:-1]], cols[1:-1])
+        return pa.RecordBatch.from_arrays([pa.array(t["sequence_id"].to_numpy()[cuts[:-1]]), joined,
+                                           pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts)], ["sequence_id", "ids", "pieces"])
+
+    rows = packed.select(*cols).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    piece = "offset: bigint, doc_id: bigint, piece: int, start: bigint, length: bigint"
+    return rows.mapInArrow(join, f"sequence_id long, ids binary, pieces array<struct<{piece}>>")
 
 
 def pieces_of(seqs: DataFrame) -> DataFrame:
