@@ -185,6 +185,9 @@ def test_sequences_hold_the_ids(spark, odd, empty):
     seqs = packing.sequences(plain).cache()
     got = packing.pieces_of(seqs)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.select(*got.columns).collect()))
+    short = packing.sequences(packing.pack_documents(docs, BPE, keep_ids=True, id_bytes=2), id_bytes=2)
+    assert sorted((r["doc_id"] or -1, r["piece"], r["ids_crc32"]) for r in packing.pieces_of(short).collect()) == sorted(
+        (r["doc_id"] or -1, r["piece"], r["ids_crc32"]) for r in plain.collect())
     for s in seqs.collect():
         assert len(s["ids"]) == 4 * sum(p["length"] for p in s["pieces"]) <= 4 * 2048
     assert packing.pieces_of(packing.sequences(packing.pack_documents(empty, BPE, keep_ids=True))).count() == 0

@@ -253,9 +253,10 @@ def slot_table(configs: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 # -- pieces ------------------------------------------------------------------
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids: bool,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 4) -> DataFrame:
     """One row per piece, with its rank among the task's pieces of its length."""
     C.ready(docs.sparkSession)
+    kept_type = {2: "<u2", 4: "<u4"}[id_bytes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(tokenizer_path)
@@ -273,7 +274,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, keep_i
                         c.append(v)
                     seen[n] += 1
                     if keep_ids:
-                        blobs.append(raw)
+                        part_ids = ids[at:at + capacity]
+                        if id_bytes == 2 and part_ids.max() > 0xFFFF:
+                            raise ValueError("an id does not fit 2 bytes")
+                        blobs.append(part_ids.astype(kept_type).tobytes())
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             arrays = [pa.array(c, t) for c, t in zip(cols, types)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"]
@@ -286,11 +290,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, keep_i
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 4) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, and with ``keep_ids`` the ids (little-endian
-    unsigned 32-bit)."""
-    pieces = C.materialize(tokenized_pieces(docs, tokenizer_path, capacity, keep_ids, id_col, text_col), "pieces")
+    unsigned, 4 bytes each, or 2 where the vocabulary has at most 65,536 ids; a
+    larger id is an error then)."""
+    pieces = C.materialize(tokenized_pieces(docs, tokenizer_path, capacity, keep_ids, id_col, text_col, id_bytes), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = C.materialize(counts.select("part", "length", "n", F.coalesce(F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier")), "lengths")
@@ -318,9 +323,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """One row per sequence of ``pack_documents(keep_ids=True)``: sequence_id,
-    its ids (at most ``capacity``), and in ``pieces`` what lies where."""
+def sequences(packed: DataFrame, id_bytes: int = 4) -> DataFrame:
+    """One row per sequence of ``pack_documents(keep_ids=True, id_bytes=..)``:
+    sequence_id, its ids (at most ``capacity``, 4 bytes each), and in ``pieces``
+    what lies where.  With ``id_bytes=2`` the exchange moves half as much."""
+    kept_type = {2: "<u2", 4: "<u4"}[id_bytes]
     cols = ["sequence_id", "offset", "doc_id", "piece", "start", "length", "ids"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +351,9 @@ def sequences(packed: DataFrame) -> DataFrame:
         t = pa.concat_tables([t]).combine_chunks()
         ids = pa.concat_arrays(t["ids"].chunks)
         ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1]
-        joined = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].tobytes()), ids.buffers()[2]])
+        wide = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(kept_type).astype("<u4")
+        ends = (ends - ends[0]) // id_bytes * 4
+        joined = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].tobytes()), pa.py_buffer(wide)])
         parts = pa.StructArray.from_arrays([pa.concat_arrays(t[c].chunks) for c in cols[1:-1]], cols[1:-1])
         return pa.RecordBatch.from_arrays([pa.array(t["sequence_id"].to_numpy()[cuts[:-1]]), joined,
                                            pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts)], ["sequence_id", "ids", "pieces"])

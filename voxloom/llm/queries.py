@@ -29,8 +29,8 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keep_ids=True)
-    return packing.pieces_of(materialize(packing.sequences(packed), "packed"))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keep_ids=True, id_bytes=2)
+    return packing.pieces_of(materialize(packing.sequences(packed, id_bytes=2), "packed"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
