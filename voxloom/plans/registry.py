@@ -8,6 +8,7 @@ computed columns are aliased to the same names.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from typing import Callable
 
@@ -20,7 +21,7 @@ from voxloom import vocab as V
 from voxloom.functions import arrays as A
 from voxloom.functions import text as TX
 from voxloom.operators import align, frames as FR, ingest, packing, prompts as PR, sampling, segments as SEG, waveform as WV
-from voxloom.operators.inference import encode_text, project_embeddings
+from voxloom.operators.inference import RetryPolicy, call_with_retry, encode_text, project_embeddings
 from voxloom.plans import fixtures as FX, paths as PATHS
 from voxloom import streaming
 from voxloom.session import checkpoint_dir, written
@@ -1144,6 +1145,33 @@ def shard_paths(spark, sf_dir):
     return shard_manifest(d, "shard").select(_long("shard").alias("shard"), "path")
 
 
+class BusyClient:
+    """A service that turns the first ``id % 5`` calls of a job away."""
+
+    def __init__(self) -> None:
+        self.calls: dict[str, int] = {}
+
+    def fetch(self, job: str) -> str:
+        self.calls[job] = self.calls.get(job, 0) + 1
+        if self.calls[job] <= int(job.split(":")[0]) % 5:
+            raise ConnectionError(f"busy at call {self.calls[job]}")
+        return f"got {job}"
+
+
+@register("retry_calls", """
+SELECT doc_id::BIGINT AS doc_id, CASE WHEN doc_id % 5 < 3 THEN 'got ' || doc_id::VARCHAR || ':' || n_chars::VARCHAR END AS result,
+       CASE WHEN doc_id % 5 < 3 THEN 'ok' ELSE 'error' END AS status,
+       CASE WHEN doc_id % 5 >= 3 THEN 'ConnectionError: busy at call 3' END AS error,
+       least(doc_id % 5 + 1, 3)::BIGINT AS attempts
+FROM documents
+""")
+def retry_calls(spark, sf_dir):
+    """M2 + M3 under failures: up to three calls a document to a service that is often busy."""
+    d = FX.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "doc_id", "n_chars").alias("job"))
+    got = call_with_retry(d, "job", lambda: itertools.repeat(BusyClient()), BusyClient.fetch, policy=RetryPolicy(attempts=3))
+    return got.select(_long("doc_id").alias("doc_id"), "result", "status", "error", _long("attempts").alias("attempts"))
+
+
 @register("status_counts", """
 SELECT event_type AS status, count(*)::BIGINT AS n, arg_min(props, event_id) AS first_props FROM events GROUP BY event_type
 """)
