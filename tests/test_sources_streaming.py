@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from voxloom.operators import ingest
 from voxloom.sources import readers as R
+from voxloom.sources import sealed
 from voxloom.sources import sinks as S
 from voxloom.streaming import ingest_new_shards
 
@@ -176,3 +177,60 @@ def test_list_literal_reads_what_python_reads(spark):
         assert got[i] == ast.literal_eval(t.strip()), t[:40]
     assert [i for i in range(9, len(texts)) if got[i] is not None] == []
     assert spark.range(1).select(list_literal(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_files_of_several_lines_are_one_row(spark, scratch):
+    _write(os.path.join(scratch, "a.txt"), " one\ntwo\r\n\nthree \n")
+    assert [r["text"] for r in R.read_transcripts(spark, scratch).collect()] == ["one\ntwo\r\n\nthree"]
+    urls = os.path.join(scratch, "urls")
+    os.makedirs(urls)
+    _write(os.path.join(urls, "l.txt"), "['https://youtu.be/a',\n 'https://youtu.be/b']\n")
+    good, bad = R.read_url_lists(spark, urls)
+    assert sorted(r["url"] for r in good.collect()) == ["https://youtu.be/a", "https://youtu.be/b"] and bad.count() == 0
+
+
+def test_transcript_files_come_back_whole(spark, scratch):
+    out = os.path.join(scratch, "files")
+    stems = ["a b", "c%d", "e=f/g", "007", "_x", ".y", "h:i", "-skipped", "ü", "1e3", "z.txt", "null"]
+    texts = {s: f" {s}\nline\r\n\n" for s in stems} | {"007": "", "null": None}
+    rows = [(s, t) for s, t in texts.items()] + [("a b", "zzz"), (None, "lost"), ("", "lost")]
+    S.write_transcript_files(spark.createDataFrame(rows, "stem string, text string"), out)
+    exact = {r["stem"]: r["text"] for r in R.read_transcript_files(spark, out, skip_prefix=None, strip=False).collect()}
+    assert exact == {s: t or "" for s, t in texts.items()}
+    kept = {r["stem"]: r["text"] for r in R.read_transcript_files(spark, out).collect()}
+    assert kept == {s: (t or "").strip() for s, t in texts.items() if s != "-skipped"}
+    assert sorted(r["stem"] for r in R.scan_transcript_files(spark, out).collect()) == sorted(set(stems) - {"-skipped"})
+    # one stem written again: the others stay
+    S.write_transcript_files(spark.createDataFrame([("007", "new")], "stem string, text string"), out)
+    again = {r["stem"]: r["text"] for r in R.read_transcript_files(spark, out, skip_prefix=None).collect()}
+    assert again["007"] == "new" and len(again) == len(stems)
+
+
+def test_sealed_shards(spark, scratch):
+    import pytest
+    out = os.path.join(scratch, "sealed")
+    schema = spark.createDataFrame([], "part int, v string").schema
+    read = lambda **k: sorted((r["shard"], r["v"]) for r in sealed.read_sealed(spark, out, schema, **k).collect())
+    sealed.write_sealed(spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (None, "lost")], schema), out, "part")
+    assert read() == [(0, "a"), (0, "a"), (1, "b")]
+    sealed.write_sealed(spark.createDataFrame([(1, "B"), (1, None), (2, "c")], schema), out, "part", files_per_shard=3)
+    got = sorted((r["shard"], r["v"] or "") for r in sealed.read_sealed(spark, out, schema).collect())
+    assert got == [(0, "a"), (0, "a"), (1, ""), (1, "B"), (2, "c")]
+    assert {r["shard"]: (r["version"], r["n_rows"]) for r in sealed.read_seals(spark, out).collect()} == {0: (1, 2), 1: (2, 2), 2: (1, 1)}
+    # rows without a seal, of an old or a new shard, are not read, and cannot be asked for
+    spark.createDataFrame([(0, "x"), (7, "y")], "shard long, v string").write.partitionBy("shard").parquet(f"{out}/run=r-died")
+    assert sorted((r["shard"], r["v"] or "") for r in sealed.read_sealed(spark, out, schema).collect()) == got
+    assert read(shards=[2]) == [(2, "c")]
+    with pytest.raises(ValueError, match=r"\[7\]"):
+        sealed.read_sealed(spark, out, schema, shards=[0, 7])
+    assert sealed.damaged_shards(spark, out, schema).count() == 0
+    run = next(r["run"] for r in sealed.read_seals(spark, out).collect() if r["shard"] == 2)
+    spark.createDataFrame([("more",)], "v string").write.mode("append").parquet(f"{out}/run={run}/shard=2")
+    assert [tuple(r) for r in sealed.damaged_shards(spark, out, schema).collect()] == [(2, 1, 2)]
+
+
+def test_nothing_sealed(spark, scratch):
+    schema = spark.createDataFrame([], "shard int, v string").schema
+    assert sealed.read_seals(spark, os.path.join(scratch, "none")).count() == 0
+    sealed.write_sealed(spark.createDataFrame([], schema), os.path.join(scratch, "empty"))
+    assert sealed.read_sealed(spark, os.path.join(scratch, "empty"), schema).count() == 0

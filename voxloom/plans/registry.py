@@ -25,7 +25,7 @@ from voxloom.operators.inference import RetryPolicy, call_with_retry, encode_tex
 from voxloom.plans import fixtures as FX, paths as PATHS
 from voxloom import streaming
 from voxloom.session import checkpoint_dir, written
-from voxloom.sources import sinks
+from voxloom.sources import readers, sealed, sinks
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -168,11 +168,14 @@ st AS (SELECT doc_id,
 """
 
 
+FLAT_SQL = """flatten(list_transform(c0, lambda x, i: [
+  x + 128266, c1[2 * i - 1] + 128266 + 4096, c2[4 * i - 3] + 128266 + 8192, c2[4 * i - 2] + 128266 + 12288,
+  c1[2 * i] + 128266 + 16384, c2[4 * i - 1] + 128266 + 20480, c2[4 * i] + 128266 + 24576]))"""
+
+
 @register("frame_flatten", f"""
 WITH {STREAMS_CTE},
-fl AS (SELECT doc_id, len(c0) AS nf, flatten(list_transform(c0, lambda x, i: [
-  x + 128266, c1[2 * i - 1] + 128266 + 4096, c2[4 * i - 3] + 128266 + 8192, c2[4 * i - 2] + 128266 + 12288,
-  c1[2 * i] + 128266 + 16384, c2[4 * i - 1] + 128266 + 20480, c2[4 * i] + 128266 + 24576])) AS flat FROM st)
+fl AS (SELECT doc_id, len(c0) AS nf, {FLAT_SQL} AS flat FROM st)
 SELECT doc_id, nf::BIGINT AS n_frames, len(flat)::BIGINT AS n_codes, {ck('flat')} AS flat_ck FROM fl
 """)
 def frame_flatten(spark, sf_dir):
@@ -183,10 +186,13 @@ def frame_flatten(spark, sf_dir):
 
 
 @register("frame_roundtrip", f"""
-WITH {STREAMS_CTE}
-SELECT doc_id, len(c0)::BIGINT AS n_frames, true AS shape_ok,
-  (list_bool_and(list_transform(c0 || c1 || c2, lambda x: x >= 0 AND x < 4096)) IS NOT false) AS range_ok,
-  true AS roundtrip_ok, {ck('c0')} AS c0_ck, {ck('c1')} AS c1_ck, {ck('c2')} AS c2_ck FROM st
+WITH {STREAMS_CTE},
+fr AS (SELECT doc_id, c0, c1, c2, list_transform({FLAT_SQL}, lambda x, i: x - 128266 - 4096 * ((i - 1) % 7)) AS raw FROM st)
+SELECT doc_id, len(c0)::BIGINT AS n_frames, (len(raw) % 7 = 0) AS shape_ok,
+  (list_bool_and(list_transform(raw, lambda x: x >= 0 AND x < 4096)) IS NOT false) AS range_ok,
+  (list_filter(raw, lambda x, i: (i - 1) % 7 = 0) = c0 AND list_filter(raw, lambda x, i: (i - 1) % 7 IN (1, 4)) = c1
+   AND list_filter(raw, lambda x, i: (i - 1) % 7 IN (2, 3, 5, 6)) = c2) AS roundtrip_ok,
+  {ck('c0')} AS c0_ck, {ck('c1')} AS c1_ck, {ck('c2')} AS c2_ck FROM fr
 """)
 def frame_roundtrip(spark, sf_dir):
     s = FX.codec_streams(spark, sf_dir)
@@ -387,6 +393,32 @@ def audio_span(spark, sf_dir):
                     A.checksum("span").alias("span_ck"))
 
 
+BROKEN_TAILS = {1: [V.AUDIO_OFFSET], 2: [V.AUDIO_OFFSET + V.CODEBOOK_SIZE * max(1, slot) for slot in range(7)]}
+
+
+@register("decode_generated", f"""
+WITH {DOC_CTE}, {GEN_SQL},
+x AS (SELECT doc_id, v || CASE doc_id % 5 WHEN 1 THEN {BROKEN_TAILS[1]} WHEN 2 THEN {BROKEN_TAILS[2]} ELSE [] END AS v FROM g),
+r AS (SELECT doc_id, CASE WHEN coalesce(list_position(v, 128257), 0) = 0 THEN v
+                          ELSE v[list_position(v, 128257) + 1:] END AS rest FROM x),
+s AS (SELECT doc_id, CASE WHEN rest[-1] = 128258 THEN rest[1:len(rest) - 1] ELSE rest END AS span FROM r),
+d AS (SELECT doc_id, span, list_transform(span, lambda x, i: x - 128266 - 4096 * ((i - 1) % 7)) AS raw FROM s),
+c AS (SELECT doc_id, span, raw, list_filter(raw, lambda x, i: (i - 1) % 7 = 0) AS c0, list_filter(raw, lambda x, i: (i - 1) % 7 IN (1, 4)) AS c1,
+             list_filter(raw, lambda x, i: (i - 1) % 7 IN (2, 3, 5, 6)) AS c2 FROM d)
+SELECT doc_id::BIGINT AS doc_id, (len(span) % 7 = 0) AS shape_ok, (len(span) = 0) AS is_empty,
+  (list_bool_and(list_transform(raw, lambda x: x >= 0 AND x < 4096)) IS NOT false) AS codes_ok,
+  len(c0)::BIGINT AS n_c0, {ck('c0')} AS c0_ck, {ck('c1')} AS c1_ck, {ck('c2')} AS c2_ck FROM c
+""")
+def decode_generated(spark, sf_dir):
+    """Q11 -> P9 -> Q2 -> P10 as one path, on outputs of which some end in a part of a frame and
+    some in a frame with a code outside its codebook."""
+    tail = F.when(F.col("doc_id") % 5 == 1, A.lit_array(BROKEN_TAILS[1])).when(F.col("doc_id") % 5 == 2, A.lit_array(BROKEN_TAILS[2]))
+    g = generated_tokens(spark, sf_dir).withColumn("output_tokens", F.concat("output_tokens", F.coalesce(tail, F.array().cast("array<int>"))))
+    d = PATHS.decode_generated(g)
+    return d.select(_long("doc_id").alias("doc_id"), "shape_ok", "is_empty", "codes_ok", _long(F.size("c0")).alias("n_c0"),
+                    *(A.checksum(c).alias(f"{c}_ck") for c in ("c0", "c1", "c2")))
+
+
 # --------------------------------------------------------------------------
 # Ordering, sampling, sharding
 # --------------------------------------------------------------------------
@@ -1019,6 +1051,9 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+STRIPPED_SQL = f"regexp_replace(text, {_sql_str('^' + V.PY_WHITESPACE_CLASS + '+|' + V.PY_WHITESPACE_CLASS + '+$')}, '', 'g')"
+
+
 @register("video_id", f"""
 WITH u AS (SELECT page_id, CASE page_id % 5
     WHEN 0 THEN 'https://youtu.be/v' || page_id::VARCHAR || '?t=1'
@@ -1336,3 +1371,146 @@ def training_rows(spark, sf_dir):
     t = plain_training_rows(rows, "doc_id")
     return t.select(_long("doc_id").alias("doc_id"), _long("idx").alias("idx"), _long(F.size("input_ids")).alias("n_ids"),
                     A.checksum("input_ids").alias("ids_ck"), _long(F.size("attention_mask")).alias("mask_len"))
+
+
+# --------------------------------------------------------------------------
+# File sinks read back (S2, S4, S5, S7, S9, K5) and the curated path
+# --------------------------------------------------------------------------
+def _scratch(spark, tag: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/voxloom-{tag}-{uuid.uuid4().hex}"
+
+
+@register("sealed_shards", "WITH RECURSIVE " + PACK_INPUT_SQL + f"""
+SELECT (shard // {PACK_INNER})::BIGINT AS outer_shard, shard::BIGINT AS shard, bin::BIGINT AS bin, n_rows::BIGINT AS n_rows,
+       len(ids)::BIGINT AS n_tokens, {ck('ids')} AS ids_ck, CASE WHEN shard // {PACK_INNER} = 1 THEN 2 ELSE 1 END::BIGINT AS version,
+       count(*) OVER (PARTITION BY shard // {PACK_INNER})::BIGINT AS sealed_rows
+FROM pk
+""")
+def sealed_shards(spark, sf_dir):
+    """K5 -> S2: packed rows per outer shard; shard 1 was cut short, is written again, and a further write dies unsealed."""
+    path = _scratch(spark, "sealed")
+    p = written(packed(spark, sf_dir).select(F.col("shard").alias("pack_shard"), "bin", "n_rows", "n_tokens", "input_ids",
+                                             F.floor(F.col("shard") / PACK_INNER).cast("long").alias("shard")), "packed")
+    broken = F.when(F.col("shard") == 1, F.slice("input_ids", 1, 10)).otherwise(F.col("input_ids"))
+    sealed.write_sealed(p.withColumn("input_ids", broken), path)
+    sealed.write_sealed(p.where("shard = 1"), path, files_per_shard=2)
+    p.where("shard = 0").write.partitionBy("shard").parquet(f"{path}/run=r-died")
+    rows = sealed.read_sealed(spark, path, p.schema).join(sealed.read_seals(spark, path).select("shard", "version", F.col("n_rows").alias("sealed_rows")), "shard")
+    return rows.select(_long("shard").alias("outer_shard"), _long("pack_shard").alias("shard"), _long("bin").alias("bin"),
+                       _long("n_rows").alias("n_rows"), _long("n_tokens").alias("n_tokens"), A.checksum("input_ids").alias("ids_ck"),
+                       "version", "sealed_rows")
+
+
+@register("shard_files", """
+SELECT doc_id::BIGINT AS doc_id, (doc_id % 8)::BIGINT AS shard, length(CASE WHEN doc_id % 8 = 3 THEN upper(lang) ELSE lang END)::BIGINT AS n,
+       CASE WHEN doc_id % 8 = 3 THEN upper(lang) ELSE lang END AS lang
+FROM documents WHERE doc_id % 8 <> 5
+""")
+def shard_files(spark, sf_dir):
+    """S7 -> S2: eight shards written, one written again, all but one read by number."""
+    path = _scratch(spark, "shards")
+    d = FX.table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("doc_id") % 8).cast("int").alias("shard"))
+    sinks.write_sharded(d, path, files_per_shard=2)
+    sinks.write_sharded(d.where("shard = 3").withColumn("lang", F.upper("lang")), path)
+    back = readers.read_shards(spark, path, shards=[0, 1, 2, 3, 4, 6, 7], schema=d.schema)
+    return back.select(_long("doc_id").alias("doc_id"), _long("shard").alias("shard"), _long(F.length("lang")).alias("n"), "lang")
+
+
+RECORDING_DOCS = 50              # documents of one recording in transcript_files
+STEM_SQL = ("CASE g % 6 WHEN 0 THEN 'a b ' || g WHEN 1 THEN 'c%d' || g WHEN 2 THEN '-' || g "
+            "WHEN 3 THEN 'e=f/' || g WHEN 4 THEN '00' || g ELSE '_' || g || '+.txt' END")
+
+
+@register("transcript_files", f"""
+WITH d AS (SELECT doc_id // {RECORDING_DOCS} AS g, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1),
+s AS (SELECT {STEM_SQL} AS stem, CASE WHEN g % 7 = 3 THEN ' ' ELSE ' ' || text || chr(10) END AS raw FROM d),
+t AS (SELECT stem, raw, {STRIPPED_SQL.replace("(text,", "(raw,")} AS text FROM s)
+SELECT stem, md5(text) AS text_md5, length(raw)::BIGINT AS n_raw, 1::BIGINT AS n_files FROM t WHERE NOT starts_with(stem, '-') AND length(text) > 0
+""")
+def transcript_files(spark, sf_dir):
+    """S9 -> S4 -> S5 -> P5: recordings of 50 documents, a file per stem (spaces, signs, slashes, leading zeros
+    and dashes), scanned and read back."""
+    path = _scratch(spark, "transcripts")
+    d = FX.table(spark, sf_dir, "documents").groupBy(F.expr(f"doc_id div {RECORDING_DOCS}").alias("g")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("parts"))
+    n, form = F.col("g").cast("string"), F.col("g") % 6
+    stem = (F.when(form == 0, F.concat(F.lit("a b "), n)).when(form == 1, F.concat(F.lit("c%d"), n)).when(form == 2, F.concat(F.lit("-"), n))
+            .when(form == 3, F.concat(F.lit("e=f/"), n)).when(form == 4, F.concat(F.lit("00"), n)).otherwise(F.concat(F.lit("_"), n, F.lit("+.txt"))))
+    raw = F.when(F.col("g") % 7 == 3, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.array_join("parts.text", "\n"), F.lit("\n")))
+    sinks.write_transcript_files(d.select(stem.alias("stem"), raw.alias("text")), path)
+    files = readers.scan_transcript_files(spark, path).groupBy("stem").agg(F.count("*").alias("n_files"))
+    exact = readers.read_transcript_files(spark, path, strip=False)
+    t = exact.select("stem", F.length("text").alias("n_raw"), TX.py_strip("text").alias("text")).where(F.length("text") > 0)
+    return t.join(files, "stem").select("stem", F.md5("text").alias("text_md5"), _long("n_raw").alias("n_raw"), _long("n_files").alias("n_files"))
+
+
+class Transcriber:
+    """A transcription client: recordings named ``<id>:<what is said>``.  Each of two clients is busy for another sixth
+    of the recordings, a sixth cannot be decoded and a sixth is silent."""
+
+    def __init__(self, busy: int) -> None:
+        self.busy = busy
+
+    def words(self, recording: str) -> list[dict[str, str]]:
+        number, said = recording.split(":", 1)
+        kind = int(number) % 6
+        if kind in (self.busy, 5):
+            raise ConnectionError("busy" if kind == self.busy else "cannot be decoded")
+        spoken = [] if kind == 4 else said.split(" ")
+        return [entry for w in spoken for entry in ({"type": "word", "text": w}, {"type": "spacing", "text": " "})]
+
+
+@register("curated_rows", f"""
+WITH {DOC_CTE}, ne AS (SELECT count(*) AS nv FROM embeddings),
+st AS (SELECT doc_id, {STRIPPED_SQL} AS text FROM documents),
+sb AS (SELECT doc_id, [128000] || {BYTES_SQL} AS text_ids FROM st WHERE doc_id % 6 < 4 AND length(text) > 0),
+r AS (SELECT doc_id, {SPEAKER_SQL.format(ph=-100)} AS ids FROM (SELECT sb.doc_id, sb.text_ids, dd.dedup FROM sb JOIN dd USING (doc_id)))
+SELECT r.doc_id::BIGINT AS doc_id, len(ids)::BIGINT AS n_tokens, {ck('ids')} AS ids_ck,
+       len(list_filter(ids, lambda x: x = -100))::BIGINT AS n_placeholders, len(e.embedding)::BIGINT AS dim
+FROM r, ne JOIN embeddings e ON e.vec_id = r.doc_id % ne.nv
+""")
+def curated_rows(spark, sf_dir):
+    """The curated path: M3 (two clients taking turns) -> P8 -> P5 -> J1 -> Q15 -> Q3 -> Q5."""
+    b = FX.bulk_rows(spark, sf_dir).withColumnRenamed("doc_id", "stem")
+    audio = FX.table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("stem"), F.concat_ws(":", "doc_id", "text").alias("path"))
+    said = PATHS.transcripts(audio, lambda: itertools.cycle([Transcriber(2), Transcriber(3)]), Transcriber.words,
+                             policy=RetryPolicy(attempts=2, first_wait=0.0))
+    rows = PATHS.speaker_rows(said, b.select("stem", "codes_list"), b.select("stem", "speaker_embedding"))
+    return rows.select(_long("stem").alias("doc_id"), _long(F.size("input_ids")).alias("n_tokens"), A.checksum("input_ids").alias("ids_ck"),
+                       _long(A.count_value("input_ids", V.IGNORE_LABEL)).alias("n_placeholders"), _long(F.size("speaker_embedding")).alias("dim"))
+
+
+@register("transcript_status", """
+SELECT doc_id::BIGINT AS doc_id, CASE WHEN doc_id % 6 = 5 THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN doc_id % 6 = 5 THEN 'ConnectionError: cannot be decoded' END AS error,
+       CASE WHEN doc_id % 6 < 4 THEN length(text) ELSE 0 END::BIGINT AS n_chars
+FROM documents
+""")
+def transcript_status(spark, sf_dir):
+    """M3 by turns between clients: what each recording came to, and its transcript's length."""
+    audio = FX.table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("stem"), F.concat_ws(":", "doc_id", "text").alias("path"))
+    said = PATHS.transcripts(audio, lambda: itertools.cycle([Transcriber(2), Transcriber(3)]), Transcriber.words,
+                             policy=RetryPolicy(attempts=2, first_wait=0.0))
+    return said.select(_long("stem").alias("doc_id"), "status", "error", _long(F.length("text")).alias("n_chars"))
+
+
+@register("download_jobs", f"""
+WITH u AS (SELECT page_id, CASE page_id % 5
+    WHEN 0 THEN 'https://youtu.be/v' || page_id::VARCHAR || '?t=1'
+    WHEN 1 THEN 'https://www.youtube.com/watch?v=v' || page_id::VARCHAR || '&feature=share'
+    WHEN 2 THEN 'https://youtube.com/shorts/v' || page_id::VARCHAR
+    WHEN 3 THEN 'https://m.youtube.com/watch?app=desktop&v=v' || page_id::VARCHAR
+    ELSE url END AS url FROM pages),
+x AS (SELECT page_id, url, nullif(regexp_extract(url, {_sql_str(V.VIDEO_ID_PATTERN)}, 1), '') AS video_id FROM u)
+SELECT DISTINCT 'fetch' AS status, video_id AS item, 'audio/' || video_id || '.mp3' AS out_path FROM x
+WHERE video_id IS NOT NULL AND video_id NOT IN (SELECT 'v' || page_id::VARCHAR FROM pages WHERE page_id % 4 = 0)
+UNION ALL SELECT 'no video id', url, NULL FROM x WHERE video_id IS NULL
+""")
+def download_jobs(spark, sf_dir):
+    """P1 -> P2 -> S10: videos still to fetch, each once (every URL is listed twice), and URLs without one."""
+    u = FX.video_urls(spark, sf_dir)
+    done = FX.table(spark, sf_dir, "pages").where("page_id % 4 = 0").select(F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("video_id"))
+    jobs, _ = PATHS.download_jobs(u.unionByName(u), done, "audio")
+    _, bad = PATHS.download_jobs(u, done, "audio")
+    return (jobs.select(F.lit("fetch").alias("status"), F.col("video_id").alias("item"), "out_path")
+            .unionByName(bad.select(F.lit("no video id").alias("status"), F.col("url").alias("item"), F.lit(None).cast("string").alias("out_path"))))

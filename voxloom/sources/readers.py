@@ -10,7 +10,7 @@ from voxloom import vocab as V
 from voxloom.functions.text import list_literal, py_strip, shard_path
 
 __all__ = ["BULK_SCHEMA", "SPEAKER_ROW_SCHEMA", "read_table", "read_corpus", "read_shards", "shard_manifest",
-           "scan_manifest", "read_transcripts", "read_url_lists"]
+           "scan_manifest", "read_transcripts", "scan_transcript_files", "read_transcript_files", "read_url_lists"]
 
 BULK_SCHEMA = T.StructType([
     T.StructField("codes_list", T.ArrayType(T.IntegerType())),
@@ -73,7 +73,7 @@ def scan_manifest(spark: SparkSession, root: str, suffix: str = ".txt", skip_pre
 def read_transcripts(spark: SparkSession, root: str, suffix: str = ".txt", skip_prefix: str | None = "-") -> DataFrame:
     """One row per transcript file ``(stem, text)``, whole file, stripped the
     way ``str.strip()`` does; names starting with ``skip_prefix`` are left out."""
-    df = (spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}").text(root)
+    df = (spark.read.option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
           .select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_name"), "value"))
     if skip_prefix:
         df = df.filter(~F.col("_name").startswith(skip_prefix))
@@ -81,10 +81,33 @@ def read_transcripts(spark: SparkSession, root: str, suffix: str = ".txt", skip_
     return df.select(stem.alias("stem"), py_strip("value").alias("text"))
 
 
+def scan_transcript_files(spark: SparkSession, root: str, skip_prefix: str | None = "-") -> DataFrame:
+    """S4 over the files of ``sinks.write_transcript_files``: ``(stem, path)``, stems
+    that start with ``skip_prefix`` left out.  Only metadata is read."""
+    file = [T.StructField("path", T.StringType(), False), T.StructField("modificationTime", T.TimestampType(), False),
+            T.StructField("length", T.LongType(), False), T.StructField("content", T.BinaryType())]
+    df = spark.read.format("binaryFile").schema(T.StructType([*file, T.StructField("stem", T.StringType())])).option("pathGlobFilter", "*.txt").load(root)
+    if skip_prefix:
+        df = df.filter(~F.col("stem").startswith(skip_prefix))
+    return df.select("stem", "path")
+
+
+def read_transcript_files(spark: SparkSession, root: str, skip_prefix: str | None = "-", strip: bool = True) -> DataFrame:
+    """S5 over the same files: ``(stem, text)``, stripped as ``str.strip()`` does, or
+    with ``strip=False`` exactly as written.  Stems are read as text, never as numbers."""
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("stem", T.StringType())])
+    df = spark.read.schema(schema).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    if skip_prefix:
+        df = df.filter(~F.col("stem").startswith(skip_prefix))
+    # the sink ends each file with one line break
+    text = py_strip("value") if strip else F.substring("value", F.lit(1), F.length("value") - 1)
+    return df.select("stem", text.alias("text"))
+
+
 def read_url_lists(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Files holding one list literal of URLs -> one row per URL.  Files that
     do not parse as a list go to the second (quarantine) frame."""
-    raw = (spark.read.option("wholetext", "true").text(root)
+    raw = (spark.read.text(root, wholetext=True)
            .select(F.col("_metadata.file_path").alias("file"), "value"))
     parsed = raw.withColumn("_urls", list_literal("value"))
     good = parsed.filter(F.col("_urls").isNotNull()).select("file", F.posexplode("_urls").alias("pos", "url"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["write_sharded", "write_table", "write_transcripts"]
+__all__ = ["write_sharded", "write_table", "write_transcripts", "write_transcript_files"]
 
 
 def write_sharded(df: DataFrame, path: str, shard_col: str = "shard", mode: str = "overwrite", files_per_shard: int = 1) -> None:
@@ -24,3 +24,13 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_transcripts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Transcript table keyed by stem ``(stem, text)``."""
     df.select("stem", "text").write.mode(mode).parquet(path)
+
+
+def write_transcript_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S9 as one text file per stem, ``<path>/stem=<escaped stem>/``, for tools that
+    read files; ``readers.read_transcript_files`` reads it.  Dynamic overwrite: a stem
+    written again replaces only itself.  Of several texts of a stem the
+    smallest is written; NULL and empty stems are left out, a NULL text is empty.
+    Any text comes back whole, line breaks and carriage returns included."""
+    one = df.where(F.length("stem") > 0).groupBy("stem").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    (one.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("stem").text(path))
