@@ -82,11 +82,20 @@ class ResourcePool:
         self.current = next(self._rest, None)
 
 
-def resolve(values: Sequence[object], pool: ResourcePool, call: Callable, policy: RetryPolicy) -> list[Outcome]:
+#: results handed on at once, and characters (or bytes) of the values they come from, about
+SETTLED_ROWS = 256
+SETTLED_CHARS = 1_000_000
+
+
+def settled(values: Sequence[object], pool: ResourcePool, call: Callable, policy: RetryPolicy) -> Iterator[tuple[list[int], list[Outcome]]]:
     """M3 for a batch: the batch is worked through in passes.  Each pass calls
     the pool's current resource on all values still open; what failed with a
-    retryable error goes into the next pass, with the next resource."""
-    settled: dict[int, Outcome] = {}
+    retryable error goes into the next pass, with the next resource.  Yields
+    positions and outcomes in pieces as they are settled, so the results of a
+    whole batch are never held together."""
+    at: list[int] = []
+    got: list[Outcome] = []
+    held = 0
     open_: dict[int, str | None] = dict.fromkeys(range(len(values)))
     for done in range(policy.attempts):
         if not open_ or pool.current is None:
@@ -95,18 +104,33 @@ def resolve(values: Sequence[object], pool: ResourcePool, call: Callable, policy
         failed: dict[int, str | None] = {}
         for i in open_:
             try:
-                settled[i] = Outcome(call(pool.current, values[i]), "ok", None, done + 1)
+                outcome = Outcome(call(pool.current, values[i]), "ok", None, done + 1)
             except Exception as e:  # noqa: BLE001 - the caller's client may raise anything
                 text = f"{type(e).__name__}: {e}"
                 if policy.retryable(e) and done + 1 < policy.attempts:
                     failed[i] = text
-                else:
-                    settled[i] = Outcome(None, "error", text, done + 1)
+                    continue
+                outcome = Outcome(None, "error", text, done + 1)
+            at.append(i)
+            got.append(outcome)
+            held += len(values[i]) if isinstance(values[i], str | bytes) else 1
+            if len(at) >= SETTLED_ROWS or held >= SETTLED_CHARS:
+                yield at, got
+                at, got, held = [], [], 0
         open_ = failed
         if open_:
             pool.replace()
     spent = policy.attempts if pool.current is not None else 0
-    return [settled.get(i) or Outcome(None, "error", open_.get(i) or "no resource left", spent) for i in range(len(values))]
+    at.extend(open_)
+    got.extend(Outcome(None, "error", text or "no resource left", spent) for text in open_.values())
+    if at:
+        yield at, got
+
+
+def resolve(values: Sequence[object], pool: ResourcePool, call: Callable, policy: RetryPolicy) -> list[Outcome]:
+    """The outcomes of ``settled`` in the order of ``values``."""
+    out = {i: o for at, got in settled(values, pool, call, policy) for i, o in zip(at, got)}
+    return [out[i] for i in range(len(values))]
 
 
 def call_with_retry(df: DataFrame, input_col: str, resources: Callable[[], Iterable[object]], call: Callable,
@@ -114,19 +138,28 @@ def call_with_retry(df: DataFrame, input_col: str, resources: Callable[[], Itera
                     policy: RetryPolicy = RetryPolicy()) -> DataFrame:
     """M1 + M3: run ``call(resource, value)`` on every row.  ``resources()``
     gives a task its pool.  Adds ``out_col``, ``status`` ('ok' / 'error'),
-    ``error`` and ``attempts``; a failing row never fails the job (P7)."""
+    ``error`` and ``attempts``; a failing row never fails the job (P7).
+    A task holds the results of ``SETTLED_ROWS`` rows, not those of an Arrow batch."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type), T.StructField("status", T.StringType()),
                                               T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())])
+    ship_package(df.sparkSession)
 
-    def fn(pool: ResourcePool, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = resolve(list(pdf[input_col]), pool, call, policy)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ResourcePool(resources())
+        for pdf in batches:
+            if not len(pdf):
+                yield _with_outcomes(pdf, [])
+            for at, got in settled(list(pdf[input_col]), pool, call, policy):
+                yield _with_outcomes(pdf.iloc[at].copy(), got)
+
+    def _with_outcomes(pdf: pd.DataFrame, got: list[Outcome]) -> pd.DataFrame:
         pdf[out_col] = [o.value for o in got]
         pdf["status"] = [o.status for o in got]
         pdf["error"] = [o.error for o in got]
         pdf["attempts"] = np.array([o.attempts for o in got], np.int32)
         return pdf
 
-    return map_model(df, lambda: ResourcePool(resources()), fn, schema)
+    return df.mapInPandas(run, schema)
 
 
 def byte_encode_batch(texts: pa.Array) -> pa.Array:
