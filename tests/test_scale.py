@@ -39,3 +39,21 @@ def test_call_with_retry_holds_no_whole_batch(spark):
 
     out = inference.call_with_retry(df, "path", lambda: ["client"], lambda c, p: Words([p, p]), "words", T.ArrayType(T.StringType()))
     assert {r["id"]: (r["words"], r["status"]) for r in out.collect()} == {i: ([str(i)] * 2, "ok") for i in range(2000)}
+
+
+def test_shingle_order_counts_every_document(spark):
+    """The order's counts are those of all texts, also of far more than any sample would hold."""
+    from voxloom.llm import jaccard_join as J
+    n = 30_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('very common words come here ', id % 1000, ' and number ', id) AS text").repartition(4)
+    sketched = J.C.materialize(J.fingerprints(docs, "doc_id", "text"), "test-marks")
+    counts, hot = J.bucket_counts(sketched, n)
+    want = J.np.zeros_like(counts)
+    for _, s in J.shingle_sets([r["text"] for r in docs.collect()]):
+        J.np.add.at(want, J.bucket_of(s), 1)
+    assert (counts == want).all() and int((counts >= n).sum()) == 1 and 300 <= hot < n
+    assert sketched.where("buckets is null").count() == n
+    common = next(J.shingle_sets(["very common words come here"]))[1]
+    _, s = next(J.shingle_sets(["very common words come here 7 and number 7"]))
+    prefix, count = J.first_prefix(s, counts)
+    assert len(prefix) == J.prefix_length(len(s)) and not set(common.tolist()) & set(prefix.tolist()) and (count < hot).all()

@@ -4,14 +4,14 @@ Two documents link when the Jaccard similarity of their sets of distinct
 five-word shingles is at least 0.75.  Sets as wholes come first: documents
 with the same set form a class, and only classes are joined.
 
-Order 1 puts shingles that are frequent in a bounded sample last and sorts the
-rest by hash.  Linked classes share a shingle within their first
+Order 1 sorts shingles by how often their bucket (one of 2**COUNT_BITS, by hash) occurs
+in all texts, then by hash, so frequent ones come last.  Linked classes share a shingle within their first
 n - ceil(0.75 n) + 1 ("prefix"), and at their first common one the rest of
 both sets must still allow the overlap needed.  Postings are sorted by shingle
 and streamed; in each group every class is paired with the group's first
 ones (all pairs of a small group, stars in a large one), so the
 number of pairs grows with the postings, not with the square of a group.
-Shingles that the sample shows to be hot are salted: stars inside each
+Shingles of hot buckets are salted: stars inside each
 salt, then a star over the salts' centers.
 
 Candidates pass a bound on their shared prefix shingles and must share prefix
@@ -53,12 +53,12 @@ PERCENT = 75
 #: in a salted one, every class meets the first FEW
 CENTERS = 8
 FEW = 2
-#: parts a hot shingle's postings are dealt to; hot: in 1 % of the sample
+#: parts a hot shingle's postings are dealt to; hot: its bucket is in 1 % of the
+#: documents more than buckets of chance are
 SALTS = 16
 HOT_PERCENT = 1
-#: documents sampled for the order, about; frequent shingles kept, at most
-SAMPLE_DOCS = 20_000
-MAX_FREQUENT = 200_000
+#: buckets in which a task counts shingles, as a power of two
+COUNT_BITS = 20
 #: star turns before what is left is paired in full
 MAX_TURNS = 4
 #: classes of the main component that a star turn pairs every other with, per group
@@ -88,20 +88,15 @@ def class_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).astype(np.int64))
 
 
-def first_prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix of a sorted set under order 1, and the sample count of each of
-    its shingles (0: not frequent)."""
-    p = prefix_length(len(s))
-    if not len(frequent):
-        return s[:p], np.zeros(p, np.int64)
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    often = frequent[at] == s
-    rare = s[~often]
-    if len(rare) >= p:
-        return rare[:p], np.zeros(p, np.int64)
-    tail, count = s[often], rank[at[often]]
-    o = np.lexsort((tail, count))[:p - len(rare)]
-    return np.concatenate([rare, tail[o]]), np.concatenate([np.zeros(len(rare), np.int64), count[o]])
+def bucket_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def first_prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix of a sorted set under order 1, and the counts of its shingles' buckets."""
+    count = counts[bucket_of(s)]
+    o = np.argsort(count, kind="stable")[:prefix_length(len(s))]
+    return s[o], count[o]
 
 
 def other_prefix(s: np.ndarray, order: int) -> np.ndarray:
@@ -130,51 +125,61 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row doc_id, text_key (the text's hash), n_shingles, cls (null for an
-    empty set), and the set's prefixes under the further orders (order2, order3)."""
+    empty set), and the set's prefixes under the further orders (order2, order3).
+    Each task adds a row of the buckets it met and the sets that have them (buckets, counts;
+    null in the rows of documents); copies of a set in a task count once."""
+    ints = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints = pa.list_(pa.int32())
+        counts, open_, held = np.zeros(1 << COUNT_BITS, np.int64), [], 0
+        seen: set[int] = set()
         for b in batches:
             n, c, two, three = [], [], [], []
             for _, s in shingle_sets(b.column(2).to_pylist()):
+                cls = class_of(s) if len(s) else None
                 n.append(len(s))
-                c.append(class_of(s) if len(s) else None)
+                c.append(cls)
                 two.append(sketch(s, 2) if len(s) else None)
                 three.append(sketch(s, 3) if len(s) else None)
+                if cls is not None and cls not in seen:
+                    seen.add(cls)
+                    open_.append(bucket_of(s))
+                    held += len(s)
+                    if held >= 1 << COUNT_BITS:
+                        counts += np.bincount(np.concatenate(open_), minlength=1 << COUNT_BITS)
+                        open_, held = [], 0
+            none = pa.nulls(len(n), ints)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()),
-                                              pa.array(two, ints), pa.array(three, ints)],
-                                             ["doc_id", "text_key", "n_shingles", "cls", "order2", "order3"])
-
+                                              pa.array(two, ints), pa.array(three, ints), none, none], names)
+        if open_:
+            counts += np.bincount(np.concatenate(open_), minlength=1 << COUNT_BITS)
+        met = np.flatnonzero(counts)
+        if len(met):
+            row = [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, ints)] * 2
+            yield pa.RecordBatch.from_arrays([*row, *(pa.array([x.astype(np.int32)], ints) for x in (met, counts[met]))], names)
+
+    names = ["doc_id", "text_key", "n_shingles", "cls", "order2", "order3", "buckets", "counts"]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t")).mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, cls long, order2 array<int>, order3 array<int>")
+        run, "doc_id long, text_key long, n_shingles long, cls long, order2 array<int>, order3 array<int>, buckets array<int>, counts array<int>")
 
 
-def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles found twice or more in a hash-chosen sample, sorted, their
-    counts, and the count from which one is hot."""
-    # no limit(): it would bring the sampled texts together in one task
-    every = max(1, -(-rows // SAMPLE_DOCS))
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(every)) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, s in shingle_sets(b.column(0).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64))], ["token"])
-
-    counts = some.select(F.col(text_col).alias("t")).mapInArrow(run, "token long").groupBy("token").count().where("count >= 2")
-    got = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).collect()
-    tokens = np.array([r["token"] for r in got], np.int64).astype(np.uint64)
-    o = np.argsort(tokens)
-    return tokens[o], np.array([r["count"] for r in got], np.int64)[o], max(3, min(rows, SAMPLE_DOCS) * HOT_PERCENT // 100)
+def bucket_counts(sketched: DataFrame, rows: int) -> tuple[np.ndarray, int]:
+    """Per bucket the sets of all documents that have a shingle of it, and the count from
+    which its shingles are hot.  ``sketched``: of ``fingerprints``, written."""
+    of_tasks = sketched.where("buckets is not null").select(F.inline(F.arrays_zip("buckets", "counts")).alias("bucket", "k"))
+    got = of_tasks.groupBy("bucket").agg(F.sum("k").alias("k")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[got.column("bucket").to_numpy()] = got.column("k").to_numpy()
+    return counts, max(3, rows * HOT_PERCENT // 100) + 2 * (int(counts.sum()) >> COUNT_BITS)
 
 
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], text_col: str) -> DataFrame:
+def postings(docs: DataFrame, frequent: tuple[np.ndarray, int], text_col: str) -> DataFrame:
     """(token, salt, cls, place): place packs set size and position.  A class
     is emitted once per task."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank, hot = sent.value
+        counts, hot = sent.value
         seen: set[int] = set()
         for b in batches:
             parts: list[tuple] = []
@@ -186,7 +191,7 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], text
                 if c in seen:
                     continue
                 seen.add(c)
-                t, count = first_prefix(s, often, rank)
+                t, count = first_prefix(s, counts)
                 p = len(t)
                 parts.append((t.astype(np.int64), np.where(count >= hot, 1 + c % SALTS, 0).astype(np.int32), np.full(p, c, np.int64),
                               (np.int64(len(s)) << 31) + np.arange(p)))
@@ -549,18 +554,18 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     sets of the classes of all candidate pairs."""
     C.ready(docs.sparkSession)
     sketched = C.materialize(fingerprints(docs, id_col, text_col), "marks")
-    marks = sketched.drop("order2", "order3")
+    of_documents = sketched.where("buckets is null")
+    marks = of_documents.select("doc_id", "text_key", "n_shingles", "cls")
     # a class is read from one of its documents, with an id where any has one
     rep = F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     size = (F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("docs")
     reps = C.materialize(marks.where("cls is not null").groupBy("cls").agg(rep.alias("rep"), F.max("n_shingles").alias("n"), size), "classes")
-    frequent = frequent_shingles(docs, marks.count(), id_col, text_col)
-    found = C.materialize(stars(by_group(postings(docs, frequent, text_col))), "stars")
+    found = C.materialize(stars(by_group(postings(docs, bucket_counts(sketched, marks.count()), text_col))), "stars")
     centers = found.where(f"kind = {CENTER}").select("token", F.lit(0).alias("salt"), F.col("a").alias("cls"), "place")
     across = stars(by_group(centers), second=True).where(f"kind = {PAIR}").select("a", "b")
     posted = found.where(f"kind = {POSTING}").select(F.col("a").alias("cls"), "token", "place", (F.col("b") == 1).alias("big"))
     held = posted.groupBy("cls").agg(F.max(size_of(F.col("place"))).alias("n"), F.collect_set("token").alias("tokens"))
-    further = sketched.select("cls", F.struct("doc_id", "text_key").alias("rep"), "order2", "order3").join(reps.select("cls", F.col("rep").alias("first")), "cls")
+    further = of_documents.select("cls", F.struct("doc_id", "text_key").alias("rep"), "order2", "order3").join(reps.select("cls", F.col("rep").alias("first")), "cls")
     further = further.where(F.col("rep").eqNullSafe(F.col("first"))).dropDuplicates(["cls"]).select("cls", "order2", "order3")
     held = C.materialize(held.join(further, "cls"), "held")
     pairs = C.materialize(promising(found.where(f"kind = {PAIR}").select("a", "b").union(across).distinct(), held), "pairs").select("a", "b")
