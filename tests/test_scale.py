@@ -57,3 +57,59 @@ def test_shingle_order_counts_every_document(spark):
     _, s = next(J.shingle_sets(["very common words come here 7 and number 7"]))
     prefix, count = J.first_prefix(s, counts)
     assert len(prefix) == J.prefix_length(len(s)) and not set(common.tolist()) & set(prefix.tolist()) and (count < hot).all()
+
+
+ODD_TEXTS = [(0, "", "en"), (1, None, "de"), (2, "abcdefgh" * 3, "en"), (3, "aé€😀" * 5, "de"), (4, "\x00\x7f 1234567", None), (None, "x", "fr"), (2, "again", "en")]
+
+
+def test_stand_ins_are_the_ids_of_the_expressions(spark):
+    from pyspark.sql import functions as F
+    from voxloom.functions import arrays as A
+    from voxloom.plans import fixtures as FX
+    df = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string, lang string").coalesce(1)
+    got = FX.with_stand_ins(df).collect()
+    b = A.utf8_bytes("text")
+    want = df.select("*", F.concat(F.array(F.lit(128000)), b).alias("text_ids"), A.frames_from_bytes(b).alias("codes_list")).collect()
+    assert got == want and got[1]["codes_list"] is None and got[0]["text_ids"] == [128000]
+
+
+def test_ids_are_built_after_the_last_shuffle(spark):
+    """pack_rows with ``build`` packs the same rows and shuffles texts, not ids."""
+    import re
+
+    from pyspark.sql import functions as F
+    from voxloom.operators import packing
+    from voxloom.plans import fixtures as FX, paths, registry
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 1 + cast(id % 90 AS int)) AS text",
+                                       "if(id % 3 = 0, 'de', 'en') AS lang", "array(cast(id AS float), 1f) AS speaker_embedding")
+    rows = docs.select("*", (F.col("doc_id") % 2).alias("shard"), F.floor(F.col("doc_id") / 2).alias("ord"))
+    ids = registry.speaker_ids(rows)
+    plain = packing.pack_rows(ids, "shard", "ord", limit=2000, chunk_rows=16)
+    narrow = ids.withColumn("n_tok", F.size("input_ids")).drop("input_ids").localCheckpoint()
+    late = packing.pack_rows(narrow, "shard", "ord", limit=2000, chunk_rows=16, len_col="n_tok", build=registry.speaker_ids)
+    key = lambda r: (r["shard"], r["bin"])
+    assert sorted(late.collect(), key=key) == sorted(plain.collect(), key=key) and late.count() > 4
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "input_ids" not in below and re.search("text", below)
+
+    def built(d):
+        return paths.bulk_speaker_rows(FX.with_stand_ins(d).drop("text_ids"), "doc_id", keep=[c for c in d.columns if c not in ("doc_id", "speaker_embedding")])
+
+    corpus = paths.pack_corpus(docs, "doc_id", 2, 2, limit=2000, dim=2, build=built)
+    whole = paths.pack_corpus(built(docs), "doc_id", 2, 2, limit=2000, dim=2)
+    assert sorted(corpus.collect(), key=key) == sorted(whole.collect(), key=key)
+
+
+def test_a_large_sealed_shard_is_many_files(spark, scratch, monkeypatch):
+    import glob
+
+    from voxloom.sources import sealed
+    monkeypatch.setattr(sealed, "FILE_BYTES", 20_000)
+    rows = spark.range(4000).selectExpr("id % 2 AS shard", "array_repeat(cast(id AS int), if(id % 2 = 0, 50, 1)) AS ids").coalesce(1)
+    run = sealed.write_sealed(rows, scratch)
+    files = {s: len(glob.glob(f"{scratch}/run={run}/shard={s}/*.parquet")) for s in (0, 1)}
+    assert files[0] > 5 and files[1] >= 1
+    back = sealed.read_sealed(spark, scratch, rows.schema)
+    assert sorted(map(tuple, back.select("shard", "ids").collect())) == sorted(map(tuple, rows.collect()))
+    assert {r["shard"]: r["n_rows"] for r in sealed.read_seals(spark, scratch).collect()} == {0: 2000, 1: 2000}

@@ -16,10 +16,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.session import written
+
 __all__ = ["write_sealed", "read_seals", "read_sealed", "damaged_shards"]
 
 SEAL_SCHEMA = T.StructType([T.StructField("shard", T.LongType()), T.StructField("version", T.LongType()),
@@ -51,15 +53,48 @@ def read_seals(spark: SparkSession, path: str) -> DataFrame:
             .select("shard", "s.version", "s.n_rows", "s.checksum", "s.run"))
 
 
+#: bytes of the rows of one file, about (before compression)
+FILE_BYTES = 128 << 20
+
+
+def _row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row."""
+    size = F.lit(8)
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType | T.MapType):
+            inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType.valueType
+            width = 4 if isinstance(inner, T.IntegerType | T.FloatType) else 8 if isinstance(inner, T.NumericType) else 32
+            size = size + F.coalesce(F.size(c), F.lit(0)).cast("long") * width
+        else:
+            size = size + 8
+    return size
+
+
+def _dealt(rows: DataFrame, files_per_shard: int) -> DataFrame:
+    """``rows`` dealt so that a shard's rows make at least ``files_per_shard`` files and one for each
+    FILE_BYTES.  Rows that lie in about as many tasks already are left where they are."""
+    per = written(rows.groupBy("shard").agg(F.sum(_row_bytes(rows.schema)).alias("_bytes")).select(
+        "shard", F.greatest(F.lit(files_per_shard), F.ceil(F.col("_bytes") / FILE_BYTES)).cast("int").alias("_files")), "shard-files")
+    shards, files = per.agg(F.count(F.lit(1)), F.coalesce(F.sum("_files"), F.lit(0))).first()
+    tasks = rows.rdd.getNumPartitions()
+    if files_per_shard <= tasks and files <= 4 * tasks and tasks * shards <= 4 * files:
+        return rows
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns if c != "shard")), F.col("_files"))
+    return rows.join(F.broadcast(per), "shard").repartition(max(1, files), "shard", salt).drop("_files")
+
+
 def write_sealed(df: DataFrame, path: str, shard_col: str = "shard", files_per_shard: int = 1) -> str:
     """Writes the rows, reads back what the files hold, then seals it.  Returns
-    the run's name.  A shard's rows are spread over ``files_per_shard`` files."""
+    the run's name.  A shard's rows are spread over ``files_per_shard`` files, or more where it
+    is large (FILE_BYTES).  ``df`` is read twice: pass a written table."""
     spark, run = df.sparkSession, f"r-{uuid.uuid4().hex}"
     rows = df.where(F.col(shard_col).isNotNull()).withColumn("shard", F.col(shard_col).cast("long"))
     if shard_col != "shard":
         rows = rows.drop(shard_col)
-    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c != "shard")), F.lit(files_per_shard)) if files_per_shard > 1 else F.lit(0)
-    rows.repartition("shard", salt).write.partitionBy("shard").parquet(f"{path}/run={run}")
+    _dealt(rows, files_per_shard).select(rows.columns).write.partitionBy("shard").parquet(f"{path}/run={run}")
     held = _contents(spark.read.schema(rows.schema).parquet(f"{path}/run={run}"), ["shard"])
     before = read_seals(spark, path).select("shard", F.col("version").alias("_before"))
     seals = held.join(before, "shard", "left").select(
