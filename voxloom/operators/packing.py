@@ -14,7 +14,8 @@ each of which is a function of the fill it starts with:
 So a shard spreads over as many tasks as it has chunks, and only summaries are
 read in sequence.  For the payload, rows go to the chunk in which their bin
 opens, so a bin is never cut; it crosses one shuffle and one Python pass, and packed rows are
-zero-copy slices of the Arrow batches.  A task holds
+zero-copy slices of the Arrow batches.  Ids can be built after that shuffle (``build``), from
+the far smaller text they come from.  A task holds
 the open bin, up to 512 finished bins and one Arrow batch.
 
 Decisions (SURVEY D1/D2): the last open bin of a shard is emitted unless
@@ -26,6 +27,7 @@ forms its own bin (``oversize='own_bin'``) or is cut to ``limit``
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 from typing import Iterator
 
 import numpy as np
@@ -43,11 +45,11 @@ def packable(ids_col: str = "input_ids", emb_col: str | None = "speaker_embeddin
     present without NULLs, and, with vectors, a whole vector (of width ``dim``
     if given) and exactly one placeholder.  Never NULL."""
     ids = F.col(ids_col)
-    ok = ids.isNotNull() & ~F.array_contains(F.transform(ids, lambda x: x.isNull()), True)
+    ok = ids.isNotNull() & ~F.exists(ids, lambda x: x.isNull())
     if emb_col:
         emb = F.col(emb_col)
         ok = ok & emb.isNotNull() & (F.size(emb) > 0 if dim is None else F.size(emb) == dim)
-        ok = ok & ~F.array_contains(F.transform(emb, lambda x: x.isNull()), True)
+        ok = ok & ~F.exists(emb, lambda x: x.isNull())
         one = F.size(F.filter(ids, lambda x: (x == V.PLACEHOLDER) | (x == V.IGNORE_LABEL))) == 1
         ok = ok & one
     return F.coalesce(ok, F.lit(False))
@@ -248,12 +250,16 @@ class _Carry:
 
 def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input_ids",
               emb_col: str | None = "speaker_embedding", limit: int = V.PACK_LIMIT, drop_tail: bool = False,
-              oversize: str = "own_bin", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+              oversize: str = "own_bin", chunk_rows: int = CHUNK_ROWS, len_col: str | None = None,
+              build: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """K1 + K2 + K3: pack rows of a shard in ``ord`` order into bins of at most
     ``limit`` tokens; concatenate ids and embeddings per bin.
 
     Rows without ids, or without the vector where vectors are packed, are left
     out (see ``packable``).  ``df`` is read twice, first for its lengths: pass a written table.
+    ``len_col`` holds the number of ids, if known (null: no ids).  With it, ``build`` may add the
+    ids to ``df``'s rows, row by row in their order and keeping the other columns: the rows are
+    then shuffled as they come, and the ids exist only in the task that packs them.
 
     Output: ``shard, bin, input_ids, speaker_embeddings, n_rows, first_ord,
     n_tokens, row_lengths`` (token count of each packed row, in order; see
@@ -261,23 +267,27 @@ def pack_rows(df: DataFrame, shard_col: str, ord_col: str, ids_col: str = "input
     """
     if oversize not in ("own_bin", "truncate"):
         raise ValueError("oversize must be 'own_bin' or 'truncate'")
-    ids = F.col(ids_col)
+    if build and not len_col:
+        raise ValueError("ids that are built late need len_col")
+    ids, n = F.col(ids_col), F.col(len_col) if len_col else F.size(ids_col)
     if oversize == "truncate":
-        ids = F.slice(ids, 1, limit)
+        ids, n = F.slice(ids, 1, limit), F.least(n, F.lit(limit))
     emb = F.col(emb_col).cast("array<float>") if emb_col else F.array().cast("array<float>")
+    df = df.where(F.col(len_col or ids_col).isNotNull())
     if emb_col:  # a row without ids or vector would shift the vectors of its bin
-        df = df.where(F.col(ids_col).isNotNull() & F.col(emb_col).isNotNull())
-    else:
-        df = df.where(F.col(ids_col).isNotNull())
-    payload = df.select(F.col(shard_col).cast("long").alias("shard"), F.col(ord_col).cast("long").alias("ord"),
-                        ids.cast("array<int>").alias("ids"), emb.alias("emb"))
-    starts = chunk_starts(payload.select("shard", "ord", F.size("ids").alias("n")), limit, chunk_rows)
-    payload = payload.withColumn("chunk", _chunk_of("ord", chunk_rows)).join(_sized(starts), ["shard", "chunk"])
+        df = df.where(F.col(emb_col).isNotNull())
+    placed = df.withColumns({"_shard": F.col(shard_col).cast("long"), "_ord": F.col(ord_col).cast("long")})
+    starts = chunk_starts(placed.select(F.col("_shard").alias("shard"), F.col("_ord").alias("ord"), n.alias("n")), limit, chunk_rows)
+    at = starts.withColumnsRenamed({c: f"_{c}" for c in starts.columns})
+    placed = placed.withColumn("_chunk", _chunk_of("_ord", chunk_rows)).join(_sized(at), ["_shard", "_chunk"])
     # a row that belongs to a bin opened earlier goes to the chunk that opened it
-    here = F.coalesce(F.col("ord") >= F.col("open_ord"), F.lit(False))
-    payload = payload.select("shard", "ord", "ids", "emb", F.when(here, F.col("chunk")).otherwise(F.col("home")).alias("home"),
-                             F.when(here, F.col("bins")).alias("first"))
-    payload = payload.repartition("shard", "home").sortWithinPartitions("shard", "home", "ord")
+    here = F.coalesce(F.col("_ord") >= F.col("_open_ord"), F.lit(False))
+    placed = placed.select(*(F.col(f"`{c}`") for c in df.columns), "_shard", "_ord", F.when(here, F.col("_chunk")).otherwise(F.col("_home")).alias("_home"),
+                           F.when(here, F.col("_bins")).alias("_first"))
+    placed = placed.repartition("_shard", "_home").sortWithinPartitions("_shard", "_home", "_ord")
+    payload = (build(placed) if build else placed).select(
+        F.col("_shard").alias("shard"), F.col("_ord").alias("ord"), ids.cast("array<int>").alias("ids"), emb.alias("emb"),
+        F.col("_home").alias("home"), F.col("_first").alias("first"))
     out_schema = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("bin", T.IntegerType()),
         T.StructField("input_ids", T.ArrayType(T.IntegerType())),

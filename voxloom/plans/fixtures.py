@@ -14,13 +14,19 @@ grows with them:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom import vocab as V
-from voxloom.functions.arrays import assemble_speaker, dedupe_frames, frames_from_bytes, let, utf8_bytes
+from voxloom.functions.arrays import assemble_speaker, dedupe_frames, let, utf8_bytes
+from voxloom.operators.inference import byte_encode_batch
 from voxloom.operators.sampling import rank_in_group
+from voxloom.session import ship_package
 from voxloom.sources.readers import read_table
 
 SEGMENT_CHARS_PER_SECOND = 100.0
@@ -40,12 +46,45 @@ def doc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", "lang", "source", utf8_bytes("text").alias("bytes"))
 
 
-def bulk_rows(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> DataFrame:
-    """Bulk-corpus rows ``doc_id, text, lang, text_ids, codes_list[, speaker_embedding]``."""
-    d = doc_bytes(spark, sf_dir)
-    rows = d.select("doc_id", "text", "lang",
-                    F.concat(F.array(F.lit(V.START_OF_TEXT)), F.col("bytes")).alias("text_ids"),
-                    frames_from_bytes("bytes").alias("codes_list"))
+#: rows whose stand-in ids are built at once
+STAND_IN_ROWS = 1000
+
+
+def _frames(ids: pa.ListArray) -> pa.ListArray:
+    """Codec frames of the bytes behind each row's first id: slot 0 ``div 32``,
+    each slot offset into its own codebook (``functions.arrays.frames_from_bytes``)."""
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    lens = np.maximum(sizes - 1, 0)
+    values = ids.flatten().to_numpy(zero_copy_only=False)
+    body = np.ones(len(values), bool)
+    body[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    b, starts = values[body], np.cumsum(lens) - lens
+    slot = ((np.arange(len(b)) - np.repeat(starts, lens)) % V.SLOTS_PER_FRAME).astype(np.int32)
+    codes = np.where(slot == 0, b >> 5, b) + (slot * np.int32(V.CODEBOOK_SIZE) + np.int32(V.AUDIO_OFFSET))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(codes, pa.int32()), mask=ids.is_null())
+
+
+def with_stand_ins(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text_ids`` and ``codes_list`` of their ``text``, in their order."""
+    ship_package(rows.sparkSession)
+    at, ints = rows.columns.index("text"), T.ArrayType(T.IntegerType())
+    schema = T.StructType([*rows.schema.fields, T.StructField("text_ids", ints), T.StructField("codes_list", ints)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, STAND_IN_ROWS):
+                b = batch.slice(lo, STAND_IN_ROWS)
+                ids = byte_encode_batch(b.column(at))
+                yield pa.RecordBatch.from_arrays([*b.columns, ids, _frames(ids)], names)
+
+    names = schema.names
+    return rows.mapInArrow(run, schema)
+
+
+def texts(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> DataFrame:
+    """Documents before their ids are built: ``doc_id, text, lang[, speaker_embedding]``."""
+    rows = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang")
     if not with_embedding:
         return rows
     emb = table(spark, sf_dir, "embeddings")
@@ -54,6 +93,13 @@ def bulk_rows(spark: SparkSession, sf_dir: str, with_embedding: bool = True) ->
     return rows.join(emb.select("vec_id", F.col("embedding").alias("speaker_embedding")), "vec_id").drop("vec_id")
 
 
+def bulk_rows(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> DataFrame:
+    """Bulk-corpus rows ``doc_id, text, lang, text_ids, codes_list[, speaker_embedding]``."""
+    rows = with_stand_ins(texts(spark, sf_dir, with_embedding))
+    vector = ["speaker_embedding"] if with_embedding else []
+    return rows.select("doc_id", "text", "lang", "text_ids", "codes_list", *vector)
+
+
 def codec_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three codec streams (1, 2, 4 codes per frame) from the full 7-byte frames."""
     d = doc_bytes(spark, sf_dir)
@@ -75,16 +121,15 @@ def codec_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", let("bytes", streams).alias("s")).select("doc_id", "s.c0", "s.c1", "s.c2")
 
 
-def speaker_rows(spark: SparkSession, sf_dir: str, alt_placeholder_lang: str | None = None) -> DataFrame:
-    """Unpacked speaker rows ``doc_id, lang, input_ids, speaker_embedding`` (Q5 on
-    deduped frames).  Rows of ``alt_placeholder_lang`` use the small path's -100
+def with_speaker_ids(rows: DataFrame, alt_placeholder_lang: str | None = None) -> DataFrame:
+    """``rows`` (with ``text`` and ``lang``) with the ``input_ids`` of their speaker rows (Q5 on
+    deduped frames), in their order.  Rows of ``alt_placeholder_lang`` use the small path's -100
     placeholder."""
-    b = bulk_rows(spark, sf_dir)
     ph = F.lit(V.PLACEHOLDER)
     if alt_placeholder_lang:
         ph = F.when(F.col("lang") == alt_placeholder_lang, F.lit(V.IGNORE_LABEL)).otherwise(ph)
     ids = assemble_speaker("text_ids", dedupe_frames("codes_list"), ph)
-    return b.select("doc_id", "lang", ids.alias("input_ids"), "speaker_embedding")
+    return with_stand_ins(rows).select(*(F.col(f"`{c}`") for c in rows.columns), ids.alias("input_ids"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

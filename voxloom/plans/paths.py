@@ -7,6 +7,8 @@ arrive as columns, or a caller runs them with ``operators.inference.map_model``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,42 +68,46 @@ def speaker_rows(transcripts: DataFrame, codes: DataFrame, embeddings: DataFrame
 
 
 # --- bulk path: corpus rows -> packed training sequences ---------------------
-def bulk_speaker_rows(rows: DataFrame, key: str, text_ids: str | None = None) -> DataFrame:
+def bulk_speaker_rows(rows: DataFrame, key: str, text_ids: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """S1 -> Q15 -> Q3 -> Q5 -> P11 (+ P7): speaker rows with the placeholder
     check and an ``error`` for rows whose encode failed (NULL codes or
     embedding, D7), so they can be split off with ``ingest.write_with_quarantine``
     instead of ending the job.  ``rows`` has ``key, text, codes_list,
-    speaker_embedding`` (or ready ``text_ids``)."""
+    speaker_embedding`` (or ready ``text_ids``); columns of ``keep`` stay."""
     tid = F.col(text_ids) if text_ids else A.byte_tokens("text")
     error = (F.when(F.col("codes_list").isNull(), F.lit("no audio codes"))
              .when(F.col("speaker_embedding").isNull(), F.lit("no speaker embedding")))
     out = rows.select(key, A.assemble_speaker(tid, A.dedupe_frames("codes_list")).alias("input_ids"),
-                      "speaker_embedding", error.alias("error"))
+                      "speaker_embedding", error.alias("error"), *(keep or []))
     return out.withColumn("placeholder_ok", F.coalesce(A.count_value("input_ids", V.PLACEHOLDER) == 1, F.lit(False)))
 
 
 def pack_corpus(rows: DataFrame, key: str, outer: int = V.OUTER_SHARDS, inner: int = V.INNER_SHARDS,
                 limit: int = V.PACK_LIMIT, seed: int = V.SHUFFLE_SEED, mode: str = "contiguous",
-                drop_tail: bool = False, dim: int | None = None, chunk_rows: int = packing.CHUNK_ROWS) -> DataFrame:
+                drop_tail: bool = False, dim: int | None = None, chunk_rows: int = packing.CHUNK_ROWS,
+                build: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """O1 -> K4 -> K1 -> K2/K3: seeded shuffle, two-level shards, next-fit packing
     of each shard.  Output has ``outer_shard`` for the per-shard sink (K5).
 
     Rows that cannot be packed safely (``packing.packable``, with vectors of width
     ``dim`` if given) are left out; write them to quarantine from ``rows`` first
     (``ingest.write_with_quarantine``; ``unpackable_rows`` names and counts them).
-    Rows are computed once and written to the checkpoint folder; the count, the ranking and the
-    bins' lengths then read narrow columns of that table.  ``inner`` sets the
+    Rows are written to the checkpoint folder with the number of their ids; the count and the
+    bins' lengths then read narrow columns of that table.  With ``build`` the ids come late:
+    ``rows`` are what it adds ``input_ids`` to (row by row, keeping the other columns), such as texts,
+    they are shuffled as they come, and built where they are packed (``packing.pack_rows``).  ``inner`` sets the
     bins' boundaries and is therefore never derived here; the parallelism of the
     packer does not depend on it (``chunk_rows``)."""
-    kept = [c for c in rows.columns if c in (key, "input_ids", "speaker_embedding")]
-    rows = written(rows.select(*kept, packing.packable(dim=dim).alias("_fit")), "corpus").where("_fit").drop("_fit")
+    kept = rows.columns if build else [c for c in rows.columns if c in (key, "input_ids", "speaker_embedding")]
+    rows = (build(rows) if build else rows).select(*(F.col(f"`{c}`") for c in kept), packing.packable(dim=dim).alias("_fit"), F.size("input_ids").alias("_n"))
+    rows = written(rows, "corpus").where("_fit").drop("_fit")
     n = rows.count()
     ranked = sampling.seeded_shuffle(rows, key, seed, n_rows=n)
     s = sampling.two_level_shards(ranked, "idx", n, outer, inner, mode)
     s = s.withColumn("shard", (F.col("outer_shard") * inner + F.col("inner_shard")).cast("long"))
-    s = written(s.select("shard", "inner_idx", "input_ids", "speaker_embedding"), "sharded")
+    s = written(s.select(*(F.col(f"`{c}`") for c in kept), "shard", "inner_idx", "_n"), "sharded")
     packed = packing.pack_rows(s, "shard", "inner_idx", "input_ids", "speaker_embedding", limit=limit,
-                               drop_tail=drop_tail, chunk_rows=chunk_rows)
+                               drop_tail=drop_tail, chunk_rows=chunk_rows, len_col="_n", build=build)
     return packed.withColumn("outer_shard", F.floor(F.col("shard") / inner).cast("int"))
 
 

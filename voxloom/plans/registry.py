@@ -539,18 +539,28 @@ EMB_DIM = 64                     # width of the fixture's vectors
 
 
 def packing_input(spark, sf_dir) -> DataFrame:
-    """Shuffled speaker rows cut in 2 x 4 contiguous shards:
-    ``doc_id, shard, ord, input_ids, speaker_embedding`` (``de`` rows carry the -100 placeholder)."""
-    rows = FX.speaker_rows(spark, sf_dir, alt_placeholder_lang="de")
+    """Shuffled speaker rows cut in 2 x 4 contiguous shards: ``doc_id, shard, ord, n_tok, text,
+    lang, speaker_embedding``; ``pack`` builds the ids where they are packed."""
     n = FX.table(spark, sf_dir, "documents").count()
-    s = sampling.two_level_shards(sampling.seeded_shuffle(rows, "doc_id", n_rows=n), "idx", n, PACK_OUTER, PACK_INNER)
-    return s.select("doc_id", (F.col("outer_shard") * PACK_INNER + F.col("inner_shard")).cast("long").alias("shard"),
-                    F.col("inner_idx").alias("ord"), "input_ids", "speaker_embedding")
+    s = sampling.two_level_shards(sampling.seeded_shuffle(FX.texts(spark, sf_dir), "doc_id", n_rows=n), "idx", n, PACK_OUTER, PACK_INNER)
+    return speaker_ids(s).withColumn("n_tok", F.size("input_ids")).select(
+        "doc_id", (F.col("outer_shard") * PACK_INNER + F.col("inner_shard")).cast("long").alias("shard"),
+        F.col("inner_idx").alias("ord"), "n_tok", "text", "lang", "speaker_embedding")
+
+
+def speaker_ids(rows: DataFrame) -> DataFrame:
+    """Rows of texts with their ``input_ids`` (``de`` rows carry the -100 placeholder)."""
+    return FX.with_speaker_ids(rows, alt_placeholder_lang="de")
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """The rows of ``packing_input`` packed."""
+    return packing.pack_rows(written(rows, "speaker-rows"), "shard", "ord", "input_ids", "speaker_embedding",
+                             chunk_rows=PACK_CHUNK, len_col="n_tok", build=speaker_ids)
 
 
 def packed(spark, sf_dir) -> DataFrame:
-    return packing.pack_rows(written(packing_input(spark, sf_dir), "speaker-rows"), "shard", "ord", "input_ids", "speaker_embedding",
-                             chunk_rows=PACK_CHUNK)
+    return pack(packing_input(spark, sf_dir))
 
 
 def pack_input_sql(ph: str, emb: str = "e.embedding", where: str = "true") -> str:
@@ -589,7 +599,7 @@ SELECT doc_id, shard::BIGINT AS shard, ord::BIGINT AS ord, bin::BIGINT AS bin FR
 """)
 def pack_bins(spark, sf_dir):
     """K1 on lengths only: bin of every row (next-fit, 8192 tokens)."""
-    inp = packing_input(spark, sf_dir).select("doc_id", "shard", "ord", F.size("input_ids").alias("n_tok"))
+    inp = packing_input(spark, sf_dir).select("doc_id", "shard", "ord", "n_tok")
     bins = packing.assign_bins(inp, "shard", "ord", "n_tok", V.PACK_LIMIT, chunk_rows=PACK_CHUNK, keep=["doc_id"])
     return bins.select("doc_id", _long("shard").alias("shard"), _long("ord").alias("ord"),
                                                    _long("bin").alias("bin"))
@@ -690,23 +700,28 @@ def placeholder_rejects(spark, sf_dir):
     """P12 rejects: packed rows with vectors of a wrong width, reported with both counts."""
     rows = packing_input(spark, sf_dir)
     half = F.when(F.col("doc_id") % 7 == 0, F.slice("speaker_embedding", 1, 32)).otherwise(F.col("speaker_embedding"))
-    p = packing.pack_rows(written(rows.withColumn("speaker_embedding", half), "speaker-rows"), "shard", "ord", chunk_rows=PACK_CHUNK)
+    p = pack(rows.withColumn("speaker_embedding", half))
     r = align.misaligned_rows(p, ["shard", "bin"], dim=EMB_DIM)
     return r.select(*[_long(c).alias(c) for c in ("shard", "bin", "n_placeholders", "n_floats")])
 
 
 def bulk_input(spark, sf_dir) -> DataFrame:
-    """Bulk rows of which some lack codes and some a vector."""
-    return FX.bulk_rows(spark, sf_dir).select(
-        "doc_id", "text", F.when(F.col("doc_id") % 11 != 3, F.col("codes_list")).alias("codes_list"),
-        F.when(F.col("doc_id") % 13 != 5, F.col("speaker_embedding")).alias("speaker_embedding"))
+    """Bulk rows of which some lack a vector, and some codes (see ``bulk_built``)."""
+    return FX.texts(spark, sf_dir).select(
+        "doc_id", "text", F.when(F.col("doc_id") % 13 != 5, F.col("speaker_embedding")).alias("speaker_embedding"))
+
+
+def bulk_built(rows: DataFrame) -> DataFrame:
+    """Speaker rows of bulk rows, in their order and with their columns."""
+    b = FX.with_stand_ins(rows).drop("text_ids")
+    b = b.withColumn("codes_list", F.when(F.col("doc_id") % 11 != 3, F.col("codes_list")))
+    return PATHS.bulk_speaker_rows(b, "doc_id", keep=[c for c in rows.columns if c not in ("doc_id", "speaker_embedding")])
 
 
 def bulk_packed(spark, sf_dir) -> DataFrame:
     """The bulk path as a user calls it, on rows of which some lack codes, some a
     vector, and some are longer than a sequence."""
-    b = bulk_input(spark, sf_dir)
-    return PATHS.pack_corpus(PATHS.bulk_speaker_rows(b, "doc_id"), "doc_id", PACK_OUTER, PACK_INNER, dim=EMB_DIM, chunk_rows=PACK_CHUNK)
+    return PATHS.pack_corpus(bulk_input(spark, sf_dir), "doc_id", PACK_OUTER, PACK_INNER, dim=EMB_DIM, chunk_rows=PACK_CHUNK, build=bulk_built)
 
 
 BULK_SQL = pack_input_sql("128263", where="dd.doc_id % 11 <> 3 AND dd.doc_id % 13 <> 5")
@@ -731,7 +746,7 @@ SELECT reason, count(*)::BIGINT AS n_rows, min(doc_id)::BIGINT AS first_id FROM
 """)
 def pack_corpus_rejects(spark, sf_dir):
     """The bulk rows that packing leaves out, counted by reason."""
-    r = PATHS.unpackable_rows(PATHS.bulk_speaker_rows(bulk_input(spark, sf_dir), "doc_id"), "doc_id", dim=EMB_DIM)
+    r = PATHS.unpackable_rows(bulk_built(bulk_input(spark, sf_dir)), "doc_id", dim=EMB_DIM)
     return r.groupBy("reason").agg(_long(F.count("*")).alias("n_rows"), _long(F.min("doc_id")).alias("first_id"))
 
 
