@@ -113,3 +113,33 @@ def test_a_large_sealed_shard_is_many_files(spark, scratch, monkeypatch):
     back = sealed.read_sealed(spark, scratch, rows.schema)
     assert sorted(map(tuple, back.select("shard", "ids").collect())) == sorted(map(tuple, rows.collect()))
     assert {r["shard"]: r["n_rows"] for r in sealed.read_seals(spark, scratch).collect()} == {0: 2000, 1: 2000}
+
+
+def test_frame_rows_meet_in_chunks(spark, monkeypatch):
+    """Frames next to each other in different chunks, repeated rows, NULL keys and frames, empty slots: as by a join."""
+    from pyspark.sql import functions as F
+    from voxloom.operators import frames as FR
+    monkeypatch.setattr(FR, "CHUNK_FRAMES", 4)
+    monkeypatch.setattr(FR, "BATCH_CODES", 10)
+    rows = [(k, f, [(f // (k + 1)) % 5, k, f, None][:4 - f % 2]) for k in range(3) for f in range(30)]
+    rows += [(7, f, [f // 2, 1]) for f in range(9)] * 2 + [(None, f, [3, f]) for f in range(6)] + [(8, 0, []), (8, 1, [2]), (8, 3, [2]), (8, 4, [2, 5]), (9, -1, [4, 4]), (9, 0, [4, 1])]
+    df = spark.createDataFrame(rows, "k long, frame int, slots array<int>")
+    got = FR.dedupe_frame_rows(df.repartition(5), "k").collect()
+    want, before = [], {}
+    nxt = {}
+    for k, f, s in rows:
+        nxt.setdefault((k, f - 1), []).append(s[0] if s else None)
+    for k, f, s in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        found = nxt.get((k, f), [None]) if k is not None else [None]
+        for x in found:
+            if s and x is not None and s[0] == x:
+                continue
+            want += [(k, before.get(k, 0) + j, c) for j, c in enumerate(s)]
+            before[k] = before.get(k, 0) + len(s)
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    frames = df.withColumn("frame", F.when(F.col("k") == 0, None).otherwise(F.col("frame"))).where("k = 0")
+    assert FR.dedupe_frame_rows(frames, "k").count() == sum(len(s) for k, _, s in rows if k == 0)
+    assert FR.dedupe_frame_rows(df.limit(0), "k").count() == 0
+    plan = FR.dedupe_frame_rows(df, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "slots" not in plan  # written: no pass reads the frame rows again

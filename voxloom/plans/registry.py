@@ -228,7 +228,7 @@ def frame_dedupe_long(spark, sf_dir):
 
 @register("frame_dedupe_rows", ORACLE["frame_dedupe_long"])
 def frame_dedupe_rows(spark, sf_dir):
-    """W1 on a table of frame rows: frame i meets frame i+1 by an equi-join."""
+    """W1 on a table of frame rows: frame i meets frame i+1 in its chunk of frames."""
     b = FX.bulk_rows(spark, sf_dir, with_embedding=False).select("doc_id", "codes_list")
     return _kept_stats(b, FR.dedupe_frame_rows(FR.frames_long(b, "doc_id", "codes_list"), "doc_id"))
 
