@@ -143,3 +143,16 @@ def test_frame_rows_meet_in_chunks(spark, monkeypatch):
     assert FR.dedupe_frame_rows(df.limit(0), "k").count() == 0
     plan = FR.dedupe_frame_rows(df, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "slots" not in plan  # written: no pass reads the frame rows again
+
+
+def test_native_array_checks_keep_nulls(spark):
+    """Counts and range checks without a lambda per value: NULL and odd arrays as before."""
+    from pyspark.sql import functions as F
+    from voxloom.functions import arrays as A
+    rows = [([],), (None,), ([0, 4095],), ([4096, None],), ([1, None],), ([None],), ([-1, 5],), ([5, 5, None, 7],)]
+    df = spark.createDataFrame(rows, "a array<int>")
+    old_range, old_count = F.forall("a", lambda x: (x >= 0) & (x < 4096)), F.size(F.filter("a", lambda x: x == 5))
+    got = df.select(A.codes_in_range("a").alias("r"), A.count_value("a", 5).alias("n")).collect()
+    assert got == df.select(old_range.alias("r"), old_count.alias("n")).collect()
+    plan = df.select(A.codes_in_range("a"), A.count_value("a", 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan

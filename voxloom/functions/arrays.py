@@ -152,7 +152,10 @@ def codes_in_range(*streams) -> Column:
     """P10: every stream code is in ``[0, 4096)``."""
     cond = None
     for s in streams:
-        c = F.forall(_c(s), lambda x: (x >= 0) & (x < V.CODEBOOK_SIZE))
+        s = _c(s)
+        # no lambda per code; array_contains is NULL where a code is
+        outside = (F.array_min(s) < 0) | (F.array_max(s) >= V.CODEBOOK_SIZE)
+        c = F.when(outside, F.lit(False)).otherwise(~F.array_contains(s, -1))
         cond = c if cond is None else cond & c
     return cond
 
@@ -246,6 +249,8 @@ def split_flat(flat, dim: int) -> Column:
 
 def count_value(ids, value: int) -> Column:
     """Occurrences of ``value`` (P11 / P12 building block)."""
+    if isinstance(ids, str):  # a column, not an expression to compute twice: no lambda per value
+        return F.when(F.col(ids).isNotNull(), F.size(ids) - F.size(F.array_remove(ids, value))).otherwise(F.size(ids))
     return F.size(F.filter(_c(ids), lambda x: x == value))
 
 
