@@ -505,8 +505,10 @@ def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
     link with it.  Each pair of blocks is a group of its own, so a large
     component is many tasks' work; each pair of classes in it is measured
     exactly, and counted where it is measured: a block pair returns a row per class, not per link."""
-    q = members.select("cls", "docs", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
-    rows = q.join(sets.select("cls", "shingles"), "cls").select(
+    # each class meets its set once; only then is it sent to its block's pairs
+    held = members.join(sets.select("cls", "shingles"), "cls")
+    q = held.select("cls", "docs", "root", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
+    rows = q.select(
         "root", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"),
         (F.col("block") > F.col("q")).alias("right"), "cls", "docs", "shingles")
 
