@@ -156,3 +156,32 @@ def test_native_array_checks_keep_nulls(spark):
     assert got == df.select(old_range.alias("r"), old_count.alias("n")).collect()
     plan = df.select(A.codes_in_range("a"), A.count_value("a", 5))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def pack_tables(spark, folder):
+    """Documents with repeated and NULL ids and NULL texts, and vectors, one id twice."""
+    docs = spark.range(400).selectExpr("if(id % 50 = 49, null, id - id % 9 % 2) AS doc_id", "if(id % 40 = 7, null, repeat(concat('w', id - id % 9 % 2, ' '), 1 + cast(id % 90 AS int))) AS text",
+                                       "if(id % 3 = 0, 'de', 'en') AS lang")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.range(30).selectExpr("if(id = 3, 4, id) AS vec_id", "transform(sequence(1, 64), x -> cast(x + id AS float)) AS embedding").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def moved_columns(monkeypatch):
+    """The columns that are joined with the vectors."""
+    from voxloom.plans import fixtures as FX
+    seen, join = [], FX.with_vectors
+    monkeypatch.setattr(FX, "with_vectors", lambda spark, sf_dir, rows: (seen.append(rows.columns), join(spark, sf_dir, rows))[1])
+    return seen
+
+
+def test_bins_are_planned_without_texts(spark, scratch, monkeypatch):
+    from voxloom.plans import registry
+    pack_tables(spark, scratch)
+    seen = moved_columns(monkeypatch)
+    got = registry.packing_lengths(spark, scratch).drop("ord", "shard").collect()
+    assert seen == [["doc_id", "n_tok"]]
+    whole = registry.packing_input(spark, scratch)
+    key = lambda r: (r["doc_id"], r["n_tok"] or -1)
+    assert sorted(got, key=key) == sorted(whole.select("doc_id", "n_tok").collect(), key=key) and len(got) > 300
+    places = [sorted(map(tuple, d.select("doc_id", "shard").distinct().collect())) for d in (registry.packing_lengths(spark, scratch), whole)]
+    assert places[0] == places[1]

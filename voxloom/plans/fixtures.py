@@ -85,8 +85,11 @@ def with_stand_ins(rows: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> DataFrame:
     """Documents before their ids are built: ``doc_id, text, lang[, speaker_embedding]``."""
     rows = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang")
-    if not with_embedding:
-        return rows
+    return with_vectors(spark, sf_dir, rows) if with_embedding else rows
+
+
+def with_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``doc_id``) with the ``speaker_embedding`` of their documents."""
     emb = table(spark, sf_dir, "embeddings")
     n_vec = emb.count()
     rows = rows.withColumn("vec_id", F.col("doc_id") % n_vec)

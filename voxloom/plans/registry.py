@@ -538,14 +538,27 @@ PACK_CHUNK = 128                 # rows of a chunk, so that small shards spread
 EMB_DIM = 64                     # width of the fixture's vectors
 
 
+def pack_shards(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` shuffled and cut in 2 x 4 contiguous shards: further columns ``shard`` and ``ord``."""
+    s = sampling.two_level_shards(sampling.seeded_shuffle(rows, "doc_id", n_rows=n), "idx", n, PACK_OUTER, PACK_INNER)
+    return s.withColumn("shard", (F.col("outer_shard") * PACK_INNER + F.col("inner_shard")).cast("long")).withColumn("ord", F.col("inner_idx"))
+
+
 def packing_input(spark, sf_dir) -> DataFrame:
-    """Shuffled speaker rows cut in 2 x 4 contiguous shards: ``doc_id, shard, ord, n_tok, text,
+    """Shuffled speaker rows in their shards: ``doc_id, shard, ord, n_tok, text,
     lang, speaker_embedding``; ``pack`` builds the ids where they are packed."""
     n = FX.table(spark, sf_dir, "documents").count()
-    s = sampling.two_level_shards(sampling.seeded_shuffle(FX.texts(spark, sf_dir), "doc_id", n_rows=n), "idx", n, PACK_OUTER, PACK_INNER)
-    return speaker_ids(s).withColumn("n_tok", F.size("input_ids")).select(
-        "doc_id", (F.col("outer_shard") * PACK_INNER + F.col("inner_shard")).cast("long").alias("shard"),
-        F.col("inner_idx").alias("ord"), "n_tok", "text", "lang", "speaker_embedding")
+    s = pack_shards(FX.texts(spark, sf_dir), n)
+    return speaker_ids(s).withColumn("n_tok", F.size("input_ids")).select("doc_id", "shard", "ord", "n_tok", "text", "lang", "speaker_embedding")
+
+
+def packing_lengths(spark, sf_dir) -> DataFrame:
+    """``packing_input`` without its payload: ids are counted where the texts are read, and only
+    ``doc_id, n_tok`` are joined, shuffled and cut in shards."""
+    n = FX.table(spark, sf_dir, "documents").count()
+    ids = speaker_ids(FX.texts(spark, sf_dir, with_embedding=False))
+    narrow = written(ids.select("doc_id", F.size("input_ids").alias("n_tok")), "lengths")
+    return pack_shards(FX.with_vectors(spark, sf_dir, narrow).drop("speaker_embedding"), n).select("doc_id", "shard", "ord", "n_tok")
 
 
 def speaker_ids(rows: DataFrame) -> DataFrame:
@@ -599,8 +612,7 @@ SELECT doc_id, shard::BIGINT AS shard, ord::BIGINT AS ord, bin::BIGINT AS bin FR
 """)
 def pack_bins(spark, sf_dir):
     """K1 on lengths only: bin of every row (next-fit, 8192 tokens)."""
-    inp = packing_input(spark, sf_dir).select("doc_id", "shard", "ord", "n_tok")
-    bins = packing.assign_bins(inp, "shard", "ord", "n_tok", V.PACK_LIMIT, chunk_rows=PACK_CHUNK, keep=["doc_id"])
+    bins = packing.assign_bins(packing_lengths(spark, sf_dir), "shard", "ord", "n_tok", V.PACK_LIMIT, chunk_rows=PACK_CHUNK, keep=["doc_id"])
     return bins.select("doc_id", _long("shard").alias("shard"), _long("ord").alias("ord"),
                                                    _long("bin").alias("bin"))
 
