@@ -44,17 +44,26 @@ def packable(ids_col: str = "input_ids", emb_col: str | None = "speaker_embeddin
     """True for rows whose ids and vectors stay aligned when packed: ids
     present without NULLs, and, with vectors, a whole vector (of width ``dim``
     if given) and exactly one placeholder.  Never NULL."""
+    ok = ids_fit(ids_col, bool(emb_col))
+    return ok & vector_fits(emb_col, dim) if emb_col else ok
+
+
+def ids_fit(ids_col: str = "input_ids", placeholder: bool = True) -> Column:
+    """What ``packable`` asks of the ids alone.  Never NULL."""
     ids = F.col(ids_col)
     ok = ids.isNotNull() & ~F.exists(ids, lambda x: x.isNull())
-    if emb_col:
-        emb = F.col(emb_col)
-        ok = ok & emb.isNotNull() & (F.size(emb) > 0 if dim is None else F.size(emb) == dim)
-        ok = ok & ~F.exists(emb, lambda x: x.isNull())
-        one = F.size(F.filter(ids, lambda x: (x == V.PLACEHOLDER) | (x == V.IGNORE_LABEL))) == 1
-        ok = ok & one
+    if placeholder:
+        ok = ok & (F.size(F.filter(ids, lambda x: (x == V.PLACEHOLDER) | (x == V.IGNORE_LABEL))) == 1)
     return F.coalesce(ok, F.lit(False))
 
 
+def vector_fits(emb_col: str = "speaker_embedding", dim: int | None = None) -> Column:
+    """What ``packable`` asks of the vector alone.  Never NULL."""
+    emb = F.col(emb_col)
+    ok = emb.isNotNull() & (F.size(emb) > 0 if dim is None else F.size(emb) == dim)
+    return F.coalesce(ok & ~F.exists(emb, lambda x: x.isNull()), F.lit(False))
+
+
 def inner_shards_for(n_rows: int, outer: int, rows_per_shard: int = 2_000_000, minimum: int = 1) -> int:
     """Inner shard count that keeps every packed shard near ``rows_per_shard``
     rows.  Packing is sequential inside a shard, so this is the parallelism of

@@ -719,8 +719,11 @@ def placeholder_rejects(spark, sf_dir):
 
 def bulk_input(spark, sf_dir) -> DataFrame:
     """Bulk rows of which some lack a vector, and some codes (see ``bulk_built``)."""
-    return FX.texts(spark, sf_dir).select(
-        "doc_id", "text", F.when(F.col("doc_id") % 13 != 5, F.col("speaker_embedding")).alias("speaker_embedding"))
+    return some_vectors(FX.texts(spark, sf_dir)).select("doc_id", "text", "speaker_embedding")
+
+
+def some_vectors(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("speaker_embedding", F.when(F.col("doc_id") % 13 != 5, F.col("speaker_embedding")))
 
 
 def bulk_built(rows: DataFrame) -> DataFrame:
@@ -758,7 +761,9 @@ SELECT reason, count(*)::BIGINT AS n_rows, min(doc_id)::BIGINT AS first_id FROM
 """)
 def pack_corpus_rejects(spark, sf_dir):
     """The bulk rows that packing leaves out, counted by reason."""
-    r = PATHS.unpackable_rows(bulk_built(bulk_input(spark, sf_dir)), "doc_id", dim=EMB_DIM)
+    texts = FX.texts(spark, sf_dir, with_embedding=False).select("doc_id", "text", F.lit(None).cast("array<float>").alias("speaker_embedding"))
+    ids = bulk_built(texts).select("doc_id", "input_ids")
+    r = PATHS.unpackable_rows(ids, "doc_id", dim=EMB_DIM, vectors=lambda rows: some_vectors(FX.with_vectors(spark, sf_dir, rows)))
     return r.groupBy("reason").agg(_long(F.count("*")).alias("n_rows"), _long(F.min("doc_id")).alias("first_id"))
 
 
