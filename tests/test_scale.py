@@ -214,3 +214,16 @@ def test_rejects_are_judged_before_the_vectors(spark, scratch, monkeypatch):
     want = paths.unpackable_rows(registry.bulk_built(registry.bulk_input(spark, scratch)), "doc_id", dim=64)
     want = want.groupBy("reason").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_id")).collect()
     assert sorted(got) == sorted(want)
+
+
+def test_a_turn_on_few_classes_moves_few_sets(spark, monkeypatch):
+    from voxloom.llm import jaccard_join as J
+    J.C.ready(spark)
+    blob = lambda xs: bytearray(J.np.array(xs, J.np.uint64).tobytes())
+    sets = spark.createDataFrame([(c, blob(range(c % 3, 10 + c % 3))) for c in range(500)] + [(None, blob([1]))], "cls long, shingles binary")
+    pairs = spark.createDataFrame([(3, 6), (3, 4), (7, 7000), (None, 5)], "a long, b long")
+    assert sorted(r["cls"] for r in J.of_pairs(sets, pairs).collect()) == [3, 4, 5, 6, 7]
+    assert "LeftSemi" in J.verified(pairs, sets)._jdf.queryExecution().optimizedPlan().toString()
+    few = sorted(J.verified(pairs, sets).collect())
+    monkeypatch.setattr(J, "BROADCAST_CLASSES", 0)
+    assert J.of_pairs(sets, pairs).count() == 501 and sorted(J.verified(pairs, sets).collect()) == few == [(3, 4), (3, 6)]

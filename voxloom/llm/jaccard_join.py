@@ -301,6 +301,13 @@ def by_group(rows: DataFrame) -> DataFrame:
     return d.sortWithinPartitions("token", "salt", F.xxhash64("cls"), "cls")
 
 
+def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` (cls, ...) of the classes in ``pairs`` (a, b; written): where those are few, they are
+    picked where the rows lie, so that a turn on a few classes does not shuffle the rows of all."""
+    ends = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
+    return rows.join(F.broadcast(ends), "cls", "left_semi") if ends.count() <= BROADCAST_CLASSES else rows
+
+
 def size_of(place: Column) -> Column:
     return F.shiftright(place, 31)
 
@@ -362,6 +369,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = of_pairs(sets, pairs)
     x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -598,7 +606,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         # more stars as long as they shrink the work; then whatever is left, in full
         last = turn == MAX_TURNS or work <= 10 * n or (before is not None and work > 0.8 * before)
         more = cross_pairs(rows) if last else cross_stars(rows, turn)
-        more = C.materialize(promising(more.join(pairs, ["a", "b"], "left_anti"), held), "pairs").select("a", "b")
+        more = C.materialize(more.join(pairs, ["a", "b"], "left_anti"), "met")
+        more = C.materialize(promising(more, of_pairs(held, more)), "pairs").select("a", "b")
         if not more.isEmpty():
             sets = sets_of(more, sets)
             links = C.materialize(verified(more, sets), "links")
