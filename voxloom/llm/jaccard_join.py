@@ -301,11 +301,12 @@ def by_group(rows: DataFrame) -> DataFrame:
     return d.sortWithinPartitions("token", "salt", F.xxhash64("cls"), "cls")
 
 
-def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def of_pairs(pairs: DataFrame, *rows: DataFrame) -> list[DataFrame]:
     """``rows`` (cls, ...) of the classes in ``pairs`` (a, b; written): where those are few, they are
     picked where the rows lie, so that a turn on a few classes does not shuffle the rows of all."""
-    ends = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
-    return rows.join(F.broadcast(ends), "cls", "left_semi") if ends.count() <= BROADCAST_CLASSES else rows
+    ends = C.materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "ends")
+    few = ends.count() <= BROADCAST_CLASSES
+    return [r.join(F.broadcast(ends), "cls", "left_semi") if few else r for r in rows]
 
 
 def size_of(place: Column) -> Column:
@@ -369,7 +370,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = of_pairs(sets, pairs)
     x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -591,8 +591,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         # written and counted first: a bounded number of classes is sent to the texts, not the texts to the classes
         wanted = C.materialize(reps.select("cls", "rep").join(wanted, "cls"), "wanted")
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
-        new = C.materialize(class_sets(docs, wanted, id_col, text_col), "sets")
-        return new if known is None else known.union(new)
+        return C.materialize(class_sets(docs, wanted, id_col, text_col), "sets")
 
     sets = sets_of(pairs, None)
     links = C.materialize(verified(pairs, sets), "links")
@@ -607,10 +606,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         last = turn == MAX_TURNS or work <= 10 * n or (before is not None and work > 0.8 * before)
         more = cross_pairs(rows) if last else cross_stars(rows, turn)
         more = C.materialize(more.join(pairs, ["a", "b"], "left_anti"), "met")
-        more = C.materialize(promising(more, of_pairs(held, more)), "pairs").select("a", "b")
+        held_here, known_here = of_pairs(more, held, sets)
+        more = C.materialize(promising(more, held_here), "pairs").select("a", "b")
         if not more.isEmpty():
-            sets = sets_of(more, sets)
-            links = C.materialize(verified(more, sets), "links")
+            new = sets_of(more, sets)
+            sets = sets.union(new)
+            links = C.materialize(verified(more, known_here.union(new)), "links")
             if not links.isEmpty():
                 comp = merged(comp, links)
             pairs = pairs.union(more)
