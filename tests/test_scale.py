@@ -227,3 +227,44 @@ def test_a_turn_on_few_classes_moves_few_sets(spark, monkeypatch):
     linked = sorted(J.verified(pairs, few).collect())
     monkeypatch.setattr(J, "BROADCAST_CLASSES", 0)
     assert J.of_pairs(pairs, sets)[0].count() == 501 and sorted(J.verified(pairs, sets).collect()) == linked == [(3, 4), (3, 6)]
+
+
+def test_postings_of_large_groups_without_a_partner_need_no_second_look(spark):
+    from voxloom.llm import jaccard_join as J
+    J.C.ready(spark)
+    rng = J.np.random.default_rng(7)
+    for _ in range(200):
+        n = rng.integers(1, rng.integers(2, 80), rng.integers(10, 40))
+        p = J.np.array([rng.integers(0, J.prefix_length(int(x))) for x in n])
+        want = [i >= J.FEW and any(j != i and min(n[i] - p[i], n[j] - p[j]) >= J.needed(int(n[i]), int(n[j])) for j in range(J.FEW, len(n)))
+                for i in range(len(n))]
+        assert J.unmet((n.astype(J.np.int64) << 31) + p).tolist() == want
+    # (token, salt, cls, place): 12 copies' first shingles, 12 last ones of prefixes, 12 sets each twice the last one's size, a salted group
+    groups = [(1, 0, lambda i: (20, 0)), (2, 0, lambda i: (20, 5)), (3, 0, lambda i: (1 << i, 0)), (4, 5, lambda i: (20, 5))]
+    rows = [(t, salt, c, (at(c)[0] << 31) + at(c)[1]) for t, salt, at in groups for c in range(12)]
+    df = spark.createDataFrame(rows, "token long, salt int, cls long, place long").coalesce(1).sortWithinPartitions("token", "salt", "cls")
+    got = J.stars(df).where(f"kind = {J.POSTING}").groupBy("token").agg({"b": "sum", "a": "count"}).collect()
+    assert sorted((r["token"], r["sum(b)"], r["count(a)"]) for r in got) == [(1, 10, 12), (2, 0, 12), (3, 0, 12), (4, 12, 12)]
+
+
+def test_later_turns_look_only_at_groups_still_in_several_components(spark, monkeypatch):
+    from itertools import permutations
+    from voxloom.llm import jaccard_join as J
+    sentence = lambda k: " ".join(f"s{k}w{j}" for j in range(30))
+    orders = list(permutations(range(10), 3))
+    texts = [" ".join(map(sentence, o)) for o in orders] + [sentence("x") + f" end{i}" for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen, mixed = [], J.mixed_groups
+
+    def spied(big, labels):
+        out = J.C.materialize(mixed(big, labels), "test-mixed")
+        seen.append((big.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(J, "mixed_groups", spied)
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in J.linked_documents(docs).collect()}
+    least = {}
+    for i, o in enumerate(orders):
+        least.setdefault(frozenset(o), i)
+    assert got == {i: (least[frozenset(o)], 5) for i, o in enumerate(orders)} | {len(orders) + i: (len(orders), 11) for i in range(12)}
+    assert len(seen) > 1 and all(later[0] == earlier[1] for earlier, later in zip(seen, seen[1:])) and seen[0][1] < seen[0][0]

@@ -18,7 +18,8 @@ Candidates pass a bound on their shared prefix shingles and must share prefix
 shingles under two further orders as well; only then are the sets exchanged and the
 overlap counted.  Linked classes become components (large-star, small-star).
 Further turns look at groups too large for all pairs that still hold several
-components: stars between them while that shrinks the work, then all pairs
+components, at their postings whose rest of the set can reach the overlap with
+another's not yet met: stars between them while that shrinks the work, then all pairs
 across components, so no link between components is lost.  With the components
 known, ``linked_documents`` counts the links inside them: every pair of a
 component's classes is measured, block by block, and counted per class in the block's task.
@@ -208,6 +209,23 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, int], text_col: str) -
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "token long, salt int, cls long, place long")
 
 
+def unmet(place: np.ndarray) -> np.ndarray:
+    """Which postings of a large group, all at hand and in the group's order, may link
+    there with a class that their own was not paired with: both rests reach the overlap needed.
+    The first FEW were paired with every other."""
+    size = place >> 31
+    most = (100 + PERCENT) * (size - (place & (1 << 31) - 1)) // PERCENT - size  # the largest set that the rest can link with
+    o = FEW + np.argsort(size[FEW:], kind="stable")
+    before = np.concatenate([[-1], np.maximum.accumulate(most[o])])  # largest ``most`` among smaller sets
+    first = np.maximum.accumulate(np.where(most[o] > before[:-1], np.arange(len(o)), 0))
+    second = np.maximum.accumulate(np.minimum(most[o], before[:-1]))
+    at = np.searchsorted(size[o], most[o], side="right") - 1
+    best = np.where(first[at] == np.arange(len(o)), second[at], before[1:][at])
+    out = np.zeros(len(place), bool)
+    out[o] = (at >= 0) & (best >= size[o])
+    return out
+
+
 STAR = "kind int, a long, b long, token long, place long, salt int"
 PAIR, POSTING, CENTER = 0, 1, 2
 
@@ -218,12 +236,13 @@ def stars(sorted_rows: DataFrame, second: bool = False) -> DataFrame:
     groups, their centers.  Only the centers of the open group are kept.
 
     A posting row carries in ``b`` 1 if its group is too large for all pairs
-    (or salted), so the last round looks at it again."""
+    (or salted) and the posting may have a partner there that it was not paired
+    with (``unmet``), so the last round looks at it again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple = ()
         centers: list[tuple[int, int]] = []
-        size, waiting = 0, []
+        size, waiting, whole = 0, [], True
         out: list[list] = [[], [], [], [], [], []]
         pairs: set[tuple[int, int]] = set()
 
@@ -235,8 +254,11 @@ def stars(sorted_rows: DataFrame, second: bool = False) -> DataFrame:
             nonlocal waiting
             big = size > CENTERS + 1 or (key and key[1] > 0)
             if not second and (size > 1 or big):
-                for c, pl in waiting:
-                    put(POSTING, c, int(big), key[0], pl, key[1])
+                again = np.full(len(waiting), big)
+                if big and whole and not key[1]:
+                    again = unmet(np.array([pl for _, pl in waiting], np.int64))
+                for (c, pl), look in zip(waiting, again.tolist()):
+                    put(POSTING, c, int(look), key[0], pl, key[1])
             if not second and key and key[1] > 0:
                 for c, pl in centers[:FEW]:
                     put(CENTER, c, 0, key[0], pl, key[1])
@@ -267,7 +289,7 @@ def stars(sorted_rows: DataFrame, second: bool = False) -> DataFrame:
                 k = (int(token[i]), int(salt[i]))
                 if k != key:
                     close()
-                    key, centers, size = k, [], 0
+                    key, centers, size, whole = k, [], 0, True
                 c, pl = int(cls[i]), int(place[i])
                 if any(c == d for d, _ in centers) or (waiting and waiting[-1][0] == c):
                     continue
@@ -284,7 +306,7 @@ def stars(sorted_rows: DataFrame, second: bool = False) -> DataFrame:
                     if len(waiting) > 50_000:  # a large group's postings go out as they come
                         for w, q in waiting:
                             put(POSTING, w, 1, key[0], q, key[1])
-                        waiting = []
+                        waiting, whole = [], False
                 if len(out[0]) + len(pairs) > 100_000:
                     yield flush()
         close()
@@ -380,7 +402,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def mixed_groups(big: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of large groups that still hold several components, with the
     class's component (label) and the one most of the group belongs to (main)."""
-    rows = big.join(labels, "cls")
+    # written, since it is read twice
+    rows = C.materialize(big.join(labels, "cls"), "labelled")
     per = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     main = per.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     return rows.join(main.where("labels > 1").select("token", "main"), "token")
@@ -600,6 +623,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     work = None
     for turn in range(MAX_TURNS + 1):
         rows = C.materialize(mixed_groups(big, label(comp).select("cls", "label")), "big")
+        # components only grow: a group in one component needs no further look
+        big = rows.select("token", "cls", "place")
         n, before = rows.count(), work
         work = rows.groupBy("token").agg((F.count(F.lit(1)) * F.count_if(F.col("label") != F.col("main"))).alias("k")).agg(F.sum("k")).first()[0] or 0
         # more stars as long as they shrink the work; then whatever is left, in full
