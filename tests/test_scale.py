@@ -268,3 +268,24 @@ def test_later_turns_look_only_at_groups_still_in_several_components(spark, monk
         least.setdefault(frozenset(o), i)
     assert got == {i: (least[frozenset(o)], 5) for i, o in enumerate(orders)} | {len(orders) + i: (len(orders), 11) for i in range(12)}
     assert len(seen) > 1 and all(later[0] == earlier[1] for earlier, later in zip(seen, seen[1:])) and seen[0][1] < seen[0][0]
+
+
+def test_component_rounds_of_few_edges_need_no_exchange(spark, monkeypatch):
+    from voxloom.llm import jaccard_join as J
+    path = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(129, 200), (300, 301), (301, 300), (400, 400)]
+    edges = spark.createDataFrame(path, "u long, v long").repartition(5)
+    want = {i: 0 for i in range(41)} | {i: 100 for i in [*range(100, 130), 200]} | {300: 300, 301: 300}
+    rounds, write = [], J.C.materialize
+
+    def spied(df, tag):
+        rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(J.C, "materialize", spied)
+    got = J.components(edges).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+    assert len(rounds) > 2 and not any("Exchange" in plan for plan in rounds[1:])
+    rounds.clear()
+    monkeypatch.setattr(J, "EDGES_PER_TASK", 10)
+    assert sorted(J.components(edges).collect()) == sorted(got) and "Exchange" in rounds[1]
+    assert J.components(edges.limit(0)).count() == 0

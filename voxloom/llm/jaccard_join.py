@@ -67,7 +67,7 @@ TURN_CENTERS = 16
 #: shingles of a component's block, about; cells of a 0/1 matrix held at once
 BLOCK_SHINGLES = 1_000_000
 PRODUCT_CELLS = 8_000_000
-#: edges of a component round in a task, at least, about
+#: edges of a component round in a task, at least, about; up to as many, a round is one task
 EDGES_PER_TASK = 200_000
 #: classes whose names are broadcast to look up their texts (some 30 MB); more are joined
 BROADCAST_CLASSES = 200_000
@@ -436,35 +436,48 @@ def cross_stars(rows: DataFrame, turn: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of an edge and the smallest node it reaches,
-    by alternating large-star and small-star rounds until nothing changes."""
+    by alternating large-star and small-star rounds until nothing changes.
 
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    Up to EDGES_PER_TASK edges are a round's work of one task, without exchanges or
+    broadcasts; more are dealt out.  Each exchange of a few edges costs the driver a job
+    and as many tasks as there are shuffle partitions, round after round."""
+
+    def few(rows: int) -> bool:
+        return rows <= EDGES_PER_TASK
+
+    def gathered(e: DataFrame, rows: int) -> DataFrame:
+        return e.coalesce(1) if few(rows) else e
+
+    def beside(low: DataFrame, rows: int) -> DataFrame:
+        return low.hint("merge") if few(rows) else low
+
+    def large(e: DataFrame, rows: int) -> DataFrame:
+        both = gathered(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), rows)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = both.join(beside(low, rows), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return gathered(moved, rows)
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, rows: int) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.union(low.select("u", F.col("m").alias("v")))
+        moved = e.join(beside(low, rows), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return gathered(moved.union(low.select("u", F.col("m").alias("v"))), rows)
 
     def tidy(e: DataFrame, rows: int) -> DataFrame:
-        # few edges need few tasks
         return e.where("u != v").distinct().coalesce(1 + rows // EDGES_PER_TASK)
 
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    def state(e: DataFrame, rows: int):
+        return tuple(gathered(e, rows).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e = C.materialize(edges.where("u != v").distinct(), "edges")
-    before = state(e)
+    before = state(e, EDGES_PER_TASK + 1)  # not known yet
     while before[0]:
-        e = C.materialize(tidy(small(large(e)), before[0]), "edges")
-        after = state(e)
+        e = C.materialize(tidy(small(large(e, before[0]), before[0]), before[0]), "edges")
+        after = state(e, before[0])
         if after == before:
             break
         before = after
-    roots = e.select("v").distinct()
+    roots = gathered(e.select("v"), before[0]).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", "v"))
 
 
