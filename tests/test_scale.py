@@ -285,6 +285,7 @@ def test_component_rounds_of_few_edges_need_no_exchange(spark, monkeypatch):
     got = J.components(edges).collect()
     assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
     assert len(rounds) > 2 and not any("Exchange" in plan for plan in rounds[1:])
+    assert sorted(J.components(edges, len(path)).collect()) == sorted(got)
     rounds.clear()
     monkeypatch.setattr(J, "EDGES_PER_TASK", 10)
     assert sorted(J.components(edges).collect()) == sorted(got) and "Exchange" in rounds[1]

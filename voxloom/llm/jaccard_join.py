@@ -402,8 +402,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def mixed_groups(big: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of large groups that still hold several components, with the
     class's component (label) and the one most of the group belongs to (main)."""
-    # written, since it is read twice
-    rows = C.materialize(big.join(labels, "cls"), "labelled")
+    # written, since it is read twice; dealt by token once, which both counts and the join then share
+    rows = C.materialize(big.join(labels, "cls"), "labelled").repartition("token")
     per = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     main = per.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     return rows.join(main.where("labels > 1").select("token", "main"), "token")
@@ -434,9 +434,10 @@ def cross_stars(rows: DataFrame, turn: int) -> DataFrame:
 
 # -- components --------------------------------------------------------------
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
     """(node, root): every node of an edge and the smallest node it reaches,
     by alternating large-star and small-star rounds until nothing changes.
+    ``at_most``: rows of ``edges``, if known.
 
     Up to EDGES_PER_TASK edges are a round's work of one task, without exchanges or
     broadcasts; more are dealt out.  Each exchange of a few edges costs the driver a job
@@ -469,8 +470,11 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(gathered(e, rows).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = C.materialize(edges.where("u != v").distinct(), "edges")
-    before = state(e, EDGES_PER_TASK + 1)  # not known yet
+    rows = EDGES_PER_TASK + 1 if at_most is None else at_most
+    # exchanged, not coalesced: the work behind ``edges`` stays many tasks'
+    e = edges.where("u != v")
+    e = C.materialize((e.repartition(1) if few(rows) else e).distinct(), "edges")
+    before = state(e, rows)
     while before[0]:
         e = C.materialize(tidy(small(large(e, before[0]), before[0]), before[0]), "edges")
         after = state(e, before[0])
@@ -481,11 +485,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", "v"))
 
 
-def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """``comp`` (node, root) after further ``links`` (a, b): components of the roots."""
+def merged(comp: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
+    """``comp`` (node, root) after ``n_links`` further ``links`` (a, b): components of the roots."""
     roots = comp.select("node", "root")
     ends = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    joined = C.materialize(components(ends.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v"))), "roots")
+    joined = C.materialize(components(ends.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")), n_links), "roots")
     to = joined.toDF("root", "new")
     old = comp.join(to, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     return C.materialize(old.union(joined.join(comp, "node", "left_anti").select("node", "root")), "components")
@@ -631,15 +635,16 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
     sets = sets_of(pairs, None)
     links = C.materialize(verified(pairs, sets), "links")
-    comp = C.materialize(components(links.toDF("u", "v")), "components")
+    comp = C.materialize(components(links.toDF("u", "v"), links.count()), "components")
     big = posted.where("big").select("token", "cls", "place")
     work = None
     for turn in range(MAX_TURNS + 1):
         rows = C.materialize(mixed_groups(big, label(comp).select("cls", "label")), "big")
         # components only grow: a group in one component needs no further look
         big = rows.select("token", "cls", "place")
-        n, before = rows.count(), work
-        work = rows.groupBy("token").agg((F.count(F.lit(1)) * F.count_if(F.col("label") != F.col("main"))).alias("k")).agg(F.sum("k")).first()[0] or 0
+        before = work
+        per = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("main")).alias("m"))
+        n, work = (x or 0 for x in per.agg(F.sum("n"), F.sum(F.col("n") * F.col("m"))).first())
         # more stars as long as they shrink the work; then whatever is left, in full
         last = turn == MAX_TURNS or work <= 10 * n or (before is not None and work > 0.8 * before)
         more = cross_pairs(rows) if last else cross_stars(rows, turn)
@@ -650,8 +655,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
             new = sets_of(more, sets)
             sets = sets.union(new)
             links = C.materialize(verified(more, known_here.union(new)), "links")
-            if not links.isEmpty():
-                comp = merged(comp, links)
+            if n_links := links.count():
+                comp = merged(comp, links, n_links)
             pairs = pairs.union(more)
         if last:
             break
